@@ -1,0 +1,7 @@
+"""No streaming operators.
+
+The workload reads every table once per run: no event time, watermark or
+state appears anywhere in it, so there is nothing to express with
+Structured Streaming.  Incremental re-scoring, if ever needed, would be a
+``foreachBatch`` that re-runs the batch operators on the changed people.
+"""
