@@ -1,6 +1,10 @@
 """Per-job and per-candidate views over the match detail: ranked lists,
 distribution, colour bands, group profile, strengths and gaps, evidence.
 
+They take the match detail as the view shows it (scores and rates
+rounded to 2, see ``match.detail_view``), so colour bands, means and
+orderings see the same numbers a user sees.
+
 Everything is computed for every job and every candidate at once.  Each
 candidate has a few dozen trait rows per job, so per-candidate windows
 and short lists are bounded; per-job lists use a row-number limit that
@@ -62,9 +66,10 @@ def candidate_tv_bands(detail: DataFrame) -> DataFrame:
 
 def candidate_tgv_profile(detail: DataFrame) -> DataFrame:
     """``job_vacancy_id, employee_id, tgv_name, tgv_match_rate, benchmark_rate``
-    (mean over the candidate's rows of each group, beside the constant 100)."""
+    (mean over the candidate's rows of each group, rounded to 2, beside the
+    constant 100)."""
     return _with_job(detail).groupBy("job_vacancy_id", "employee_id", "tgv_name").agg(
-        F.avg("tgv_match_rate").alias("tgv_match_rate")
+        rnd(F.avg("tgv_match_rate"), 2).alias("tgv_match_rate")
     ).withColumn("benchmark_rate", F.lit(100.0))
 
 
@@ -86,12 +91,12 @@ def job_tgv_summary(detail: DataFrame) -> DataFrame:
     mean over the job's trait rows (each row carries its group rate), ranked
     high to low, missing means last, ties by name."""
     agg = _with_job(detail).groupBy("job_vacancy_id", "tgv_name").agg(
-        F.avg("tgv_match_rate").alias("avg_tgv_match"))
+        rnd(F.avg("tgv_match_rate"), 2).alias("avg_tgv_match"))
     w = Window.partitionBy("job_vacancy_id").orderBy(F.col("avg_tgv_match").desc_nulls_last(), "tgv_name")
     wn = Window.partitionBy("job_vacancy_id")
     ranked = agg.withColumn("tgv_rank", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(wn))
     return ranked.select(
-        "job_vacancy_id", "tgv_name", rnd("avg_tgv_match", 2).alias("avg_tgv_match"),
+        "job_vacancy_id", "tgv_name", "avg_tgv_match",
         F.col("tgv_rank").cast("long").alias("tgv_rank"),
         (F.col("tgv_rank") == 1).alias("is_best"),
         (F.col("tgv_rank") == F.col("_n")).alias("is_worst"),
@@ -121,7 +126,7 @@ def candidate_evidence_json(detail: DataFrame, k: int = 5) -> DataFrame:
         F.max(F.when(F.col("is_worst"), F.col("tgv_name"))).alias("tgv_gap"),
     )
     tvs = candidate_top_bottom_tvs(detail, k)
-    item = F.struct(F.col("position"), F.struct("tv_name", rnd("tv_match_rate", 2).alias("tv_match_rate")).alias("tv"))
+    item = F.struct(F.col("position"), F.struct("tv_name", "tv_match_rate").alias("tv"))
     lists = tvs.groupBy("job_vacancy_id", "employee_id").agg(
         F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == "top", item))), lambda x: x["tv"]).alias("top"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == "low", item))), lambda x: x["tv"]).alias("low"),

@@ -205,6 +205,14 @@ def rounded(detail: DataFrame, columns: list[str]) -> DataFrame:
     return detail.select(*[rnd(c, 2).alias(c) if c in RATE_COLUMNS else F.col(c) for c in columns])
 
 
+DETAIL_COLUMNS = MATCHING_COLUMNS + ["fullname"]
+
+
+def detail_view(detail: DataFrame) -> DataFrame:
+    """The detail as the view presents it: names kept, scores and rates rounded."""
+    return rounded(detail, DETAIL_COLUMNS)
+
+
 def benchmark_matching(t: TalentTables, job_id: int | None = None, **kw) -> DataFrame:
     """The twelve-column detail view, scores and rates rounded to 2."""
     return rounded(matching_detail(t, job_id, **kw), MATCHING_COLUMNS)

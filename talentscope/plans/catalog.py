@@ -413,7 +413,7 @@ def q_match_detail_top(spark, d):
 # ------------------------------------------------------------------- insight
 
 def _detail(spark, d):
-    return matching_detail_for(spark, d)
+    return match.detail_view(matching_detail_for(spark, d))
 
 
 @query("ranked_talent")
@@ -435,7 +435,7 @@ def q_benchmark_create_ranked(spark, d):
     t2 = t.with_benchmarks(_created(spark, d))
     new_id = t.talent_benchmarks.agg(F.max("job_vacancy_id")).first()[0] + 1
     detail = matching_detail(t2, job_id=new_id, latest=latest_for(spark, d))
-    return insight.top_per_job(insight.ranked_talent(detail), 50)
+    return insight.top_per_job(insight.ranked_talent(match.detail_view(detail)), 50)
 
 
 @query("match_distribution")
@@ -445,13 +445,12 @@ def q_match_distribution(spark, d):
 
 @query("candidate_tv_bands")
 def q_candidate_tv_bands(spark, d):
-    b = insight.candidate_tv_bands(_detail(spark, d))
-    return b.select(*[rnd(c, 2).alias(c) if c in match.RATE_COLUMNS else F.col(c) for c in b.columns])
+    return insight.candidate_tv_bands(_detail(spark, d))
 
 
 @query("candidate_tgv_profile")
 def q_candidate_tgv_profile(spark, d):
-    return insight.candidate_tgv_profile(_detail(spark, d)).withColumn("tgv_match_rate", rnd("tgv_match_rate", 2))
+    return insight.candidate_tgv_profile(_detail(spark, d))
 
 
 @query("candidate_insight")
@@ -466,7 +465,7 @@ def q_job_tgv_summary(spark, d):
 
 @query("candidate_top_bottom_tvs")
 def q_candidate_top_bottom_tvs(spark, d):
-    return insight.candidate_top_bottom_tvs(_detail(spark, d)).withColumn("tv_match_rate", rnd("tv_match_rate", 2))
+    return insight.candidate_top_bottom_tvs(_detail(spark, d))
 
 
 @query("candidate_evidence_json")
