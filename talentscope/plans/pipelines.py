@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from talentscope.operators import match, readiness
 from talentscope.operators.common import latest_year
-from talentscope.session import write_and_read
+from talentscope.session import write_and_read, write_many_and_read
 from talentscope.sources.mapping import from_driver_tables
 from talentscope.sources.tables import TalentTables
 
@@ -40,8 +40,7 @@ def tables_for(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Ta
     """Talent tables of ``sf_dir``, written once per session when ``materialize``."""
     if not materialize:
         return from_driver_tables(spark, sf_dir)
-    return _cached(spark, sf_dir, "tables",
-                   lambda: from_driver_tables(spark, sf_dir, stage=lambda name, df: write_and_read(df, name)))
+    return _cached(spark, sf_dir, "tables", lambda: from_driver_tables(spark, sf_dir, write_many=write_many_and_read))
 
 
 def latest_for(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +68,19 @@ def baselines_for(spark: SparkSession, sf_dir: str, include_tiki: bool = True) -
 
 def matching_detail_for(spark: SparkSession, sf_dir: str, job_id: int | None = None,
                         include_tiki: bool = True) -> DataFrame:
+    """The unrounded match detail of every job, written once per session
+    (the insight queries all start from it); ``job_id`` filters the
+    written table, which parquet pushdown turns into a pruned scan."""
     t = tables_for(spark, sf_dir)
-    return match.matching_detail(t, job_id, include_tiki=include_tiki, latest=latest_for(spark, sf_dir),
-                                 baseline=baselines_for(spark, sf_dir, include_tiki))
+
+    def build() -> DataFrame:
+        detail = match.matching_detail(t, None, include_tiki=include_tiki, latest=latest_for(spark, sf_dir),
+                                       baseline=baselines_for(spark, sf_dir, include_tiki))
+        return write_and_read(detail, "matching_detail")
+
+    detail = _cached(spark, sf_dir, f"matching_detail:{include_tiki}", build)
+    if job_id is not None:
+        from pyspark.sql import functions as F
+
+        detail = detail.filter(F.col("job_vacancy_id") == job_id)
+    return detail

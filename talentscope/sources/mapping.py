@@ -67,7 +67,7 @@ COHORT_SIZE = 50
 UNKNOWN_ID = "EMP_UNKNOWN"
 DEFAULT_WEIGHTS_JSON = json.dumps({"tgv": TGV_WEIGHTS}, separators=(",", ":"))
 
-Stage = Callable[[str, DataFrame], DataFrame]
+WriteMany = Callable[[dict[str, DataFrame]], dict[str, DataFrame]]
 
 
 def _emp(c: str) -> Column:
@@ -342,40 +342,48 @@ def raw_papi_scores(papi: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------- the bundle
 
-def from_driver_tables(spark: SparkSession, sf_dir: str, stage: Stage | None = None,
+def from_driver_tables(spark: SparkSession, sf_dir: str, write_many: WriteMany | None = None,
                        with_raw: bool = True) -> TalentTables:
     """Build every talent table from ``sf_dir``.
 
-    ``stage(name, df)`` is called on each table as soon as it is defined and
-    its result is used downstream; pass a writer to materialise the tables
-    (the shared line-item aggregate is then computed once).
+    ``write_many({name: df})`` is called on the heavy tables, in two waves
+    of mutually independent tables, and its results are used downstream;
+    pass a writer to materialise them (the shared line-item aggregate is
+    then computed once).  Lookup tables and the raw exports (cheap
+    projections of the written tables) stay lazy.
     """
-    stage = stage or (lambda _name, df: df)
+    write_many = write_many or (lambda tables: tables)
     customer = _read(spark, sf_dir, "customer")
     nation = _read(spark, sf_dir, "nation")
     region = _read(spark, sf_dir, "region")
     orders = _read(spark, sf_dir, "orders")
     lineitem = _read(spark, sf_dir, "lineitem")
 
-    emps = stage("employees", employees(customer, nation))
-    perf = stage("performance_yearly", performance_yearly(orders))
-    facts = stage("_line_facts", line_facts(lineitem, orders))
-    comp = stage("competencies_yearly", competencies_yearly(facts))
-    strg = stage("strengths", strengths(facts))
-    psych = stage("profiles_psych", profiles_psych(customer))
-    papi = stage("papi_scores", papi_scores(orders))
-    d = {n: stage(n, df) for n, df in dims(spark, nation, region).items()}
-    bench = stage("talent_benchmarks", seed_benchmarks(spark, perf, emps, region))
+    base = write_many({
+        "employees": employees(customer, nation),
+        "performance_yearly": performance_yearly(orders),
+        "_line_facts": line_facts(lineitem, orders),
+        "profiles_psych": profiles_psych(customer),
+        "papi_scores": papi_scores(orders),
+    })
+    emps, perf, psych = base["employees"], base["performance_yearly"], base["profiles_psych"]
+    derived = write_many({
+        "competencies_yearly": competencies_yearly(base["_line_facts"]),
+        "strengths": strengths(base["_line_facts"]),
+        "talent_benchmarks": seed_benchmarks(spark, perf, emps, region),
+    })
+    comp = derived["competencies_yearly"]
     raw = {}
     if with_raw:
         raw = {
-            "raw_employees": stage("raw_employees", raw_employees(emps)),
-            "raw_performance_yearly": stage("raw_performance_yearly", raw_performance_yearly(perf)),
-            "raw_competencies_yearly": stage("raw_competencies_yearly", raw_competencies_yearly(comp)),
-            "raw_profiles_psych": stage("raw_profiles_psych", raw_profiles_psych(psych)),
-            "raw_papi_scores": stage("raw_papi_scores", raw_papi_scores(papi)),
+            "raw_employees": raw_employees(emps),
+            "raw_performance_yearly": raw_performance_yearly(perf),
+            "raw_competencies_yearly": raw_competencies_yearly(comp),
+            "raw_profiles_psych": raw_profiles_psych(psych),
+            "raw_papi_scores": raw_papi_scores(base["papi_scores"]),
         }
     return TalentTables(
         employees=emps, performance_yearly=perf, competencies_yearly=comp, profiles_psych=psych,
-        papi_scores=papi, strengths=strg, talent_benchmarks=bench, **d, **raw,
+        papi_scores=base["papi_scores"], strengths=derived["strengths"],
+        talent_benchmarks=derived["talent_benchmarks"], **dims(spark, nation, region), **raw,
     )
