@@ -157,20 +157,23 @@ def people_with_dims(t: TalentTables) -> DataFrame:
 
 def matching_detail(t: TalentTables, job_id: int | None = None, include_tiki: bool = True,
                     weights: dict[str, float] | None = None, latest: DataFrame | None = None,
-                    baseline: DataFrame | None = None) -> DataFrame:
+                    baseline: DataFrame | None = None, tv: DataFrame | None = None) -> DataFrame:
     """Unrounded detail rows with names: ``job_vacancy_id, employee_id,
     fullname, directorate, role, grade, tgv_name, tv_name, baseline_score,
     user_score, tv_match_rate, tgv_match_rate, final_match_rate``.
 
     ``job_id`` keeps one job; the filter lands on the broadcast baselines,
-    so only that job's rows are ever produced.
+    so only that job's rows are ever produced.  ``tv`` is the trait table
+    (``tv_long``); pass a written one, as it is read twice (for the group
+    aggregate and for the rows joined back to it).
     """
     weights = weights or TGV_WEIGHTS
     latest = latest if latest is not None else latest_year(t.performance_yearly)
     base = baseline if baseline is not None else baselines(t, latest, include_tiki)
     if job_id is not None:
         base = base.filter(F.col("job_vacancy_id") == job_id)
-    tvm = match_tv(tv_long(t, latest, include_tiki), base)
+    tv = tv if tv is not None else tv_long(t, latest, include_tiki)
+    tvm = match_tv(tv, base)
     if job_id is not None:
         tvm = tvm.filter(F.col("job_vacancy_id") == job_id)
     groups = _group_rates(tvm, weights).join(people_with_dims(t), "employee_id")

@@ -19,6 +19,7 @@ from talentscope.operators import benchmark, clean, eda, insight, match, quality
 from talentscope.plans.pipelines import (
     baselines_for,
     latest_for,
+    tv_long_for,
     matching_detail_for,
     readiness_final_for,
     readiness_ranked_for,
@@ -360,8 +361,7 @@ def q_readiness_by_division(spark, d):
 
 @query("tv_long")
 def q_tv_long(spark, d):
-    tv = match.tv_long(_t(spark, d), latest_for(spark, d))
-    return tv.withColumn("user_score", rnd("user_score", 4))
+    return tv_long_for(spark, d).withColumn("user_score", rnd("user_score", 4))
 
 
 @query("match_baseline")
@@ -370,8 +370,7 @@ def q_match_baseline(spark, d):
 
 
 def _tvm(spark, d, include_tiki=True):
-    t = _t(spark, d)
-    return match.match_tv(match.tv_long(t, latest_for(spark, d), include_tiki), baselines_for(spark, d, include_tiki))
+    return match.match_tv(tv_long_for(spark, d, include_tiki), baselines_for(spark, d, include_tiki))
 
 
 @query("match_tv")

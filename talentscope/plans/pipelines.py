@@ -66,6 +66,13 @@ def baselines_for(spark: SparkSession, sf_dir: str, include_tiki: bool = True) -
                    lambda: match.baselines(t, include_tiki=include_tiki))
 
 
+def tv_long_for(spark: SparkSession, sf_dir: str, include_tiki: bool = True) -> DataFrame:
+    """The trait table of everyone, written once per session."""
+    t = tables_for(spark, sf_dir)
+    return _cached(spark, sf_dir, f"tv_long:{include_tiki}",
+                   lambda: write_and_read(match.tv_long(t, latest_for(spark, sf_dir), include_tiki), "tv_long"))
+
+
 def matching_detail_for(spark: SparkSession, sf_dir: str, job_id: int | None = None,
                         include_tiki: bool = True) -> DataFrame:
     """The unrounded match detail of every job, written once per session
@@ -75,7 +82,8 @@ def matching_detail_for(spark: SparkSession, sf_dir: str, job_id: int | None = N
 
     def build() -> DataFrame:
         detail = match.matching_detail(t, None, include_tiki=include_tiki, latest=latest_for(spark, sf_dir),
-                                       baseline=baselines_for(spark, sf_dir, include_tiki))
+                                       baseline=baselines_for(spark, sf_dir, include_tiki),
+                                       tv=tv_long_for(spark, sf_dir, include_tiki))
         return write_and_read(detail, "matching_detail")
 
     detail = _cached(spark, sf_dir, f"matching_detail:{include_tiki}", build)

@@ -203,7 +203,9 @@ def papi_scores(orders: DataFrame) -> DataFrame:
 
 
 def dims(spark: SparkSession, nation: DataFrame, region: DataFrame) -> dict[str, DataFrame]:
-    return {
+    """Lookup tables, each marked for broadcast: the inline ones have the
+    fixed sizes above, ``nation`` and ``region`` have 25 and 5 rows."""
+    tables = {
         "dim_grades": _inline(spark, GRADES, schemas.DIM_GRADES),
         "dim_education": _inline(spark, EDUCATION, schemas.DIM_EDUCATION),
         "dim_positions": _inline(spark, POSITIONS, schemas.DIM_POSITIONS),
@@ -213,6 +215,7 @@ def dims(spark: SparkSession, nation: DataFrame, region: DataFrame) -> dict[str,
         "dim_directorates": region.select(
             F.col("r_regionkey").cast("int").alias("directorate_id"), F.col("r_name").alias("name")),
     }
+    return {n: F.broadcast(df) for n, df in tables.items()}
 
 
 def seed_benchmarks(spark: SparkSession, perf: DataFrame, emps: DataFrame, region: DataFrame,
