@@ -16,6 +16,19 @@ from pyspark.sql import functions as F
 from talentscope.operators.common import at_latest_year, latest_year
 from talentscope.sources.tables import TalentTables
 
+# A cohort is a hand-picked set of role models stored as one array per job.
+MAX_COHORT = 100_000
+
+
+def _cohort_array(talent_ids: DataFrame, max_size: int) -> DataFrame:
+    """One row holding the sorted ids.  The ids are counted first: a list
+    longer than ``max_size`` is refused (never cut), because it would
+    become one huge array in one row."""
+    n = talent_ids.count()
+    if n > max_size:
+        raise ValueError(f"cohort of {n} ids exceeds {max_size}; keep role models as a table instead")
+    return talent_ids.agg(F.array_sort(F.collect_list("employee_id")).alias("ids"))
+
 
 def rated_at_latest_year(perf: DataFrame, rating: float = 5.0, latest: DataFrame | None = None) -> DataFrame:
     """``employee_id`` of every latest-year performance row with ``rating``."""
@@ -52,11 +65,12 @@ def cohort_explode(benchmarks: DataFrame) -> DataFrame:
 
 
 def create_benchmark(benchmarks: DataFrame, role_name: str, job_level: str, role_purpose: str,
-                     talent_ids: DataFrame, created_at: dt.datetime, weights_config: str = "{}") -> DataFrame:
+                     talent_ids: DataFrame, created_at: dt.datetime, weights_config: str = "{}",
+                     max_cohort: int = MAX_COHORT) -> DataFrame:
     """Append one job whose id is ``max(id) + 1``; ``talent_ids`` is a
     DataFrame of ``employee_id`` (the chosen role models)."""
     next_id = benchmarks.agg(F.coalesce(F.max("job_vacancy_id") + 1, F.lit(1)).cast("int").alias("job_vacancy_id"))
-    ids = talent_ids.agg(F.array_sort(F.collect_list("employee_id")).alias("selected_talent_ids"))
+    ids = _cohort_array(talent_ids, max_cohort).withColumnRenamed("ids", "selected_talent_ids")
     row = F.broadcast(next_id).crossJoin(F.broadcast(ids)).select(
         "job_vacancy_id",
         F.lit(role_name).alias("role_name"),
@@ -64,14 +78,15 @@ def create_benchmark(benchmarks: DataFrame, role_name: str, job_level: str, role
         F.lit(role_purpose).alias("role_purpose"),
         F.coalesce("selected_talent_ids", F.array().cast("array<string>")).alias("selected_talent_ids"),
         F.lit(weights_config).alias("weights_config"),
-        F.lit(created_at).cast("timestamp_ntz").alias("created_at"),
+        F.to_timestamp_ntz(F.lit(created_at.strftime("%Y-%m-%d %H:%M:%S"))).alias("created_at"),
     )
     return benchmarks.unionByName(row)
 
 
-def set_cohort(benchmarks: DataFrame, job_vacancy_id: int, talent_ids: DataFrame) -> DataFrame:
+def set_cohort(benchmarks: DataFrame, job_vacancy_id: int, talent_ids: DataFrame,
+               max_cohort: int = MAX_COHORT) -> DataFrame:
     """Replace one job's cohort with the sorted ids of ``talent_ids``."""
-    ids = talent_ids.agg(F.array_sort(F.collect_list("employee_id")).alias("_new_ids"))
+    ids = _cohort_array(talent_ids, max_cohort).withColumnRenamed("ids", "_new_ids")
     return benchmarks.crossJoin(F.broadcast(ids)).select(
         *[
             F.when(F.col("job_vacancy_id") == job_vacancy_id, F.col("_new_ids")).otherwise(F.col(c)).alias(c)

@@ -1,94 +1,157 @@
 """End-to-end pipelines over the driver's tables.
 
-The talent tables are derived once per session and data folder and
-written to the checkpoint folder (``write_and_read``): every later query
-scans compact parquet with pushdown instead of re-joining line items and
-orders, and a lost executor re-reads files instead of recomputing.  The
-readiness totals and the match baselines, each reused by several
-queries, are written the same way.
+The talent tables are derived once and written to the checkpoint folder:
+every later query scans compact parquet with pushdown instead of
+re-joining line items and orders, and a lost executor re-reads files
+instead of recomputing.  The latest year per person, the readiness
+totals, the trait table, the baselines and the match detail, each reused
+by several queries, are written the same way.
+
+Written tables are registered under (checkpoint folder, fingerprint of
+the input files, name): a later session of the same process re-reads
+them, and changed inputs (size or modification time) give new tables.
 """
 
 from __future__ import annotations
 
 import threading
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from talentscope.operators import match, readiness
 from talentscope.operators.common import latest_year
-from talentscope.session import write_and_read, write_many_and_read
+from talentscope.session import broadcast_if_small, checkpoint_root, new_table_path
 from talentscope.sources.mapping import from_driver_tables
 from talentscope.sources.tables import TalentTables
 
+SOURCE_TABLES = ["customer", "nation", "region", "orders", "lineitem"]
+
 _lock = threading.RLock()
-_cache: dict[tuple, object] = {}
+_paths: dict[tuple, str] = {}
+_frames: dict[tuple, object] = {}
+
+
+def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
+    """(path, size, mtime) of every input file, through the Hadoop FS API."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for t in SOURCE_TABLES:
+        p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
+        fs = p.getFileSystem(conf)
+        for st in fs.listStatus(p):
+            out.append((st.getPath().toString(), st.getLen(), st.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def _base_key(spark: SparkSession, sf_dir: str) -> tuple:
+    return (checkpoint_root(spark), sf_dir.rstrip("/"), _fingerprint(spark, sf_dir))
 
 
-def _key(spark: SparkSession, sf_dir: str, what: str) -> tuple:
-    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), what)
+def _persisted(spark: SparkSession, base: tuple, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Read the table registered under (base, name), or build, write and register it."""
+    key = (*base, name)
+    with _lock:
+        path = _paths.get(key)
+        if path is not None:
+            try:
+                return spark.read.parquet(path)
+            except Exception:  # files gone: rebuild
+                _paths.pop(key, None)
+    df = build()
+    path = new_table_path(spark, name.replace(":", "_"))
+    df.write.mode("errorifexists").parquet(path)
+    with _lock:
+        _paths[key] = path
+    return spark.read.parquet(path)
 
 
-def _cached(spark: SparkSession, sf_dir: str, what: str, build):
-    k = _key(spark, sf_dir, what)
+def _session_cached(spark: SparkSession, sf_dir: str, what: str, build: Callable[[], object]):
+    """Per-session memo of DataFrames built on top of the written tables."""
+    k = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), what)
+    with _lock:
+        if k in _frames:
+            return _frames[k]
+    value = build()  # outside the lock: builds write tables from worker threads
     with _lock:
-        if k not in _cache:
-            _cache[k] = build()
-        return _cache[k]
+        return _frames.setdefault(k, value)
 
 
 def tables_for(spark: SparkSession, sf_dir: str, materialize: bool = True) -> TalentTables:
-    """Talent tables of ``sf_dir``, written once per session when ``materialize``."""
+    """Talent tables of ``sf_dir``; the heavy ones written once, in two waves
+    of concurrently written independent tables."""
     if not materialize:
         return from_driver_tables(spark, sf_dir)
-    return _cached(spark, sf_dir, "tables", lambda: from_driver_tables(spark, sf_dir, write_many=write_many_and_read))
+
+    def build() -> TalentTables:
+        from concurrent.futures import ThreadPoolExecutor
+
+        base = _base_key(spark, sf_dir)
+
+        def write_many(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+            with ThreadPoolExecutor(max_workers=max(1, len(tables))) as pool:
+                futures = {n: pool.submit(_persisted, spark, base, n, lambda df=df: df) for n, df in tables.items()}
+                return {n: f.result() for n, f in futures.items()}
+
+        return from_driver_tables(spark, sf_dir, write_many=write_many)
+
+    return _session_cached(spark, sf_dir, "tables", build)
+
+
+def _written(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    return _session_cached(spark, sf_dir, name, lambda: _persisted(spark, _base_key(spark, sf_dir), name, build))
 
 
 def latest_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables_for(spark, sf_dir)
-    return _cached(spark, sf_dir, "latest", lambda: write_and_read(latest_year(t.performance_yearly), "latest_year"))
+    return _written(spark, sf_dir, "latest_year", lambda: latest_year(t.performance_yearly))
 
 
 def readiness_final_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables_for(spark, sf_dir)
-    return _cached(spark, sf_dir, "readiness_final",
-                   lambda: write_and_read(readiness.readiness_final(t, latest_for(spark, sf_dir)), "readiness_final"))
+    return _written(spark, sf_dir, "readiness_final",
+                    lambda: readiness.readiness_final(t, latest_for(spark, sf_dir)))
 
 
 def readiness_ranked_for(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cached(spark, sf_dir, "readiness_ranked",
-                   lambda: write_and_read(readiness.readiness_ranked(readiness_final_for(spark, sf_dir)),
-                                          "readiness_ranked"))
+    return _written(spark, sf_dir, "readiness_ranked",
+                    lambda: readiness.readiness_ranked(readiness_final_for(spark, sf_dir)))
 
 
 def baselines_for(spark: SparkSession, sf_dir: str, include_tiki: bool = True) -> DataFrame:
+    """Baselines of every job (written), marked for broadcast after a count."""
     t = tables_for(spark, sf_dir)
-    return _cached(spark, sf_dir, f"baselines:{include_tiki}",
-                   lambda: match.baselines(t, include_tiki=include_tiki))
+
+    def build() -> DataFrame:
+        written = _persisted(spark, _base_key(spark, sf_dir), f"baselines:{include_tiki}",
+                             lambda: match.baselines(t, include_tiki=include_tiki, materialize=False))
+        return broadcast_if_small(written)
+
+    return _session_cached(spark, sf_dir, f"baselines:{include_tiki}", build)
 
 
 def tv_long_for(spark: SparkSession, sf_dir: str, include_tiki: bool = True) -> DataFrame:
-    """The trait table of everyone, written once per session."""
+    """The trait table of everyone, written once."""
     t = tables_for(spark, sf_dir)
-    return _cached(spark, sf_dir, f"tv_long:{include_tiki}",
-                   lambda: write_and_read(match.tv_long(t, latest_for(spark, sf_dir), include_tiki), "tv_long"))
+    return _written(spark, sf_dir, f"tv_long:{include_tiki}",
+                    lambda: match.tv_long(t, latest_for(spark, sf_dir), include_tiki))
 
 
 def matching_detail_for(spark: SparkSession, sf_dir: str, job_id: int | None = None,
                         include_tiki: bool = True) -> DataFrame:
-    """The unrounded match detail of every job, written once per session
-    (the insight queries all start from it); ``job_id`` filters the
-    written table, which parquet pushdown turns into a pruned scan."""
+    """The unrounded match detail of every job, written once (the insight
+    queries all start from it); ``job_id`` filters the written table, which
+    parquet pushdown turns into a pruned scan."""
     t = tables_for(spark, sf_dir)
 
     def build() -> DataFrame:
-        detail = match.matching_detail(t, None, include_tiki=include_tiki, latest=latest_for(spark, sf_dir),
-                                       baseline=baselines_for(spark, sf_dir, include_tiki),
-                                       tv=tv_long_for(spark, sf_dir, include_tiki))
-        return write_and_read(detail, "matching_detail")
+        return match.matching_detail(t, None, include_tiki=include_tiki, latest=latest_for(spark, sf_dir),
+                                     baseline=baselines_for(spark, sf_dir, include_tiki),
+                                     tv=tv_long_for(spark, sf_dir, include_tiki))
 
-    detail = _cached(spark, sf_dir, f"matching_detail:{include_tiki}", build)
+    detail = _written(spark, sf_dir, f"matching_detail:{include_tiki}", build)
     if job_id is not None:
-        from pyspark.sql import functions as F
-
         detail = detail.filter(F.col("job_vacancy_id") == job_id)
     return detail

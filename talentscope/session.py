@@ -45,15 +45,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     missing setting is an error, never a machine-local folder.
     """
     sc = spark.sparkContext
+    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    if configured:
+        # the configured root, not the per-context sub-folder Spark adds, so
+        # tables written by one session stay findable from the next
+        return configured
     d = sc.getCheckpointDir()
     if d:
         return d
-    d = sc.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or S3)")
-        d = tempfile.mkdtemp(prefix="talentscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(d)
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or S3)")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="talentscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
     return sc.getCheckpointDir()
 
 
