@@ -795,5 +795,32 @@ SELECT job_vacancy_id, employee_id, 'low' AS side,
 FROM matching WHERE job_vacancy_id IS NOT NULL QUALIFY position <= 5""",
 }
 
-# Queries whose result is JSON text: checked on row counts only.
-ROWS_ONLY = ["candidate_evidence_json"]
+ORACLE["candidate_evidence_json"] = with_mapping(*MATCH, f"""js AS (
+  SELECT job_vacancy_id, tgv_name,
+         ROW_NUMBER() OVER (PARTITION BY job_vacancy_id ORDER BY avg_tgv_match DESC NULLS LAST, tgv_name) AS tgv_rank,
+         COUNT(*) OVER (PARTITION BY job_vacancy_id) AS n
+  FROM (SELECT job_vacancy_id, tgv_name, {rnd("AVG(tgv_match_rate)", 2)} AS avg_tgv_match
+        FROM matching WHERE job_vacancy_id IS NOT NULL GROUP BY 1, 2)
+)""", """best AS (
+  SELECT job_vacancy_id, MAX(CASE WHEN tgv_rank = 1 THEN tgv_name END) AS tgv_best,
+         MAX(CASE WHEN tgv_rank = n THEN tgv_name END) AS tgv_gap
+  FROM js GROUP BY 1
+)""", """ranked AS (
+  SELECT job_vacancy_id, employee_id, tv_name, tv_match_rate,
+         ROW_NUMBER() OVER (PARTITION BY job_vacancy_id, employee_id ORDER BY tv_match_rate DESC NULLS LAST, tv_name) AS top_pos,
+         ROW_NUMBER() OVER (PARTITION BY job_vacancy_id, employee_id ORDER BY tv_match_rate ASC NULLS LAST, tv_name) AS low_pos
+  FROM matching WHERE job_vacancy_id IS NOT NULL
+)""", """lists AS (
+  SELECT job_vacancy_id, employee_id,
+         list({'tv_name': tv_name, 'tv_match_rate': tv_match_rate} ORDER BY top_pos) FILTER (WHERE top_pos <= 5) AS top,
+         list({'tv_name': tv_name, 'tv_match_rate': tv_match_rate} ORDER BY low_pos) FILTER (WHERE low_pos <= 5) AS low
+  FROM ranked GROUP BY 1, 2
+)""") + """
+SELECT l.job_vacancy_id, l.employee_id,
+       CAST(to_json({'job_vacancy_id': l.job_vacancy_id, 'tgv_best': b.tgv_best, 'tgv_gap': b.tgv_gap,
+                     'candidate_id': l.employee_id, 'candidate_top_tvs': l.top, 'candidate_low_tvs': l.low})
+            AS VARCHAR) AS evidence
+FROM lists l JOIN best b ON b.job_vacancy_id = l.job_vacancy_id"""
+
+# Queries checked on row counts only (none at present).
+ROWS_ONLY: list[str] = []
