@@ -20,13 +20,17 @@ def latest_year(perf: DataFrame) -> DataFrame:
 def at_latest_year(facts: DataFrame, latest: DataFrame) -> DataFrame:
     """Rows of a yearly fact table that fall in the person's latest year.
 
-    An inner join on (id, year); repeated fact rows stay repeated, as in
-    SQL.  One side has one row per id, so a hot id is split by AQE's skew
-    join rather than landing in one task.
+    Same rows as an inner join on (id, year), repeated rows included, but
+    joined on the id alone and then filtered: the result stays
+    hash-partitioned by ``employee_id``, so later per-person aggregates and
+    joins need no further shuffle.  One side has one row per id, so a hot id
+    is split by AQE's skew join rather than landing in one task.
     """
     ly = latest.select(F.col("employee_id").alias("_ly_id"), F.col("latest_year").alias("_ly_year"))
-    return facts.join(ly, (F.col("employee_id") == F.col("_ly_id")) & (F.col("year") == F.col("_ly_year"))).drop(
-        "_ly_id", "_ly_year"
+    return (
+        facts.join(ly, F.col("employee_id") == F.col("_ly_id"))
+        .filter(F.col("year") == F.col("_ly_year"))
+        .drop("_ly_id", "_ly_year")
     )
 
 

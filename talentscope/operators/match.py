@@ -75,10 +75,10 @@ def tv_long(t: TalentTables, latest: DataFrame | None = None, include_tiki: bool
     return out
 
 
-def restrict_to(t: TalentTables, ids: DataFrame) -> TalentTables:
-    """The same tables cut to people in ``ids`` (a broadcast semi join at
-    each fact scan).  ``ids`` must be small and already size-checked."""
-    ids = F.broadcast(ids.select("employee_id").distinct())
+def restrict_to(t: TalentTables, ids: DataFrame, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> TalentTables:
+    """The same tables cut to people in ``ids``: a semi join at each fact
+    scan, broadcast when the distinct ids (counted here) are few."""
+    ids = broadcast_if_small(ids.select("employee_id").distinct(), max_broadcast_rows)
     keyed = ["employees", "performance_yearly", "competencies_yearly", "profiles_psych", "papi_scores", "strengths"]
     return t.map(lambda n, df: df.join(ids, "employee_id", "left_semi") if n in keyed else df)
 
@@ -99,7 +99,7 @@ def baselines(t: TalentTables, latest: DataFrame | None = None, include_tiki: bo
     """Baselines of every job, computed from cohort members only, written
     and counted so the caller can broadcast them safely."""
     cohort = broadcast_if_small(cohort_explode(t.talent_benchmarks), max_broadcast_rows)
-    small = restrict_to(t, cohort)
+    small = restrict_to(t, cohort, max_broadcast_rows)
     small_latest = latest_year(small.performance_yearly)
     base = match_baseline(tv_long(small, small_latest, include_tiki), cohort)
     if materialize:

@@ -3,9 +3,9 @@ yearly ranks, a top-3 shortlist per division and band summaries.
 
 Each person is scored once, at their own latest rated year; anyone
 without a performance row is absent, and a NULL part makes the total
-NULL.  Every part is keyed by (employee_id, year) and the five are
-left-joined onto the people; each comes out of an aggregate already
-partitioned on that key.
+NULL.  Every part is a per-person value at that year, so the five are
+left-joined onto the people by ``employee_id``; each comes out of an
+aggregate or join already hash-partitioned by person.
 """
 
 from __future__ import annotations
@@ -38,17 +38,17 @@ def _on_latest(df: DataFrame, latest: DataFrame) -> DataFrame:
     return df.join(latest, "employee_id").withColumnRenamed("latest_year", "year")
 
 
-def tgv_competencies(t: TalentTables, latest: DataFrame | None = None) -> DataFrame:
+def tgv_competencies(t: TalentTables, latest: DataFrame | None = None, with_year: bool = True) -> DataFrame:
     """``employee_id, year, comp_avg, tgv_competencies``: mean score (0..5) at the latest year."""
     latest = _latest(t, latest)
     comp = at_latest_year(t.competencies_yearly, latest)
-    return comp.groupBy("employee_id", "year").agg(
+    return comp.groupBy("employee_id", *(["year"] if with_year else [])).agg(
         rnd(F.avg("score"), 2).alias("comp_avg"),
         rnd(F.avg("score") / 5.0, 4).alias("tgv_competencies"),
     )
 
 
-def tgv_cognitive(t: TalentTables, latest: DataFrame | None = None) -> DataFrame:
+def tgv_cognitive(t: TalentTables, latest: DataFrame | None = None, with_year: bool = True) -> DataFrame:
     """Mean of min-max scaled IQ and GTQ; bounds over everyone (one row, broadcast)."""
     latest = _latest(t, latest)
     psych = t.profiles_psych.select("employee_id", "iq", "gtq")
@@ -61,10 +61,12 @@ def tgv_cognitive(t: TalentTables, latest: DataFrame | None = None) -> DataFrame
         rnd((min_max_scale("iq", "min_iq", "max_iq") + min_max_scale("gtq", "min_gtq", "max_gtq")) / 2, 4)
         .alias("tgv_cognitive"),
     )
+    if not with_year:
+        return scaled
     return _on_latest(scaled, latest).select("employee_id", "year", "tgv_cognitive")
 
 
-def tgv_personality(t: TalentTables, latest: DataFrame | None = None) -> DataFrame:
+def tgv_personality(t: TalentTables, latest: DataFrame | None = None, with_year: bool = True) -> DataFrame:
     """Mean over scales of the score min-max scaled within its scale.
 
     Per-scale bounds are an aggregate (one row per scale) joined back on
@@ -75,19 +77,21 @@ def tgv_personality(t: TalentTables, latest: DataFrame | None = None) -> DataFra
     by_scale = papi.groupBy("scale_code").agg(F.min("score").alias("min_s"), F.max("score").alias("max_s"))
     z = papi.join(by_scale, "scale_code").select("employee_id", min_max_scale("score", "min_s", "max_s").alias("z"))
     per_person = z.groupBy("employee_id").agg(F.sum("z").alias("zs"), F.count("z").alias("zc"))
-    return _on_latest(per_person, latest).select(
-        "employee_id", "year", rnd(safe_div("zs", "zc"), 4).alias("tgv_personalitypapi")
-    )
+    part = rnd(safe_div("zs", "zc"), 4).alias("tgv_personalitypapi")
+    if not with_year:
+        return per_person.select("employee_id", part)
+    return _on_latest(per_person, latest).select("employee_id", "year", part)
 
 
-def tgv_context(t: TalentTables, latest: DataFrame | None = None) -> DataFrame:
+def tgv_context(t: TalentTables, latest: DataFrame | None = None, with_year: bool = True) -> DataFrame:
     """Rating / 5 at the latest year (rating 1 gives 0.2)."""
     latest = _latest(t, latest)
     perf = at_latest_year(t.performance_yearly, latest)
-    return perf.select("employee_id", "year", rnd(F.col("rating") / 5.0, 4).alias("tgv_context"))
+    return perf.select("employee_id", *(["year"] if with_year else []),
+                       rnd(F.col("rating") / 5.0, 4).alias("tgv_context"))
 
 
-def tgv_strengths(t: TalentTables, latest: DataFrame | None = None) -> DataFrame:
+def tgv_strengths(t: TalentTables, latest: DataFrame | None = None, with_year: bool = True) -> DataFrame:
     """``1 - minmax(mean rank)``: a smaller rank is better; equal means give NULL."""
     latest = _latest(t, latest)
     r = t.strengths.groupBy("employee_id").agg(F.avg("rank").alias("avg_rank"))
@@ -95,6 +99,8 @@ def tgv_strengths(t: TalentTables, latest: DataFrame | None = None) -> DataFrame
     scaled = r.crossJoin(F.broadcast(bounds)).select(
         "employee_id", rnd(1 - min_max_scale("avg_rank", "min_r", "max_r"), 4).alias("tgv_behaviorstrengths")
     )
+    if not with_year:
+        return scaled
     return _on_latest(scaled, latest).select("employee_id", "year", "tgv_behaviorstrengths")
 
 
@@ -104,21 +110,24 @@ def readiness_final(t: TalentTables, latest: DataFrame | None = None,
 
     The total adds the already-rounded parts; the percent is rounded from
     the unrounded sum, not from the rounded total.
+
+    Every part belongs to the person's latest year, so the parts are
+    joined on ``employee_id`` alone: all inputs of the five left joins are
+    hash-partitioned by person and the joins add no shuffle of their own.
     """
     weights = weights or TGV_WEIGHTS
     latest = _latest(t, latest)
     base = t.employees.select("employee_id").join(latest, "employee_id").withColumnRenamed("latest_year", "year")
-    key = ["employee_id", "year"]
     parts = [
-        tgv_competencies(t, latest).drop("comp_avg"),
-        tgv_cognitive(t, latest),
-        tgv_personality(t, latest),
-        tgv_context(t, latest),
-        tgv_strengths(t, latest),
+        tgv_competencies(t, latest, with_year=False).drop("comp_avg"),
+        tgv_cognitive(t, latest, with_year=False),
+        tgv_personality(t, latest, with_year=False),
+        tgv_context(t, latest, with_year=False),
+        tgv_strengths(t, latest, with_year=False),
     ]
     df = base
     for p in parts:
-        df = df.join(p, key, "left")
+        df = df.join(p, "employee_id", "left")
     total = weighted_sum({g: F.col(c) for g, c in PART_COLUMNS.items()}, weights, missing_as_zero=False)
     return df.select(
         "employee_id",
