@@ -3,10 +3,12 @@ driver's parquet views (region, nation, customer, orders, lineitem, ...).
 
 Each statement first rebuilds the talent tables from the driver tables
 with the same rules as ``talentscope.sources.mapping`` (as CTEs), then
-answers the question the way the original SQL views and notebook cells
-do: self-joins instead of aggregate joins, per-partition windows instead
-of histograms, ``PERCENTILE_DISC`` and ``UNNEST`` directly.  Agreement of
-the two shows the Spark plans compute the same thing by other means.
+answers the question in plain single-engine SQL, deliberately different
+from the Spark plans: window functions for bounds, medians, group rates
+and ranks (where Spark uses aggregates joined back and a value
+histogram), ``UNPIVOT`` and ``UNNEST`` for the long forms,
+``quantile_disc`` for cohort medians.  Agreement of the two shows the
+Spark plans compute the same thing by other means.
 
 Rounding uses the same decimal(28,10) step as ``functions.numeric``.
 """
@@ -137,14 +139,15 @@ dim_positions AS ({_values(POSITIONS, "position_id, name")}),
 dim_competency_pillars AS ({_values(PILLARS, "pillar_code, pillar_label")}),
 dim_divisions AS (SELECT CAST(n_nationkey AS INTEGER) AS division_id, n_name AS name FROM nation),
 dim_directorates AS (SELECT CAST(r_regionkey AS INTEGER) AS directorate_id, r_name AS name FROM region),
-v_latest_year AS (SELECT employee_id, MAX(year) AS latest_year FROM performance_yearly GROUP BY employee_id),
+last_rated AS (SELECT employee_id, MAX(year) AS last_year FROM performance_yearly GROUP BY employee_id),
+top_rated AS (
+  SELECT y.employee_id FROM performance_yearly y JOIN last_rated r USING (employee_id)
+  WHERE y.year = r.last_year AND y.rating = 5
+),
 bench_seed AS (
-  SELECT e.directorate_id, y.employee_id,
-         ROW_NUMBER() OVER (PARTITION BY e.directorate_id ORDER BY y.employee_id) AS rn
-  FROM performance_yearly y
-  JOIN v_latest_year ly ON ly.employee_id = y.employee_id AND ly.latest_year = y.year
-  JOIN employees e ON e.employee_id = y.employee_id
-  WHERE y.rating = 5
+  SELECT e.directorate_id, t.employee_id,
+         ROW_NUMBER() OVER (PARTITION BY e.directorate_id ORDER BY t.employee_id) AS rn
+  FROM top_rated t JOIN employees e USING (employee_id)
 ),
 bench_cohorts AS (
   SELECT directorate_id, list(employee_id ORDER BY employee_id) AS cohort
@@ -230,19 +233,13 @@ def with_mapping(*ctes: str) -> str:
 
 # ------------------------------------------------------------- shared pieces
 
-CANDIDATES = """candidates AS (
-  SELECT y.employee_id FROM performance_yearly y
-  JOIN v_latest_year ly ON ly.employee_id = y.employee_id AND ly.latest_year = y.year
-  WHERE y.rating = 5
-)"""
-
 CREATED = f"""created AS (
   SELECT * FROM talent_benchmarks
   UNION ALL
   SELECT (SELECT CAST(COALESCE(MAX(job_vacancy_id) + 1, 1) AS INTEGER) FROM talent_benchmarks),
          'Brand Executive', 'Grade V', 'Grow brand reach with data-driven campaigns.',
          COALESCE((SELECT list(employee_id ORDER BY employee_id)
-                   FROM (SELECT employee_id FROM candidates ORDER BY employee_id LIMIT 3)), CAST([] AS VARCHAR[])),
+                   FROM (SELECT employee_id FROM top_rated ORDER BY employee_id LIMIT 3)), CAST([] AS VARCHAR[])),
          '{{}}', TIMESTAMP '2025-02-01 10:00:00'
 )"""
 
@@ -266,206 +263,205 @@ CLEAN_COMPETENCIES = f"""cc0 AS (
   SELECT employee_id, TRY_CAST({to_number("year")} AS INTEGER) AS year, pillar_code, {to_number("score")} AS score
   FROM raw_competencies_yearly
 ),
-cc_med AS (SELECT pillar_code AS pc, median(score) AS med FROM cc0 GROUP BY pillar_code),
 clean_competencies AS (
-  SELECT employee_id, year, pillar_code, {rnd_even("COALESCE(score, med, 3.0E0)", 1)} AS score
-  FROM cc0 LEFT JOIN cc_med ON cc0.pillar_code IS NOT DISTINCT FROM cc_med.pc
+  SELECT employee_id, year, pillar_code,
+         {rnd_even("COALESCE(score, median(score) OVER (PARTITION BY pillar_code), 3.0E0)", 1)} AS score
+  FROM cc0
 )"""
 
+# ---- match model: traits, cohort medians, rates; group and final rates by
+# window over (person, job) instead of joins back to grouped rows.
+
 
-def tv_all(include_tiki: bool = True) -> str:
-    tiki = ("  UNION ALL SELECT employee_id, 'Cognitive', 'TIKI', CAST(tiki AS DOUBLE), 'higher' FROM profiles_psych\n"
-            if include_tiki else "")
-    return f"""tv_all AS (
-  SELECT c.employee_id, 'Competencies' AS tgv_name, p.pillar_label AS tv_name,
+def traits(include_tiki: bool = True) -> str:
+    cog = ['iq AS "IQ"', 'gtq AS "GTQ"'] + (['tiki AS "TIKI"'] if include_tiki else [])
+    names = ", ".join(c.split(" AS ")[1] for c in cog)
+    return f"""traits AS (
+  SELECT c.employee_id, 'Competencies' AS tgv_name, d.pillar_label AS tv_name,
          CAST(c.score AS DOUBLE) AS user_score, 'higher' AS direction
-  FROM competencies_yearly c
-  JOIN dim_competency_pillars p ON p.pillar_code = c.pillar_code
-  JOIN v_latest_year ly ON ly.employee_id = c.employee_id AND ly.latest_year = c.year
-  UNION ALL SELECT employee_id, 'Cognitive', 'IQ', CAST(iq AS DOUBLE), 'higher' FROM profiles_psych
-  UNION ALL SELECT employee_id, 'Cognitive', 'GTQ', CAST(gtq AS DOUBLE), 'higher' FROM profiles_psych
-{tiki}  UNION ALL SELECT employee_id, 'PersonalityPAPI', scale_code, CAST(score AS DOUBLE), 'higher' FROM papi_scores
+  FROM competencies_yearly c JOIN last_rated r USING (employee_id) JOIN dim_competency_pillars d USING (pillar_code)
+  WHERE c.year = r.last_year
+  UNION ALL
+  SELECT employee_id, 'Cognitive', tv_name, CAST(user_score AS DOUBLE), 'higher'
+  FROM (SELECT employee_id, {", ".join(cog)} FROM profiles_psych)
+       UNPIVOT INCLUDE NULLS (user_score FOR tv_name IN ({names}))
+  UNION ALL
+  SELECT employee_id, 'PersonalityPAPI', scale_code, CAST(score AS DOUBLE), 'higher' FROM papi_scores
   UNION ALL
   SELECT y.employee_id, 'Context', 'PerformanceRating', CAST(y.rating AS DOUBLE), 'higher'
-  FROM performance_yearly y JOIN v_latest_year ly ON ly.employee_id = y.employee_id AND ly.latest_year = y.year
+  FROM performance_yearly y JOIN last_rated r USING (employee_id) WHERE y.year = r.last_year
   UNION ALL
   SELECT employee_id, 'BehaviorStrengths', 'StrengthsRankAvg', AVG(rank), 'lower' FROM strengths GROUP BY employee_id
 )"""
 
 
+WEIGHTED_FINAL = " + ".join(
+    f"{w}E0 * COALESCE(MAX(tgv_rate) FILTER (WHERE tgv_name = '{g}'), 0)"
+    for g, w in [("Competencies", "0.4"), ("Cognitive", "0.3"), ("PersonalityPAPI", "0.15"),
+                 ("Context", "0.1"), ("BehaviorStrengths", "0.05")]
+)
+
+
 def match_ctes(bench: str = "talent_benchmarks", include_tiki: bool = True) -> list[str]:
-    """The benchmark view's CTE chain (self-join form)."""
     return [
-        tv_all(include_tiki),
-        f"""bench_ids AS (SELECT job_vacancy_id, UNNEST(selected_talent_ids) AS employee_id FROM {bench})""",
-        """bench_tv AS (
-  SELECT b.job_vacancy_id, t.tgv_name, t.tv_name, t.user_score
-  FROM tv_all t JOIN bench_ids b ON b.employee_id = t.employee_id
+        traits(include_tiki),
+        f"cohort AS (SELECT job_vacancy_id, UNNEST(selected_talent_ids) AS employee_id FROM {bench})",
+        """medians AS (
+  SELECT k.job_vacancy_id, t.tgv_name, t.tv_name, quantile_disc(t.user_score, 0.5) AS baseline_score
+  FROM cohort k JOIN traits t USING (employee_id)
+  GROUP BY k.job_vacancy_id, t.tgv_name, t.tv_name
 )""",
-        """baseline AS (
-  SELECT job_vacancy_id, tgv_name, tv_name,
-         PERCENTILE_DISC(0.5) WITHIN GROUP (ORDER BY user_score) AS baseline_score
-  FROM bench_tv GROUP BY 1, 2, 3
+        """rated AS (
+  SELECT t.employee_id, m.job_vacancy_id, t.tgv_name, t.tv_name, m.baseline_score, t.user_score,
+         CASE WHEN COALESCE(m.baseline_score, 0) = 0 THEN NULL
+              WHEN t.direction = 'higher' THEN LEAST(100.0E0, 100.0E0 * (t.user_score / m.baseline_score))
+              WHEN t.direction = 'lower' THEN GREATEST(0.0E0, LEAST(100.0E0,
+                   100.0E0 * ((2 * m.baseline_score - t.user_score) / m.baseline_score)))
+         END AS tv_rate
+  FROM traits t LEFT JOIN medians m USING (tgv_name, tv_name)
 )""",
-        """tv_match AS (
-  SELECT t.employee_id, b.job_vacancy_id, t.tgv_name, t.tv_name, b.baseline_score, t.user_score,
-         CASE WHEN b.baseline_score IS NULL OR b.baseline_score = 0 THEN NULL
-              WHEN t.direction = 'higher' THEN LEAST(100.0E0, 100.0E0 * (t.user_score / b.baseline_score))
-              WHEN t.direction = 'lower'
-                THEN GREATEST(0.0E0, LEAST(100.0E0, 100.0E0 * ((2 * b.baseline_score - t.user_score) / b.baseline_score)))
-         END AS tv_match_rate
-  FROM tv_all t LEFT JOIN baseline b ON b.tgv_name = t.tgv_name AND b.tv_name = t.tv_name
+        """grouped AS (
+  SELECT *, AVG(tv_rate) OVER (PARTITION BY employee_id, job_vacancy_id, tgv_name) AS tgv_rate FROM rated
 )""",
-        """tgv_match AS (
-  SELECT employee_id, job_vacancy_id, tgv_name, AVG(tv_match_rate) AS tgv_match_rate
-  FROM tv_match GROUP BY 1, 2, 3
+        f"""finals AS (
+  SELECT employee_id, job_vacancy_id, {rnd(WEIGHTED_FINAL, 2)} AS final_rate
+  FROM (SELECT DISTINCT employee_id, job_vacancy_id, tgv_name, tgv_rate FROM grouped)
+  GROUP BY employee_id, job_vacancy_id
 )""",
-        f"""final_match AS (
-  SELECT employee_id, job_vacancy_id,
-         {rnd('''0.4E0 * COALESCE(MAX(CASE WHEN tgv_name = 'Competencies' THEN tgv_match_rate END), 0)
-           + 0.3E0 * COALESCE(MAX(CASE WHEN tgv_name = 'Cognitive' THEN tgv_match_rate END), 0)
-           + 0.15E0 * COALESCE(MAX(CASE WHEN tgv_name = 'PersonalityPAPI' THEN tgv_match_rate END), 0)
-           + 0.1E0 * COALESCE(MAX(CASE WHEN tgv_name = 'Context' THEN tgv_match_rate END), 0)
-           + 0.05E0 * COALESCE(MAX(CASE WHEN tgv_name = 'BehaviorStrengths' THEN tgv_match_rate END), 0)''', 2)}
-           AS final_match_rate
-  FROM tgv_match GROUP BY 1, 2
+        f"""detail AS (
+  SELECT f.job_vacancy_id, e.employee_id, e.fullname, dd.name AS directorate, dp.name AS role, dg.name AS grade,
+         g.tgv_name, g.tv_name,
+         {rnd("g.baseline_score", 2)} AS baseline_score, {rnd("g.user_score", 2)} AS user_score,
+         {rnd("g.tv_rate", 2)} AS tv_match_rate,
+         CASE WHEN g.job_vacancy_id IS NOT NULL THEN {rnd("g.tgv_rate", 2)} END AS tgv_match_rate,
+         {rnd("f.final_rate", 2)} AS final_match_rate
+  FROM grouped g
+  JOIN employees e USING (employee_id)
+  LEFT JOIN finals f ON f.employee_id = g.employee_id AND f.job_vacancy_id = g.job_vacancy_id
+  LEFT JOIN dim_directorates dd USING (directorate_id)
+  LEFT JOIN dim_positions dp USING (position_id)
+  LEFT JOIN dim_grades dg USING (grade_id)
 )""",
-        f"""matching AS (
-  SELECT fm.job_vacancy_id, e.employee_id, e.fullname, dir.name AS directorate, pos.name AS role, gr.name AS grade,
-         tm.tgv_name, tm.tv_name,
-         {rnd("tm.baseline_score", 2)} AS baseline_score, {rnd("tm.user_score", 2)} AS user_score,
-         {rnd("tm.tv_match_rate", 2)} AS tv_match_rate, {rnd("tg.tgv_match_rate", 2)} AS tgv_match_rate,
-         {rnd("fm.final_match_rate", 2)} AS final_match_rate
-  FROM tv_match tm
-  LEFT JOIN tgv_match tg ON tg.employee_id = tm.employee_id AND tg.tgv_name = tm.tgv_name
-                        AND tg.job_vacancy_id = tm.job_vacancy_id
-  LEFT JOIN final_match fm ON fm.employee_id = tm.employee_id AND fm.job_vacancy_id = tm.job_vacancy_id
-  JOIN employees e ON e.employee_id = tm.employee_id
-  LEFT JOIN dim_directorates dir ON dir.directorate_id = e.directorate_id
-  LEFT JOIN dim_positions pos ON pos.position_id = e.position_id
-  LEFT JOIN dim_grades gr ON gr.grade_id = e.grade_id
-)""",
-        """ranked_talent AS (
+        """people_ranked AS (
   SELECT job_vacancy_id, employee_id, fullname, directorate, role, grade, MAX(final_match_rate) AS final_match_rate
-  FROM matching
-  WHERE job_vacancy_id IS NOT NULL AND fullname IS NOT NULL AND directorate IS NOT NULL
-    AND role IS NOT NULL AND grade IS NOT NULL
-  GROUP BY 1, 2, 3, 4, 5, 6
+  FROM detail
+  WHERE job_vacancy_id IS NOT NULL
+    AND fullname IS NOT NULL AND directorate IS NOT NULL AND role IS NOT NULL AND grade IS NOT NULL
+  GROUP BY ALL
 )""",
     ]
 
 
-def top_per_job(n: int, src: str = "ranked_talent") -> str:
+def top_per_job(n: int, src: str = "people_ranked") -> str:
     return f"""SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY job_vacancy_id
                                ORDER BY final_match_rate DESC NULLS LAST, employee_id) AS BIGINT) AS rank_in_job
 FROM {src} QUALIFY rank_in_job <= {n}"""
 
 
-READINESS = [
-    f"""v_tgv_competencies AS (
-  SELECT c.employee_id, ly.latest_year AS year,
-         {rnd("AVG(c.score)", 2)} AS comp_avg, {rnd("AVG(c.score) / 5.0E0", 4)} AS tgv_competencies
-  FROM competencies_yearly c
-  JOIN v_latest_year ly ON ly.employee_id = c.employee_id AND ly.latest_year = c.year
-  GROUP BY c.employee_id, ly.latest_year
+MATCH = match_ctes()
+
+# ---- readiness model: per-person parts with window bounds, one join to people.
+
+PARTS = [
+    f"""p_comp AS (
+  SELECT c.employee_id, {rnd("AVG(c.score)", 2)} AS comp_avg, {rnd("AVG(c.score) / 5.0E0", 4)} AS part
+  FROM competencies_yearly c JOIN last_rated r USING (employee_id)
+  WHERE c.year = r.last_year GROUP BY c.employee_id
 )""",
-    f"""v_tgv_cognitive AS (
-  WITH src AS (SELECT employee_id, CAST(iq AS DOUBLE) AS iq, CAST(gtq AS DOUBLE) AS gtq FROM profiles_psych),
-       bd AS (SELECT MIN(iq) AS min_iq, MAX(iq) AS max_iq, MIN(gtq) AS min_gtq, MAX(gtq) AS max_gtq FROM src)
-  SELECT s.employee_id, ly.latest_year AS year,
-         {rnd("((s.iq - b.min_iq) / NULLIF(b.max_iq - b.min_iq, 0) + (s.gtq - b.min_gtq) / NULLIF(b.max_gtq - b.min_gtq, 0)) / 2", 4)}
-           AS tgv_cognitive
-  FROM src s CROSS JOIN bd b JOIN v_latest_year ly ON ly.employee_id = s.employee_id
+    f"""p_cog AS (
+  SELECT employee_id,
+         {rnd("((iq - MIN(iq) OVER ()) / NULLIF(MAX(iq) OVER () - MIN(iq) OVER (), 0) + (gtq - MIN(gtq) OVER ()) / NULLIF(MAX(gtq) OVER () - MIN(gtq) OVER (), 0)) / 2", 4)} AS part
+  FROM profiles_psych
 )""",
-    f"""v_tgv_personalitypapi AS (
-  WITH by_scale AS (SELECT scale_code, MIN(score) AS min_s, MAX(score) AS max_s FROM papi_scores GROUP BY 1),
-       norm AS (SELECT p.employee_id, p.scale_code, (p.score - b.min_s) / NULLIF(b.max_s - b.min_s, 0) AS z
-                FROM papi_scores p JOIN by_scale b USING (scale_code))
-  SELECT n.employee_id, ly.latest_year AS year, {rnd("AVG(n.z)", 4)} AS tgv_personalitypapi
-  FROM norm n JOIN v_latest_year ly ON ly.employee_id = n.employee_id
-  GROUP BY n.employee_id, ly.latest_year
+    f"""p_papi AS (
+  SELECT employee_id, {rnd("AVG(z)", 4)} AS part
+  FROM (SELECT employee_id,
+               (score - MIN(score) OVER s) / NULLIF(MAX(score) OVER s - MIN(score) OVER s, 0) AS z
+        FROM papi_scores WINDOW s AS (PARTITION BY scale_code))
+  GROUP BY employee_id
 )""",
-    f"""v_tgv_context AS (
-  SELECT p.employee_id, p.year, {rnd("p.rating / 5.0E0", 4)} AS tgv_context
-  FROM performance_yearly p JOIN v_latest_year ly ON ly.employee_id = p.employee_id AND ly.latest_year = p.year
+    f"""p_ctx AS (
+  SELECT y.employee_id, {rnd("y.rating / 5.0E0", 4)} AS part
+  FROM performance_yearly y JOIN last_rated r USING (employee_id) WHERE y.year = r.last_year
 )""",
-    f"""v_tgv_behaviorstrengths AS (
-  WITH r AS (SELECT employee_id, AVG(rank) AS avg_rank FROM strengths GROUP BY 1),
-       bd AS (SELECT MIN(avg_rank) AS min_r, MAX(avg_rank) AS max_r FROM r)
-  SELECT r.employee_id, ly.latest_year AS year,
-         {rnd("1 - ((r.avg_rank - b.min_r) / NULLIF(b.max_r - b.min_r, 0))", 4)} AS tgv_behaviorstrengths
-  FROM r CROSS JOIN bd b JOIN v_latest_year ly ON ly.employee_id = r.employee_id
+    f"""p_str AS (
+  SELECT employee_id, {rnd("1 - (a - MIN(a) OVER ()) / NULLIF(MAX(a) OVER () - MIN(a) OVER (), 0)", 4)} AS part
+  FROM (SELECT employee_id, AVG(rank) AS a FROM strengths GROUP BY employee_id)
 )""",
-    f"""v_tgv_final AS (
-  SELECT e.employee_id, ly.latest_year AS year,
-         {rnd("0.4E0 * tc.tgv_competencies + 0.3E0 * cg.tgv_cognitive + 0.15E0 * pp.tgv_personalitypapi + 0.1E0 * cx.tgv_context + 0.05E0 * bs.tgv_behaviorstrengths", 4)} AS finalmatch,
-         {rnd("100.0E0 * (0.4E0 * tc.tgv_competencies + 0.3E0 * cg.tgv_cognitive + 0.15E0 * pp.tgv_personalitypapi + 0.1E0 * cx.tgv_context + 0.05E0 * bs.tgv_behaviorstrengths)", 2)} AS finalmatch_pct,
-         tc.tgv_competencies, cg.tgv_cognitive, pp.tgv_personalitypapi, cx.tgv_context, bs.tgv_behaviorstrengths
-  FROM employees e
-  JOIN v_latest_year ly ON ly.employee_id = e.employee_id
-  LEFT JOIN v_tgv_competencies tc ON tc.employee_id = e.employee_id AND tc.year = ly.latest_year
-  LEFT JOIN v_tgv_cognitive cg ON cg.employee_id = e.employee_id AND cg.year = ly.latest_year
-  LEFT JOIN v_tgv_personalitypapi pp ON pp.employee_id = e.employee_id AND pp.year = ly.latest_year
-  LEFT JOIN v_tgv_context cx ON cx.employee_id = e.employee_id AND cx.year = ly.latest_year
-  LEFT JOIN v_tgv_behaviorstrengths bs ON bs.employee_id = e.employee_id AND bs.year = ly.latest_year
+]
+
+TOTAL = ("0.4E0 * pc.part + 0.3E0 * pg.part + 0.15E0 * pp.part + 0.1E0 * px.part + 0.05E0 * ps.part")
+
+READINESS = PARTS + [
+    f"""scores AS (
+  SELECT e.employee_id, r.last_year AS year,
+         {rnd(TOTAL, 4)} AS finalmatch, {rnd(f"100.0E0 * ({TOTAL})", 2)} AS finalmatch_pct,
+         pc.part AS tgv_competencies, pg.part AS tgv_cognitive, pp.part AS tgv_personalitypapi,
+         px.part AS tgv_context, ps.part AS tgv_behaviorstrengths
+  FROM employees e JOIN last_rated r USING (employee_id)
+  LEFT JOIN p_comp pc USING (employee_id)
+  LEFT JOIN p_cog pg USING (employee_id)
+  LEFT JOIN p_papi pp USING (employee_id)
+  LEFT JOIN p_ctx px USING (employee_id)
+  LEFT JOIN p_str ps USING (employee_id)
 )""",
-    f"""v_tgv_final_ranked AS (
-  SELECT f.*,
-         CASE WHEN f.finalmatch_pct >= 80 THEN 'Fast Track' WHEN f.finalmatch_pct >= 65 THEN 'Ready'
-              WHEN f.finalmatch_pct >= 50 THEN 'Watchlist' ELSE 'Develop' END AS readiness_category,
-         CAST(DENSE_RANK() OVER (PARTITION BY f.year ORDER BY f.finalmatch DESC NULLS FIRST) AS BIGINT) AS rank_in_year,
-         {rnd("100.0E0 * CUME_DIST() OVER (PARTITION BY f.year ORDER BY f.finalmatch ASC NULLS LAST)", 2)}
+    f"""scores_ranked AS (
+  SELECT *,
+         CASE WHEN finalmatch_pct >= 80 THEN 'Fast Track' WHEN finalmatch_pct >= 65 THEN 'Ready'
+              WHEN finalmatch_pct >= 50 THEN 'Watchlist' ELSE 'Develop' END AS readiness_category,
+         CAST(DENSE_RANK() OVER (PARTITION BY year ORDER BY finalmatch DESC NULLS FIRST) AS BIGINT) AS rank_in_year,
+         {rnd("100.0E0 * CUME_DIST() OVER (PARTITION BY year ORDER BY finalmatch ASC NULLS LAST)", 2)}
            AS percentile_in_year
-  FROM v_tgv_final f
+  FROM scores
 )""",
-    """latest AS (SELECT MAX(year) AS year FROM v_tgv_final_ranked)""",
+    """newest AS (SELECT * FROM scores_ranked WHERE year = (SELECT MAX(year) FROM scores_ranked))""",
 ]
 
 
-# -------------------------------------------------------------- query bodies
+def _part_with_year(cte: str, column: str) -> str:
+    return with_mapping(*PARTS) + (f"SELECT p.employee_id, r.last_year AS year, p.part AS {column} "
+                                   f"FROM {cte} p JOIN last_rated r USING (employee_id)")
+
+
+# ---- high performers
 
 HP = "hp AS (SELECT DISTINCT employee_id, year FROM performance_yearly WHERE rating = 5)"
+HP_ROWS = "hp_rows AS (SELECT employee_id FROM performance_yearly WHERE rating = 5)"
 
 
 def _hp_dim(table: str, key: str, label: str, distinct: bool) -> str:
-    if distinct:
-        return with_mapping(HP) + f"""
-SELECT d.name AS {label}, COUNT(*) AS total_high_performers
-FROM hp p JOIN employees e ON e.employee_id = p.employee_id JOIN {table} d ON d.{key} = e.{key}
-WHERE d.name IS NOT NULL GROUP BY d.name"""
-    return with_mapping() + f"""
-SELECT d.name AS {label}, COUNT(*) AS total_high_performers
-FROM performance_yearly p JOIN employees e ON e.employee_id = p.employee_id JOIN {table} d ON d.{key} = e.{key}
-WHERE p.rating = 5 GROUP BY d.name"""
-
-
-MBTI_CLEAN = f"COALESCE(NULLIF({strip_ws('ps.mbti')}, ''), 'Unknown')"
-
-HPD_DISC = f"""hpd_disc AS (
-  SELECT ps.disc_word AS label, COUNT(*) AS total_high_performers
-  FROM hp p JOIN profiles_psych ps ON ps.employee_id = p.employee_id
-  WHERE ps.disc_word IS NOT NULL GROUP BY ps.disc_word
+    src = "hp" if distinct else "hp_rows"
+    keep = "WHERE lookup.name IS NOT NULL " if distinct else ""
+    return with_mapping(HP if distinct else HP_ROWS) + f"""
+SELECT lookup.name AS {label}, COUNT(*) AS total_high_performers
+FROM {src} JOIN employees USING (employee_id) JOIN {table} lookup USING ({key})
+{keep}GROUP BY lookup.name"""
+
+
+MBTI_CLEAN = f"COALESCE(NULLIF({strip_ws('pr.mbti')}, ''), 'Unknown')"
+
+HPD_DISC = """hpd_disc AS (
+  SELECT pr.disc_word AS label, COUNT(*) AS total_high_performers
+  FROM hp JOIN profiles_psych pr USING (employee_id)
+  WHERE pr.disc_word IS NOT NULL GROUP BY pr.disc_word
 )"""
 HPD_MBTI = f"""hpd_mbti AS (
   SELECT {MBTI_CLEAN} AS label, COUNT(*) AS total_high_performers
-  FROM hp p JOIN profiles_psych ps ON ps.employee_id = p.employee_id GROUP BY 1
+  FROM hp JOIN profiles_psych pr USING (employee_id) GROUP BY 1
 )"""
 
 
 def _hpd_dim_cte(name: str, table: str, key: str) -> str:
     return f"""{name} AS (
-  SELECT d.name AS label, COUNT(*) AS total_high_performers
-  FROM hp p JOIN employees e ON e.employee_id = p.employee_id JOIN {table} d ON d.{key} = e.{key}
-  WHERE d.name IS NOT NULL GROUP BY d.name
+  SELECT lookup.name AS label, COUNT(*) AS total_high_performers
+  FROM hp JOIN employees USING (employee_id) JOIN {table} lookup USING ({key})
+  WHERE lookup.name IS NOT NULL GROUP BY lookup.name
 )"""
 
 
 HP_VALUES = """vals AS (
-  SELECT 'iq' AS variable, CAST(ps.iq AS DOUBLE) AS x FROM hp p JOIN profiles_psych ps ON ps.employee_id = p.employee_id
-  WHERE ps.iq IS NOT NULL
-  UNION ALL
-  SELECT 'gtq', CAST(ps.gtq AS DOUBLE) FROM hp p JOIN profiles_psych ps ON ps.employee_id = p.employee_id
-  WHERE ps.gtq IS NOT NULL
+  SELECT variable, x FROM (SELECT pr.iq AS iq, pr.gtq AS gtq FROM hp JOIN profiles_psych pr USING (employee_id))
+       UNPIVOT (x FOR variable IN (iq, gtq))
 )"""
 
 DESCRIBE_NUMERIC = ["company_id", "area_id", "department_id", "division_id", "directorate_id", "grade_id",
@@ -544,66 +540,87 @@ FROM (SELECT 'grade' AS dimension, label, total_high_performers, 15 AS n FROM hp
 QUALIFY rank_in_dimension <= n"""
 
 
-MATCH = match_ctes()
-
-
 def _clean_papi_sql() -> str:
     return with_mapping(f"""cp0 AS (
   SELECT {strip_ws("employee_id")} AS employee_id, {strip_ws("scale_code")} AS scale_code,
          {to_number("score")} AS score
   FROM raw_papi_scores
-)""", """cp_med AS (SELECT scale_code AS sc, median(score) AS med FROM cp0 GROUP BY scale_code)""",
-        """cp1 AS (
-  SELECT employee_id, scale_code, COALESCE(score, med) AS score
-  FROM cp0 LEFT JOIN cp_med ON cp0.scale_code IS NOT DISTINCT FROM cp_med.sc
+)""", """cp1 AS (
+  SELECT employee_id, scale_code, COALESCE(score, median(score) OVER (PARTITION BY scale_code)) AS score FROM cp0
 )""") + """
-SELECT employee_id, scale_code, COALESCE(score, (SELECT median(score) FROM cp1)) AS score FROM cp1"""
+SELECT employee_id, scale_code, COALESCE(score, median(score) OVER ()) AS score FROM cp1"""
 
 
 def _clean_profiles_sql() -> str:
     nums = ["pauli", "faxtor", "iq", "gtq", "tiki"]
     conv = ", ".join(f"{to_number(c)} AS {c}" for c in nums)
-    meds = ", ".join(f"median({c}) AS m_{c}" for c in nums)
-    fill = ", ".join(f"COALESCE({c}, m_{c}) AS {c}" for c in nums)
-    return with_mapping(f"p0 AS (SELECT employee_id, {conv}, disc, disc_word, mbti FROM raw_profiles_psych)",
-                        f"pm AS (SELECT {meds} FROM p0)") + f"""
+    fill = ", ".join(f"COALESCE({c}, median({c}) OVER ()) AS {c}" for c in nums)
+    return with_mapping(f"p0 AS (SELECT employee_id, {conv}, disc, disc_word, mbti FROM raw_profiles_psych)") + f"""
 SELECT employee_id, {fill}, {fill_disc("disc", "disc_word")} AS disc,
        COALESCE(NULLIF(disc_word, ''), 'Unknown') AS disc_word, COALESCE(NULLIF(mbti, ''), 'Unknown') AS mbti
-FROM p0 CROSS JOIN pm"""
+FROM p0"""
 
 
 def _dq_missing_sql() -> str:
-    parts = [f"SELECT '{c}' AS column_name, CAST(COUNT_IF({c} IS NULL OR {c} = '') AS BIGINT) AS n_missing FROM raw_employees"
-             for c in RAW_EMPLOYEE_COLUMNS]
+    parts = [f"SELECT '{c}' AS column_name, CAST(COUNT_IF({c} IS NULL OR {c} = '') AS BIGINT) AS n_missing "
+             f"FROM raw_employees" for c in RAW_EMPLOYEE_COLUMNS]
     return with_mapping() + "\nUNION ALL\n".join(parts)
 
 
 def _created_ranked_sql() -> str:
-    ctes = [CANDIDATES, CREATED] + match_ctes(bench="created")
+    ctes = [CREATED] + match_ctes(bench="created")
     return with_mapping(*ctes) + "\n" + top_per_job(
-        50, "(SELECT * FROM ranked_talent WHERE job_vacancy_id = (SELECT MAX(job_vacancy_id) FROM created))")
+        50, "(SELECT * FROM people_ranked WHERE job_vacancy_id = (SELECT MAX(job_vacancy_id) FROM created))")
+
+
+def _evidence_sql() -> str:
+    return with_mapping(*MATCH, f"""job_groups AS (
+  SELECT job_vacancy_id, tgv_name,
+         ROW_NUMBER() OVER (PARTITION BY job_vacancy_id ORDER BY avg_tgv_match DESC NULLS LAST, tgv_name) AS pos,
+         COUNT(*) OVER (PARTITION BY job_vacancy_id) AS n
+  FROM (SELECT job_vacancy_id, tgv_name, {rnd("AVG(tgv_match_rate)", 2)} AS avg_tgv_match
+        FROM detail WHERE job_vacancy_id IS NOT NULL GROUP BY 1, 2)
+)""", """best AS (
+  SELECT job_vacancy_id, MAX(tgv_name) FILTER (WHERE pos = 1) AS tgv_best, MAX(tgv_name) FILTER (WHERE pos = n) AS tgv_gap
+  FROM job_groups GROUP BY 1
+)""", """tv_pos AS (
+  SELECT job_vacancy_id, employee_id, tv_name, tv_match_rate,
+         ROW_NUMBER() OVER (PARTITION BY job_vacancy_id, employee_id ORDER BY tv_match_rate DESC NULLS LAST, tv_name) AS hi,
+         ROW_NUMBER() OVER (PARTITION BY job_vacancy_id, employee_id ORDER BY tv_match_rate ASC NULLS LAST, tv_name) AS lo
+  FROM detail WHERE job_vacancy_id IS NOT NULL
+)""", """lists AS (
+  SELECT job_vacancy_id, employee_id,
+         list({'tv_name': tv_name, 'tv_match_rate': tv_match_rate} ORDER BY hi) FILTER (WHERE hi <= 5) AS top,
+         list({'tv_name': tv_name, 'tv_match_rate': tv_match_rate} ORDER BY lo) FILTER (WHERE lo <= 5) AS low
+  FROM tv_pos GROUP BY 1, 2
+)""") + """
+SELECT l.job_vacancy_id, l.employee_id,
+       CAST(to_json({'job_vacancy_id': l.job_vacancy_id, 'tgv_best': b.tgv_best, 'tgv_gap': b.tgv_gap,
+                     'candidate_id': l.employee_id, 'candidate_top_tvs': l.top, 'candidate_low_tvs': l.low})
+            AS VARCHAR) AS evidence
+FROM lists l JOIN best b USING (job_vacancy_id)"""
 
 
 ORACLE: dict[str, str] = {
     # benchmarks
-    "benchmark_create": with_mapping(CANDIDATES, CREATED) + f"""
+    "benchmark_create": with_mapping(CREATED) + f"""
 SELECT s.*, c.role_name, c.job_level, strftime(c.created_at, '%Y-%m-%d %H:%M:%S') AS created_at
-FROM ({cohort_summary("created")}) s JOIN created c ON c.job_vacancy_id = s.job_vacancy_id""",
-    "benchmark_set_cohort": with_mapping(CANDIDATES, """top50 AS (
-  SELECT employee_id FROM candidates ORDER BY employee_id LIMIT 50
-)""", """updated AS (
+FROM ({cohort_summary("created")}) s JOIN created c USING (job_vacancy_id)""",
+    "benchmark_set_cohort": with_mapping("""updated AS (
   SELECT job_vacancy_id,
          CASE WHEN job_vacancy_id = 1
-              THEN COALESCE((SELECT list(employee_id ORDER BY employee_id) FROM top50), CAST([] AS VARCHAR[]))
+              THEN COALESCE((SELECT list(employee_id ORDER BY employee_id)
+                             FROM (SELECT employee_id FROM top_rated ORDER BY employee_id LIMIT 50)),
+                            CAST([] AS VARCHAR[]))
               ELSE selected_talent_ids END AS selected_talent_ids
   FROM talent_benchmarks
 )""") + cohort_summary("updated"),
-    "benchmark_recent": with_mapping(CANDIDATES, CREATED) + """
+    "benchmark_recent": with_mapping(CREATED) + """
 SELECT job_vacancy_id, role_name, job_level, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at
 FROM created ORDER BY job_vacancy_id DESC LIMIT 25""",
     "employee_directory": with_mapping() + """
-SELECT fullname || ' (' || employee_id || ')' AS label, employee_id, fullname FROM employees""",
-    "cohort_candidates": with_mapping(CANDIDATES) + "SELECT employee_id FROM candidates ORDER BY employee_id LIMIT 20",
+SELECT concat(fullname, ' (', employee_id, ')') AS label, employee_id, fullname FROM employees""",
+    "cohort_candidates": with_mapping() + "SELECT employee_id FROM top_rated ORDER BY employee_id LIMIT 20",
     "cohort_explode": with_mapping() + """
 SELECT job_vacancy_id, UNNEST(selected_talent_ids) AS employee_id FROM talent_benchmarks""",
     # cleaning
@@ -611,7 +628,7 @@ SELECT job_vacancy_id, UNNEST(selected_talent_ids) AS employee_id FROM talent_be
     "clean_performance": with_mapping(f"""p AS (
   SELECT employee_id, CAST({to_number("year")} AS INTEGER) AS year, {to_number("rating")} AS rating
   FROM raw_performance_yearly
-)""") + "SELECT employee_id, year, COALESCE(rating, (SELECT median(rating) FROM p)) AS rating FROM p",
+)""") + "SELECT employee_id, year, COALESCE(rating, median(rating) OVER ()) AS rating FROM p",
     "clean_competencies": with_mapping(CLEAN_COMPETENCIES) + "SELECT * FROM clean_competencies",
     "clean_profiles": _clean_profiles_sql(),
     "clean_disc": with_mapping() + f"""
@@ -630,44 +647,43 @@ QUALIFY COUNT(*) OVER (PARTITION BY employee_id, year, pillar_code) > 1""",
 SELECT COUNT(DISTINCT employee_id) AS n_unique, COUNT(*) AS n_rows FROM raw_employees""",
     "dq_range": with_mapping(CLEAN_EMPLOYEES) + """
 SELECT employee_id, fullname, years_of_service_months FROM clean_employees
-WHERE years_of_service_months < 0 OR years_of_service_months > 600""",
+WHERE NOT (years_of_service_months BETWEEN 0 AND 600)""",
     "dq_missing_fk": with_mapping(CLEAN_EMPLOYEES) + """
 SELECT employee_id, fullname FROM clean_employees WHERE grade_id IS NULL""",
     "dq_describe": _describe_sql(),
     # EDA
-    "latest_year": with_mapping() + "SELECT * FROM v_latest_year",
-    "hp_by_year": with_mapping() + """
-SELECT year, COUNT(*) AS total_high_performers FROM performance_yearly WHERE rating = 5 GROUP BY year""",
+    "latest_year": with_mapping() + "SELECT employee_id, last_year AS latest_year FROM last_rated",
+    "hp_by_year": with_mapping(HP_ROWS.replace("SELECT employee_id", "SELECT year")) + """
+SELECT year, COUNT(*) AS total_high_performers FROM hp_rows GROUP BY year""",
     "hp_by_grade": _hp_dim("dim_grades", "grade_id", "grade_name", False),
     "hp_by_division": _hp_dim("dim_divisions", "division_id", "division_name", False),
     "hp_by_education": _hp_dim("dim_education", "education_id", "education_level", False),
-    "hp_by_disc": with_mapping() + """
-SELECT ps.disc_word AS disc_profile, COUNT(*) AS total_high_performers
-FROM performance_yearly p JOIN profiles_psych ps ON ps.employee_id = p.employee_id
-WHERE p.rating = 5 GROUP BY ps.disc_word""",
-    "hp_by_mbti": with_mapping() + """
-SELECT COALESCE(NULLIF(TRIM(ps.mbti), ''), 'Unknown') AS mbti, COUNT(*) AS total_high_performers
-FROM performance_yearly p JOIN profiles_psych ps ON ps.employee_id = p.employee_id
-WHERE p.rating = 5 GROUP BY COALESCE(NULLIF(TRIM(ps.mbti), ''), 'Unknown')""",
+    "hp_by_disc": with_mapping(HP_ROWS) + """
+SELECT pr.disc_word AS disc_profile, COUNT(*) AS total_high_performers
+FROM hp_rows JOIN profiles_psych pr USING (employee_id) GROUP BY pr.disc_word""",
+    "hp_by_mbti": with_mapping(HP_ROWS) + """
+SELECT COALESCE(NULLIF(TRIM(pr.mbti), ''), 'Unknown') AS mbti, COUNT(*) AS total_high_performers
+FROM hp_rows JOIN profiles_psych pr USING (employee_id) GROUP BY 1""",
     "iq_gtq_summary": with_mapping() + f"""
 SELECT {rnd("AVG(iq)", 2)} AS avg_iq, {rnd("AVG(gtq)", 2)} AS avg_gtq, MIN(iq) AS min_iq, MAX(iq) AS max_iq,
        MIN(gtq) AS min_gtq, MAX(gtq) AS max_gtq FROM profiles_psych""",
     "tiki_summary": with_mapping() + f"""
 SELECT {rnd("AVG(tiki)", 2)} AS avg_tiki, MIN(tiki) AS min_tiki, MAX(tiki) AS max_tiki FROM profiles_psych""",
     "pillar_avg_latest": with_mapping() + f"""
-SELECT p.pillar_code, dcp.pillar_label, {rnd("AVG(p.score)", 2)} AS avg_score
-FROM competencies_yearly p
-JOIN v_latest_year ly ON ly.employee_id = p.employee_id AND ly.latest_year = p.year
-JOIN dim_competency_pillars dcp ON dcp.pillar_code = p.pillar_code
-GROUP BY p.pillar_code, dcp.pillar_label""",
-    "pillar_vs_rating": with_mapping() + f"""
-SELECT dcp.pillar_label, {rnd("AVG(c.score)", 2)} AS avg_competency_score,
-       {rnd("AVG(py.rating)", 2)} AS avg_performance_rating
-FROM competencies_yearly c
-JOIN v_latest_year ly ON ly.employee_id = c.employee_id AND ly.latest_year = c.year
-JOIN dim_competency_pillars dcp ON dcp.pillar_code = c.pillar_code
-JOIN performance_yearly py ON py.employee_id = c.employee_id AND py.year = ly.latest_year
-GROUP BY dcp.pillar_label""",
+SELECT c.pillar_code, d.pillar_label, {rnd("AVG(c.score)", 2)} AS avg_score
+FROM competencies_yearly c JOIN last_rated r USING (employee_id) JOIN dim_competency_pillars d USING (pillar_code)
+WHERE c.year = r.last_year
+GROUP BY c.pillar_code, d.pillar_label""",
+    "pillar_vs_rating": with_mapping("""latest_pairs AS (
+  SELECT c.pillar_code, c.score, y.rating
+  FROM competencies_yearly c JOIN last_rated r USING (employee_id)
+  JOIN performance_yearly y ON y.employee_id = c.employee_id AND y.year = r.last_year
+  WHERE c.year = r.last_year
+)""") + f"""
+SELECT d.pillar_label, {rnd("AVG(lp.score)", 2)} AS avg_competency_score,
+       {rnd("AVG(lp.rating)", 2)} AS avg_performance_rating
+FROM latest_pairs lp JOIN dim_competency_pillars d USING (pillar_code)
+GROUP BY d.pillar_label""",
     "high_performers": with_mapping(HP) + "SELECT * FROM hp",
     "hpd_by_year": with_mapping(HP) + "SELECT year, COUNT(*) AS total_high_performers FROM hp GROUP BY year",
     "hpd_by_grade": _hp_dim("dim_grades", "grade_id", "grade_name", True),
@@ -676,81 +692,75 @@ GROUP BY dcp.pillar_label""",
     "hpd_by_disc": with_mapping(HP, HPD_DISC) + "SELECT label AS disc_word, total_high_performers FROM hpd_disc",
     "hpd_by_mbti": with_mapping(HP, HPD_MBTI) + "SELECT label AS mbti_clean, total_high_performers FROM hpd_mbti",
     "hp_iq_gtq_summary": with_mapping(HP) + f"""
-SELECT {rnd_even("AVG(ps.iq)", 2)} AS avg_iq, {rnd_even("AVG(ps.gtq)", 2)} AS avg_gtq,
-       MIN(ps.iq) AS min_iq, MAX(ps.iq) AS max_iq, MIN(ps.gtq) AS min_gtq, MAX(ps.gtq) AS max_gtq
-FROM hp p JOIN profiles_psych ps ON ps.employee_id = p.employee_id""",
+SELECT {rnd_even("AVG(pr.iq)", 2)} AS avg_iq, {rnd_even("AVG(pr.gtq)", 2)} AS avg_gtq,
+       MIN(pr.iq) AS min_iq, MAX(pr.iq) AS max_iq, MIN(pr.gtq) AS min_gtq, MAX(pr.gtq) AS max_gtq
+FROM hp JOIN profiles_psych pr USING (employee_id)""",
     "hp_tiki_summary": with_mapping(HP) + f"""
-SELECT {rnd_even("AVG(ps.tiki)", 2)} AS avg_tiki, MIN(ps.tiki) AS min_tiki, MAX(ps.tiki) AS max_tiki
-FROM hp p JOIN profiles_psych ps ON ps.employee_id = p.employee_id""",
+SELECT {rnd_even("AVG(pr.tiki)", 2)} AS avg_tiki, MIN(pr.tiki) AS min_tiki, MAX(pr.tiki) AS max_tiki
+FROM hp JOIN profiles_psych pr USING (employee_id)""",
     "hp_pillar_avg": with_mapping(HP) + f"""
-SELECT c.pillar_code, m.pillar_label, {rnd_even("AVG(c.score)", 2)} AS avg_score
-FROM competencies_yearly c JOIN hp ON hp.employee_id = c.employee_id AND hp.year = c.year
-JOIN dim_competency_pillars m ON m.pillar_code = c.pillar_code
-WHERE m.pillar_label IS NOT NULL GROUP BY c.pillar_code, m.pillar_label""",
+SELECT c.pillar_code, d.pillar_label, {rnd_even("AVG(c.score)", 2)} AS avg_score
+FROM competencies_yearly c SEMI JOIN hp ON hp.employee_id = c.employee_id AND hp.year = c.year
+JOIN dim_competency_pillars d USING (pillar_code)
+WHERE d.pillar_label IS NOT NULL GROUP BY c.pillar_code, d.pillar_label""",
     "hp_pillar_vs_rating": with_mapping(HP) + f"""
-SELECT m.pillar_label, {rnd_even("AVG(c.score)", 2)} AS avg_competency_score,
-       {rnd_even("AVG(py.rating)", 2)} AS avg_performance_rating
-FROM competencies_yearly c JOIN hp ON hp.employee_id = c.employee_id AND hp.year = c.year
-LEFT JOIN performance_yearly py ON py.employee_id = c.employee_id AND py.year = c.year
-JOIN dim_competency_pillars m ON m.pillar_code = c.pillar_code
-WHERE m.pillar_label IS NOT NULL GROUP BY m.pillar_label""",
+SELECT d.pillar_label, {rnd_even("AVG(c.score)", 2)} AS avg_competency_score,
+       {rnd_even("AVG(y.rating)", 2)} AS avg_performance_rating
+FROM competencies_yearly c SEMI JOIN hp ON hp.employee_id = c.employee_id AND hp.year = c.year
+LEFT JOIN performance_yearly y ON y.employee_id = c.employee_id AND y.year = c.year
+JOIN dim_competency_pillars d USING (pillar_code)
+WHERE d.pillar_label IS NOT NULL GROUP BY d.pillar_label""",
     "hp_top_n": _top_n_sql(),
     "score_histogram": _histogram_sql(),
     "score_box_stats": _box_sql(),
     # readiness
-    "tgv_competencies": with_mapping(READINESS[0]) + "SELECT * FROM v_tgv_competencies",
-    "tgv_cognitive": with_mapping(READINESS[1]) + "SELECT * FROM v_tgv_cognitive",
-    "tgv_personality": with_mapping(READINESS[2]) + "SELECT * FROM v_tgv_personalitypapi",
-    "tgv_context": with_mapping(READINESS[3]) + "SELECT * FROM v_tgv_context",
-    "tgv_strengths": with_mapping(READINESS[4]) + "SELECT * FROM v_tgv_behaviorstrengths",
-    "readiness_final": with_mapping(*READINESS) + "SELECT * FROM v_tgv_final",
-    "readiness_ranked": with_mapping(*READINESS) + "SELECT * FROM v_tgv_final_ranked",
+    "tgv_competencies": with_mapping(*PARTS) + """
+SELECT p.employee_id, r.last_year AS year, p.comp_avg, p.part AS tgv_competencies
+FROM p_comp p JOIN last_rated r USING (employee_id)""",
+    "tgv_cognitive": _part_with_year("p_cog", "tgv_cognitive"),
+    "tgv_personality": _part_with_year("p_papi", "tgv_personalitypapi"),
+    "tgv_context": _part_with_year("p_ctx", "tgv_context"),
+    "tgv_strengths": _part_with_year("p_str", "tgv_behaviorstrengths"),
+    "readiness_final": with_mapping(*READINESS) + "SELECT * FROM scores",
+    "readiness_ranked": with_mapping(*READINESS) + "SELECT * FROM scores_ranked",
     "shortlist_top3": with_mapping(*READINESS) + """
-SELECT d.name AS division_name, f.employee_id, f.year, f.finalmatch_pct, f.readiness_category,
-       CAST(ROW_NUMBER() OVER (PARTITION BY e.division_id, f.year
-                               ORDER BY f.finalmatch DESC NULLS FIRST, f.employee_id) AS BIGINT) AS rank_in_division
-FROM v_tgv_final_ranked f
-JOIN employees e ON e.employee_id = f.employee_id
-JOIN dim_divisions d ON d.division_id = e.division_id
+SELECT d.name AS division_name, s.employee_id, s.year, s.finalmatch_pct, s.readiness_category,
+       CAST(ROW_NUMBER() OVER (PARTITION BY e.division_id, s.year
+                               ORDER BY s.finalmatch DESC NULLS FIRST, s.employee_id) AS BIGINT) AS rank_in_division
+FROM scores_ranked s JOIN employees e USING (employee_id) JOIN dim_divisions d USING (division_id)
 QUALIFY rank_in_division <= 3""",
     "readiness_latest": with_mapping(*READINESS) + f"""
-SELECT f.year, f.readiness_category, COUNT(*) AS n_employees,
-       {rnd("100.0E0 * COUNT(*) / SUM(COUNT(*)) OVER ()", 2)} AS pct_of_total
-FROM v_tgv_final_ranked f JOIN latest l ON l.year = f.year
-GROUP BY f.year, f.readiness_category""",
+SELECT year, readiness_category, COUNT(*) AS n_employees,
+       {rnd("COUNT(*) * 100.0E0 / SUM(COUNT(*)) OVER ()", 2)} AS pct_of_total
+FROM newest GROUP BY year, readiness_category""",
     "readiness_by_year": with_mapping(*READINESS) + f"""
 SELECT year, readiness_category, COUNT(*) AS n_employees,
-       {rnd("100.0E0 * COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY year)", 2)} AS pct_of_total
-FROM v_tgv_final_ranked GROUP BY year, readiness_category""",
+       {rnd("COUNT(*) * 100.0E0 / SUM(COUNT(*)) OVER (PARTITION BY year)", 2)} AS pct_of_total
+FROM scores_ranked GROUP BY year, readiness_category""",
     "readiness_by_division": with_mapping(*READINESS) + f"""
-SELECT d.name AS division_name, f.readiness_category, COUNT(*) AS n_employees,
-       {rnd("100.0E0 * COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY d.name)", 2)} AS pct_within_division
-FROM v_tgv_final_ranked f
-JOIN employees e ON e.employee_id = f.employee_id
-JOIN dim_divisions d ON d.division_id = e.division_id
-JOIN latest l ON l.year = f.year
-GROUP BY d.name, f.readiness_category""",
+SELECT d.name AS division_name, n.readiness_category, COUNT(*) AS n_employees,
+       {rnd("COUNT(*) * 100.0E0 / SUM(COUNT(*)) OVER (PARTITION BY d.name)", 2)} AS pct_within_division
+FROM newest n JOIN employees e USING (employee_id) JOIN dim_divisions d USING (division_id)
+GROUP BY d.name, n.readiness_category""",
     # match
-    "tv_long": with_mapping(tv_all()) + f"""
-SELECT employee_id, tgv_name, tv_name, {rnd("user_score", 4)} AS user_score, direction FROM tv_all""",
-    "match_baseline": with_mapping(*MATCH[:4]) + "SELECT * FROM baseline",
-    "match_tv": with_mapping(*MATCH[:5]) + f"""
+    "tv_long": with_mapping(traits()) + f"""
+SELECT employee_id, tgv_name, tv_name, {rnd("user_score", 4)} AS user_score, direction FROM traits""",
+    "match_baseline": with_mapping(*MATCH[:3]) + "SELECT * FROM medians",
+    "match_tv": with_mapping(*MATCH[:4]) + f"""
 SELECT employee_id, job_vacancy_id, tgv_name, tv_name, {rnd("baseline_score", 2)} AS baseline_score,
-       {rnd("user_score", 2)} AS user_score, {rnd("tv_match_rate", 2)} AS tv_match_rate FROM tv_match""",
-    "match_tgv": with_mapping(*MATCH[:6]) + f"""
-SELECT employee_id, job_vacancy_id, tgv_name, {rnd("tgv_match_rate", 2)} AS tgv_match_rate FROM tgv_match""",
-    "match_final": with_mapping(*MATCH[:7]) + "SELECT * FROM final_match",
-    "match_final_no_tiki": with_mapping(*match_ctes(include_tiki=False)[:7]) + "SELECT * FROM final_match",
+       {rnd("user_score", 2)} AS user_score, {rnd("tv_rate", 2)} AS tv_match_rate FROM rated""",
+    "match_tgv": with_mapping(*MATCH[:5]) + f"""
+SELECT DISTINCT employee_id, job_vacancy_id, tgv_name, {rnd("tgv_rate", 2)} AS tgv_match_rate FROM grouped""",
+    "match_final": with_mapping(*MATCH[:6]) + "SELECT employee_id, job_vacancy_id, final_rate AS final_match_rate FROM finals",
+    "match_final_no_tiki": with_mapping(*match_ctes(include_tiki=False)[:6]) + """
+SELECT employee_id, job_vacancy_id, final_rate AS final_match_rate FROM finals""",
     "benchmark_matching": with_mapping(*MATCH) + """
-SELECT job_vacancy_id, employee_id, directorate, role, grade, tgv_name, tv_name, baseline_score, user_score,
-       tv_match_rate, tgv_match_rate, final_match_rate FROM matching""",
+SELECT * EXCLUDE (fullname) FROM detail""",
     "match_detail_top": with_mapping(*MATCH) + """
-SELECT employee_id, fullname, directorate, role, grade, tgv_name, tv_name, baseline_score, user_score,
-       tv_match_rate, tgv_match_rate, final_match_rate
-FROM matching WHERE job_vacancy_id = 1
+SELECT * EXCLUDE (job_vacancy_id) FROM detail WHERE job_vacancy_id = 1
 ORDER BY final_match_rate DESC NULLS FIRST, employee_id, tgv_name, tv_name LIMIT 500""",
     # insight
-    "ranked_talent": with_mapping(*MATCH) + "SELECT * FROM ranked_talent",
+    "ranked_talent": with_mapping(*MATCH) + "SELECT * FROM people_ranked",
     "ranked_talent_top50": with_mapping(*MATCH) + top_per_job(50),
     "benchmark_create_ranked": _created_ranked_sql(),
     "match_distribution": with_mapping(*MATCH, f"top100 AS ({top_per_job(100)})") + """
@@ -760,14 +770,14 @@ FROM top100 GROUP BY 1, 2""",
     "candidate_tv_bands": with_mapping(*MATCH) + """
 SELECT job_vacancy_id, employee_id, tv_name, baseline_score, user_score, tv_match_rate,
        CASE WHEN tv_match_rate >= 90 THEN 'green' WHEN tv_match_rate >= 70 THEN 'amber' ELSE 'red' END AS match_band
-FROM matching WHERE job_vacancy_id IS NOT NULL""",
+FROM detail WHERE job_vacancy_id IS NOT NULL""",
     "candidate_tgv_profile": with_mapping(*MATCH) + f"""
 SELECT job_vacancy_id, employee_id, tgv_name, {rnd("AVG(tgv_match_rate)", 2)} AS tgv_match_rate,
        100.0E0 AS benchmark_rate
-FROM matching WHERE job_vacancy_id IS NOT NULL GROUP BY 1, 2, 3""",
+FROM detail WHERE job_vacancy_id IS NOT NULL GROUP BY 1, 2, 3""",
     "candidate_insight": with_mapping(*MATCH, f"""prof AS (
   SELECT job_vacancy_id, employee_id, tgv_name, {rnd("AVG(tgv_match_rate)", 2)} AS r
-  FROM matching WHERE job_vacancy_id IS NOT NULL GROUP BY 1, 2, 3
+  FROM detail WHERE job_vacancy_id IS NOT NULL GROUP BY 1, 2, 3
 )""") + """
 SELECT job_vacancy_id, employee_id,
        first(tgv_name ORDER BY r DESC, tgv_name) FILTER (WHERE r IS NOT NULL) AS best_tgv,
@@ -777,7 +787,7 @@ SELECT job_vacancy_id, employee_id,
 FROM prof GROUP BY 1, 2""",
     "job_tgv_summary": with_mapping(*MATCH, f"""s AS (
   SELECT job_vacancy_id, tgv_name, {rnd("AVG(tgv_match_rate)", 2)} AS avg_tgv_match
-  FROM matching WHERE job_vacancy_id IS NOT NULL GROUP BY 1, 2
+  FROM detail WHERE job_vacancy_id IS NOT NULL GROUP BY 1, 2
 )""") + """
 SELECT job_vacancy_id, tgv_name, avg_tgv_match, tgv_rank, tgv_rank = 1 AS is_best, tgv_rank = n AS is_worst
 FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY job_vacancy_id ORDER BY avg_tgv_match DESC NULLS LAST, tgv_name)
@@ -787,40 +797,14 @@ FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY job_vacancy_id ORDER BY avg
 SELECT job_vacancy_id, employee_id, 'top' AS side,
        CAST(ROW_NUMBER() OVER (PARTITION BY job_vacancy_id, employee_id ORDER BY tv_match_rate DESC NULLS LAST, tv_name)
             AS BIGINT) AS position, tv_name, tv_match_rate
-FROM matching WHERE job_vacancy_id IS NOT NULL QUALIFY position <= 5
+FROM detail WHERE job_vacancy_id IS NOT NULL QUALIFY position <= 5
 UNION ALL
 SELECT job_vacancy_id, employee_id, 'low' AS side,
        CAST(ROW_NUMBER() OVER (PARTITION BY job_vacancy_id, employee_id ORDER BY tv_match_rate ASC NULLS LAST, tv_name)
             AS BIGINT) AS position, tv_name, tv_match_rate
-FROM matching WHERE job_vacancy_id IS NOT NULL QUALIFY position <= 5""",
+FROM detail WHERE job_vacancy_id IS NOT NULL QUALIFY position <= 5""",
+    "candidate_evidence_json": _evidence_sql(),
 }
 
-ORACLE["candidate_evidence_json"] = with_mapping(*MATCH, f"""js AS (
-  SELECT job_vacancy_id, tgv_name,
-         ROW_NUMBER() OVER (PARTITION BY job_vacancy_id ORDER BY avg_tgv_match DESC NULLS LAST, tgv_name) AS tgv_rank,
-         COUNT(*) OVER (PARTITION BY job_vacancy_id) AS n
-  FROM (SELECT job_vacancy_id, tgv_name, {rnd("AVG(tgv_match_rate)", 2)} AS avg_tgv_match
-        FROM matching WHERE job_vacancy_id IS NOT NULL GROUP BY 1, 2)
-)""", """best AS (
-  SELECT job_vacancy_id, MAX(CASE WHEN tgv_rank = 1 THEN tgv_name END) AS tgv_best,
-         MAX(CASE WHEN tgv_rank = n THEN tgv_name END) AS tgv_gap
-  FROM js GROUP BY 1
-)""", """ranked AS (
-  SELECT job_vacancy_id, employee_id, tv_name, tv_match_rate,
-         ROW_NUMBER() OVER (PARTITION BY job_vacancy_id, employee_id ORDER BY tv_match_rate DESC NULLS LAST, tv_name) AS top_pos,
-         ROW_NUMBER() OVER (PARTITION BY job_vacancy_id, employee_id ORDER BY tv_match_rate ASC NULLS LAST, tv_name) AS low_pos
-  FROM matching WHERE job_vacancy_id IS NOT NULL
-)""", """lists AS (
-  SELECT job_vacancy_id, employee_id,
-         list({'tv_name': tv_name, 'tv_match_rate': tv_match_rate} ORDER BY top_pos) FILTER (WHERE top_pos <= 5) AS top,
-         list({'tv_name': tv_name, 'tv_match_rate': tv_match_rate} ORDER BY low_pos) FILTER (WHERE low_pos <= 5) AS low
-  FROM ranked GROUP BY 1, 2
-)""") + """
-SELECT l.job_vacancy_id, l.employee_id,
-       CAST(to_json({'job_vacancy_id': l.job_vacancy_id, 'tgv_best': b.tgv_best, 'tgv_gap': b.tgv_gap,
-                     'candidate_id': l.employee_id, 'candidate_top_tvs': l.top, 'candidate_low_tvs': l.low})
-            AS VARCHAR) AS evidence
-FROM lists l JOIN best b ON b.job_vacancy_id = l.job_vacancy_id"""
-
 # Queries checked on row counts only (none at present).
 ROWS_ONLY: list[str] = []
