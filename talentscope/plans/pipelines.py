@@ -80,22 +80,14 @@ def _session_cached(spark: SparkSession, sf_dir: str, what: str, build: Callable
 
 
 def tables_for(spark: SparkSession, sf_dir: str, materialize: bool = True) -> TalentTables:
-    """Talent tables of ``sf_dir``; the heavy ones written once, in two waves
-    of concurrently written independent tables."""
+    """Talent tables of ``sf_dir``; the heavy ones written once, each as
+    soon as its inputs are written."""
     if not materialize:
         return from_driver_tables(spark, sf_dir)
 
     def build() -> TalentTables:
-        from concurrent.futures import ThreadPoolExecutor
-
         base = _base_key(spark, sf_dir)
-
-        def write_many(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-            with ThreadPoolExecutor(max_workers=max(1, len(tables))) as pool:
-                futures = {n: pool.submit(_persisted, spark, base, n, lambda df=df: df) for n, df in tables.items()}
-                return {n: f.result() for n, f in futures.items()}
-
-        return from_driver_tables(spark, sf_dir, write_many=write_many)
+        return from_driver_tables(spark, sf_dir, write=lambda n, df: _persisted(spark, base, n, lambda: df))
 
     return _session_cached(spark, sf_dir, "tables", build)
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,19 +75,6 @@ def write_and_read(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_many_and_read(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """``write_and_read`` for several independent tables at once.
-
-    The jobs are submitted from separate threads so small tables do not
-    wait for each other; on a busy cluster they simply queue.
-    """
-    if len(tables) <= 1:
-        return {n: write_and_read(df, n) for n, df in tables.items()}
-    with ThreadPoolExecutor(max_workers=len(tables)) as pool:
-        futures = {n: pool.submit(write_and_read, df, n) for n, df in tables.items()}
-        return {n: f.result() for n, f in futures.items()}
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """``broadcast(df)`` only after counting it; otherwise leave the join to
     the planner (sort-merge with AQE skew handling).

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,7 +68,7 @@ COHORT_SIZE = 50
 UNKNOWN_ID = "EMP_UNKNOWN"
 DEFAULT_WEIGHTS_JSON = json.dumps({"tgv": TGV_WEIGHTS}, separators=(",", ":"))
 
-WriteMany = Callable[[dict[str, DataFrame]], dict[str, DataFrame]]
+Write = Callable[[str, DataFrame], DataFrame]
 
 
 def _emp(c: str) -> Column:
@@ -345,37 +346,37 @@ def raw_papi_scores(papi: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------- the bundle
 
-def from_driver_tables(spark: SparkSession, sf_dir: str, write_many: WriteMany | None = None,
+def from_driver_tables(spark: SparkSession, sf_dir: str, write: Write | None = None,
                        with_raw: bool = True) -> TalentTables:
     """Build every talent table from ``sf_dir``.
 
-    ``write_many({name: df})`` is called on the heavy tables, in two waves
-    of mutually independent tables, and its results are used downstream;
-    pass a writer to materialise them (the shared line-item aggregate is
-    then computed once).  Lookup tables and the raw exports (cheap
-    projections of the written tables) stay lazy.
+    ``write(name, df)`` is applied to each heavy table and its result is
+    used downstream; pass a writer to materialise them.  Each table is
+    started as soon as the tables it reads are ready (the independent ones
+    concurrently), and the shared line-item aggregate is computed once.
+    Lookup tables and the raw exports (cheap projections of the written
+    tables) stay lazy.
     """
-    write_many = write_many or (lambda tables: tables)
+    write = write or (lambda _name, df: df)
     customer = _read(spark, sf_dir, "customer")
     nation = _read(spark, sf_dir, "nation")
     region = _read(spark, sf_dir, "region")
     orders = _read(spark, sf_dir, "orders")
     lineitem = _read(spark, sf_dir, "lineitem")
 
-    base = write_many({
-        "employees": employees(customer, nation),
-        "performance_yearly": performance_yearly(orders),
-        "_line_facts": line_facts(lineitem, orders),
-        "profiles_psych": profiles_psych(customer),
-        "papi_scores": papi_scores(orders),
-    })
-    emps, perf, psych = base["employees"], base["performance_yearly"], base["profiles_psych"]
-    derived = write_many({
-        "competencies_yearly": competencies_yearly(base["_line_facts"]),
-        "strengths": strengths(base["_line_facts"]),
-        "talent_benchmarks": seed_benchmarks(spark, perf, emps, region),
-    })
-    comp = derived["competencies_yearly"]
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        f_emps = pool.submit(write, "employees", employees(customer, nation))
+        f_perf = pool.submit(write, "performance_yearly", performance_yearly(orders))
+        f_facts = pool.submit(write, "_line_facts", line_facts(lineitem, orders))
+        f_psych = pool.submit(write, "profiles_psych", profiles_psych(customer))
+        f_papi = pool.submit(write, "papi_scores", papi_scores(orders))
+        f_comp = pool.submit(lambda: write("competencies_yearly", competencies_yearly(f_facts.result())))
+        f_strg = pool.submit(lambda: write("strengths", strengths(f_facts.result())))
+        f_bench = pool.submit(lambda: write("talent_benchmarks",
+                                            seed_benchmarks(spark, f_perf.result(), f_emps.result(), region)))
+        emps, perf, psych, papi = f_emps.result(), f_perf.result(), f_psych.result(), f_papi.result()
+        comp, strg, bench = f_comp.result(), f_strg.result(), f_bench.result()
+
     raw = {}
     if with_raw:
         raw = {
@@ -383,10 +384,9 @@ def from_driver_tables(spark: SparkSession, sf_dir: str, write_many: WriteMany |
             "raw_performance_yearly": raw_performance_yearly(perf),
             "raw_competencies_yearly": raw_competencies_yearly(comp),
             "raw_profiles_psych": raw_profiles_psych(psych),
-            "raw_papi_scores": raw_papi_scores(base["papi_scores"]),
+            "raw_papi_scores": raw_papi_scores(papi),
         }
     return TalentTables(
         employees=emps, performance_yearly=perf, competencies_yearly=comp, profiles_psych=psych,
-        papi_scores=base["papi_scores"], strengths=derived["strengths"],
-        talent_benchmarks=derived["talent_benchmarks"], **dims(spark, nation, region), **raw,
+        papi_scores=papi, strengths=strg, talent_benchmarks=bench, **dims(spark, nation, region), **raw,
     )
