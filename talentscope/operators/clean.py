@@ -71,7 +71,9 @@ def clean_competencies(raw: DataFrame, fallback: float = 3.0) -> DataFrame:
         to_number("score").alias("score"),
     )
     med = df.groupBy(F.col("pillar_code").alias("_key")).agg(F.median("score").alias("_med"))
-    return df.join(med, F.col("pillar_code").eqNullSafe(F.col("_key")), "left").select(
+    # plain equality: a row without a pillar code gets no pillar median (a
+    # grouped pandas transform leaves it missing too) and takes the fallback
+    return df.join(med, F.col("pillar_code") == F.col("_key"), "left").select(
         "employee_id", "year", "pillar_code",
         rnd_even(F.coalesce(F.col("score"), F.col("_med"), F.lit(fallback)), 1).alias("score"),
     )
@@ -104,7 +106,7 @@ def clean_papi(raw: DataFrame) -> DataFrame:
         to_number("score").alias("score"),
     )
     med = df.groupBy(F.col("scale_code").alias("_key")).agg(F.median("score").alias("_med"))
-    filled = df.join(med, F.col("scale_code").eqNullSafe(F.col("_key")), "left").select(
+    filled = df.join(med, F.col("scale_code") == F.col("_key"), "left").select(
         "employee_id", "scale_code", F.coalesce(F.col("score"), F.col("_med")).alias("score"))
     return impute_global_median(filled, "score")
 

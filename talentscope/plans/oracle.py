@@ -265,7 +265,7 @@ CLEAN_COMPETENCIES = f"""cc0 AS (
 ),
 clean_competencies AS (
   SELECT employee_id, year, pillar_code,
-         {rnd_even("COALESCE(score, median(score) OVER (PARTITION BY pillar_code), 3.0E0)", 1)} AS score
+         {rnd_even("COALESCE(score, CASE WHEN pillar_code IS NOT NULL THEN median(score) OVER (PARTITION BY pillar_code) END, 3.0E0)", 1)} AS score
   FROM cc0
 )"""
 
@@ -546,7 +546,9 @@ def _clean_papi_sql() -> str:
          {to_number("score")} AS score
   FROM raw_papi_scores
 )""", """cp1 AS (
-  SELECT employee_id, scale_code, COALESCE(score, median(score) OVER (PARTITION BY scale_code)) AS score FROM cp0
+  SELECT employee_id, scale_code,
+         COALESCE(score, CASE WHEN scale_code IS NOT NULL THEN median(score) OVER (PARTITION BY scale_code) END) AS score
+  FROM cp0
 )""") + """
 SELECT employee_id, scale_code, COALESCE(score, median(score) OVER ()) AS score FROM cp1"""
 

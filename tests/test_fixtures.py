@@ -248,3 +248,11 @@ def test_candidate_insight_and_bands(spark):
         "Competencies", "Cognitive", "Competencies,Context", "Cognitive")
     df = spark.createDataFrame([(90.0,), (89.99,), (70.0,), (69.99,), (None,)], "r double")
     assert [x["b"] for x in df.select(match_band("r").alias("b")).collect()] == ["green", "amber", "amber", "red", "red"]
+
+
+def test_row_without_pillar_takes_the_fallback(spark):
+    raw = spark.createDataFrame(
+        [("E1", "2024", "P1", "2.0"), ("E2", "2024", None, "4.0"), ("E3", "2024", None, "")],
+        "employee_id string, year string, pillar_code string, score string")
+    got = {r["employee_id"]: r["score"] for r in clean.clean_competencies(raw).collect()}
+    assert got == {"E1": 2.0, "E2": 4.0, "E3": 3.0}
