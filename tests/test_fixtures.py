@@ -100,7 +100,7 @@ def test_two_jobs_and_trait_without_baseline(spark):
     pb = [r for r in rows if r["tv_name"] == "Papi_B"]
     assert len(pb) == 1 and pb[0]["job_vacancy_id"] is None
     assert pb[0]["tv_match_rate"] is None and pb[0]["tgv_match_rate"] is None and pb[0]["final_match_rate"] is None
-    # the cohort member matching himself scores 100 on every trait of job 1
+    # a one-person cohort: that person scores 100 on every trait of job 1
     e1 = d.filter("employee_id = 'E1' and job_vacancy_id = 1").collect()
     assert all(r["tv_match_rate"] == 100.0 for r in e1)
     assert e1[0]["final_match_rate"] == 100.0
