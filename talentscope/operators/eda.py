@@ -130,10 +130,12 @@ def pillar_vs_rating(t: TalentTables, latest: DataFrame | None = None) -> DataFr
     """``pillar_label, avg_competency_score, avg_performance_rating`` at the latest year."""
     latest = latest if latest is not None else latest_year(t.performance_yearly)
     comp = at_latest_year(t.competencies_yearly, latest)
-    perf = at_latest_year(t.performance_yearly, latest).select("employee_id", "year", "rating")
+    perf = at_latest_year(t.performance_yearly, latest).select("employee_id", "rating")
+    # both sides hold only the person's latest year, so the id alone pairs
+    # the same rows as (id, year) and keeps the person partitioning
     return (
         comp.join(t.dim_competency_pillars, "pillar_code")
-        .join(perf, ["employee_id", "year"])
+        .join(perf, "employee_id")
         .groupBy("pillar_label")
         .agg(
             rnd(F.avg("score"), 2).alias("avg_competency_score"),

@@ -86,13 +86,18 @@ def describe(df: DataFrame, numeric_cols: list[str], text_cols: list[str] | None
                 rnd(F.col(f"{c}__q")[0], 4).alias("p25"), rnd(F.col(f"{c}__q")[1], 4).alias("p50"),
                 rnd(F.col(f"{c}__q")[2], 4).alias("p75"), F.col(f"{c}__max").alias("max"),
             ))
-    for c in text_cols:
-        freq = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        rows.append(freq.agg(
-            F.sum("n").alias("count"), F.count(F.lit(1)).alias("n_unique"),
-            F.min_by(F.col(c), F.struct(-F.col("n"), F.col(c))).alias("top"), F.max("n").alias("freq"),
+    if text_cols:
+        # one scan for all text columns: (column, value) pairs, counted per
+        # value (combined map-side), then summarised per column
+        pairs = df.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in text_cols
+        ])).alias("p")).select("p.*").filter(F.col("v").isNotNull())
+        freq = pairs.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+        rows.append(freq.groupBy("column_name").agg(
+            F.sum("n").cast("long").alias("count"), F.count(F.lit(1)).alias("n_unique"),
+            F.min_by(F.col("v"), F.struct(-F.col("n"), F.col("v"))).alias("top"), F.max("n").alias("freq"),
         ).select(
-            F.lit(c).alias("column_name"), F.col("count").cast("long").alias("count"), "n_unique", "top", "freq",
+            "column_name", "count", "n_unique", "top", "freq",
             *[F.lit(None).cast("double").alias(s) for s in ["mean", "std", "min", "p25", "p50", "p75", "max"]],
         ))
     out = rows[0]
