@@ -75,9 +75,9 @@ def describe(df: DataFrame, numeric_cols: list[str], text_cols: list[str] | None
                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"),
                 F.percentile(x, [0.25, 0.5, 0.75]).alias(f"{c}__q"),
             ]
-        wide = df.agg(*aggs)
-        for c in numeric_cols:
-            rows.append(wide.select(
+        wide = df.agg(*aggs)  # one row, one pass
+        per_column = F.explode(F.array(*[
+            F.struct(
                 F.lit(c).alias("column_name"), F.col(f"{c}__count").alias("count"),
                 F.lit(None).cast("long").alias("n_unique"), F.lit(None).cast("string").alias("top"),
                 F.lit(None).cast("long").alias("freq"),
@@ -85,7 +85,10 @@ def describe(df: DataFrame, numeric_cols: list[str], text_cols: list[str] | None
                 F.col(f"{c}__min").alias("min"),
                 rnd(F.col(f"{c}__q")[0], 4).alias("p25"), rnd(F.col(f"{c}__q")[1], 4).alias("p50"),
                 rnd(F.col(f"{c}__q")[2], 4).alias("p75"), F.col(f"{c}__max").alias("max"),
-            ))
+            )
+            for c in numeric_cols
+        ]))
+        rows.append(wide.select(per_column.alias("r")).select("r.*"))
     if text_cols:
         # one scan for all text columns: (column, value) pairs, counted per
         # value (combined map-side), then summarised per column
