@@ -1,6 +1,8 @@
 """Cleaning raw (all-string) exports into typed tables.
 
-Medians are exact and interpolated (pandas ``median``).  Group medians are
+Medians are exact and interpolated (pandas ``median``); ``exact=False``
+switches every median to ``percentile_approx`` for columns with a huge
+number of distinct values.  Group medians are
 an aggregate joined back on the group key, never a window: a window
 would put a whole pillar or scale, possibly most of the table, in one
 task, while the aggregate combines map-side and the joined-back side has
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentscope.functions.numeric import rnd_even, strip_ws, to_number
+from talentscope.functions.numeric import median_of, rnd_even, strip_ws, to_number
 from talentscope.functions.text import fill_disc, missing_to_unknown, normalize_name
 
 EMPLOYEE_NUMERIC = [
@@ -50,27 +52,27 @@ def clean_employees(raw: DataFrame) -> DataFrame:
     return coerce_numeric(df, [c for c in EMPLOYEE_NUMERIC if c not in keep_text])
 
 
-def impute_global_median(df: DataFrame, col: str) -> DataFrame:
+def impute_global_median(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
     """NULLs of ``col`` become the column's median (one-row aggregate, broadcast)."""
-    med = df.agg(F.median(col).alias("_med"))
+    med = df.agg(median_of(col, exact).alias("_med"))
     return df.crossJoin(F.broadcast(med)).withColumn(col, F.coalesce(F.col(col), F.col("_med"))).drop("_med")
 
 
-def clean_performance(raw: DataFrame) -> DataFrame:
+def clean_performance(raw: DataFrame, exact: bool = True) -> DataFrame:
     """``employee_id, year, rating``: rating coerced, missing -> global median."""
     df = standardize_columns(raw).select(
         "employee_id", to_number("year").cast("int").alias("year"), to_number("rating").alias("rating"))
-    return impute_global_median(df, "rating")
+    return impute_global_median(df, "rating", exact)
 
 
-def clean_competencies(raw: DataFrame, fallback: float = 3.0) -> DataFrame:
+def clean_competencies(raw: DataFrame, fallback: float = 3.0, exact: bool = True) -> DataFrame:
     """``employee_id, year, pillar_code, score``: missing score -> the
     pillar's median, else ``fallback``; then half-even to one place."""
     df = require_columns(standardize_columns(raw), ["employee_id", "year", "pillar_code", "score"]).select(
         "employee_id", to_number("year").try_cast("int").alias("year"), "pillar_code",
         to_number("score").alias("score"),
     )
-    med = df.groupBy(F.col("pillar_code").alias("_key")).agg(F.median("score").alias("_med"))
+    med = df.groupBy(F.col("pillar_code").alias("_key")).agg(median_of("score", exact).alias("_med"))
     # plain equality: a row without a pillar code gets no pillar median (a
     # grouped pandas transform leaves it missing too) and takes the fallback
     return df.join(med, F.col("pillar_code") == F.col("_key"), "left").select(
@@ -79,14 +81,14 @@ def clean_competencies(raw: DataFrame, fallback: float = 3.0) -> DataFrame:
     )
 
 
-def clean_profiles(raw: DataFrame) -> DataFrame:
+def clean_profiles(raw: DataFrame, exact: bool = True) -> DataFrame:
     """Psych numbers coerced, missing -> their own median (one aggregate
     for all five); missing texts -> 'Unknown'; DISC code filled from the
     DISC phrase where unknown."""
     df = standardize_columns(raw)
     df = df.select("employee_id", *[to_number(c).alias(c) for c in PSYCH_NUMERIC],
                    *[F.col(c) for c in PSYCH_TEXT])
-    meds = df.agg(*[F.median(c).alias(f"_m_{c}") for c in PSYCH_NUMERIC])
+    meds = df.agg(*[median_of(c, exact).alias(f"_m_{c}") for c in PSYCH_NUMERIC])
     return df.crossJoin(F.broadcast(meds)).select(
         "employee_id",
         *[F.coalesce(F.col(c), F.col(f"_m_{c}")).alias(c) for c in PSYCH_NUMERIC],
@@ -96,7 +98,7 @@ def clean_profiles(raw: DataFrame) -> DataFrame:
     )
 
 
-def clean_papi(raw: DataFrame) -> DataFrame:
+def clean_papi(raw: DataFrame, exact: bool = True) -> DataFrame:
     """``employee_id, scale_code, score``: all whitespace trimmed, score
     coerced, missing -> the scale's median, then -> the median of the
     column as filled so far."""
@@ -105,10 +107,10 @@ def clean_papi(raw: DataFrame) -> DataFrame:
         strip_ws("scale_code").alias("scale_code"),
         to_number("score").alias("score"),
     )
-    med = df.groupBy(F.col("scale_code").alias("_key")).agg(F.median("score").alias("_med"))
+    med = df.groupBy(F.col("scale_code").alias("_key")).agg(median_of("score", exact).alias("_med"))
     filled = df.join(med, F.col("scale_code") == F.col("_key"), "left").select(
         "employee_id", "scale_code", F.coalesce(F.col("score"), F.col("_med")).alias("score"))
-    return impute_global_median(filled, "score")
+    return impute_global_median(filled, "score", exact)
 
 
 def clean_disc(raw_profiles: DataFrame) -> DataFrame:

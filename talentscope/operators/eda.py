@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentscope.functions.numeric import rnd, rnd_even, strip_ws
+from talentscope.functions.numeric import quantiles_of, rnd, rnd_even, strip_ws
 from talentscope.functions.text import blank_to_unknown
 from talentscope.operators.common import (
     at_latest_year,
@@ -236,7 +236,7 @@ def histogram(values: DataFrame, cols: list[str], bins: int = 20) -> DataFrame:
     )
 
 
-def box_stats(values: DataFrame, cols: list[str]) -> DataFrame:
+def box_stats(values: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
     """``variable, n, q1, median, q3, iqr, whisker_lo, whisker_hi, n_outliers``
     with linear-interpolated quartiles and 1.5 x IQR whiskers."""
     long = values.select(
@@ -245,7 +245,7 @@ def box_stats(values: DataFrame, cols: list[str]) -> DataFrame:
     ).select("v.*").filter(F.col("x").isNotNull())
     q = long.groupBy("variable").agg(
         F.count(F.lit(1)).alias("n"),
-        F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("qs"),
+        quantiles_of("x", [0.25, 0.5, 0.75], exact).alias("qs"),
     ).select("variable", "n", F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("median"), F.col("qs")[2].alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo_fence = F.col("q1") - 1.5 * F.col("iqr")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from talentscope.functions.numeric import rnd, to_number
+from talentscope.functions.numeric import quantiles_of, rnd, to_number
 
 
 def _is_missing(df: DataFrame, c: str) -> F.Column:
@@ -59,11 +59,13 @@ def missing_reference(df: DataFrame, col: str, show: list[str]) -> DataFrame:
     return df.filter(F.col(col).isNull()).select(*show)
 
 
-def describe(df: DataFrame, numeric_cols: list[str], text_cols: list[str] | None = None) -> DataFrame:
+def describe(df: DataFrame, numeric_cols: list[str], text_cols: list[str] | None = None,
+             exact: bool = True) -> DataFrame:
     """One row per column: ``column_name, count, n_unique, top, freq, mean,
     std, min, p25, p50, p75, max`` (text stats NULL for numbers and the
-    reverse).  Quartiles are exact and interpolated; ``top`` is the most
-    frequent value, ties by smallest value."""
+    reverse).  Quartiles are exact and interpolated (approximate with
+    ``exact=False``); ``top`` is the most frequent value, ties by smallest
+    value."""
     text_cols = text_cols or []
     rows = []
     if numeric_cols:
@@ -73,7 +75,7 @@ def describe(df: DataFrame, numeric_cols: list[str], text_cols: list[str] | None
             aggs += [
                 F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"),
-                F.percentile(x, [0.25, 0.5, 0.75]).alias(f"{c}__q"),
+                quantiles_of(x, [0.25, 0.5, 0.75], exact).alias(f"{c}__q"),
             ]
         wide = df.agg(*aggs)  # one row, one pass
         per_column = F.explode(F.array(*[

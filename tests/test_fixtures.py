@@ -256,3 +256,11 @@ def test_row_without_pillar_takes_the_fallback(spark):
         "employee_id string, year string, pillar_code string, score string")
     got = {r["employee_id"]: r["score"] for r in clean.clean_competencies(raw).collect()}
     assert got == {"E1": 2.0, "E2": 4.0, "E3": 3.0}
+
+
+def test_approximate_medians_are_opt_in(spark):
+    raw = spark.createDataFrame([("E1", "2024", "3"), ("E2", "2024", "4"), ("E3", "2024", None)],
+                                "employee_id string, year string, rating string")
+    exact = {r["employee_id"]: r["rating"] for r in clean.clean_performance(raw).collect()}
+    approx = {r["employee_id"]: r["rating"] for r in clean.clean_performance(raw, exact=False).collect()}
+    assert exact["E3"] == 3.5 and approx["E3"] in (3.0, 4.0)
