@@ -45,10 +45,6 @@ def _t(spark, d):
     return tables_for(spark, d)
 
 
-def _long(c: str) -> F.Column:
-    return F.col(c).cast("long").alias(c)
-
-
 # ---------------------------------------------------------------- benchmarks
 
 def _created(spark, d) -> DataFrame:
