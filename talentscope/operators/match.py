@@ -72,10 +72,13 @@ def tv_long(t: TalentTables, latest: DataFrame | None = None, include_tiki: bool
     return out
 
 
-def restrict_to(t: TalentTables, ids: DataFrame, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> TalentTables:
+def restrict_to(t: TalentTables, ids: DataFrame, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+                checked: bool = False) -> TalentTables:
     """The same tables cut to people in ``ids``: a semi join at each fact
-    scan, broadcast when the distinct ids (counted here) are few."""
-    ids = broadcast_if_small(ids.select("employee_id").distinct(), max_broadcast_rows)
+    scan, broadcast when the distinct ids are few (counted here unless the
+    caller has already bounded them: ``checked=True``)."""
+    ids = ids.select("employee_id").distinct()
+    ids = F.broadcast(ids) if checked else broadcast_if_small(ids, max_broadcast_rows)
     keyed = ["employees", "performance_yearly", "competencies_yearly", "profiles_psych", "papi_scores", "strengths"]
     return t.map(lambda n, df: df.join(ids, "employee_id", "left_semi") if n in keyed else df)
 
@@ -91,14 +94,23 @@ def match_baseline(tv: DataFrame, cohort: DataFrame) -> DataFrame:
     )
 
 
+def baseline_table(t: TalentTables, include_tiki: bool = True,
+                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Baselines of every job computed from the cohort members only (the
+    fact tables are cut to the cohort's ids first); not yet written."""
+    cohort = cohort_explode(t.talent_benchmarks)
+    # one count bounds both the (job, id) pairs and the distinct ids
+    small_cohort = cohort.count() <= max_broadcast_rows
+    small = restrict_to(t, cohort, max_broadcast_rows, checked=small_cohort)
+    cohort = F.broadcast(cohort) if small_cohort else cohort
+    return match_baseline(tv_long(small, latest_year(small.performance_yearly), include_tiki), cohort)
+
+
 def baselines(t: TalentTables, latest: DataFrame | None = None, include_tiki: bool = True,
               max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, materialize: bool = True) -> DataFrame:
-    """Baselines of every job, computed from cohort members only, written
-    and counted so the caller can broadcast them safely."""
-    cohort = broadcast_if_small(cohort_explode(t.talent_benchmarks), max_broadcast_rows)
-    small = restrict_to(t, cohort, max_broadcast_rows)
-    small_latest = latest_year(small.performance_yearly)
-    base = match_baseline(tv_long(small, small_latest, include_tiki), cohort)
+    """``baseline_table``, written (unless ``materialize=False``) and counted,
+    then marked for broadcast when small."""
+    base = baseline_table(t, include_tiki, max_broadcast_rows)
     if materialize:
         base = write_and_read(base, "baselines")
     return broadcast_if_small(base, max_broadcast_rows)

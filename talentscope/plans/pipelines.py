@@ -118,7 +118,7 @@ def baselines_for(spark: SparkSession, sf_dir: str, include_tiki: bool = True) -
 
     def build() -> DataFrame:
         written = _persisted(spark, _base_key(spark, sf_dir), f"baselines:{include_tiki}",
-                             lambda: match.baselines(t, include_tiki=include_tiki, materialize=False))
+                             lambda: match.baseline_table(t, include_tiki=include_tiki))
         return broadcast_if_small(written)
 
     return _session_cached(spark, sf_dir, f"baselines:{include_tiki}", build)
