@@ -96,6 +96,13 @@ def set_cohort(benchmarks: DataFrame, job_vacancy_id: int, talent_ids: DataFrame
     )
 
 
+def save_benchmarks(benchmarks: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write a benchmark table as parquet.  ``mode="append"`` adds rows
+    (e.g. only the new job from ``create_benchmark``) without rewriting the
+    rest; readers see the new files on their next scan."""
+    benchmarks.write.mode(mode).parquet(path)
+
+
 def cohort_summary(benchmarks: DataFrame) -> DataFrame:
     """``job_vacancy_id, cohort_size, cohort``: the ids as comma-joined text."""
     return benchmarks.select(

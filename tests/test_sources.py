@@ -68,3 +68,18 @@ def test_save_and_load_tables_round_trip(spark):
     assert back.employees.count() == t.employees.count()
     assert back.talent_benchmarks.schema == t.talent_benchmarks.schema
     assert back.dim_competency_pillars.count() == 7
+
+
+def test_save_benchmarks_append(spark):
+    from talentscope.operators.benchmark import create_benchmark, save_benchmarks
+    from talentscope.plans.pipelines import tables_for
+    import datetime as dt
+
+    t = tables_for(spark, SF_SMALL)
+    path = os.path.join(_tmp(), "benchmarks")
+    save_benchmarks(t.talent_benchmarks, path)
+    created = create_benchmark(t.talent_benchmarks, "Role", "L", "p", t.employees.select("employee_id").limit(2),
+                               dt.datetime(2025, 3, 1, 9, 0, 0))
+    save_benchmarks(created.filter("job_vacancy_id = 8"), path, mode="append")
+    back = spark.read.parquet(path)
+    assert back.count() == 8 and back.filter("job_vacancy_id = 8").first()["role_name"] == "Role"
