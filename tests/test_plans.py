@@ -28,12 +28,23 @@ def test_rank_histogram_is_broadcast(spark):
     assert "broadcast" in p.lower()
 
 
-def test_job_filter_lands_before_the_fan_out(spark):
-    """With one job asked for, the job predicate filters the broadcast
-    baselines, so the trait rows are never multiplied by other jobs."""
-    df = QUERIES["match_detail_top"](spark, SF_SMALL)
+def test_job_filter_reaches_the_scan_and_limit_is_top_k(spark):
+    """The one-job listing filters the written detail at the parquet scan
+    and keeps 500 rows with a per-task top-k, never a global sort."""
+    p = plan(QUERIES["match_detail_top"](spark, SF_SMALL))
+    assert "PushedFilters: [IsNotNull(job_vacancy_id), EqualTo(job_vacancy_id,1)]" in p
+    assert "TakeOrderedAndProject(limit=500" in p
+
+
+def test_job_filter_lands_on_the_baselines_before_the_fan_out(spark):
+    """Building one job's detail from scratch filters the broadcast
+    baselines, so trait rows are never multiplied by other jobs."""
+    from talentscope.operators.match import matching_detail
+    from talentscope.plans.pipelines import tables_for
+
+    df = matching_detail(tables_for(spark, SF_SMALL), job_id=1)
     opt = df._jdf.queryExecution().optimizedPlan().toString()
-    assert "job_vacancy_id#" in opt and "= 1)" in opt
+    assert "(job_vacancy_id#" in opt and "= 1)" in opt
 
 
 def test_scans_prune_columns(spark):
