@@ -147,3 +147,22 @@ def matching_detail_for(spark: SparkSession, sf_dir: str, job_id: int | None = N
     if job_id is not None:
         detail = detail.filter(F.col("job_vacancy_id") == job_id)
     return detail
+
+
+def release(spark: SparkSession) -> int:
+    """Delete every table this process wrote to the checkpoint folder and
+    forget them; returns how many were removed.  Uses the Hadoop FileSystem
+    API, so it works on HDFS / object stores as well as locally."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    with _lock:
+        paths = list(_paths.values())
+        _paths.clear()
+        _frames.clear()
+    removed = 0
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        if fs.exists(path) and fs.delete(path, True):
+            removed += 1
+    return removed

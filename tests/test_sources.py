@@ -83,3 +83,16 @@ def test_save_benchmarks_append(spark):
     save_benchmarks(created.filter("job_vacancy_id = 8"), path, mode="append")
     back = spark.read.parquet(path)
     assert back.count() == 8 and back.filter("job_vacancy_id = 8").first()["role_name"] == "Role"
+
+
+def test_release_deletes_written_tables(spark):
+    from talentscope.plans import pipelines
+
+    d = "/root/testdata/sf0.001"
+    pipelines.latest_for(spark, d)
+    n = len(pipelines._paths)
+    assert n > 0
+    assert pipelines.release(spark) == n
+    assert not pipelines._paths
+    # rebuilt on demand afterwards
+    assert pipelines.latest_for(spark, d).count() > 0
