@@ -2,11 +2,11 @@
 
 Medians are exact and interpolated (pandas ``median``); ``exact=False``
 switches every median to ``percentile_approx`` for columns with a huge
-number of distinct values.  Group medians are
-an aggregate joined back on the group key, never a window: a window
-would put a whole pillar or scale, possibly most of the table, in one
-task, while the aggregate combines map-side and the joined-back side has
-one row per group (broadcast by AQE once it sees how few there are).
+number of distinct values.  Group medians are an aggregate joined back on
+the group key, never a window: a window would put a whole pillar or scale,
+possibly most of the table, in one task.  The aggregate combines map-side,
+is checkpointed and counted (``small_aggregate``) and is broadcast back,
+so the rows are never shuffled by their few group codes.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from talentscope.functions.numeric import median_of, rnd_even, strip_ws, to_number
 from talentscope.functions.text import fill_disc, missing_to_unknown, normalize_name
+from talentscope.session import small_aggregate
 
 EMPLOYEE_NUMERIC = [
     "company_id", "area_id", "position_id", "department_id", "division_id", "directorate_id",
@@ -72,7 +73,7 @@ def clean_competencies(raw: DataFrame, fallback: float = 3.0, exact: bool = True
         "employee_id", to_number("year").try_cast("int").alias("year"), "pillar_code",
         to_number("score").alias("score"),
     )
-    med = df.groupBy(F.col("pillar_code").alias("_key")).agg(median_of("score", exact).alias("_med"))
+    med = small_aggregate(df.groupBy(F.col("pillar_code").alias("_key")).agg(median_of("score", exact).alias("_med")))
     # plain equality: a row without a pillar code gets no pillar median (a
     # grouped pandas transform leaves it missing too) and takes the fallback
     return df.join(med, F.col("pillar_code") == F.col("_key"), "left").select(
@@ -107,7 +108,7 @@ def clean_papi(raw: DataFrame, exact: bool = True) -> DataFrame:
         strip_ws("scale_code").alias("scale_code"),
         to_number("score").alias("score"),
     )
-    med = df.groupBy(F.col("scale_code").alias("_key")).agg(median_of("score", exact).alias("_med"))
+    med = small_aggregate(df.groupBy(F.col("scale_code").alias("_key")).agg(median_of("score", exact).alias("_med")))
     filled = df.join(med, F.col("scale_code") == F.col("_key"), "left").select(
         "employee_id", "scale_code", F.coalesce(F.col("score"), F.col("_med")).alias("score"))
     return impute_global_median(filled, "score", exact)

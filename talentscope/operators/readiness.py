@@ -17,7 +17,7 @@ from talentscope.functions.numeric import min_max_scale, rnd, safe_div
 from talentscope.functions.scoring import TGV_WEIGHTS, readiness_band, weighted_sum
 from talentscope.operators.common import at_latest_year, latest_year
 from talentscope.operators.ranking import dense_rank_and_cume_dist
-from talentscope.session import DEFAULT_BROADCAST_ROWS
+from talentscope.session import DEFAULT_BROADCAST_ROWS, small_aggregate
 from talentscope.sources.tables import TalentTables
 
 PART_COLUMNS = {
@@ -69,12 +69,14 @@ def tgv_cognitive(t: TalentTables, latest: DataFrame | None = None, with_year: b
 def tgv_personality(t: TalentTables, latest: DataFrame | None = None, with_year: bool = True) -> DataFrame:
     """Mean over scales of the score min-max scaled within its scale.
 
-    Per-scale bounds are an aggregate (one row per scale) joined back on
-    the scale code; the planner broadcasts it when AQE sees its real size.
+    Per-scale bounds are an aggregate (one row per scale), checkpointed,
+    counted and broadcast back onto the scores, so scores are never
+    shuffled by their few scale codes.
     """
     latest = _latest(t, latest)
     papi = t.papi_scores.select("employee_id", "scale_code", "score")
-    by_scale = papi.groupBy("scale_code").agg(F.min("score").alias("min_s"), F.max("score").alias("max_s"))
+    by_scale = small_aggregate(
+        papi.groupBy("scale_code").agg(F.min("score").alias("min_s"), F.max("score").alias("max_s")))
     z = papi.join(by_scale, "scale_code").select("employee_id", min_max_scale("score", "min_s", "max_s").alias("z"))
     per_person = z.groupBy("employee_id").agg(F.sum("z").alias("zs"), F.count("z").alias("zc"))
     part = rnd(safe_div("zs", "zc"), 4).alias("tgv_personalitypapi")

@@ -83,3 +83,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     materialised input, or a written result.
     """
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def small_aggregate(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """A group-level aggregate that will be joined back to its rows on a
+    low-cardinality key (a pillar, a scale): checkpointed once (reliable
+    checkpoint in the checkpoint folder, so its input is scanned once),
+    counted, and broadcast when small.
+
+    Without this the planner estimates the aggregate as large as its input
+    and plans a sort-merge join, which shuffles the raw rows by a key with
+    a handful of values -- a few enormous tasks at scale.
+    """
+    checkpoint_root(df.sparkSession)
+    return broadcast_if_small(df.checkpoint(eager=True), max_rows)

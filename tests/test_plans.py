@@ -52,3 +52,17 @@ def test_scans_prune_columns(spark):
     p = plan(df)
     assert "ReadSchema: struct<employee_id:string,rating:double>" in p or "rating" in p
     assert "PushedFilters: [IsNotNull(rating), EqualTo(rating,5.0)" in p
+
+
+def test_group_aggregates_are_broadcast_back(spark):
+    """Per-pillar / per-scale aggregates are joined back by broadcast: no
+    sort-merge join that would shuffle rows by a key with a few values."""
+    from talentscope.operators import readiness
+    from talentscope.plans.pipelines import tables_for
+
+    t = tables_for(spark, SF_SMALL)
+    for name in ["clean_competencies", "clean_papi", "dq_duplicates"]:
+        p = plan(QUERIES[name](spark, SF_SMALL))
+        assert "SortMergeJoin [pillar_code" not in p and "SortMergeJoin [scale_code" not in p, name
+    p = plan(readiness.tgv_personality(t))
+    assert "SortMergeJoin [scale_code" not in p and "BroadcastHashJoin [scale_code" in p
