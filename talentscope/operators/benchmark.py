@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentscope.operators.common import at_latest_year, latest_year
+from talentscope.session import attach_one_row
 from talentscope.sources.tables import TalentTables
 
 # A cohort is a hand-picked set of role models stored as one array per job.
@@ -71,7 +72,7 @@ def create_benchmark(benchmarks: DataFrame, role_name: str, job_level: str, role
     DataFrame of ``employee_id`` (the chosen role models)."""
     next_id = benchmarks.agg(F.coalesce(F.max("job_vacancy_id") + 1, F.lit(1)).cast("int").alias("job_vacancy_id"))
     ids = _cohort_array(talent_ids, max_cohort).withColumnRenamed("ids", "selected_talent_ids")
-    row = F.broadcast(next_id).crossJoin(F.broadcast(ids)).select(
+    row = attach_one_row(next_id, ids).select(
         "job_vacancy_id",
         F.lit(role_name).alias("role_name"),
         F.lit(job_level).alias("job_level"),
@@ -87,7 +88,7 @@ def set_cohort(benchmarks: DataFrame, job_vacancy_id: int, talent_ids: DataFrame
                max_cohort: int = MAX_COHORT) -> DataFrame:
     """Replace one job's cohort with the sorted ids of ``talent_ids``."""
     ids = _cohort_array(talent_ids, max_cohort).withColumnRenamed("ids", "_new_ids")
-    return benchmarks.crossJoin(F.broadcast(ids)).select(
+    return attach_one_row(benchmarks, ids).select(
         *[
             F.when(F.col("job_vacancy_id") == job_vacancy_id, F.col("_new_ids")).otherwise(F.col(c)).alias(c)
             if c == "selected_talent_ids" else F.col(c)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from talentscope.functions.numeric import median_of, rnd_even, strip_ws, to_number
 from talentscope.functions.text import fill_disc, missing_to_unknown, normalize_name
-from talentscope.session import small_aggregate
+from talentscope.session import attach_one_row, small_aggregate
 
 EMPLOYEE_NUMERIC = [
     "company_id", "area_id", "position_id", "department_id", "division_id", "directorate_id",
@@ -56,7 +56,7 @@ def clean_employees(raw: DataFrame) -> DataFrame:
 def impute_global_median(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
     """NULLs of ``col`` become the column's median (one-row aggregate, broadcast)."""
     med = df.agg(median_of(col, exact).alias("_med"))
-    return df.crossJoin(F.broadcast(med)).withColumn(col, F.coalesce(F.col(col), F.col("_med"))).drop("_med")
+    return attach_one_row(df, med).withColumn(col, F.coalesce(F.col(col), F.col("_med"))).drop("_med")
 
 
 def clean_performance(raw: DataFrame, exact: bool = True) -> DataFrame:
@@ -90,7 +90,7 @@ def clean_profiles(raw: DataFrame, exact: bool = True) -> DataFrame:
     df = df.select("employee_id", *[to_number(c).alias(c) for c in PSYCH_NUMERIC],
                    *[F.col(c) for c in PSYCH_TEXT])
     meds = df.agg(*[median_of(c, exact).alias(f"_m_{c}") for c in PSYCH_NUMERIC])
-    return df.crossJoin(F.broadcast(meds)).select(
+    return attach_one_row(df, meds).select(
         "employee_id",
         *[F.coalesce(F.col(c), F.col(f"_m_{c}")).alias(c) for c in PSYCH_NUMERIC],
         fill_disc("disc", "disc_word").alias("disc"),

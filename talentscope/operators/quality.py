@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from talentscope.functions.numeric import quantiles_of, rnd, to_number
+from talentscope.session import attach_one_row
 
 
 def _is_missing(df: DataFrame, c: str) -> F.Column:
@@ -29,7 +30,7 @@ def missing_before_after(raw: DataFrame, clean: DataFrame, col: str) -> DataFram
     in the raw export (not a number) and after cleaning (NULL)."""
     before = raw.agg(F.avg(to_number(col).isNull().cast("double")).alias("missing_before"))
     after = clean.agg(F.avg(F.col(col).isNull().cast("double")).alias("missing_after"))
-    return before.crossJoin(after).select(rnd("missing_before", 4).alias("missing_before"),
+    return attach_one_row(before, after).select(rnd("missing_before", 4).alias("missing_before"),
                                           rnd("missing_after", 4).alias("missing_after"))
 
 

@@ -17,7 +17,7 @@ from talentscope.functions.numeric import min_max_scale, rnd, safe_div
 from talentscope.functions.scoring import TGV_WEIGHTS, readiness_band, weighted_sum
 from talentscope.operators.common import at_latest_year, latest_year
 from talentscope.operators.ranking import dense_rank_and_cume_dist
-from talentscope.session import DEFAULT_BROADCAST_ROWS, small_aggregate
+from talentscope.session import DEFAULT_BROADCAST_ROWS, attach_one_row, small_aggregate
 from talentscope.sources.tables import TalentTables
 
 PART_COLUMNS = {
@@ -56,7 +56,7 @@ def tgv_cognitive(t: TalentTables, latest: DataFrame | None = None, with_year: b
         F.min("iq").alias("min_iq"), F.max("iq").alias("max_iq"),
         F.min("gtq").alias("min_gtq"), F.max("gtq").alias("max_gtq"),
     )
-    scaled = psych.crossJoin(F.broadcast(bounds)).select(
+    scaled = attach_one_row(psych, bounds).select(
         "employee_id",
         rnd((min_max_scale("iq", "min_iq", "max_iq") + min_max_scale("gtq", "min_gtq", "max_gtq")) / 2, 4)
         .alias("tgv_cognitive"),
@@ -98,7 +98,7 @@ def tgv_strengths(t: TalentTables, latest: DataFrame | None = None, with_year: b
     latest = _latest(t, latest)
     r = t.strengths.groupBy("employee_id").agg(F.avg("rank").alias("avg_rank"))
     bounds = r.agg(F.min("avg_rank").alias("min_r"), F.max("avg_rank").alias("max_r"))
-    scaled = r.crossJoin(F.broadcast(bounds)).select(
+    scaled = attach_one_row(r, bounds).select(
         "employee_id", rnd(1 - min_max_scale("avg_rank", "min_r", "max_r"), 4).alias("tgv_behaviorstrengths")
     )
     if not with_year:

@@ -97,3 +97,14 @@ def small_aggregate(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> Da
     """
     checkpoint_root(df.sparkSession)
     return broadcast_if_small(df.checkpoint(eager=True), max_rows)
+
+
+def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row DataFrame (a global aggregate: bounds,
+    medians, a new id) to every row of ``df``.
+
+    ``one_row`` must be an aggregate without grouping keys, which returns
+    exactly one row by definition, so this is a broadcast of one row: no
+    pairs are formed and nothing grows with the data.
+    """
+    return df.crossJoin(F.broadcast(one_row))
