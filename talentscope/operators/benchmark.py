@@ -121,6 +121,12 @@ def recent_benchmarks(benchmarks: DataFrame, n: int = 25) -> DataFrame:
     )
 
 
+def peek(df: DataFrame, n: int = 10, order_by: list[str] | None = None) -> DataFrame:
+    """The first ``n`` rows, in a repeatable order when ``order_by`` is given
+    (a per-task top-k, not a global sort)."""
+    return (df.orderBy(*order_by) if order_by else df).limit(n)
+
+
 def employee_directory(t: TalentTables) -> DataFrame:
     """``label, employee_id`` with label 'Full Name (id)'; order by
     (fullname, employee_id) when presenting."""
