@@ -44,8 +44,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     missing setting is an error, never a machine-local folder.
     """
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
+        if not sc.getCheckpointDir():  # set only as a runtime conf: apply it to the context
+            sc.setCheckpointDir(configured)
         # the configured root, not the per-context sub-folder Spark adds, so
         # tables written by one session stay findable from the next
         return configured
