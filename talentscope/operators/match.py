@@ -38,6 +38,7 @@ from talentscope.sources.tables import TalentTables
 # Trait names of the psych columns.
 COGNITIVE_TRAITS = [("iq", "IQ"), ("gtq", "GTQ"), ("tiki", "TIKI")]
 
+
 def _tv(df: DataFrame, tgv: str, tv, score, direction: str) -> DataFrame:
     tv_col = F.lit(tv) if isinstance(tv, str) else tv
     return df.select(
