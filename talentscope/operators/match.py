@@ -165,9 +165,17 @@ def people_with_dims(t: TalentTables) -> DataFrame:
     )
 
 
+def match_groups(tvm: DataFrame, t: TalentTables, weights: dict[str, float] | None = None) -> DataFrame:
+    """One row per (person, job) with a TV row: each group's mean TV rate
+    (``_g_<group>``), the rounded final rate (``_final``) and the person's
+    name and dimensions -- about one thirtieth of the detail rows."""
+    return _group_rates(tvm, weights or TGV_WEIGHTS).join(people_with_dims(t), "employee_id")
+
+
 def matching_detail(t: TalentTables, job_id: int | None = None, include_tiki: bool = True,
                     weights: dict[str, float] | None = None, latest: DataFrame | None = None,
-                    baseline: DataFrame | None = None, tv: DataFrame | None = None) -> DataFrame:
+                    baseline: DataFrame | None = None, tv: DataFrame | None = None,
+                    groups: DataFrame | None = None) -> DataFrame:
     """Unrounded detail rows with names: ``job_vacancy_id, employee_id,
     fullname, directorate, role, grade, tgv_name, tv_name, baseline_score,
     user_score, tv_match_rate, tgv_match_rate, final_match_rate``.
@@ -175,7 +183,8 @@ def matching_detail(t: TalentTables, job_id: int | None = None, include_tiki: bo
     ``job_id`` keeps one job; the filter lands on the broadcast baselines,
     so only that job's rows are ever produced.  ``tv`` is the trait table
     (``tv_long``); pass a written one, as it is read twice (for the group
-    aggregate and for the rows joined back to it).
+    aggregate and for the rows joined back to it).  ``groups`` is a
+    written ``match_groups`` result of the same inputs, reused if given.
     """
     weights = weights or TGV_WEIGHTS
     latest = latest if latest is not None else latest_year(t.performance_yearly)
@@ -186,7 +195,10 @@ def matching_detail(t: TalentTables, job_id: int | None = None, include_tiki: bo
     tvm = match_tv(tv, base)
     if job_id is not None:
         tvm = tvm.filter(F.col("job_vacancy_id") == job_id)
-    groups = _group_rates(tvm, weights).join(people_with_dims(t), "employee_id")
+    if groups is None:
+        groups = match_groups(tvm, t, weights)
+    elif job_id is not None:
+        groups = groups.filter(F.col("job_vacancy_id") == job_id)
     g = groups.select(
         F.col("employee_id").alias("_e"), F.col("job_vacancy_id").alias("_j"),
         "fullname", "directorate", "role", "grade", "_final",

@@ -19,6 +19,7 @@ from talentscope.operators import benchmark, clean, eda, insight, match, quality
 from talentscope.plans.pipelines import (
     baselines_for,
     latest_for,
+    match_groups_for,
     tv_long_for,
     matching_detail_for,
     readiness_final_for,
@@ -411,14 +412,18 @@ def _detail(spark, d):
     return match.detail_view(matching_detail_for(spark, d))
 
 
+def _ranked(spark, d):
+    return insight.ranked_from_groups(match_groups_for(spark, d))
+
+
 @query("ranked_talent")
 def q_ranked_talent(spark, d):
-    return insight.ranked_talent(_detail(spark, d))
+    return _ranked(spark, d)
 
 
 @query("ranked_talent_top50")
 def q_ranked_talent_top50(spark, d):
-    return insight.top_per_job(insight.ranked_talent(_detail(spark, d)), 50)
+    return insight.top_per_job(_ranked(spark, d), 50)
 
 
 @query("benchmark_create_ranked")
@@ -435,7 +440,7 @@ def q_benchmark_create_ranked(spark, d):
 
 @query("match_distribution")
 def q_match_distribution(spark, d):
-    return insight.match_distribution(insight.ranked_talent(_detail(spark, d)), 100)
+    return insight.match_distribution(_ranked(spark, d), 100)
 
 
 @query("candidate_tv_bands")

@@ -131,6 +131,13 @@ def tv_long_for(spark: SparkSession, sf_dir: str, include_tiki: bool = True) ->
                     lambda: match.tv_long(t, latest_for(spark, sf_dir), include_tiki))
 
 
+def match_groups_for(spark: SparkSession, sf_dir: str, include_tiki: bool = True) -> DataFrame:
+    """Per-(person, job) group and final rates with names, written once."""
+    t = tables_for(spark, sf_dir)
+    return _written(spark, sf_dir, f"match_groups:{include_tiki}", lambda: match.match_groups(
+        match.match_tv(tv_long_for(spark, sf_dir, include_tiki), baselines_for(spark, sf_dir, include_tiki)), t))
+
+
 def matching_detail_for(spark: SparkSession, sf_dir: str, job_id: int | None = None,
                         include_tiki: bool = True) -> DataFrame:
     """The unrounded match detail of every job, written once (the insight
@@ -141,7 +148,8 @@ def matching_detail_for(spark: SparkSession, sf_dir: str, job_id: int | None = N
     def build() -> DataFrame:
         return match.matching_detail(t, None, include_tiki=include_tiki, latest=latest_for(spark, sf_dir),
                                      baseline=baselines_for(spark, sf_dir, include_tiki),
-                                     tv=tv_long_for(spark, sf_dir, include_tiki))
+                                     tv=tv_long_for(spark, sf_dir, include_tiki),
+                                     groups=match_groups_for(spark, sf_dir, include_tiki))
 
     detail = _written(spark, sf_dir, f"matching_detail:{include_tiki}", build)
     if job_id is not None:
