@@ -85,6 +85,25 @@ def candidate_tgv_profile(detail: DataFrame) -> DataFrame:
     ).withColumn("benchmark_rate", F.lit(100.0))
 
 
+def tgv_profile_from_groups(groups: DataFrame) -> DataFrame:
+    """``candidate_tgv_profile`` from the per-(person, job) group table: one
+    row per group the candidate has trait rows in.  Every trait row of a
+    group carries the same rounded group rate, so their mean is that rate."""
+    from talentscope.functions.scoring import TGV_NAMES
+
+    per_group = F.explode(F.array(*[
+        F.struct(F.lit(g).alias("tgv_name"), F.col(f"_g_{g}").alias("r"), F.col(f"_c_{g}").alias("c"))
+        for g in TGV_NAMES
+    ])).alias("p")
+    return (
+        groups.filter(F.col("job_vacancy_id").isNotNull())
+        .select("job_vacancy_id", "employee_id", per_group)
+        .filter(F.col("p.c") > 0)
+        .select("job_vacancy_id", "employee_id", F.col("p.tgv_name").alias("tgv_name"),
+                rnd("p.r", 2).alias("tgv_match_rate"), F.lit(100.0).alias("benchmark_rate"))
+    )
+
+
 def candidate_insight(profile: DataFrame) -> DataFrame:
     """Per candidate: best and worst group (ties: first name), and the
     groups at or above 85 (strong) and at or below 70 (weak), by name."""

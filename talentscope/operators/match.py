@@ -143,10 +143,12 @@ def match_final(tgv: DataFrame, weights: dict[str, float] | None = None) -> Data
 
 
 def _group_rates(tvm: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """One row per (person, job): each group's mean TV rate and the final
-    rate, from a single partial-then-final aggregate."""
+    """One row per (person, job): each group's mean TV rate (``_g_``), its
+    number of TV rows (``_c_``) and the final rate, from a single
+    partial-then-final aggregate."""
     names = list(dict.fromkeys(TGV_NAMES + list(weights)))
     aggs = [F.avg(F.when(F.col("tgv_name") == g, F.col("tv_match_rate"))).alias(f"_g_{g}") for g in names]
+    aggs += [F.count(F.when(F.col("tgv_name") == g, F.lit(1))).alias(f"_c_{g}") for g in names]
     rates = tvm.groupBy("employee_id", "job_vacancy_id").agg(*aggs)
     final = rnd(weighted_sum({g: F.col(f"_g_{g}") for g in weights}, weights, missing_as_zero=True), 2)
     return rates.withColumn("_final", final)

@@ -450,12 +450,12 @@ def q_candidate_tv_bands(spark, d):
 
 @query("candidate_tgv_profile")
 def q_candidate_tgv_profile(spark, d):
-    return insight.candidate_tgv_profile(_detail(spark, d))
+    return insight.tgv_profile_from_groups(match_groups_for(spark, d))
 
 
 @query("candidate_insight")
 def q_candidate_insight(spark, d):
-    return insight.candidate_insight(insight.candidate_tgv_profile(_detail(spark, d)))
+    return insight.candidate_insight(insight.tgv_profile_from_groups(match_groups_for(spark, d)))
 
 
 @query("job_tgv_summary")
