@@ -66,3 +66,9 @@ def test_group_aggregates_are_broadcast_back(spark):
         assert "SortMergeJoin [pillar_code" not in p and "SortMergeJoin [scale_code" not in p, name
     p = plan(readiness.tgv_personality(t))
     assert "SortMergeJoin [scale_code" not in p and "BroadcastHashJoin [scale_code" in p
+
+
+def test_ranked_lists_and_profiles_read_the_group_table_without_shuffles(spark):
+    for name in ["ranked_talent", "candidate_tgv_profile"]:
+        p = plan(QUERIES[name](spark, SF_SMALL))
+        assert "Exchange" not in p, name

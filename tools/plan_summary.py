@@ -1,6 +1,9 @@
 """Print the per-query plan summary table of PLANS.md: python tools/plan_summary.py <sf_dir>."""
-import sys, re
-sys.path.insert(0, __import__("os").path.dirname(__import__("os").path.dirname(__import__("os").path.abspath(__file__))))
+import os
+import re
+import sys
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from talentscope.session import build_session
 from talentscope.plans.catalog import QUERIES
 from talentscope.plans.pipelines import tables_for, latest_for, baselines_for, tv_long_for
