@@ -123,6 +123,30 @@ def job_tgv_summary(detail: DataFrame) -> DataFrame:
     high to low, missing means last, ties by name."""
     agg = _with_job(detail).groupBy("job_vacancy_id", "tgv_name").agg(
         rnd(F.avg("tgv_match_rate"), 2).alias("avg_tgv_match"))
+    return _rank_job_groups(agg)
+
+
+def job_summary_from_groups(groups: DataFrame) -> DataFrame:
+    """``job_tgv_summary`` from the per-(person, job) group table: the mean
+    over trait rows is each person's rounded group rate weighted by their
+    number of trait rows in the group (rows with no rate are skipped, as a
+    mean skips them)."""
+    from talentscope.functions.scoring import TGV_NAMES
+
+    per_group = F.explode(F.array(*[
+        F.struct(F.lit(g).alias("tgv_name"), rnd(f"_g_{g}", 2).alias("r"), F.col(f"_c_{g}").alias("c"))
+        for g in TGV_NAMES
+    ])).alias("p")
+    rows = groups.filter(F.col("job_vacancy_id").isNotNull()).select("job_vacancy_id", per_group).filter(
+        F.col("p.c") > 0).select("job_vacancy_id", "p.*")
+    known = F.col("r").isNotNull()
+    agg = rows.groupBy("job_vacancy_id", "tgv_name").agg(
+        rnd(F.sum(F.when(known, F.col("r") * F.col("c"))) / F.sum(F.when(known, F.col("c"))), 2)
+        .alias("avg_tgv_match"))
+    return _rank_job_groups(agg)
+
+
+def _rank_job_groups(agg: DataFrame) -> DataFrame:
     w = Window.partitionBy("job_vacancy_id").orderBy(F.col("avg_tgv_match").desc_nulls_last(), "tgv_name")
     wn = Window.partitionBy("job_vacancy_id")
     ranked = agg.withColumn("tgv_rank", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(wn))

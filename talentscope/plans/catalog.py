@@ -460,7 +460,7 @@ def q_candidate_insight(spark, d):
 
 @query("job_tgv_summary")
 def q_job_tgv_summary(spark, d):
-    return insight.job_tgv_summary(_detail(spark, d))
+    return insight.job_summary_from_groups(match_groups_for(spark, d))
 
 
 @query("candidate_top_bottom_tvs")
