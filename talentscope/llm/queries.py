@@ -5,10 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join, packing, quality_rules, secrets, toxicity
+from . import bpe, jaccard_join, language_id, packing, quality_rules, resampling, secrets, token_counts, topk_search, toxicity
 from .common import documents, labels
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(documents(spark, sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -21,6 +29,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.findings(documents(spark, sf_dir))
 
 
+def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(documents(spark, sf_dir))
 
@@ -33,4 +45,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_quality_rules, op5_secret_scan, op7_ngram_jaccard_join, op8_toxicity, op9_byte_bpe)}
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk_search.integers(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return topk_search.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_packing, op4_quality_rules, op5_secret_scan, op6_importance_resampling,
+                                   op7_ngram_jaccard_join, op8_toxicity, op9_byte_bpe, op10_topk_search)}
