@@ -26,13 +26,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import log2
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD_SPLIT, checked_broadcast, saved
 
 #: Labelled rows that teach the list: those with the smallest hashed ids.
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 8_000
 MAX_RULES, MAX_CONDITIONS, CUTS = 12, 4, 24
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
@@ -85,8 +86,13 @@ class Rule:
     """Reject if every condition (statistic, sign, threshold) holds."""
     conditions: tuple[tuple[str, str, float], ...]
 
-    def holds(self, row: dict) -> bool:
-        return all(row[f] >= v if sign == ">=" else row[f] <= v for f, sign, v in self.conditions)
+    def holds(self, x: np.ndarray) -> np.ndarray:
+        """Which rows of a matrix of statistics (columns as in ``_ratios``) the rule covers."""
+        names, out = list(_ratios()), np.ones(len(x), bool)
+        for f, sign, v in self.conditions:
+            col = x[:, names.index(f)]
+            out &= col >= v if sign == ">=" else col <= v
+        return out
 
     def sql(self) -> str:
         return " AND ".join(f"({_ratios()[f]} {sign} {v!r}D)" for f, sign, v in self.conditions)
@@ -97,57 +103,52 @@ def _gain(p0: int, n0: int, p1: int, n1: int) -> float:
     return p1 * (log2(p1 / (p1 + n1)) - log2(p0 / (p0 + n0))) if p1 else 0.0
 
 
-def _grow(rows: list[tuple[dict, int]], cuts: dict[str, list[float]]) -> list[tuple[str, str, float]]:
-    rule: list = []
-    while len(rule) < MAX_CONDITIONS:
-        p0 = sum(y for _, y in rows)
-        if not p0 or p0 == len(rows):
-            break
-        best = (0.0, None)
-        for f, values in cuts.items():
-            for v in values:
-                p = sum(y for r, y in rows if r[f] >= v)
-                k = sum(1 for r, _ in rows if r[f] >= v)
-                eq_p = sum(y for r, y in rows if r[f] == v)
-                eq = sum(1 for r, _ in rows if r[f] == v)
-                for sign, a, b in ((">=", p, k), ("<=", p0 - p + eq_p, len(rows) - k + eq)):
-                    g = _gain(p0, len(rows) - p0, a, b - a)
+def _grow(x: np.ndarray, y: np.ndarray) -> list[tuple[str, str, float]]:
+    """Add the condition of the highest gain until no row to keep is covered or nothing gains."""
+    names, rule = list(_ratios()), []
+    steps = np.linspace(0, 1, CUTS + 1)  # cuts at quantiles of the rows to reject and of those to keep
+    cuts = [np.unique(np.concatenate([np.quantile(x[y == k, f], steps, method="lower") for k in (0, 1) if (y == k).any()])) for f in range(len(names))]
+    while len(rule) < MAX_CONDITIONS and 0 < (p0 := int(y.sum())) < len(y):
+        best = (1e-9, None)
+        for f, name in enumerate(names):
+            every, bad = np.sort(x[:, f]), np.sort(x[y == 1, f])
+            for v in cuts[f]:
+                k, p = len(y) - int(np.searchsorted(every, v)), p0 - int(np.searchsorted(bad, v))
+                lk, lp = int(np.searchsorted(every, v, "right")), int(np.searchsorted(bad, v, "right"))
+                for sign, total, hit in ((">=", k, p), ("<=", lk, lp)):
+                    g = _gain(p0, len(y) - p0, hit, total - hit)
                     if g > best[0] + 1e-9:
-                        best = (g, (f, sign, v))
+                        best = (g, (name, sign, float(v)))
         if best[1] is None:
             break
         rule.append(best[1])
-        rows = [x for x in rows if Rule((best[1],)).holds(x[0])]
+        covered = Rule((best[1],)).holds(x)
+        x, y = x[covered], y[covered]
     return rule
 
 
-def _prune(rule: list, rows: list[tuple[dict, int]]) -> tuple[list, float]:
+def _prune(rule: list, x: np.ndarray, y: np.ndarray) -> tuple[list, float]:
     """The prefix of the rule with the best (p - n) / (p + n) on the pruning rows."""
     worth = []
     for k in range(1, len(rule) + 1):
-        hit = [y for r, y in rows if Rule(tuple(rule[:k])).holds(r)]
-        worth.append((2 * sum(hit) / len(hit) - 1 if hit else -1.0, k))
+        hit = y[Rule(tuple(rule[:k])).holds(x)]
+        worth.append((2 * float(hit.mean()) - 1 if len(hit) else -1.0, k))
     best = max(worth, key=lambda w: (w[0], -w[1]), default=(-1.0, 0))
     return rule[:best[1]], best[0]
 
 
-def learn(rows: list[tuple[dict, int]]) -> list[Rule]:
-    """Sequential covering over (statistics, 1 if to reject); every third row prunes."""
-    grow, prune = [x for i, x in enumerate(rows) if i % 3], [x for i, x in enumerate(rows) if not i % 3]
+def learn(x: np.ndarray, y: np.ndarray) -> list[Rule]:
+    """Sequential covering over rows of statistics and 1 if to reject; every third row prunes."""
+    part = np.arange(len(y)) % 3 == 0
+    (gx, gy), (px, py) = (x[~part], y[~part]), (x[part], y[part])
     out: list[Rule] = []
-    while len(out) < MAX_RULES and any(y for _, y in grow):
-        cuts = {}
-        for f in _ratios():
-            v = sorted({r[f] for r, _ in grow})
-            cuts[f] = sorted({v[i * (len(v) - 1) // CUTS] for i in range(CUTS + 1)})
-        conditions, worth = _prune(_grow(grow, cuts), prune)
+    while len(out) < MAX_RULES and gy.any():
+        conditions, worth = _prune(_grow(gx, gy), px, py)
         if not conditions or worth <= 0:
             break
         out.append(Rule(tuple(conditions)))
-        left = [x for x in grow if not out[-1].holds(x[0])]
-        if len(left) == len(grow):
-            break
-        grow, prune = left, [x for x in prune if not out[-1].holds(x[0])]
+        left, rest = ~out[-1].holds(gx), ~out[-1].holds(px)
+        gx, gy, px, py = gx[left], gy[left], px[rest], py[rest]
     return out
 
 
@@ -159,7 +160,8 @@ def fit(docs: DataFrame, labelled: DataFrame) -> list[Rule]:
     seen = statistics(docs.select("doc_id", "text").join(checked_broadcast(sample, 32), "doc_id"))
     seen = saved(seen.select("_row.doc_id", "_row._s_q", "_s"), "quality_stats").where(~F.expr(BASE_FAILED))
     rows = seen.select("_s_q", "doc_id", *[F.expr(sql).alias(f) for f, sql in _ratios().items()]).orderBy(F.xxhash64("doc_id"), "doc_id", *_ratios()).limit(2 * TRAIN_ROWS)
-    return learn([(r.asDict(), int(r["_s_q"] == 0)) for r in rows.collect()])
+    rows = rows.collect()
+    return learn(np.array([[r[f] for f in _ratios()] for r in rows], float).reshape(-1, len(_ratios())), np.array([int(r["_s_q"] == 0) for r in rows], int))
 
 
 BASE_FAILED = f"(_s.n_words < {MIN_WORDS} OR 100 * _s.n_repeat_words > {MAX_REPEAT_PERCENT} * _s.n_words)"
