@@ -7,11 +7,14 @@ composition is one table over product states; a clause is scored by the state
 it ends in, so "you are a X", "not a X" and "he said X" weigh differently and
 words without a matched clause weigh nothing.
 
-The insult lexicon is learned: words and word stems (first 3 to 6 letters)
+The insult lexicon is learned: words and word stems (first 3 to 8 letters)
 that mark toxic documents in a bounded sample of labelled rows
-(``TRAIN_TOXIC``, ``TRAIN_CLEAN``: rows with the smallest hashed ids).  The
-weights of the end states come from the same rows by ridge-penalised logistic
-regression.  The function words of the other transducers are fixed values.
+(``TRAIN_TOXIC``, ``TRAIN_CLEAN``: rows with the smallest hashed ids).  A match
+weighs the log of how much likelier a toxic document holds the term than a
+clean one of the same length, so a chance match in a long text weighs little.
+The weights of the end states come from the same rows by ridge-penalised
+logistic regression.  The function words of the other transducers are fixed
+values.
 
 A document's score is ``1 / (1 + exp(-(b + sum of clause weights)))``.  Rows:
 NULL or empty texts match nothing and get the score of the bias alone; with no
@@ -34,9 +37,11 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .common import checked_broadcast, fold, fresh, saved
 
 TRAIN_TOXIC, TRAIN_CLEAN = 4_000, 12_000
-#: Most terms counted and kept, and the share of a term's documents that must be toxic.
-COUNTED_TERMS, KEPT_TERMS, PURITY = 40_000, 2_000, 0.9
-STEMS = range(3, 7)
+#: Most terms counted and kept, and how many times likelier a toxic document must hold a term.
+COUNTED_TERMS, KEPT_TERMS, LIFT = 40_000, 2_000, 8
+STEMS = range(3, 9)
+#: Most weight of one match, and most matches of one term that count.
+MOST_WEIGHT, MOST_MATCHES = 8.0, 3
 
 # Function words of the four languages and their marks.
 TARGETS = "you your yours he she they him her them tu toi te vous ton votre du dich dir ihr euch sie usted ustedes vosotros"
@@ -46,6 +51,7 @@ THREATS = "kill hurt destroy murder töten umbringen schlagen verletzen tuer fra
 
 PLAIN, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.,;:!?\n\"“”«»]")
+_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _BREAK = frozenset(".,;:!?\n")
 _QUOTE = frozenset("\"“”«»")
 
@@ -88,7 +94,7 @@ _PARTS = grammar()
 _SIZES = [p.states for p in _PARTS.values()]
 _TABLE = compose(list(_PARTS.values())).tolist()
 #: What a clause's end state adds to the features of its document.
-FEATURES = ("insult", "more_insults", "threat_at_target", "insult_at_target", "negated", "reported")
+FEATURES = ("weight", "insult", "more_insults", "threat_at_target", "insult_at_target", "negated", "reported")
 
 
 def _state_features() -> np.ndarray:
@@ -96,7 +102,7 @@ def _state_features() -> np.ndarray:
     for s in range(len(_TABLE)):
         insult, threat, target, negation, report = (int(x) for x in np.unravel_index(s, _SIZES))
         hit = insult or (threat and target)
-        out[s] = (insult > 0, insult > 1, threat and target, insult > 0 and target, hit and negation == 1, hit and report)
+        out[s] = (0, insult > 0, insult > 1, threat and target, insult > 0 and target, hit and negation == 1, hit and report)
     return out
 
 
@@ -104,32 +110,44 @@ STATE_FEATURES = _state_features()
 
 
 class Lexicon(dict):
-    """Word -> class, by the learned words and stems and the fixed function words."""
+    """Word -> class, by the learned terms and the fixed function words.
 
-    def __init__(self, terms, limit: int = 300_000):
+    ``terms``: term -> (share of toxic documents with it, its rate per word in clean ones).
+    """
+
+    def __init__(self, terms: dict, limit: int = 300_000):
         super().__init__()
         for cls, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
             self.update(dict.fromkeys(words.split(), cls))
-        self.words = {t[:-1] for t in terms if t.endswith("$")}
-        self.stems = {t[:-1] for t in terms if t.endswith("*")}
-        self.room = len(self) + limit
+        self.terms, self.room = terms, len(self) + limit
+
+    def term(self, word: str) -> str | None:
+        """The word itself or its longest learned stem."""
+        if word + "$" in self.terms:
+            return word + "$"
+        return next((word[:k] + "*" for k in reversed(STEMS) if len(word) > k and word[:k] + "*" in self.terms), None)
+
+    def weight(self, term: str, n: int) -> float:
+        toxic, rate = self.terms[term]
+        return min(max(float(np.log(toxic) - np.log(-np.expm1(-rate * n))), 0.0), MOST_WEIGHT)
 
     def __missing__(self, word: str) -> int:
-        cls = INSULT if word in self.words or any(word[:k] in self.stems for k in STEMS if len(word) > k) else PLAIN
+        cls = INSULT if self.term(word) else PLAIN
         if len(self) < self.room:
             self[word] = cls
         return cls
 
 
 def clause_features(text: str | None, lexicon: Lexicon) -> np.ndarray:
-    """Sum of the end-state features of the clauses of a whole text."""
+    """Sum of the end-state features and match weights of the clauses of a whole text."""
     out = np.zeros(len(FEATURES))
     if not text:
         return out
     low = text.lower()
-    if not ({INSULT, THREAT} & set(map(lexicon.__getitem__, set(re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?", low))))):
+    words = _WORD.findall(low)
+    if {INSULT, THREAT}.isdisjoint(map(lexicon.__getitem__, words)):
         return out  # no clause can match
-    state, quoted = 0, False
+    state, quoted, matched = 0, False, {}
     for token in _TOKEN.findall(low):
         if token in _BREAK:
             out += STATE_FEATURES[state]
@@ -139,10 +157,20 @@ def clause_features(text: str | None, lexicon: Lexicon) -> np.ndarray:
         elif token in _QUOTE:
             quoted = not quoted
         else:
-            state = _TABLE[state][lexicon[token]]
+            cls = lexicon[token]
+            state = _TABLE[state][cls]
+            if cls == INSULT:
+                term = lexicon.term(token)
+                matched[term] = matched.get(term, 0) + 1
             if quoted and state:
                 state = _TABLE[state][REPORT]
-    return out + STATE_FEATURES[state]
+    out += STATE_FEATURES[state]
+    out[0] = sum(lexicon.weight(t, len(words)) * min(k, MOST_MATCHES) for t, k in matched.items())
+    return out
+
+
+#: What the regression sees at most of each feature.
+_CAPS = np.array([25.0] + [3.0] * (len(FEATURES) - 1))
 
 
 def _terms(text: str | None) -> set[str]:
@@ -160,11 +188,14 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _known_counts(terms: set):
+    """Documents with each of the terms; under the empty term, the number of words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            count: dict = {}
+            count: dict = {"": 0}
             for t in b.column(0):
-                for x in _terms(t.as_py()) & terms:
+                text = t.as_py() or ""
+                count[""] += len(_WORD.findall(text.lower()))
+                for x in _terms(text) & terms:
                     count[x] = count.get(x, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["term", "hits"])
     return run
@@ -179,7 +210,7 @@ def _held_terms(terms: set):
 
 def cover(held: list[set], cost: dict[str, float], least: int) -> tuple:
     """Greedy set cover: the term that marks most documents not yet marked, less
-    20 times its weighted clean documents; the longest of equals, so a stem is
+    five times its clean documents at equal numbers; the longest of equals, so a stem is
     as specific as its documents allow.  Ends below ``least`` new documents, so
     words that only some copies of one text share don't enter.  Terms that the
     cover didn't need follow if they are frequent and stand beside many
@@ -191,7 +222,7 @@ def cover(held: list[set], cost: dict[str, float], least: int) -> tuple:
     full = dict(where)
     out, todo = [], set(range(len(held)))
     while len(out) < KEPT_TERMS and where:
-        gain = {t: len(d & todo) - 20 * cost[t] for t, d in where.items()}
+        gain = {t: len(d & todo) - 5 * cost[t] for t, d in where.items()}
         best = max(gain, key=lambda t: (gain[t], len(t.rstrip("$*")), t))
         if gain[best] < least:
             break
@@ -231,11 +262,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    terms: tuple
+    terms: dict
     weights: tuple  # one per feature, then the bias
 
     def score(self, text: str | None, lexicon: Lexicon) -> float:
-        f = np.minimum(clause_features(text, lexicon), 3)
+        f = np.minimum(clause_features(text, lexicon), _CAPS)
         return float(1 / (1 + np.exp(-np.clip(f @ np.array(self.weights[:-1]) + self.weights[-1], -30, 30))))
 
 
@@ -248,17 +279,19 @@ def fit(docs: DataFrame, labelled: DataFrame) -> ToxicityModel:
     n = {r["toxic"]: r["k"] for r in texts.groupBy("toxic").agg(F.count("*").alias("k")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
-        return ToxicityModel((), (0.0,) * len(FEATURES) + (30.0 if n1 else -30.0,))
-    least = max(3, n1 // 200)
+        return ToxicityModel({}, (0.0,) * len(FEATURES) + (30.0 if n1 else -30.0,))
+    least = max(3, n1 // 100)
     hits1 = texts.where("toxic = 1").select("text").mapInArrow(_term_counts, "term string, hits long").groupBy("term").agg(F.sum("hits").alias("hits"))
     hits1 = {r[0]: r[1] for r in hits1.where(F.col("hits") >= least).orderBy(F.desc("hits"), "term").limit(COUNTED_TERMS).collect()}
     hits0 = texts.where("toxic = 0").select("text").mapInArrow(_known_counts(set(hits1)), "term string, hits long").groupBy("term").agg(F.sum("hits").alias("hits"))
-    hits0 = {r[0]: r[1] for r in hits0.collect()}  # at most COUNTED_TERMS rows
-    pure = {t for t, h in hits1.items() if hits0.get(t, 0) <= h * n0 / n1 * (1 - PURITY) / 10}
-    held = texts.where("toxic = 1").select("text").mapInArrow(_held_terms(pure), "terms array<string>").collect()  # TRAIN_TOXIC rows at most
-    terms = cover([set(r[0]) for r in held], {t: hits0.get(t, 0) * n1 / n0 for t in pure}, 3)
+    hits0 = {r[0]: r[1] for r in hits0.collect()}  # at most COUNTED_TERMS rows and the word count
+    n_words = hits0.pop("", 0) + 1
+    lifted = {t for t, h in hits1.items() if hits0.get(t, 0) * LIFT * n1 <= h * n0}
+    held = texts.where("toxic = 1").select("text").mapInArrow(_held_terms(lifted), "terms array<string>").collect()  # TRAIN_TOXIC rows at most
+    terms = cover([set(r[0]) for r in held], {t: hits0.get(t, 0) * n1 / n0 for t in lifted}, least)
+    terms = {t: (hits1[t] / (n1 + 1), (hits0.get(t, 0) + 0.5) / n_words) for t in terms}
     rows = texts.select(F.col("toxic").cast("long").alias("toxic"), "text").mapInArrow(_features(terms), "key long, f array<double>").collect()
-    x, y = np.minimum(np.array([r["f"] for r in rows]), 3), np.array([r["key"] for r in rows], float)
+    x, y = np.minimum(np.array([r["f"] for r in rows]), _CAPS), np.array([r["key"] for r in rows], float)
     return ToxicityModel(terms, tuple(float(w) for w in _logistic(x, y)))
 
 
