@@ -38,24 +38,18 @@ MAX_RULES, MAX_CONDITIONS, CUTS = 12, 4, 24
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
-def _repeat_words(h: Column, n: Column) -> Column:
-    """Words covered by repeated 3-word windows, from the array of word hashes."""
-    two = F.zip_with(F.slice(h, F.lit(1), F.greatest(n - 2, F.lit(0))), F.slice(h, F.lit(2), F.greatest(n - 2, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    return F.zip_with(two, F.slice(h, F.lit(3), F.greatest(n - 2, F.lit(0))), lambda ab, c: F.xxhash64(ab, c))
-
-
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``_row``, a struct of all columns of ``docs``, and ``_s``, a struct of the statistics."""
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     t = F.col("_t")
     df = df.withColumn("_s_w", F.filter(F.split(t, WORD_SPLIT), lambda w: w != ""))
     df = df.withColumn("_s_n", F.size("_s_w")).withColumn("_s_h", F.transform("_s_w", lambda w: F.xxhash64(w)))
-    df = df.withColumn("_s_win", _repeat_words(F.col("_s_h"), F.col("_s_n")))
+    df = df.withColumn("_s_win", F.expr("transform(slice(_s_h, 1, greatest(_s_n - 2, 0)), (x, i) -> xxhash64(x, _s_h[i + 1], _s_h[i + 2]))"))
     repeated = F.size(F.array_distinct("_s_win")) < F.size("_s_win")
-    df = df.withColumn("_s_sorted", F.when(repeated, F.array_sort(F.transform("_s_win", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
+    df = df.withColumn("_s_sorted", F.when(repeated, F.sort_array(F.transform("_s_win", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
     hits = F.zip_with("_s_sorted", F.slice("_s_sorted", F.lit(2), F.greatest(F.size("_s_sorted"), F.lit(1))),
                       lambda a, b: F.when(a["x"] == b["x"], F.array(a["i"], b["i"])))
-    df = df.withColumn("_s_at", F.array_sort(F.array_distinct(F.flatten(F.filter(hits, lambda p: p.isNotNull())))))
+    df = df.withColumn("_s_at", F.sort_array(F.array_distinct(F.flatten(F.filter(hits, lambda p: p.isNotNull())))))
     steps = F.zip_with("_s_at", F.slice("_s_at", F.lit(2), F.greatest(F.size("_s_at"), F.lit(1))), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
     df = df.withColumn("_s_rep", F.coalesce(F.aggregate(steps, F.lit(0), lambda s, x: s + x), F.lit(0)))
     df = df.withColumn("_s_lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
