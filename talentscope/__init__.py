@@ -7,7 +7,6 @@ Layout:
   operators/  DataFrame -> DataFrame operators (clean, quality, eda,
               readiness, benchmark, match, insight, ranking)
   plans/      end-to-end pipelines, the named query catalogue and its SQL oracle
-  streaming/  (nothing: the workload has no streams)
 """
 
 from talentscope.session import broadcast_if_small, build_session, checkpoint_root, write_and_read

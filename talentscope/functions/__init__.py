@@ -22,7 +22,7 @@ from talentscope.functions.text import (
     disc_from_words,
     fill_disc,
     missing_to_unknown,
-    normalize_name,
+    column_names,
 )
 
 __all__ = [
@@ -35,7 +35,7 @@ __all__ = [
     "match_band",
     "min_max_scale",
     "missing_to_unknown",
-    "normalize_name",
+    "column_names",
     "readiness_band",
     "rnd",
     "rnd_even",

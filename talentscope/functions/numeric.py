@@ -58,6 +58,13 @@ def to_number(c: Column | str) -> Column:
     return F.when(t.rlike(NUMBER_PATTERN), t.try_cast("double"))
 
 
+def to_int(c: Column | str) -> Column:
+    """String to int: a whole number within range, else NULL ('3.7' and
+    '99999999999' are no years)."""
+    x = to_number(c)
+    return F.when(x == F.floor(x), x.try_cast("int"))
+
+
 def min_max_scale(value: Column | str, lo: Column | str, hi: Column | str) -> Column:
     """``(value - lo) / NULLIF(hi - lo, 0)``."""
     return safe_div(_col(value) - _col(lo), _col(hi) - _col(lo))

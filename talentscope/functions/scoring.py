@@ -78,7 +78,3 @@ def match_band(rate: Column | str) -> Column:
     """'green' from 90, 'amber' from 70, else 'red' (NULL is 'red')."""
     r = _col(rate)
     return F.when(r >= MATCH_GREEN_AT, "green").when(r >= MATCH_AMBER_AT, "amber").otherwise("red")
-
-
-def round2(c: Column | str) -> Column:
-    return rnd(c, 2)

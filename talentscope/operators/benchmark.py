@@ -17,18 +17,17 @@ from talentscope.operators.common import at_latest_year, latest_year
 from talentscope.session import attach_one_row
 from talentscope.sources.tables import TalentTables
 
-# A cohort is a hand-picked set of role models stored as one array per job.
-MAX_COHORT = 100_000
+def _cohort_array(talent_ids: DataFrame) -> DataFrame:
+    """One row holding the sorted ids, the form of the exported benchmark
+    table.  An array of ids is one row by nature; a cohort that should not be
+    one goes to ``cohort_table`` and stays a table of (job, employee) rows."""
+    return talent_ids.agg(F.array_sort(F.collect_list("employee_id")).alias("ids"))
 
 
-def _cohort_array(talent_ids: DataFrame, max_size: int) -> DataFrame:
-    """One row holding the sorted ids.  The ids are counted first: a list
-    longer than ``max_size`` is refused (never cut), because it would
-    become one huge array in one row."""
-    n = talent_ids.count()
-    if n > max_size:
-        raise ValueError(f"cohort of {n} ids exceeds {max_size}; keep role models as a table instead")
-    return talent_ids.agg(F.array_sort(F.collect_list("employee_id")).alias("ids"))
+def cohort_table(job_vacancy_id: int, talent_ids: DataFrame) -> DataFrame:
+    """``job_vacancy_id, employee_id``: a cohort of any size as rows, as
+    ``cohort_explode`` gives them; ``match.baseline_table(cohort=...)`` takes it."""
+    return talent_ids.select(F.lit(job_vacancy_id).cast("int").alias("job_vacancy_id"), "employee_id")
 
 
 def rated_at_latest_year(perf: DataFrame, rating: float = 5.0, latest: DataFrame | None = None) -> DataFrame:
@@ -66,12 +65,18 @@ def cohort_explode(benchmarks: DataFrame) -> DataFrame:
 
 
 def create_benchmark(benchmarks: DataFrame, role_name: str, job_level: str, role_purpose: str,
-                     talent_ids: DataFrame, created_at: dt.datetime, weights_config: str = "{}",
-                     max_cohort: int = MAX_COHORT) -> DataFrame:
+                     talent_ids: DataFrame, created_at: dt.datetime, weights_config: str = "{}") -> DataFrame:
     """Append one job whose id is ``max(id) + 1``; ``talent_ids`` is a
-    DataFrame of ``employee_id`` (the chosen role models)."""
+    DataFrame of ``employee_id`` (the chosen role models).  A blank role,
+    level or purpose and an empty cohort are refused."""
+    blank = [n for n, v in (("role_name", role_name), ("job_level", job_level), ("role_purpose", role_purpose))
+             if not (v or "").strip()]
+    if blank:
+        raise ValueError(f"blank: {', '.join(blank)}")
+    if talent_ids.isEmpty():
+        raise ValueError("a benchmark needs role models")
     next_id = benchmarks.agg(F.coalesce(F.max("job_vacancy_id") + 1, F.lit(1)).cast("int").alias("job_vacancy_id"))
-    ids = _cohort_array(talent_ids, max_cohort).withColumnRenamed("ids", "selected_talent_ids")
+    ids = _cohort_array(talent_ids).withColumnRenamed("ids", "selected_talent_ids")
     row = attach_one_row(next_id, ids).select(
         "job_vacancy_id",
         F.lit(role_name).alias("role_name"),
@@ -84,10 +89,9 @@ def create_benchmark(benchmarks: DataFrame, role_name: str, job_level: str, role
     return benchmarks.unionByName(row)
 
 
-def set_cohort(benchmarks: DataFrame, job_vacancy_id: int, talent_ids: DataFrame,
-               max_cohort: int = MAX_COHORT) -> DataFrame:
+def set_cohort(benchmarks: DataFrame, job_vacancy_id: int, talent_ids: DataFrame) -> DataFrame:
     """Replace one job's cohort with the sorted ids of ``talent_ids``."""
-    ids = _cohort_array(talent_ids, max_cohort).withColumnRenamed("ids", "_new_ids")
+    ids = _cohort_array(talent_ids).withColumnRenamed("ids", "_new_ids")
     return attach_one_row(benchmarks, ids).select(
         *[
             F.when(F.col("job_vacancy_id") == job_vacancy_id, F.col("_new_ids")).otherwise(F.col(c)).alias(c)
@@ -127,11 +131,11 @@ def peek(df: DataFrame, n: int = 10, order_by: list[str] | None = None) -> DataF
     return (df.orderBy(*order_by) if order_by else df).limit(n)
 
 
-def employee_directory(t: TalentTables) -> DataFrame:
-    """``label, employee_id`` with label 'Full Name (id)'; order by
-    (fullname, employee_id) when presenting."""
-    return t.employees.select(
+def employee_directory(t: TalentTables, ordered: bool = True) -> DataFrame:
+    """``label, employee_id, fullname`` with label 'Full Name (id)', by name."""
+    directory = t.employees.select(
         F.concat(F.col("fullname"), F.lit(" ("), F.col("employee_id"), F.lit(")")).alias("label"),
         "employee_id",
         "fullname",
     )
+    return directory.orderBy("fullname", "employee_id") if ordered else directory

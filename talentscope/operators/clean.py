@@ -5,7 +5,7 @@ switches every median to ``percentile_approx`` for columns with a huge
 number of distinct values.  Group medians are an aggregate joined back on
 the group key, never a window: a window would put a whole pillar or scale,
 possibly most of the table, in one task.  The aggregate combines map-side,
-is checkpointed and counted (``small_aggregate``) and is broadcast back,
+is written and measured (``small_aggregate``) and is broadcast back,
 so the rows are never shuffled by their few group codes.
 """
 
@@ -13,23 +13,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from talentscope.functions.numeric import median_of, rnd_even, strip_ws, to_number
-from talentscope.functions.text import fill_disc, missing_to_unknown, normalize_name
+from talentscope.functions.numeric import median_of, rnd_even, strip_ws, to_int, to_number
+from talentscope.functions.text import column_names, fill_disc, missing_to_unknown
 from talentscope.session import attach_one_row, small_aggregate
+from talentscope.sources import schemas
 
-EMPLOYEE_NUMERIC = [
-    "company_id", "area_id", "position_id", "department_id", "division_id", "directorate_id",
-    "grade_id", "education_id", "major_id", "years_of_service_months",
-]
+EMPLOYEE_NUMERIC = [f.name for f in schemas.EMPLOYEES.fields if isinstance(f.dataType, NumericType)]
 PSYCH_NUMERIC = ["pauli", "faxtor", "iq", "gtq", "tiki"]
 PSYCH_TEXT = ["disc", "disc_word", "mbti"]
 
 
 def standardize_columns(df: DataFrame) -> DataFrame:
-    """Trim and lower-case column names, spaces / dashes / dots to '_'
-    (a rename only: no data moves)."""
-    return df.toDF(*[normalize_name(c) for c in df.columns])
+    """Standard column names (``column_names``); a rename only, no data moves."""
+    return df.toDF(*column_names(df.columns))
 
 
 def require_columns(df: DataFrame, required: list[str]) -> DataFrame:
@@ -48,9 +46,7 @@ def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def clean_employees(raw: DataFrame) -> DataFrame:
     """Standardised names, numeric ids and service months coerced."""
-    df = standardize_columns(raw)
-    keep_text = {"position_id"}
-    return coerce_numeric(df, [c for c in EMPLOYEE_NUMERIC if c not in keep_text])
+    return coerce_numeric(standardize_columns(raw), EMPLOYEE_NUMERIC)
 
 
 def impute_global_median(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
@@ -62,7 +58,7 @@ def impute_global_median(df: DataFrame, col: str, exact: bool = True) -> DataFra
 def clean_performance(raw: DataFrame, exact: bool = True) -> DataFrame:
     """``employee_id, year, rating``: rating coerced, missing -> global median."""
     df = standardize_columns(raw).select(
-        "employee_id", to_number("year").cast("int").alias("year"), to_number("rating").alias("rating"))
+        "employee_id", to_int("year").alias("year"), to_number("rating").alias("rating"))
     return impute_global_median(df, "rating", exact)
 
 
@@ -70,7 +66,7 @@ def clean_competencies(raw: DataFrame, fallback: float = 3.0, exact: bool = True
     """``employee_id, year, pillar_code, score``: missing score -> the
     pillar's median, else ``fallback``; then half-even to one place."""
     df = require_columns(standardize_columns(raw), ["employee_id", "year", "pillar_code", "score"]).select(
-        "employee_id", to_number("year").try_cast("int").alias("year"), "pillar_code",
+        "employee_id", to_int("year").alias("year"), "pillar_code",
         to_number("score").alias("score"),
     )
     med = small_aggregate(df.groupBy(F.col("pillar_code").alias("_key")).agg(median_of("score", exact).alias("_med")))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentscope.functions.numeric import rnd
-from talentscope.functions.scoring import STRONG_AT, WEAK_AT, match_band
+from talentscope.functions.scoring import STRONG_AT, TGV_NAMES, WEAK_AT, match_band
 
 DIMS = ["directorate", "role", "grade"]
 
@@ -26,31 +26,22 @@ def _with_job(detail: DataFrame) -> DataFrame:
     return detail.filter(F.col("job_vacancy_id").isNotNull())
 
 
-def ranked_talent(detail: DataFrame, keep_missing_dims: bool = False) -> DataFrame:
+def _complete(df: DataFrame) -> DataFrame:
+    return df.filter(F.col("fullname").isNotNull() & F.col("directorate").isNotNull()
+                     & F.col("role").isNotNull() & F.col("grade").isNotNull())
+
+
+def ranked_talent(groups: DataFrame, keep_missing_dims: bool = False) -> DataFrame:
     """``job_vacancy_id, employee_id, fullname, directorate, role, grade,
-    final_match_rate``: one row per candidate and job.
+    final_match_rate``: one row per candidate and job, from the per-(person,
+    job) group table (``match.match_groups``), no shuffle.
 
     People with a missing name, directorate, role or grade are dropped
     unless ``keep_missing_dims`` (a grouped pandas frame drops them too).
     """
-    d = _with_job(detail)
-    if not keep_missing_dims:
-        d = d.filter(F.col("fullname").isNotNull() & F.col("directorate").isNotNull()
-                     & F.col("role").isNotNull() & F.col("grade").isNotNull())
-    return d.groupBy("job_vacancy_id", "employee_id", "fullname", *DIMS).agg(
-        F.max("final_match_rate").alias("final_match_rate"))
-
-
-def ranked_from_groups(groups: DataFrame, keep_missing_dims: bool = False) -> DataFrame:
-    """``ranked_talent`` from the per-(person, job) group table
-    (``match.match_groups``) instead of the trait-level detail: the same
-    rows from about a thirtieth of the input."""
     g = groups.filter(F.col("job_vacancy_id").isNotNull())
-    if not keep_missing_dims:
-        g = g.filter(F.col("fullname").isNotNull() & F.col("directorate").isNotNull()
-                     & F.col("role").isNotNull() & F.col("grade").isNotNull())
-    return g.select("job_vacancy_id", "employee_id", "fullname", *DIMS,
-                    rnd("_final", 2).alias("final_match_rate"))
+    return (g if keep_missing_dims else _complete(g)).select(
+        "job_vacancy_id", "employee_id", "fullname", *DIMS, rnd("_final", 2).alias("final_match_rate"))
 
 
 def top_per_job(ranked: DataFrame, n: int) -> DataFrame:
@@ -76,69 +67,46 @@ def candidate_tv_bands(detail: DataFrame) -> DataFrame:
     )
 
 
-def candidate_tgv_profile(detail: DataFrame) -> DataFrame:
+def _group_items(groups: DataFrame) -> F.Column:
+    """Array of (tgv_name, r, c) of a group-table row: the groups with trait rows, rates rounded."""
+    items = F.array(*[F.struct(F.lit(g).alias("tgv_name"), rnd(f"_g_{g}", 2).alias("r"), F.col(f"_c_{g}").alias("c"))
+                      for g in sorted(TGV_NAMES)])
+    return F.filter(items, lambda x: x["c"] > 0)
+
+
+def candidate_tgv_profile(groups: DataFrame) -> DataFrame:
     """``job_vacancy_id, employee_id, tgv_name, tgv_match_rate, benchmark_rate``
-    (mean over the candidate's rows of each group, rounded to 2, beside the
-    constant 100)."""
-    return _with_job(detail).groupBy("job_vacancy_id", "employee_id", "tgv_name").agg(
-        rnd(F.avg("tgv_match_rate"), 2).alias("tgv_match_rate")
-    ).withColumn("benchmark_rate", F.lit(100.0))
-
-
-def tgv_profile_from_groups(groups: DataFrame) -> DataFrame:
-    """``candidate_tgv_profile`` from the per-(person, job) group table: one
-    row per group the candidate has trait rows in.  Every trait row of a
-    group carries the same rounded group rate, so their mean is that rate."""
-    from talentscope.functions.scoring import TGV_NAMES
-
-    per_group = F.explode(F.array(*[
-        F.struct(F.lit(g).alias("tgv_name"), F.col(f"_g_{g}").alias("r"), F.col(f"_c_{g}").alias("c"))
-        for g in TGV_NAMES
-    ])).alias("p")
-    return (
-        groups.filter(F.col("job_vacancy_id").isNotNull())
-        .select("job_vacancy_id", "employee_id", per_group)
-        .filter(F.col("p.c") > 0)
-        .select("job_vacancy_id", "employee_id", F.col("p.tgv_name").alias("tgv_name"),
-                rnd("p.r", 2).alias("tgv_match_rate"), F.lit(100.0).alias("benchmark_rate"))
-    )
+    (the candidate's group rates, rounded to 2, beside the constant 100): one
+    row per group the candidate has trait rows in, no shuffle."""
+    return _with_job(groups).select("job_vacancy_id", "employee_id", F.explode(_group_items(groups)).alias("p")).select(
+        "job_vacancy_id", "employee_id", "p.tgv_name", F.col("p.r").alias("tgv_match_rate"),
+        F.lit(100.0).alias("benchmark_rate"))
 
 
-def candidate_insight(profile: DataFrame) -> DataFrame:
+def candidate_insight(groups: DataFrame) -> DataFrame:
     """Per candidate: best and worst group (ties: first name), and the
-    groups at or above 85 (strong) and at or below 70 (weak), by name."""
-    r, name = F.col("tgv_match_rate"), F.col("tgv_name")
-    known = r.isNotNull()
-    return profile.groupBy("job_vacancy_id", "employee_id").agg(
-        F.min_by(name, F.when(known, F.struct(-r, name))).alias("best_tgv"),
-        F.min_by(name, F.when(known, F.struct(r, name))).alias("worst_tgv"),
-        F.array_join(F.array_sort(F.collect_list(F.when(r >= STRONG_AT, name))), ",").alias("strong_tgvs"),
-        F.array_join(F.array_sort(F.collect_list(F.when(r <= WEAK_AT, name))), ",").alias("weak_tgvs"),
-    )
-
+    groups at or above 85 (strong) and at or below 70 (weak), by name.
+    Array functions on the group-table row, no shuffle."""
+    def names(keep) -> F.Column:
+        return F.array_join(F.transform(F.filter("items", keep), lambda x: x["tgv_name"]), ",")
 
-def job_tgv_summary(detail: DataFrame) -> DataFrame:
-    """``job_vacancy_id, tgv_name, avg_tgv_match, tgv_rank, is_best, is_worst``:
-    mean over the job's trait rows (each row carries its group rate), ranked
-    high to low, missing means last, ties by name."""
-    agg = _with_job(detail).groupBy("job_vacancy_id", "tgv_name").agg(
-        rnd(F.avg("tgv_match_rate"), 2).alias("avg_tgv_match"))
-    return _rank_job_groups(agg)
+    def first(sign: int) -> F.Column:  # items are in name order, so equal rates keep the first name
+        known = F.filter("items", lambda x: x["r"].isNotNull())
+        order = F.transform(known, lambda x: F.struct((x["r"] * sign).alias("k"), x["tgv_name"].alias("tgv_name")))
+        return F.array_min(order)["tgv_name"]
 
+    rows = _with_job(groups).select("job_vacancy_id", "employee_id", _group_items(groups).alias("items"))
+    return rows.select(
+        "job_vacancy_id", "employee_id", first(-1).alias("best_tgv"), first(1).alias("worst_tgv"),
+        names(lambda x: x["r"] >= STRONG_AT).alias("strong_tgvs"), names(lambda x: x["r"] <= WEAK_AT).alias("weak_tgvs"))
 
-def job_summary_from_groups(groups: DataFrame) -> DataFrame:
-    """``job_tgv_summary`` from the per-(person, job) group table: the mean
-    over trait rows is each person's rounded group rate weighted by their
-    number of trait rows in the group (rows with no rate are skipped, as a
-    mean skips them)."""
-    from talentscope.functions.scoring import TGV_NAMES
 
-    per_group = F.explode(F.array(*[
-        F.struct(F.lit(g).alias("tgv_name"), rnd(f"_g_{g}", 2).alias("r"), F.col(f"_c_{g}").alias("c"))
-        for g in TGV_NAMES
-    ])).alias("p")
-    rows = groups.filter(F.col("job_vacancy_id").isNotNull()).select("job_vacancy_id", per_group).filter(
-        F.col("p.c") > 0).select("job_vacancy_id", "p.*")
+def job_tgv_summary(groups: DataFrame) -> DataFrame:
+    """``job_vacancy_id, tgv_name, avg_tgv_match, tgv_rank, is_best, is_worst``:
+    mean over the job's trait rows (each person's rounded group rate weighted
+    by their number of trait rows in the group; rows with no rate are skipped),
+    ranked high to low, missing means last, ties by name."""
+    rows = _with_job(groups).select("job_vacancy_id", F.explode(_group_items(groups)).alias("p")).select("job_vacancy_id", "p.*")
     known = F.col("r").isNotNull()
     agg = rows.groupBy("job_vacancy_id", "tgv_name").agg(
         rnd(F.sum(F.when(known, F.col("r") * F.col("c"))) / F.sum(F.when(known, F.col("c"))), 2)
@@ -158,34 +126,40 @@ def _rank_job_groups(agg: DataFrame) -> DataFrame:
     )
 
 
+def _placed(detail: DataFrame, k: int) -> DataFrame:
+    """Trait rows among a candidate's ``k`` best (``hi``) or ``k`` worst (``lo``):
+    both positions from one shuffle by (job, candidate)."""
+    key = Window.partitionBy("job_vacancy_id", "employee_id")
+    r = F.col("tv_match_rate")
+    d = _with_job(detail).select("job_vacancy_id", "employee_id", "tv_name", "tv_match_rate")
+    return (d.withColumn("hi", F.row_number().over(key.orderBy(r.desc_nulls_last(), "tv_name")))
+            .withColumn("lo", F.row_number().over(key.orderBy(r.asc_nulls_last(), "tv_name")))
+            .filter((F.col("hi") <= k) | (F.col("lo") <= k)))
+
+
 def candidate_top_bottom_tvs(detail: DataFrame, k: int = 5) -> DataFrame:
     """``job_vacancy_id, employee_id, side, position, tv_name, tv_match_rate``:
     each candidate's ``k`` best ('top') and ``k`` worst ('low') traits,
     missing rates last on both sides, ties by trait name."""
-    d = _with_job(detail).select("job_vacancy_id", "employee_id", "tv_name", "tv_match_rate")
-    r = F.col("tv_match_rate")
-    key = ["job_vacancy_id", "employee_id"]
-    top = d.withColumn("position", F.row_number().over(
-        Window.partitionBy(*key).orderBy(r.desc_nulls_last(), "tv_name"))).withColumn("side", F.lit("top"))
-    low = d.withColumn("position", F.row_number().over(
-        Window.partitionBy(*key).orderBy(r.asc_nulls_last(), "tv_name"))).withColumn("side", F.lit("low"))
-    return top.unionByName(low).filter(F.col("position") <= k).select(
-        *key, "side", F.col("position").cast("long").alias("position"), "tv_name", "tv_match_rate")
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), F.col(c).cast("long").alias("position")) for side, c in (("top", "hi"), ("low", "lo"))])
+    placed = _placed(detail, k).withColumn("s", F.explode(F.filter(sides, lambda x: x["position"] <= k)))
+    return placed.select("job_vacancy_id", "employee_id", "s.side", "s.position", "tv_name", "tv_match_rate")
 
 
-def candidate_evidence_json(detail: DataFrame, k: int = 5) -> DataFrame:
+def candidate_evidence_json(detail: DataFrame, groups: DataFrame, k: int = 5) -> DataFrame:
     """``job_vacancy_id, employee_id, evidence``: JSON with the job's best and
-    weakest group and the candidate's top and low traits."""
-    summary = job_tgv_summary(detail).groupBy("job_vacancy_id").agg(
+    weakest group (from the group table) and the candidate's top and low
+    traits (one shuffle of the detail, shared by positions and lists)."""
+    summary = job_tgv_summary(groups).groupBy("job_vacancy_id").agg(
         F.max(F.when(F.col("is_best"), F.col("tgv_name"))).alias("tgv_best"),
         F.max(F.when(F.col("is_worst"), F.col("tgv_name"))).alias("tgv_gap"),
     )
-    tvs = candidate_top_bottom_tvs(detail, k)
-    item = F.struct(F.col("position"), F.struct("tv_name", "tv_match_rate").alias("tv"))
-    lists = tvs.groupBy("job_vacancy_id", "employee_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == "top", item))), lambda x: x["tv"]).alias("top"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == "low", item))), lambda x: x["tv"]).alias("low"),
-    )
+
+    def side(c: str) -> F.Column:
+        item = F.when(F.col(c) <= k, F.struct(F.col(c), F.struct("tv_name", "tv_match_rate").alias("tv")))
+        return F.transform(F.array_sort(F.collect_list(item)), lambda x: x["tv"])
+
+    lists = _placed(detail, k).groupBy("job_vacancy_id", "employee_id").agg(side("hi").alias("top"), side("lo").alias("low"))
     return lists.join(summary, "job_vacancy_id").select(
         "job_vacancy_id", "employee_id",
         F.to_json(F.struct(

@@ -32,7 +32,7 @@ from talentscope.functions.numeric import rnd
 from talentscope.functions.scoring import TGV_NAMES, TGV_WEIGHTS, tv_match_rate, weighted_sum
 from talentscope.operators.benchmark import cohort_explode
 from talentscope.operators.common import at_latest_year, latest_year
-from talentscope.session import DEFAULT_BROADCAST_ROWS, broadcast_if_small, write_and_read
+from talentscope.session import DEFAULT_BROADCAST_BYTES, broadcast_if_small, measured_bytes, write_and_read
 from talentscope.sources.tables import TalentTables
 
 # Trait names of the psych columns.
@@ -73,13 +73,13 @@ def tv_long(t: TalentTables, latest: DataFrame | None = None, include_tiki: bool
     return out
 
 
-def restrict_to(t: TalentTables, ids: DataFrame, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+def restrict_to(t: TalentTables, ids: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES,
                 checked: bool = False) -> TalentTables:
     """The same tables cut to people in ``ids``: a semi join at each fact
     scan, broadcast when the distinct ids are few (counted here unless the
     caller has already bounded them: ``checked=True``)."""
     ids = ids.select("employee_id").distinct()
-    ids = F.broadcast(ids) if checked else broadcast_if_small(ids, max_broadcast_rows)
+    ids = F.broadcast(ids) if checked else broadcast_if_small(ids, max_bytes)
     keyed = ["employees", "performance_yearly", "competencies_yearly", "profiles_psych", "papi_scores", "strengths"]
     return t.map(lambda n, df: df.join(ids, "employee_id", "left_semi") if n in keyed else df)
 
@@ -96,25 +96,27 @@ def match_baseline(tv: DataFrame, cohort: DataFrame) -> DataFrame:
 
 
 def baseline_table(t: TalentTables, include_tiki: bool = True,
-                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                   max_bytes: int = DEFAULT_BROADCAST_BYTES, cohort: DataFrame | None = None) -> DataFrame:
     """Baselines of every job computed from the cohort members only (the
-    fact tables are cut to the cohort's ids first); not yet written."""
-    cohort = cohort_explode(t.talent_benchmarks)
-    # one count bounds both the (job, id) pairs and the distinct ids
-    small_cohort = cohort.count() <= max_broadcast_rows
-    small = restrict_to(t, cohort, max_broadcast_rows, checked=small_cohort)
+    fact tables are cut to the cohort's ids first); not yet written.
+    ``cohort`` gives the cohorts as (job, employee) rows instead of the
+    arrays of the benchmark table."""
+    cohort = cohort if cohort is not None else cohort_explode(t.talent_benchmarks)
+    # one measure bounds both the (job, id) pairs and the distinct ids
+    small_cohort = measured_bytes(cohort) <= max_bytes
+    small = restrict_to(t, cohort, max_bytes, checked=small_cohort)
     cohort = F.broadcast(cohort) if small_cohort else cohort
     return match_baseline(tv_long(small, latest_year(small.performance_yearly), include_tiki), cohort)
 
 
 def baselines(t: TalentTables, latest: DataFrame | None = None, include_tiki: bool = True,
-              max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, materialize: bool = True) -> DataFrame:
+              max_bytes: int = DEFAULT_BROADCAST_BYTES, materialize: bool = True) -> DataFrame:
     """``baseline_table``, written (unless ``materialize=False``) and counted,
     then marked for broadcast when small."""
-    base = baseline_table(t, include_tiki, max_broadcast_rows)
+    base = baseline_table(t, include_tiki, max_bytes)
     if materialize:
         base = write_and_read(base, "baselines")
-    return broadcast_if_small(base, max_broadcast_rows)
+    return broadcast_if_small(base, max_bytes)
 
 
 def match_tv(tv: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -174,33 +176,52 @@ def match_groups(tvm: DataFrame, t: TalentTables, weights: dict[str, float] | No
     return _group_rates(tvm, weights or TGV_WEIGHTS).join(people_with_dims(t), "employee_id")
 
 
+def tgv_from_groups(groups: DataFrame) -> DataFrame:
+    """``match_tgv`` read from the group table: no fan-out, no shuffle."""
+    items = F.array(*[F.struct(F.lit(g).alias("tgv_name"), F.col(f"_g_{g}").alias("tgv_match_rate"), F.col(f"_c_{g}").alias("c"))
+                      for g in TGV_NAMES])
+    return groups.select("employee_id", "job_vacancy_id", F.explode(F.filter(items, lambda x: x["c"] > 0)).alias("p")).select(
+        "employee_id", "job_vacancy_id", "p.tgv_name", "p.tgv_match_rate")
+
+
+def final_from_groups(groups: DataFrame) -> DataFrame:
+    """``match_final`` read from the group table."""
+    return groups.select("employee_id", "job_vacancy_id", F.col("_final").alias("final_match_rate"))
+
+
 def matching_detail(t: TalentTables, job_id: int | None = None, include_tiki: bool = True,
                     weights: dict[str, float] | None = None, latest: DataFrame | None = None,
                     baseline: DataFrame | None = None, tv: DataFrame | None = None,
-                    groups: DataFrame | None = None) -> DataFrame:
+                    groups: DataFrame | None = None, people=None) -> DataFrame:
     """Unrounded detail rows with names: ``job_vacancy_id, employee_id,
     fullname, directorate, role, grade, tgv_name, tv_name, baseline_score,
     user_score, tv_match_rate, tgv_match_rate, final_match_rate``.
 
-    ``job_id`` keeps one job; the filter lands on the broadcast baselines,
-    so only that job's rows are ever produced.  ``tv`` is the trait table
-    (``tv_long``); pass a written one, as it is read twice (for the group
-    aggregate and for the rows joined back to it).  ``groups`` is a
-    written ``match_groups`` result of the same inputs, reused if given.
+    ``job_id`` keeps one job: the benchmark table is cut to it before the
+    baselines are computed, so nothing is computed for the others.  ``tv`` is
+    the trait table (``tv_long``), which is read twice (for the group
+    aggregate and for the rows joined back to it); pass a written one, else
+    it is written here.  ``groups`` is a written ``match_groups`` result of
+    the same inputs, reused if given.  ``people`` may cut the group table to
+    the people whose rows are wanted.
     """
     weights = weights or TGV_WEIGHTS
+    if job_id is not None:  # before the baselines: only this job's cohort is read
+        t = t.with_benchmarks(t.talent_benchmarks.filter(F.col("job_vacancy_id") == job_id))
     latest = latest if latest is not None else latest_year(t.performance_yearly)
     base = baseline if baseline is not None else baselines(t, latest, include_tiki)
+    tv = tv if tv is not None else write_and_read(tv_long(t, latest, include_tiki), "tv_long")
     if job_id is not None:
         base = base.filter(F.col("job_vacancy_id") == job_id)
-    tv = tv if tv is not None else tv_long(t, latest, include_tiki)
-    tvm = match_tv(tv, base)
-    if job_id is not None:
-        tvm = tvm.filter(F.col("job_vacancy_id") == job_id)
+        tvm = match_tv(tv, base).filter(F.col("job_vacancy_id") == job_id)
+    else:
+        tvm = match_tv(tv, base)
     if groups is None:
         groups = match_groups(tvm, t, weights)
     elif job_id is not None:
         groups = groups.filter(F.col("job_vacancy_id") == job_id)
+    if people is not None:
+        groups = people(groups)
     g = groups.select(
         F.col("employee_id").alias("_e"), F.col("job_vacancy_id").alias("_j"),
         "fullname", "directorate", "role", "grade", "_final",
@@ -245,9 +266,22 @@ def benchmark_matching(t: TalentTables, job_id: int | None = None, **kw) -> Data
     return rounded(matching_detail(t, job_id, **kw), MATCHING_COLUMNS)
 
 
-def match_detail(t: TalentTables, job_id: int, limit: int = 500, **kw) -> DataFrame:
-    """One job's detail with the person's name, best final rate first, at
-    most ``limit`` TV rows (ties by id, group, trait)."""
+def match_detail(t: TalentTables, job_id: int, limit: int | None = None, **kw) -> DataFrame:
+    """One job's detail with the person's name, best final rate first (ties
+    by id, group, trait); ``limit`` keeps that many TV rows.
+
+    Everyone in the group table has a TV row at least, so the first ``limit``
+    rows belong to the first ``limit`` people: with a limit only their rows
+    are joined to names and rates.
+    """
     cols = ["employee_id", "fullname", "directorate", "role", "grade", "tgv_name", "tv_name"] + RATE_COLUMNS
-    d = rounded(matching_detail(t, job_id, **kw), cols)
-    return d.orderBy(F.col("final_match_rate").desc_nulls_first(), "employee_id", "tgv_name", "tv_name").limit(limit)
+    best = F.col("final_match_rate").desc_nulls_first()
+    if limit is None:
+        return rounded(matching_detail(t, job_id, **kw), cols).orderBy(best, "employee_id", "tgv_name", "tv_name")
+
+    def first(groups: DataFrame) -> DataFrame:
+        final = F.when(F.col("job_vacancy_id").isNotNull(), F.col("_final"))
+        return F.broadcast(groups.orderBy(rnd(final, 2).desc_nulls_first(), "employee_id").limit(limit))  # ``limit`` rows
+
+    d = rounded(matching_detail(t, job_id, people=first, **kw), cols)
+    return d.orderBy(best, "employee_id", "tgv_name", "tv_name").limit(limit)

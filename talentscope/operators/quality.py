@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from talentscope.functions.numeric import quantiles_of, rnd, to_number
+from talentscope.functions.text import is_missing_text
 from talentscope.session import attach_one_row
 
 
@@ -16,11 +17,11 @@ def _is_missing(df: DataFrame, c: str) -> F.Column:
     col = F.col(c)
     if isinstance(df.schema[c].dataType, NumericType):
         return col.isNull()
-    return col.isNull() | (col.cast("string") == "")
+    return is_missing_text(col.cast("string"))
 
 
 def missing_report(df: DataFrame) -> DataFrame:
-    """``column_name, n_missing``: NULL (or empty text) per column, one pass."""
+    """``column_name, n_missing``: what a CSV reader takes as missing, per column, one pass."""
     counts = df.agg(*[F.count_if(_is_missing(df, c)).alias(c) for c in df.columns])
     return counts.unpivot([], df.columns, "column_name", "n_missing")
 
@@ -39,10 +40,13 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
 
     The repeated keys come from a grouped count (combined map-side, so a
     key holding a third of the table costs one row per task) and select
-    rows by a semi join that AQE may split when a key is hot.
+    rows by a semi join that AQE may split when a key is hot.  NULL equals
+    NULL: the keys meet as one struct, whose hash and equality both sides
+    share, so the counts keep the partitioning that the join needs.
     """
-    dup_keys = df.groupBy(*keys).count().filter(F.col("count") > 1).drop("count")
-    return df.join(dup_keys, [df[k].eqNullSafe(dup_keys[k]) for k in keys], "left_semi")
+    keyed = df.withColumn("_key", F.to_json(F.struct(*keys)))
+    dup_keys = keyed.groupBy("_key").count().filter(F.col("count") > 1).select("_key")
+    return keyed.join(dup_keys, "_key", "left_semi").drop("_key")
 
 
 def key_uniqueness(df: DataFrame, key: str) -> DataFrame:

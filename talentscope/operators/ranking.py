@@ -10,7 +10,7 @@ the data.  Both results depend only on how many rows hold each value, so:
 3. join the result back on (p, v)   -- null-safe, so NULL values match.
 
 The histogram has one row per distinct value, which for a rounded score
-is bounded by its range and precision; it is counted before it is
+is bounded by its range and precision; it is measured before it is
 broadcast, and the join falls back to a shuffle join beyond the limit.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talentscope.session import DEFAULT_BROADCAST_ROWS, broadcast_if_small
+from talentscope.session import DEFAULT_BROADCAST_BYTES, broadcast_if_small
 
 
 def dense_rank_and_cume_dist(
@@ -29,7 +29,7 @@ def dense_rank_and_cume_dist(
     rank_col: str = "rank",
     cume_col: str = "cume_dist",
     desc_nulls_first: bool = True,
-    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+    max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
 ) -> DataFrame:
     """Add ``rank_col`` (dense rank, value descending, NULLs first as in
     SQL ``DESC``) and ``cume_col`` (share of rows <= value, ascending with
@@ -50,7 +50,7 @@ def dense_rank_and_cume_dist(
         F.row_number().over(w_rank).alias(rank_col),
         (F.sum("_n").over(w_cume) / F.sum("_n").over(w_all)).alias(cume_col),
     )
-    hist = broadcast_if_small(hist, max_broadcast_rows)
+    hist = broadcast_if_small(hist, max_broadcast_bytes)
     cond = F.col(value_col).eqNullSafe(F.col("_h_value"))
     for c in partition_cols:
         cond = cond & F.col(c).eqNullSafe(F.col(f"_h_{c}"))

@@ -17,7 +17,7 @@ from talentscope.functions.numeric import min_max_scale, rnd, safe_div
 from talentscope.functions.scoring import TGV_WEIGHTS, readiness_band, weighted_sum
 from talentscope.operators.common import at_latest_year, latest_year
 from talentscope.operators.ranking import dense_rank_and_cume_dist
-from talentscope.session import DEFAULT_BROADCAST_ROWS, attach_one_row, small_aggregate
+from talentscope.session import DEFAULT_BROADCAST_BYTES, attach_one_row, small_aggregate
 from talentscope.sources.tables import TalentTables
 
 PART_COLUMNS = {
@@ -39,12 +39,19 @@ def _on_latest(df: DataFrame, latest: DataFrame) -> DataFrame:
 
 
 def tgv_competencies(t: TalentTables, latest: DataFrame | None = None, with_year: bool = True) -> DataFrame:
-    """``employee_id, year, comp_avg, tgv_competencies``: mean score (0..5) at the latest year."""
+    """``employee_id, year, comp_avg, tgv_competencies``: mean score (0..5) at the latest year.
+
+    Scores are summed and counted per (person, year) first, combined map-side,
+    so a person with a huge number of rows reaches the latest-year join as one
+    row a year.
+    """
     latest = _latest(t, latest)
-    comp = at_latest_year(t.competencies_yearly, latest)
-    return comp.groupBy("employee_id", *(["year"] if with_year else [])).agg(
-        rnd(F.avg("score"), 2).alias("comp_avg"),
-        rnd(F.avg("score") / 5.0, 4).alias("tgv_competencies"),
+    sums = t.competencies_yearly.groupBy("employee_id", "year").agg(F.sum("score").alias("_s"), F.count("score").alias("_n"))
+    mean = safe_div("_s", "_n")
+    return at_latest_year(sums, latest).select(
+        "employee_id", *(["year"] if with_year else []),
+        rnd(mean, 2).alias("comp_avg"),
+        rnd(mean / 5.0, 4).alias("tgv_competencies"),
     )
 
 
@@ -69,8 +76,8 @@ def tgv_cognitive(t: TalentTables, latest: DataFrame | None = None, with_year: b
 def tgv_personality(t: TalentTables, latest: DataFrame | None = None, with_year: bool = True) -> DataFrame:
     """Mean over scales of the score min-max scaled within its scale.
 
-    Per-scale bounds are an aggregate (one row per scale), checkpointed,
-    counted and broadcast back onto the scores, so scores are never
+    Per-scale bounds are an aggregate (one row per scale), written,
+    measured and broadcast back onto the scores, so scores are never
     shuffled by their few scale codes.
     """
     latest = _latest(t, latest)
@@ -140,7 +147,7 @@ def readiness_final(t: TalentTables, latest: DataFrame | None = None,
     )
 
 
-def readiness_ranked(final: DataFrame, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def readiness_ranked(final: DataFrame, max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """``final.*`` plus ``readiness_category``, ``rank_in_year`` (dense, NULL
     totals first) and ``percentile_in_year`` (cume dist x 100, NULLs last).
 
@@ -149,7 +156,7 @@ def readiness_ranked(final: DataFrame, max_broadcast_rows: int = DEFAULT_BROADCA
     """
     ranked = dense_rank_and_cume_dist(
         final, ["year"], "finalmatch", rank_col="rank_in_year", cume_col="_cume",
-        max_broadcast_rows=max_broadcast_rows,
+        max_broadcast_bytes=max_broadcast_bytes,
     )
     return ranked.select(
         *final.columns,

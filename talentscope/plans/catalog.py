@@ -1,7 +1,9 @@
 """Named queries: one per operator of the survey's inventory.
 
-Each entry takes ``(spark, sf_dir)`` and returns a lazy DataFrame over
-the talent tables derived from that folder.  Column names and types are
+Each entry takes ``(spark, sf_dir)`` and returns a DataFrame over the talent
+tables derived from that folder.  Shared intermediates (the talent tables,
+traits, baselines, group rates) are written when the query is built, and
+sides to broadcast are measured then; the rest runs with the caller's action.  Column names and types are
 fixed here (counts and ranks ``bigint``, scores ``double``) so results
 compare one-to-one with the SQL oracle in ``talentscope.plans.oracle``.
 """
@@ -18,6 +20,7 @@ from talentscope.functions.numeric import rnd
 from talentscope.operators import benchmark, clean, eda, insight, match, quality, readiness
 from talentscope.plans.pipelines import (
     baselines_for,
+    cleaned_for,
     latest_for,
     match_groups_for,
     tv_long_for,
@@ -31,7 +34,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 # The benchmark the "create" queries add.
-NEW_ROLE = ("Brand Executive", "Grade V", "Grow brand reach with data-driven campaigns.")
+NEW_ROLE = ("Route Planner", "Grade IV", "Plan delivery routes that hold in bad weather.")
 NEW_CREATED_AT = dt.datetime(2025, 2, 1, 10, 0, 0)
 
 
@@ -380,17 +383,17 @@ def q_match_tv(spark, d):
 
 @query("match_tgv")
 def q_match_tgv(spark, d):
-    return match.match_tgv(_tvm(spark, d)).withColumn("tgv_match_rate", rnd("tgv_match_rate", 2))
+    return match.tgv_from_groups(match_groups_for(spark, d)).withColumn("tgv_match_rate", rnd("tgv_match_rate", 2))
 
 
 @query("match_final")
 def q_match_final(spark, d):
-    return match.match_final(match.match_tgv(_tvm(spark, d)))
+    return match.final_from_groups(match_groups_for(spark, d))
 
 
 @query("match_final_no_tiki")
 def q_match_final_no_tiki(spark, d):
-    return match.match_final(match.match_tgv(_tvm(spark, d, include_tiki=False)))
+    return match.final_from_groups(match_groups_for(spark, d, include_tiki=False))
 
 
 @query("benchmark_matching")
@@ -400,10 +403,7 @@ def q_benchmark_matching(spark, d):
 
 @query("match_detail_top")
 def q_match_detail_top(spark, d):
-    cols = ["employee_id", "fullname", "directorate", "role", "grade", "tgv_name", "tv_name"] + match.RATE_COLUMNS
-    detail = match.rounded(matching_detail_for(spark, d, job_id=1), cols)
-    return detail.orderBy(F.col("final_match_rate").desc_nulls_first(), "employee_id", "tgv_name",
-                          "tv_name").limit(500)
+    return match.match_detail(_t(spark, d), 1, limit=500, latest=latest_for(spark, d), tv=tv_long_for(spark, d))
 
 
 # ------------------------------------------------------------------- insight
@@ -413,7 +413,7 @@ def _detail(spark, d):
 
 
 def _ranked(spark, d):
-    return insight.ranked_from_groups(match_groups_for(spark, d))
+    return insight.ranked_talent(match_groups_for(spark, d))
 
 
 @query("ranked_talent")
@@ -421,6 +421,12 @@ def q_ranked_talent(spark, d):
     return _ranked(spark, d)
 
 
+@query("ranked_talent_all")
+def q_ranked_talent_all(spark, d):
+    """The ranked list with the people whose name or dimensions are missing."""
+    return insight.ranked_talent(match_groups_for(spark, d), keep_missing_dims=True)
+
+
 @query("ranked_talent_top50")
 def q_ranked_talent_top50(spark, d):
     return insight.top_per_job(_ranked(spark, d), 50)
@@ -429,13 +435,11 @@ def q_ranked_talent_top50(spark, d):
 @query("benchmark_create_ranked")
 def q_benchmark_create_ranked(spark, d):
     """Create a job, score everyone against it, list its best 50."""
-    from talentscope.operators.match import matching_detail
-
     t = _t(spark, d)
-    t2 = t.with_benchmarks(_created(spark, d))
     new_id = t.talent_benchmarks.agg(F.max("job_vacancy_id")).first()[0] + 1
-    detail = matching_detail(t2, job_id=new_id, latest=latest_for(spark, d))
-    return insight.top_per_job(insight.ranked_talent(match.detail_view(detail)), 50)
+    one = t.with_benchmarks(_created(spark, d).filter(F.col("job_vacancy_id") == new_id))
+    tvm = match.match_tv(tv_long_for(spark, d), match.baselines(one)).filter(F.col("job_vacancy_id") == new_id)
+    return insight.top_per_job(insight.ranked_talent(match.match_groups(tvm, t)), 50)
 
 
 @query("match_distribution")
@@ -450,17 +454,17 @@ def q_candidate_tv_bands(spark, d):
 
 @query("candidate_tgv_profile")
 def q_candidate_tgv_profile(spark, d):
-    return insight.tgv_profile_from_groups(match_groups_for(spark, d))
+    return insight.candidate_tgv_profile(match_groups_for(spark, d))
 
 
 @query("candidate_insight")
 def q_candidate_insight(spark, d):
-    return insight.candidate_insight(insight.tgv_profile_from_groups(match_groups_for(spark, d)))
+    return insight.candidate_insight(match_groups_for(spark, d))
 
 
 @query("job_tgv_summary")
 def q_job_tgv_summary(spark, d):
-    return insight.job_summary_from_groups(match_groups_for(spark, d))
+    return insight.job_tgv_summary(match_groups_for(spark, d))
 
 
 @query("candidate_top_bottom_tvs")
@@ -470,4 +474,18 @@ def q_candidate_top_bottom_tvs(spark, d):
 
 @query("candidate_evidence_json")
 def q_candidate_evidence_json(spark, d):
-    return insight.candidate_evidence_json(_detail(spark, d))
+    return insight.candidate_evidence_json(_detail(spark, d), match_groups_for(spark, d))
+
+
+# -------------------------------------------------------- raw to clean to score
+
+@query("readiness_from_raw")
+def q_readiness_from_raw(spark, d):
+    return readiness.readiness_final(cleaned_for(spark, d))
+
+
+@query("match_from_raw")
+def q_match_from_raw(spark, d):
+    t = cleaned_for(spark, d)
+    tv = match.tv_long(t)
+    return match.final_from_groups(match.match_groups(match.match_tv(tv, match.baselines(t)), t))

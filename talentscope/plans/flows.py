@@ -15,30 +15,39 @@ from pyspark.sql import functions as F
 
 from talentscope.operators import benchmark, eda, insight, match, readiness
 from talentscope.operators.common import latest_year
+from talentscope.plans.pipelines import cleaned_tables
 from talentscope.session import write_and_read
 from talentscope.sources.tables import TalentTables
 
 
-def benchmark_report(t: TalentTables, job_id: int, detail_rows: int = 500, top: int = 50,
+def benchmark_report(t: TalentTables, job_id: int, detail_rows: int | None = None, top: int = 50,
                      distribution_top: int = 100) -> dict[str, DataFrame]:
     """Re-run one job's benchmark: the detail listing, the ranked list, the
     match-rate distribution and every per-candidate view, for all of the
-    job's candidates (the job filter prunes everything else early)."""
-    detail = write_and_read(match.detail_view(match.matching_detail(t, job_id)), f"detail_job_{job_id}")
-    ranked = insight.ranked_talent(detail)
-    profile = insight.candidate_tgv_profile(detail)
+    job's candidates.  Nothing is computed for other jobs.  ``detail_rows``
+    cuts the detail listing, which is whole by default; ranked lists keep
+    people with a missing name or dimension."""
+    one = t.with_benchmarks(t.talent_benchmarks.filter(F.col("job_vacancy_id") == job_id))
+    latest = write_and_read(latest_year(t.performance_yearly), "latest_year")
+    tv = write_and_read(match.tv_long(t, latest), "tv_long")
+    base = match.baselines(one, latest)
+    tvm = match.match_tv(tv, base).filter(F.col("job_vacancy_id") == job_id)
+    groups = write_and_read(match.match_groups(tvm, t), f"groups_job_{job_id}")
+    detail = write_and_read(match.detail_view(match.matching_detail(
+        one, job_id, latest=latest, baseline=base, tv=tv, groups=groups)), f"detail_job_{job_id}")
+    ranked = insight.ranked_talent(groups, keep_missing_dims=True)
     cols = ["employee_id", "fullname", "directorate", "role", "grade", "tgv_name", "tv_name"] + match.RATE_COLUMNS
+    listing = detail.select(*cols).orderBy(F.col("final_match_rate").desc_nulls_first(), "employee_id", "tgv_name", "tv_name")
     return {
-        "detail": detail.select(*cols).orderBy(F.col("final_match_rate").desc_nulls_first(), "employee_id",
-                                               "tgv_name", "tv_name").limit(detail_rows),
+        "detail": listing if detail_rows is None else listing.limit(detail_rows),
         "ranked": insight.top_per_job(ranked, top),
         "distribution": insight.match_distribution(ranked, distribution_top),
         "tv_bands": insight.candidate_tv_bands(detail),
-        "tgv_profile": profile,
-        "insight": insight.candidate_insight(profile),
-        "job_summary": insight.job_tgv_summary(detail),
+        "tgv_profile": insight.candidate_tgv_profile(groups),
+        "insight": insight.candidate_insight(groups),
+        "job_summary": insight.job_tgv_summary(groups),
         "top_bottom_tvs": insight.candidate_top_bottom_tvs(detail),
-        "evidence": insight.candidate_evidence_json(detail),
+        "evidence": insight.candidate_evidence_json(detail, groups),
     }
 
 
@@ -70,6 +79,16 @@ def readiness_dashboard(t: TalentTables, k: int = 3) -> dict[str, DataFrame]:
     }
 
 
+def score_raw(t: TalentTables, job_id: int | None = None) -> dict[str, DataFrame]:
+    """From raw exports to scores: clean, then the readiness dashboard and,
+    with a job, its benchmark report."""
+    cleaned = cleaned_tables(t, lambda name, df: write_and_read(df, name))
+    out = {f"readiness_{k}": v for k, v in readiness_dashboard(cleaned).items()}
+    if job_id is not None:
+        out.update({f"match_{k}": v for k, v in benchmark_report(cleaned, job_id).items()})
+    return out
+
+
 def high_performer_profile(t: TalentTables, distinct: bool = True) -> dict[str, DataFrame]:
     """What rating-5 people have in common (notebook counting when
     ``distinct``, SQL counting otherwise)."""

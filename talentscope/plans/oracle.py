@@ -15,7 +15,8 @@ Rounding uses the same decimal(28,10) step as ``functions.numeric``.
 
 from __future__ import annotations
 
-from talentscope.functions.numeric import NUMBER_PATTERN
+import re
+
 from talentscope.sources.mapping import (
     DEFAULT_WEIGHTS_JSON,
     DISC_PROFILES,
@@ -28,6 +29,22 @@ from talentscope.sources.mapping import (
 )
 
 
+# Parsing rules, stated here on their own: what a number looks like, and
+# what a CSV reader takes as missing.
+NUMBER = r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?"
+MISSING = ("'', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', "
+           "'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null'")
+
+
+def known(x: str) -> str:
+    return f"(CASE WHEN {x} NOT IN ({MISSING}) THEN {x} END)"
+
+
+def to_year(x: str) -> str:
+    n = to_number(x)
+    return f"(CASE WHEN {n} = TRUNC({n}) THEN TRY_CAST({n} AS INTEGER) END)"
+
+
 def rnd(x: str, n: int) -> str:
     return f"CAST(ROUND(CAST({x} AS DECIMAL(28,10)), {n}) AS DOUBLE)"
 
@@ -42,7 +59,7 @@ def strip_ws(x: str) -> str:
 
 def to_number(x: str) -> str:
     t = strip_ws(x)
-    return f"(CASE WHEN regexp_matches({t}, '{NUMBER_PATTERN}') THEN TRY_CAST({t} AS DOUBLE) END)"
+    return f"(CASE WHEN regexp_full_match({t}, '{NUMBER}') THEN TRY_CAST({t} AS DOUBLE) END)"
 
 
 def _q(s: str) -> str:
@@ -67,8 +84,8 @@ def disc_from_words(w: str) -> str:
 
 
 def fill_disc(disc: str, word: str) -> str:
-    d = f"COALESCE(NULLIF({disc}, ''), 'Unknown')"
-    w = f"COALESCE(NULLIF({word}, ''), 'Unknown')"
+    d = f"COALESCE({known(disc)}, 'Unknown')"
+    w = f"COALESCE({known(word)}, 'Unknown')"
     return f"COALESCE(CASE WHEN {d} <> 'Unknown' THEN {d} ELSE {disc_from_words(w)} END, 'Unknown')"
 
 
@@ -182,7 +199,8 @@ raw_employees AS (
   UNION ALL SELECT * EXCLUDE (k) FROM raw_employees0 WHERE k % 200 = 3
 ),
 raw_performance_yearly AS (
-  SELECT employee_id, CAST(year AS VARCHAR) AS year,
+  SELECT employee_id, CASE WHEN k % 61 = 9 THEN CAST(year AS VARCHAR) || '.7' WHEN k % 67 = 10 THEN '99999999999'
+                           WHEN k % 71 = 5 THEN CAST(year AS VARCHAR) || '.0' ELSE CAST(year AS VARCHAR) END AS year,
          CASE WHEN (k + year) % 23 = 0 THEN NULL
               WHEN (k + year) % 31 = 0 THEN 'n/a'
               WHEN k % 13 = 0 THEN ' ' || CAST(CAST(rating AS INTEGER) AS VARCHAR) || ' '
@@ -190,7 +208,8 @@ raw_performance_yearly AS (
   FROM (SELECT *, {K} AS k FROM performance_yearly)
 ),
 raw_competencies0 AS (
-  SELECT employee_id, CAST(year AS VARCHAR) AS year, pillar_code,
+  SELECT employee_id, CASE WHEN k % 59 = 8 THEN CAST(year AS VARCHAR) || '.7' WHEN k % 73 = 6 THEN 'null'
+                           ELSE CAST(year AS VARCHAR) END AS year, pillar_code,
          CASE WHEN pillar_code = 'P7' THEN NULL
               WHEN (k + line) % 17 = 0 THEN ''
               WHEN (k + year + line) % 29 = 0 THEN 'abc'
@@ -212,7 +231,8 @@ raw_profiles_psych AS (
          CASE WHEN k % 19 = 0 THEN '' ELSE CAST(CAST(iq AS BIGINT) AS VARCHAR) END AS iq,
          CASE WHEN k % 23 <> 0 THEN CAST(CAST(gtq AS BIGINT) AS VARCHAR) END AS gtq,
          CASE WHEN k % 29 = 0 THEN 'x' ELSE CAST(CAST(tiki AS BIGINT) AS VARCHAR) END AS tiki,
-         disc, disc_word, mbti
+         CASE WHEN k % 41 = 5 THEN 'NA' ELSE disc END AS disc, CASE WHEN k % 43 = 7 THEN 'n/a' ELSE disc_word END AS disc_word,
+         CASE WHEN k % 47 = 6 THEN 'NaN' ELSE mbti END AS mbti
   FROM (SELECT *, {K} AS k FROM profiles_psych)
 ),
 raw_papi_scores AS (
@@ -237,7 +257,7 @@ CREATED = f"""created AS (
   SELECT * FROM talent_benchmarks
   UNION ALL
   SELECT (SELECT CAST(COALESCE(MAX(job_vacancy_id) + 1, 1) AS INTEGER) FROM talent_benchmarks),
-         'Brand Executive', 'Grade V', 'Grow brand reach with data-driven campaigns.',
+         'Route Planner', 'Grade IV', 'Plan delivery routes that hold in bad weather.',
          COALESCE((SELECT list(employee_id ORDER BY employee_id)
                    FROM (SELECT employee_id FROM top_rated ORDER BY employee_id LIMIT 3)), CAST([] AS VARCHAR[])),
          '{{}}', TIMESTAMP '2025-02-01 10:00:00'
@@ -260,7 +280,7 @@ CLEAN_EMPLOYEES = f"""clean_employees AS (
 )"""
 
 CLEAN_COMPETENCIES = f"""cc0 AS (
-  SELECT employee_id, TRY_CAST({to_number("year")} AS INTEGER) AS year, pillar_code, {to_number("score")} AS score
+  SELECT employee_id, {to_year("year")} AS year, pillar_code, {to_number("score")} AS score
   FROM raw_competencies_yearly
 ),
 clean_competencies AS (
@@ -269,6 +289,11 @@ clean_competencies AS (
   FROM cc0
 )"""
 
+CLEAN_PERFORMANCE = f"""clean_performance AS (
+  SELECT employee_id, year, COALESCE(rating, median(rating) OVER ()) AS rating
+  FROM (SELECT employee_id, {to_year("year")} AS year, {to_number("rating")} AS rating FROM raw_performance_yearly)
+)"""
+
 # ---- match model: traits, cohort medians, rates; group and final rates by
 # window over (person, job) instead of joins back to grouped rows.
 
@@ -540,8 +565,8 @@ FROM (SELECT 'grade' AS dimension, label, total_high_performers, 15 AS n FROM hp
 QUALIFY rank_in_dimension <= n"""
 
 
-def _clean_papi_sql() -> str:
-    return with_mapping(f"""cp0 AS (
+def _clean_papi_parts() -> list[str]:
+    return [f"""cp0 AS (
   SELECT {strip_ws("employee_id")} AS employee_id, {strip_ws("scale_code")} AS scale_code,
          {to_number("score")} AS score
   FROM raw_papi_scores
@@ -549,22 +574,31 @@ def _clean_papi_sql() -> str:
   SELECT employee_id, scale_code,
          COALESCE(score, CASE WHEN scale_code IS NOT NULL THEN median(score) OVER (PARTITION BY scale_code) END) AS score
   FROM cp0
-)""") + """
-SELECT employee_id, scale_code, COALESCE(score, median(score) OVER ()) AS score FROM cp1"""
+)""", """SELECT employee_id, scale_code, COALESCE(score, median(score) OVER ()) AS score FROM cp1"""]
 
 
-def _clean_profiles_sql() -> str:
+def _clean_papi_sql() -> str:
+    *ctes, tail = _clean_papi_parts()
+    return with_mapping(*ctes) + tail
+
+
+def _clean_profiles_parts() -> list[str]:
     nums = ["pauli", "faxtor", "iq", "gtq", "tiki"]
     conv = ", ".join(f"{to_number(c)} AS {c}" for c in nums)
     fill = ", ".join(f"COALESCE({c}, median({c}) OVER ()) AS {c}" for c in nums)
-    return with_mapping(f"p0 AS (SELECT employee_id, {conv}, disc, disc_word, mbti FROM raw_profiles_psych)") + f"""
+    return [f"p0 AS (SELECT employee_id, {conv}, disc, disc_word, mbti FROM raw_profiles_psych)", f"""
 SELECT employee_id, {fill}, {fill_disc("disc", "disc_word")} AS disc,
-       COALESCE(NULLIF(disc_word, ''), 'Unknown') AS disc_word, COALESCE(NULLIF(mbti, ''), 'Unknown') AS mbti
-FROM p0"""
+       COALESCE({known("disc_word")}, 'Unknown') AS disc_word, COALESCE({known("mbti")}, 'Unknown') AS mbti
+FROM p0"""]
+
+
+def _clean_profiles_sql() -> str:
+    *ctes, tail = _clean_profiles_parts()
+    return with_mapping(*ctes) + tail
 
 
 def _dq_missing_sql() -> str:
-    parts = [f"SELECT '{c}' AS column_name, CAST(COUNT_IF({c} IS NULL OR {c} = '') AS BIGINT) AS n_missing "
+    parts = [f"SELECT '{c}' AS column_name, CAST(COUNT_IF({known(c)} IS NULL) AS BIGINT) AS n_missing "
              f"FROM raw_employees" for c in RAW_EMPLOYEE_COLUMNS]
     return with_mapping() + "\nUNION ALL\n".join(parts)
 
@@ -603,7 +637,24 @@ SELECT l.job_vacancy_id, l.employee_id,
 FROM lists l JOIN best b USING (job_vacancy_id)"""
 
 
+def _from_raw(ctes: list[str], tail: str) -> str:
+    """The same model over the cleaned tables instead of the typed ones."""
+    def cleaned(sql: str) -> str:
+        for name, clean in (("performance_yearly", "clean_performance"), ("competencies_yearly", "clean_competencies"),
+                            ("profiles_psych", "clean_profiles"), ("papi_scores", "clean_papi"), ("last_rated", "clean_last_rated")):
+            sql = re.sub(rf"\b{name}\b", clean, sql)
+        return sql
+
+    papi, profiles = _clean_papi_parts(), _clean_profiles_parts()
+    last = "clean_last_rated AS (SELECT employee_id, MAX(year) AS last_year FROM clean_performance GROUP BY employee_id)"
+    return with_mapping(CLEAN_PERFORMANCE, CLEAN_COMPETENCIES, *papi[:-1], f"clean_papi AS ({papi[-1]})", *profiles[:-1],
+                        f"clean_profiles AS ({profiles[-1]})", last, *[cleaned(c) for c in ctes]) + tail
+
+
 ORACLE: dict[str, str] = {
+    # raw to clean to score
+    "readiness_from_raw": _from_raw(READINESS, "SELECT * FROM scores"),
+    "match_from_raw": _from_raw(MATCH[:6], "SELECT employee_id, job_vacancy_id, final_rate AS final_match_rate FROM finals"),
     # benchmarks
     "benchmark_create": with_mapping(CREATED) + f"""
 SELECT s.*, c.role_name, c.job_level, strftime(c.created_at, '%Y-%m-%d %H:%M:%S') AS created_at
@@ -627,10 +678,7 @@ SELECT fullname || ' (' || employee_id || ')' AS label, employee_id, fullname FR
 SELECT job_vacancy_id, UNNEST(selected_talent_ids) AS employee_id FROM talent_benchmarks""",
     # cleaning
     "clean_numeric_coerce": with_mapping(CLEAN_EMPLOYEES) + "SELECT * FROM clean_employees",
-    "clean_performance": with_mapping(f"""p AS (
-  SELECT employee_id, CAST({to_number("year")} AS INTEGER) AS year, {to_number("rating")} AS rating
-  FROM raw_performance_yearly
-)""") + "SELECT employee_id, year, COALESCE(rating, median(rating) OVER ()) AS rating FROM p",
+    "clean_performance": with_mapping(CLEAN_PERFORMANCE) + "SELECT * FROM clean_performance",
     "clean_competencies": with_mapping(CLEAN_COMPETENCIES) + "SELECT * FROM clean_competencies",
     "clean_profiles": _clean_profiles_sql(),
     "clean_disc": with_mapping() + f"""
@@ -763,6 +811,9 @@ SELECT * EXCLUDE (job_vacancy_id) FROM detail WHERE job_vacancy_id = 1
 ORDER BY final_match_rate DESC NULLS FIRST, employee_id, tgv_name, tv_name LIMIT 500""",
     # insight
     "ranked_talent": with_mapping(*MATCH) + "SELECT * FROM people_ranked",
+    "ranked_talent_all": with_mapping(*MATCH) + """
+SELECT job_vacancy_id, employee_id, fullname, directorate, role, grade, MAX(final_match_rate) AS final_match_rate
+FROM detail WHERE job_vacancy_id IS NOT NULL GROUP BY ALL""",
     "ranked_talent_top50": with_mapping(*MATCH) + top_per_job(50),
     "benchmark_create_ranked": _created_ranked_sql(),
     "match_distribution": with_mapping(*MATCH, f"top100 AS ({top_per_job(100)})") + """

@@ -16,19 +16,20 @@ from __future__ import annotations
 
 import threading
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from talentscope.operators import match, readiness
+from talentscope.operators import clean, match, readiness
 from talentscope.operators.common import latest_year
-from talentscope.session import broadcast_if_small, checkpoint_root, new_table_path
+from talentscope.session import broadcast_if_small, checkpoint_root, delete_paths, new_table_path, release_written
 from talentscope.sources.mapping import from_driver_tables
 from talentscope.sources.tables import TalentTables
 
 SOURCE_TABLES = ["customer", "nation", "region", "orders", "lineitem"]
 
 _lock = threading.RLock()
+_building: dict[tuple, threading.Lock] = {}  # one builder per table: a second thread waits and reads
 _paths: dict[tuple, str] = {}
 _frames: dict[tuple, object] = {}
 
@@ -50,33 +51,39 @@ def _base_key(spark: SparkSession, sf_dir: str) -> tuple:
     return (checkpoint_root(spark), sf_dir.rstrip("/"), _fingerprint(spark, sf_dir))
 
 
+def _one_builder(key: tuple) -> threading.Lock:
+    with _lock:
+        return _building.setdefault(key, threading.Lock())
+
+
 def _persisted(spark: SparkSession, base: tuple, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Read the table registered under (base, name), or build, write and register it."""
     key = (*base, name)
-    with _lock:
+    with _one_builder(key):
         path = _paths.get(key)
         if path is not None:
             try:
                 return spark.read.parquet(path)
             except Exception:  # files gone: rebuild
                 _paths.pop(key, None)
-    df = build()
-    path = new_table_path(spark, name.replace(":", "_"))
-    df.write.mode("errorifexists").parquet(path)
-    with _lock:
+        path = new_table_path(spark, name.replace(":", "_"))
+        build().write.mode("errorifexists").parquet(path)
         _paths[key] = path
-    return spark.read.parquet(path)
+        return spark.read.parquet(path)
 
 
 def _session_cached(spark: SparkSession, sf_dir: str, what: str, build: Callable[[], object]):
-    """Per-session memo of DataFrames built on top of the written tables."""
-    k = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), what)
+    """Per-session memo of DataFrames built on top of the written tables; it
+    holds for the input files as they are, and changed files supersede it."""
+    owner, inputs = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), what), _base_key(spark, sf_dir)
     with _lock:
-        if k in _frames:
-            return _frames[k]
+        known = _frames.get(owner)
+    if known is not None and known[0] == inputs:
+        return known[1]
     value = build()  # outside the lock: builds write tables from worker threads
     with _lock:
-        return _frames.setdefault(k, value)
+        _frames[owner] = (inputs, value)
+    return value
 
 
 def tables_for(spark: SparkSession, sf_dir: str, materialize: bool = True) -> TalentTables:
@@ -96,6 +103,21 @@ def _written(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Da
     return _session_cached(spark, sf_dir, name, lambda: _persisted(spark, _base_key(spark, sf_dir), name, build))
 
 
+def cleaned_tables(t: TalentTables, write: Callable[[str, DataFrame], DataFrame]) -> TalentTables:
+    """The tables that scoring reads, cleaned from the raw exports (coerced,
+    missing values imputed, DISC filled) and written."""
+    return replace(t, performance_yearly=write("clean_performance", clean.clean_performance(t.raw_performance_yearly)),
+                   competencies_yearly=write("clean_competencies", clean.clean_competencies(t.raw_competencies_yearly)),
+                   profiles_psych=write("clean_profiles", clean.clean_profiles(t.raw_profiles_psych)),
+                   papi_scores=write("clean_papi", clean.clean_papi(t.raw_papi_scores)))
+
+
+def cleaned_for(spark: SparkSession, sf_dir: str) -> TalentTables:
+    t = tables_for(spark, sf_dir)
+    return _session_cached(spark, sf_dir, "cleaned", lambda: cleaned_tables(
+        t, lambda n, df: _persisted(spark, _base_key(spark, sf_dir), n, lambda: df)))
+
+
 def latest_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables_for(spark, sf_dir)
     return _written(spark, sf_dir, "latest_year", lambda: latest_year(t.performance_yearly))
@@ -138,39 +160,22 @@ def match_groups_for(spark: SparkSession, sf_dir: str, include_tiki: bool = True
         match.match_tv(tv_long_for(spark, sf_dir, include_tiki), baselines_for(spark, sf_dir, include_tiki)), t))
 
 
-def matching_detail_for(spark: SparkSession, sf_dir: str, job_id: int | None = None,
-                        include_tiki: bool = True) -> DataFrame:
-    """The unrounded match detail of every job, written once (the insight
-    queries all start from it); ``job_id`` filters the written table, which
-    parquet pushdown turns into a pruned scan."""
+def matching_detail_for(spark: SparkSession, sf_dir: str, include_tiki: bool = True) -> DataFrame:
+    """The unrounded match detail of every job, written once: the trait-level
+    views of all jobs start from it.  One job alone is ``match.match_detail``,
+    which computes and writes nothing for the others."""
     t = tables_for(spark, sf_dir)
-
-    def build() -> DataFrame:
-        return match.matching_detail(t, None, include_tiki=include_tiki, latest=latest_for(spark, sf_dir),
-                                     baseline=baselines_for(spark, sf_dir, include_tiki),
-                                     tv=tv_long_for(spark, sf_dir, include_tiki),
-                                     groups=match_groups_for(spark, sf_dir, include_tiki))
-
-    detail = _written(spark, sf_dir, f"matching_detail:{include_tiki}", build)
-    if job_id is not None:
-        detail = detail.filter(F.col("job_vacancy_id") == job_id)
-    return detail
+    return _written(spark, sf_dir, f"matching_detail:{include_tiki}", lambda: match.matching_detail(
+        t, None, include_tiki=include_tiki, latest=latest_for(spark, sf_dir),
+        baseline=baselines_for(spark, sf_dir, include_tiki), tv=tv_long_for(spark, sf_dir, include_tiki),
+        groups=match_groups_for(spark, sf_dir, include_tiki)))
 
 
 def release(spark: SparkSession) -> int:
     """Delete every table this process wrote to the checkpoint folder and
-    forget them; returns how many were removed.  Uses the Hadoop FileSystem
-    API, so it works on HDFS / object stores as well as locally."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    forget them; returns how many were removed."""
     with _lock:
         paths = list(_paths.values())
         _paths.clear()
         _frames.clear()
-    removed = 0
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        fs = path.getFileSystem(conf)
-        if fs.exists(path) and fs.delete(path, True):
-            removed += 1
-    return removed
+    return delete_paths(spark, paths) + release_written(spark)

@@ -9,8 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows of a side we are willing to broadcast after counting it.
-DEFAULT_BROADCAST_ROWS = 2_000_000
+# Bytes of a side we are willing to broadcast after measuring it.
+DEFAULT_BROADCAST_BYTES = 64 * 2**20
+
+_written: list[str] = []  # every table written by write_and_read, for release()
 
 
 def build_session(master: str | None = None, app_name: str = "talentscope",
@@ -69,36 +71,68 @@ def write_and_read(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage (a lost executor re-reads files instead of
     recomputing the whole upstream plan) and gives later scans real file
-    statistics, pushdown and pruning.
+    statistics, pushdown and pruning.  ``release`` deletes the files.
     """
     spark = df.sparkSession
     path = new_table_path(spark, name)
+    _written.append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` only after counting it; otherwise leave the join to
-    the planner (sort-merge with AQE skew handling).
-
-    ``df`` must be cheap to count: a small table, an aggregate over a
-    materialised input, or a written result.
+def delete_paths(spark: SparkSession, paths: list[str]) -> int:
+    """Delete tables through the Hadoop FileSystem API (HDFS, object stores,
+    local); returns how many were there."""
+    jvm, conf, removed = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p).getParent()  # each table has a folder of its own
+        fs = path.getFileSystem(conf)
+        if fs.exists(path) and fs.delete(path, True):
+            removed += 1
+    return removed
+
+
+def release_written(spark: SparkSession) -> int:
+    """Delete every table that ``write_and_read`` made in this process."""
+    paths, _written[:] = list(_written), []
+    return delete_paths(spark, paths)
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Size of ``df`` as rows in memory: 16 bytes a row, 8 a value, and the
+    measured length of texts and arrays.  One aggregate over ``df``."""
+    parts = [F.count(F.lit(1)) * F.lit(16 + 8 * len(df.columns))]
+    for c, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            parts.append(F.coalesce(F.sum(F.octet_length(F.col(c))), F.lit(0)))
+        elif kind.startswith("array"):
+            parts.append(F.coalesce(F.sum(F.greatest(F.size(F.col(c)), F.lit(0)) * 32), F.lit(0)))
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
+    return int(df.agg(total.alias("n")).first()["n"])
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(df)`` only after measuring its bytes; otherwise leave the
+    join to the planner (sort-merge with AQE skew handling).
+
+    Runs one aggregate when called, so ``df`` must be cheap to read: a small
+    table, an aggregate over a written input, or a written result.
     """
-    return F.broadcast(df) if df.count() <= max_rows else df
+    return F.broadcast(df) if measured_bytes(df) <= max_bytes else df
 
 
-def small_aggregate(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def small_aggregate(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """A group-level aggregate that will be joined back to its rows on a
-    low-cardinality key (a pillar, a scale): checkpointed once (reliable
-    checkpoint in the checkpoint folder, so its input is scanned once),
-    counted, and broadcast when small.
+    low-cardinality key (a pillar, a scale): written once, so its input is
+    scanned once, measured, and broadcast when small.
 
     Without this the planner estimates the aggregate as large as its input
     and plans a sort-merge join, which shuffles the raw rows by a key with
     a handful of values -- a few enormous tasks at scale.
     """
-    checkpoint_root(df.sparkSession)
-    return broadcast_if_small(df.checkpoint(eager=True), max_rows)
+    return broadcast_if_small(write_and_read(df, "aggregate"), max_bytes)
 
 
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:

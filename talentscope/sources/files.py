@@ -24,10 +24,13 @@ def read_raw(spark: SparkSession, path: str, schema: StructType | None = None, c
     return reader.option("inferSchema", False).csv(path)
 
 
-def export(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
+def export(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", partition_by: list[str] | None = None,
+           order_by: list | None = None) -> None:
     """Write a result as parquet or CSV (one part file per task, never
-    gathered into a single file on one machine)."""
-    w = df.write.mode(mode)
+    gathered into a single file on one machine).  With ``order_by`` the rows
+    are range-partitioned and sorted, so the part files in name order hold
+    the result in order."""
+    w = (df.orderBy(*order_by) if order_by else df).write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":

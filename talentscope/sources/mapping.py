@@ -281,9 +281,11 @@ def raw_performance_yearly(perf: DataFrame) -> DataFrame:
     k = F.regexp_extract("employee_id", r"([0-9]+)$", 1).cast("long")
     s = (k + F.col("year")) % 23
     t = F.col("rating").cast("int").cast("string")
+    year = F.col("year").cast("string")
     return perf.select(
         "employee_id",
-        F.col("year").cast("string").alias("year"),
+        F.when(k % 61 == 9, F.concat(year, F.lit(".7"))).when(k % 67 == 10, F.lit("99999999999"))
+        .when(k % 71 == 5, F.concat(year, F.lit(".0"))).otherwise(year).alias("year"),
         F.when(s == 0, F.lit(None).cast("string"))
         .when((k + F.col("year")) % 31 == 0, F.lit("n/a"))
         .when(k % 13 == 0, F.concat(F.lit(" "), t, F.lit(" ")))
@@ -297,9 +299,10 @@ def raw_competencies_yearly(comp: DataFrame) -> DataFrame:
     k = F.regexp_extract("employee_id", r"([0-9]+)$", 1).cast("long")
     line = F.substring("pillar_code", 2, 10).cast("int")
     text = _hundredths_text(F.round(F.col("score") * 100).cast("long"))
+    year = F.col("year").cast("string")
     out = comp.select(
         "employee_id",
-        F.col("year").cast("string").alias("year"),
+        F.when(k % 59 == 8, F.concat(year, F.lit(".7"))).when(k % 73 == 6, F.lit("null")).otherwise(year).alias("year"),
         "pillar_code",
         F.when(F.col("pillar_code") == "P7", F.lit(None).cast("string"))
         .when((k + line) % 17 == 0, F.lit(""))
@@ -325,9 +328,9 @@ def raw_profiles_psych(psych: DataFrame) -> DataFrame:
         F.when(k % 19 == 0, F.lit("")).otherwise(num("iq")).alias("iq"),
         F.when(k % 23 != 0, num("gtq")).alias("gtq"),
         F.when(k % 29 == 0, F.lit("x")).otherwise(num("tiki")).alias("tiki"),
-        "disc",
-        "disc_word",
-        "mbti",
+        F.when(k % 41 == 5, F.lit("NA")).otherwise(F.col("disc")).alias("disc"),
+        F.when(k % 43 == 7, F.lit("n/a")).otherwise(F.col("disc_word")).alias("disc_word"),
+        F.when(k % 47 == 6, F.lit("NaN")).otherwise(F.col("mbti")).alias("mbti"),
     )
 
 

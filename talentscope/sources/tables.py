@@ -58,17 +58,16 @@ class TalentTables:
         return replace(self, talent_benchmarks=benchmarks)
 
 
-def load_tables(spark: SparkSession, path: str, fmt: str = "parquet",
-                max_dim_rows: int = 1_000_000) -> TalentTables:
+def load_tables(spark: SparkSession, path: str, fmt: str = "parquet", max_dim_bytes: int | None = None) -> TalentTables:
     """Read a folder holding one sub-folder per talent table, with explicit
-    schemas.  Each ``dim_*`` table is counted once here and marked for
-    broadcast when it has at most ``max_dim_rows`` rows."""
-    from talentscope.session import broadcast_if_small
+    schemas.  Each ``dim_*`` table is measured once here and marked for
+    broadcast when it is small enough."""
+    from talentscope.session import DEFAULT_BROADCAST_BYTES, broadcast_if_small
 
     kw = {}
     for name, schema in TABLE_SCHEMAS.items():
         df = spark.read.schema(schema).format(fmt).load(f"{path.rstrip('/')}/{name}")
-        kw[name] = broadcast_if_small(df, max_dim_rows) if name.startswith("dim_") else df
+        kw[name] = broadcast_if_small(df, max_dim_bytes or DEFAULT_BROADCAST_BYTES) if name.startswith("dim_") else df
     return TalentTables(**kw)
 
 

@@ -11,9 +11,10 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from talentscope.session import build_session
 
-    s = build_session("local[4]", app_name="talentscope-tests", shuffle_partitions=4)
+    s = build_session("local[4]", app_name="talentscope-tests", shuffle_partitions=4,
+                      extra={"spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}"})
     yield s
     s.stop()

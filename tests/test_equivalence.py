@@ -21,10 +21,10 @@ def _random_totals(spark, n=400, seed=7):
     return spark.createDataFrame(rows, "employee_id string, year int, finalmatch double")
 
 
-@pytest.mark.parametrize("max_broadcast_rows", [2_000_000, 3])
-def test_histogram_rank_equals_window(spark, max_broadcast_rows):
+@pytest.mark.parametrize("max_broadcast_bytes", [64 * 2**20, 3])
+def test_histogram_rank_equals_window(spark, max_broadcast_bytes):
     df = _random_totals(spark)
-    got = dense_rank_and_cume_dist(df, ["year"], "finalmatch", max_broadcast_rows=max_broadcast_rows)
+    got = dense_rank_and_cume_dist(df, ["year"], "finalmatch", max_broadcast_bytes=max_broadcast_bytes)
     w_rank = Window.partitionBy("year").orderBy(F.col("finalmatch").desc_nulls_first())
     w_cume = Window.partitionBy("year").orderBy(F.col("finalmatch").asc_nulls_last())
     ref = df.select("employee_id", F.dense_rank().over(w_rank).alias("rank"), F.cume_dist().over(w_cume).alias("cume_dist"))

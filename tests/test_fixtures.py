@@ -240,10 +240,11 @@ def test_counting_variants(spark):
 
 # ----------------------------------------------------------------- 2.8 insight
 def test_candidate_insight_and_bands(spark):
-    prof = spark.createDataFrame(
-        [(1, "E1", "Competencies", 90.0), (1, "E1", "Context", 90.0), (1, "E1", "Cognitive", 70.0)],
-        "job_vacancy_id int, employee_id string, tgv_name string, tgv_match_rate double")
-    r = insight.candidate_insight(prof).first()
+    rates = {"Competencies": 90.0, "Context": 90.0, "Cognitive": 70.0, "PersonalityPAPI": None, "BehaviorStrengths": None}
+    row = {"job_vacancy_id": 1, "employee_id": "E1"}
+    row.update({f"_g_{g}": v for g, v in rates.items()} | {f"_c_{g}": int(v is not None) for g, v in rates.items()})
+    groups = spark.createDataFrame([row], ", ".join(["job_vacancy_id int", "employee_id string"] + [f"_g_{g} double" for g in rates] + [f"_c_{g} long" for g in rates]))
+    r = insight.candidate_insight(groups).first()
     assert (r["best_tgv"], r["worst_tgv"], r["strong_tgvs"], r["weak_tgvs"]) == (
         "Competencies", "Cognitive", "Competencies,Context", "Cognitive")
     df = spark.createDataFrame([(90.0,), (89.99,), (70.0,), (69.99,), (None,)], "r double")

@@ -6,10 +6,10 @@ from conftest import SF_SMALL
 from oracle_compare import compare, duck
 
 import __spark_entry__ as entry_mod
+from talentscope.plans.catalog import QUERIES
 from talentscope.plans.oracle import ROWS_ONLY
 
-QUERIES = entry_mod.queries()
-ORACLE = entry_mod.oracle_sql()
+ORACLE = {k: v for k, v in entry_mod.oracle_sql().items() if k in QUERIES}
 
 
 @pytest.fixture(scope="module")
