@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import tiktoken
-from conftest import SF, fold
+from llm_cases import SF, fold
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

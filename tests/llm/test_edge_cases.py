@@ -2,7 +2,7 @@
 
 import public_tokenizers as P
 import pytest
-from conftest import ODD
+from llm_cases import ODD
 
 import corpus_pipeline
 from talentscope.llm import bpe, jaccard_join, language_id, packing, quality_rules, resampling, secrets, token_counts, topk_search, toxicity
