@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -48,11 +49,12 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
 
     from talentscope.plans.catalog import QUERIES
-    from talentscope.plans.pipelines import tables_for
+    from talentscope.plans.pipelines import release, tables_for
     from talentscope.session import build_session
 
+    shared = tempfile.mkdtemp(prefix="talentscope-bench-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark = build_session(f"local[{cpus}]", app_name="talentscope-bench", shuffle_partitions=2 * cpus,
-                          extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
+                          extra={"spark.checkpoint.dir": f"file://{shared}", "spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
     names = list(QUERIES) if os.environ.get("BENCH_ALL") == "1" else HEADLINE
 
     t0 = time.perf_counter()
@@ -69,6 +71,7 @@ def main() -> None:
         t0 = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
+    release(spark)
     spark.stop()
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({
