@@ -291,11 +291,12 @@ def components(links: DataFrame, name: str) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_copies, n_links) for each row of ``docs``.
+    """(doc_id, n_shingles, component_id, n_copies) for each row of ``docs``.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored.
-    ``n_copies`` counts the documents with the same set, ``n_links`` the
-    verified links of the document's set to other sets.
+    ``n_copies`` counts the documents with the same set, this one included.
+    Links within a component that is already whole aren't verified, so there
+    is no count of links.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -325,19 +326,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
         more = _linked(docs, whole, rest, width, percent, "jaccard_b")
         links = links.union(more).distinct()
         comp = components(links, "jaccard_b")
-    degree = (links.select("node").union(links.select(F.col("other").alias("node")))).groupBy("node").agg(F.count("*").alias("n_links"))
-
     nodes = whole.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("n_copies"))
-    nodes = nodes.join(comp, "node", "left").join(degree, "node", "left").select(
-        "node", "low", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    nodes = nodes.join(comp, "node", "left").select("node", "low", "n_copies", F.coalesce("component", "node").alias("component"))
     nodes = saved(nodes, "jaccard_nodes")
     ids = nodes.groupBy("component").agg(F.min("low").alias("component_id"))
-    nodes = nodes.join(ids, "component").select("node", "component_id", "n_copies", "n_links")
+    nodes = nodes.join(ids, "component").select("node", "component_id", "n_copies")
     return rows.join(nodes, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"),
-        F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("n_copies")).otherwise(F.lit(1)).alias("n_copies"),
-        F.coalesce(F.when(F.col("n") > 0, F.col("n_links")), F.lit(0)).alias("n_links"))
+        F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("n_copies")).otherwise(F.lit(1)).alias("n_copies"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
