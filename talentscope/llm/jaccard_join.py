@@ -13,15 +13,18 @@ column block by column block and never in full:
   the first ``n - ceil(t n) + 1`` columns of both rows, so only these entries
   are shuffled.  Any fixed order gives the same links; frequency merely keeps
   passages that many documents share out of the product.
-* **Stars before pairs.** In each column every row is paired with the first
-  row of a compatible size, not with all others.  Verified pairs give a first
-  set of components; a column whose rows are all in one component adds
-  nothing more.
-* **Accumulated counts.** For the rest, the pairs of *different* components
-  are counted over all columns.  Columns beyond a row's prefix can add at most
-  ``n - prefix`` to the overlap, so a pair whose count stays below
-  ``required overlap - max(n - prefix)`` is discarded; what is left is
-  verified on the whole sets.
+* **Accumulated counts.** Overlap counts of pairs are summed over the columns.
+  Columns beyond a row's prefix can add at most ``n - prefix`` to the overlap,
+  so a pair whose count stays below ``required overlap - max(n - prefix)`` is
+  discarded; what is left is verified on the whole sets.
+* **Stars before pairs.** In each column every row is first counted with the
+  first row of a compatible size only, not with all others.  Verified pairs
+  give a first set of components; a column whose rows are all in one component
+  adds nothing more, and only pairs of *different* components are counted in
+  full, as packed rows of the product.  Each round verifies a node's strongest
+  partners and joins components, until no pair of two components is left that
+  the bounds allow and nobody has verified.  The set of a star's centre is sent
+  to as many places as the star has parts of ``STAR_PART`` members.
 
 Links inside a component can't change it, so components are those of all
 links.  Rows: a NULL or blank text has an empty set and links with nothing;
@@ -41,10 +44,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, checked_broadcast, mix, saved, shuffle_parts
+from .common import WordHasher, checked_broadcast, mix, saved, shuffle_parts
 
 #: Slots of the table of heavy columns (one byte each) and the most columns entered.
 LEVEL_SLOTS, HEAVY_COLUMNS, HEAVY_LEAST = 1 << 22, 1 << 17, 16
+#: Partners of a node that one round verifies, those of the highest counts; each further round takes eight times as many, until none is left.
+FIRST_PARTNERS = 8
 #: N-grams gathered before one lossy-counting step drops what it saw once.
 COUNT_BATCH = 2_000_000
 _MULT = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
@@ -52,12 +57,9 @@ _MULT = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667
                                 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
-def shingles(text: str | None, width: int, words: WordHash) -> np.ndarray:
+def shingles(text: str | None, width: int, words: WordHasher) -> np.ndarray:
     """Sorted distinct hashes of the word n-grams, A-Z lower-cased."""
-    if not text:
-        return np.empty(0, np.uint64)
-    found = text.encode("utf-8", "surrogatepass").lower().split()  # ASCII letters and white space only
-    h = words.of(found)
+    h = words.of(text)
     n = len(h)
     if not n:
         return h
@@ -83,7 +85,7 @@ _ROWS = "doc_id long, n long, node long, gram long, hits long"
 
 def _scan(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size = WordHash(), [], 0
+        words, held, size = WordHasher(fold=True), [], 0
 
         def counted():
             g, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64),) * 2
@@ -124,7 +126,7 @@ def _levels(heavy: list) -> np.ndarray:
 
 def _entries(width: int, percent: int, table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, levels = WordHash(), set(), table.value
+        words, seen, levels = WordHasher(fold=True), set(), table.value
         for b in batches:
             gram, node, n = [], [], []
             for t in b.column(0):
@@ -165,109 +167,201 @@ def _spans(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.r_[at[1:], len(g)]
 
 
-_STAR = "kind int, gram long, node long, n long, other long, other_n long"
+_STAR = "kind int, gram long, node long, n long, other long, other_n long, shared long"
 
 
 def _stars(percent: int):
+    """Rows of columns that more than one node is in (kind 0), and the overlap
+    counts of nodes with the first node of a compatible size (kind 1)."""
+    names = [c.split()[0] for c in _STAR.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set = set()
+        acc: dict = {}
+
+        def counted() -> pa.RecordBatch:
+            p = np.array([(*k, v) for k, v in acc.items()], np.int64).reshape(-1, 5)
+            acc.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(p), np.int32)), pa.nulls(len(p), pa.int64()), *(pa.array(p[:, k]) for k in range(5))], names=names)
+
         for g, node, n in _by_column(batches, 3):
             keep = np.r_[True, (g[1:] != g[:-1]) | (node[1:] != node[:-1])]  # a node once per column
             g, node, n = g[keep], node[keep], n[keep]
             start, stop = _spans(g)
-            rows, pairs = [], []
-            for i, j in zip(start[stop - start > 1].tolist(), stop[stop - start > 1].tolist()):
-                lead, size = node[i], n[i]
-                rows.append((i, j))
+            many = stop - start > 1
+            rows = list(zip(start[many].tolist(), stop[many].tolist()))
+            for i, j in rows:
+                lead, size = int(node[i]), int(n[i])
                 for x, m in zip(node[i + 1:j].tolist(), n[i + 1:j].tolist()):
                     if 100 * size < percent * m:  # sizes ascend: a new first row
                         lead, size = x, m
-                    elif (pair := (x, int(lead))) not in known:
-                        if len(known) < 1_000_000:
-                            known.add(pair)
-                        pairs.append((x, m, int(lead), int(size)))
+                    else:
+                        k = (x, m, lead, size)
+                        acc[k] = acc.get(k, 0) + 1
             if rows:
                 take = np.concatenate([np.arange(i, j) for i, j in rows])
                 none = pa.nulls(len(take), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(take), np.int32)), pa.array(g[take]), pa.array(node[take]),
-                                                  pa.array(n[take]), none, none], names=["kind", "gram", "node", "n", "other", "other_n"])
-            if pairs:
-                p = np.array(pairs, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(p), np.int32)), pa.nulls(len(p), pa.int64()), pa.array(p[:, 0]),
-                                                  pa.array(p[:, 1]), pa.array(p[:, 2]), pa.array(p[:, 3])],
-                                                 names=["kind", "gram", "node", "n", "other", "other_n"])
+                                                  pa.array(n[take]), none, none, none], names=names)
+            if len(acc) > 200_000:
+                yield counted()
+        if acc:
+            yield counted()
     return run
 
 
-_PAIRS = "node long, n long, other long, other_n long, shared long"
+#: A row of the product, or a part of it: the other nodes, their sizes and the overlap counts,
+#: packed as little-endian 64-, 32- and 32-bit integers; or a pair that has been verified already.
+_PRODUCT = "node long, n long, others binary, sizes binary, shared binary, tested long"
+_PRODUCT_NAMES = [c.split()[0] for c in _PRODUCT.split(", ")]
+
+
+def _need(n, m, percent: int):
+    """Least intersection of sets of these sizes at the threshold."""
+    return -(-percent * (n + m) // (100 + percent))
 
 
 def _products(percent: int):
-    """Overlap counts of the pairs of different components, accumulated over this block of columns."""
+    """This block of columns' part of the product's rows: for each node the nodes
+    before it (by size, then hash) that it shares columns with, other components only."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict = {}
-
-        def out():
-            a = np.array([(*k, v) for k, v in acc.items()], np.int64).reshape(-1, 5)
+        size = 0
+
+        def rows() -> pa.RecordBatch:
+            out = []
+            for (x, n), parts in acc.items():
+                other, at, shared = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_counts=True)
+                sizes = np.concatenate([p[1] for p in parts])[at]
+                out.append((x, n, other.astype("<i8").tobytes(), sizes.astype("<i4").tobytes(), shared.astype("<i4").tobytes()))
             acc.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a[:, k]) for k in range(5)], names=["node", "n", "other", "other_n", "shared"])
+            cols = list(zip(*out)) if out else [()] * 5
+            arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
+            return pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(out), pa.int64())], names=_PRODUCT_NAMES)
 
-        for g, node, n, comp in _by_column(batches, 4):
+        for g, node, n, comp, most in _by_column(batches, 5):
             for i, j in zip(*map(np.ndarray.tolist, _spans(g))):
                 if j - i < 2 or (comp[i:j] == comp[i]).all():
                     continue
                 for x in range(i + 1, j):  # sizes ascend
                     low = i + int(np.searchsorted(n[i:x], -(-percent * int(n[x]) // 100)))
-                    for y in (low + np.flatnonzero(comp[low:x] != comp[x])).tolist():
-                        a, b = (x, y) if node[x] > node[y] else (y, x)
-                        k = (int(node[a]), int(n[a]), int(node[b]), int(n[b]))
-                        acc[k] = acc.get(k, 0) + 1
-                    if len(acc) > 200_000:
-                        yield out()
+                    y = low + np.flatnonzero(comp[low:x] != comp[x])
+                    y = y[np.minimum(most[y], most[x]) >= _need(n[y], n[x], percent)]
+                    if len(y):
+                        acc.setdefault((int(node[x]), int(n[x])), []).append((node[y], n[y]))
+                        size += len(y)
+            if size > 1_000_000:
+                yield rows()
+                size = 0
         if acc:
-            yield out()
+            yield rows()
+    return run
+
+
+def _strongest(percent: int, k: int):
+    """Whole product rows from their parts: of the pairs that the size bounds
+    leave and nobody has verified, each node's ``k`` with the highest counts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        out: list = []
+
+        def close() -> None:
+            parts = [r for r in held if r[5] is None]
+            if not parts:
+                return
+            n = parts[0][1]
+            every = np.concatenate([np.frombuffer(r[2], "<i8") for r in parts])
+            other, at, inv = np.unique(every, return_index=True, return_inverse=True)
+            shared = np.bincount(inv, weights=np.concatenate([np.frombuffer(r[4], "<i4") for r in parts])).astype(np.int64)
+            m = np.concatenate([np.frombuffer(r[3], "<i4") for r in parts])[at].astype(np.int64)
+            beyond = -(-percent * np.maximum(m, n) // 100) - 1  # the most that columns past the prefix can add
+            ok = (shared >= _need(m, n, percent) - beyond) & ~np.isin(other, np.array([r[5] for r in held if r[5] is not None], np.int64))
+            other, shared = other[ok], shared[ok]
+            first = np.argsort(-shared, kind="stable")[:k]
+            out.extend((held[0][0], o) for o in other[first].tolist())
+
+        def batch() -> pa.RecordBatch:
+            b = pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in (0, 1)], names=["node", "other"])
+            out.clear()
+            return b
+
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in range(6))):
+                if held and held[0][0] != row[0]:
+                    close()
+                    held.clear()
+                held.append(row)
+            if len(out) >= 10_000:
+                yield batch()
+        if held:
+            close()
+        yield batch()
     return run
 
 
 # ---- verification and components -----------------------------------------------------------
 
+#: Members of a star that are verified in one place; a larger star is dealt to several.
+STAR_PART = 64
+
+_SETS = "node long, other long, part long, role int, grams binary"
+
+
 def _sets(width: int):
+    """The set of each text, once per task and place where it is needed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHash()
+        words, seen, last = WordHasher(fold=True), set(), (None, None)
         for b in batches:
-            nodes, sets = [], []
-            for node, t in zip(b.column(0).to_pylist(), b.column(1)):
-                s = shingles(t.as_py(), width, words)
-                if fingerprint(s) == node:  # an id may be repeated with another text
-                    nodes.append(node)
-                    sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "grams"])
+            out: list = []
+            for node, other, part, role, t in zip(*(b.column(k).to_pylist() for k in range(4)), b.column(4)):
+                if last[0] != (node, t.as_py()):
+                    s = shingles(t.as_py(), width, words)
+                    last = ((node, t.as_py()), s.tobytes() if fingerprint(s) == node else None)  # an id may be repeated with another text
+                if last[1] is not None and (node, other, part, role) not in seen:
+                    if len(seen) < 1_000_000:
+                        seen.add((node, other, part, role))
+                    out.append((node, other, part, role, last[1]))
+            cols = list(zip(*out)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
+                                             names=["node", "other", "part", "role", "grams"])
     return run
 
 
 def _verify(percent: int):
+    """Members follow the set of their star's centre (role 0)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, centre = None, None
         for b in batches:
-            a, o = b.column(0).to_numpy(), b.column(2).to_numpy()
-            ok = np.zeros(len(a), bool)
-            for i, (x, y) in enumerate(zip(b.column(1), b.column(3))):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = np.intersect1d(x, y, assume_unique=True).size
-                ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(o[ok])], names=["node", "other"])
+            out = []
+            for node, other, part, role, grams in zip(*(b.column(k).to_pylist() for k in range(4)), b.column(4)):
+                if at != (other, part):
+                    at, centre = (other, part), None
+                if role == 0:
+                    centre = np.frombuffer(grams.as_py(), np.uint64)
+                elif centre is not None:
+                    x = np.frombuffer(grams.as_py(), np.uint64)
+                    both = np.intersect1d(x, centre, assume_unique=True).size
+                    if 100 * both >= percent * (len(x) + len(centre) - both):
+                        out.append((node, other))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], names=["node", "other"])
     return run
 
 
 def _linked(docs: DataFrame, rows: DataFrame, pairs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """The pairs (node, other) whose whole sets reach the threshold, written."""
-    needed = pairs.select("node").union(pairs.select(F.col("other").alias("node"))).distinct()
-    first = saved(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(needed, "node"), f"{name}_needed")
-    texts = docs.select("doc_id", "text").join(checked_broadcast(first, 64), "doc_id").select("node", "text")
-    sets = saved(texts.mapInArrow(_sets(width), "node long, grams binary").groupBy("node").agg(F.first("grams").alias("grams")),
-                 f"{name}_sets")
-    both = (pairs.join(sets.withColumnRenamed("grams", "x"), "node")
-            .join(sets.select(F.col("node").alias("other"), F.col("grams").alias("y")), "other").select("node", "x", "other", "y"))
-    return saved(both.mapInArrow(_verify(percent), "node long, other long"), f"{name}_links")
+    """The pairs (node, other) whose whole sets reach the threshold, written.
+
+    Pairs of one ``other`` form a star.  Its centre's set goes to every place
+    that verifies ``STAR_PART`` of its members, so no star is one task's work.
+    """
+    size = pairs.groupBy("other").agg(F.ceil(F.count("*") / STAR_PART).alias("parts"))
+    members = pairs.join(size, "other").select("node", "other", F.pmod(F.xxhash64("node"), "parts").alias("part"), F.lit(1).alias("role"))
+    members = saved(members, f"{name}_members")
+    centres = members.select(F.col("other").alias("node"), "other", "part", F.lit(0).alias("role")).distinct()
+    first = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    places = saved(members.union(centres).join(first, "node"), f"{name}_places")
+    texts = docs.select("doc_id", "text").join(checked_broadcast(places, 64), "doc_id").select("node", "other", "part", "role", "text")
+    sets = (texts.mapInArrow(_sets(width), _SETS).repartition(shuffle_parts(docs.sparkSession), "other", "part")
+            .sortWithinPartitions("other", "part", "role"))
+    return saved(sets.mapInArrow(_verify(percent), "node long, other long").distinct(), f"{name}_links")
 
 
 def components(links: DataFrame, name: str) -> DataFrame:
@@ -310,22 +404,40 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
                .repartition(shuffle_parts(spark), "gram").sortWithinPartitions("gram", "n", "node"))
     star = saved(entries.mapInArrow(_stars(percent), _STAR), "jaccard_star")
     whole = rows.where("doc_id is not null")
-    pairs = star.where("kind = 1").select("node", "other").distinct()
-    links = _linked(docs, whole, pairs, width, percent, "jaccard_a")
-    comp = components(links, "jaccard_a")
-
-    shared = star.where("kind = 0").select("gram", "node", "n").join(comp, "node", "left")
-    shared = (shared.select("gram", "node", "n", F.coalesce("component", "node").alias("component"))
-              .repartition(shuffle_parts(spark), "gram").sortWithinPartitions("gram", "n", "node"))
     need = F.ceil(F.lit(percent) * (F.col("n") + F.col("other_n")) / (100 + percent))
     beyond = F.ceil(F.lit(percent) * F.greatest("n", "other_n") / 100) - 1  # the most that columns past the prefix can add
-    rest = (shared.mapInArrow(_products(percent), _PAIRS).groupBy("node", "n", "other", "other_n").agg(F.sum("shared").alias("shared"))
-            .where(F.col("shared") >= need - beyond).select("node", "other"))
-    rest = saved(rest.join(links, ["node", "other"], "left_anti"), "jaccard_rest")
-    if not rest.isEmpty():
-        more = _linked(docs, whole, rest, width, percent, "jaccard_b")
-        links = links.union(more).distinct()
-        comp = components(links, "jaccard_b")
+
+    def likely(counted: DataFrame) -> DataFrame:
+        total = counted.groupBy("node", "n", "other", "other_n").agg(F.sum("shared").alias("shared"))
+        return total.where(F.col("shared") >= need - beyond).select("node", "other")
+
+    first = saved(likely(star.where("kind = 1")), "jaccard_first")
+    tested = first
+    links = _linked(docs, whole, first, width, percent, "jaccard_0")
+    comp = components(links, "jaccard_0")
+
+    entries = star.where("kind = 0").select("gram", "node", "n")
+    # columns of the prefix that nobody shares bound what a node can share with anyone
+    most = saved(entries.groupBy("node", "n").agg(F.count("*").alias("seen")).select(
+        "node", (F.ceil(F.lit(percent) * F.col("n") / 100) - 1 + F.col("seen")).cast("long").alias("most")), "jaccard_most")
+    k, step = FIRST_PARTNERS, 0
+    while True:
+        step += 1
+        state = most.join(comp, "node", "left").select("node", "most", F.coalesce("component", "node").alias("component"))
+        block = (entries.join(state, "node").select("gram", "node", "n", "component", "most")
+                 .repartition(shuffle_parts(spark), "gram").sortWithinPartitions("gram", "n", "node"))
+        none = F.lit(None)
+        old = tested.select("node", none.cast("long").alias("n"), *[none.cast("binary").alias(c) for c in ("others", "sizes", "shared")], F.col("other").alias("tested"))
+        rows_of = block.mapInArrow(_products(percent), _PRODUCT).union(old).repartition(shuffle_parts(spark), "node").sortWithinPartitions("node")
+        rest = saved(rows_of.mapInArrow(_strongest(percent, k), "node long, other long"), f"jaccard_rest{step}")
+        if rest.isEmpty():
+            break
+        found = _linked(docs, whole, rest, width, percent, f"jaccard_{step}")
+        tested, k = tested.union(rest), 8 * k
+        if not found.isEmpty():
+            links = links.union(found)
+            comp = components(links, f"jaccard_{step}")
+
     nodes = whole.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("n_copies"))
     nodes = nodes.join(comp, "node", "left").select("node", "low", "n_copies", F.coalesce("component", "node").alias("component"))
     nodes = saved(nodes, "jaccard_nodes")

@@ -24,41 +24,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts
+from .common import WordHasher, shuffle_parts
 
 DIMENSIONS, BITS = 4, 15
 END_ID = 0
 
 
-class WordVectors(dict):
-    """Word -> row of a table of projected one-hot vectors: pseudo-random, from the word's hash."""
-
-    def __init__(self, limit: int = 200_000):
-        super().__init__()
-        self.limit = limit
-        self.table = np.zeros((limit + 1, DIMENSIONS), np.int16)
-
-    def __missing__(self, word: bytes) -> int:
-        k = len(self)
-        if k >= self.limit:
-            return -1
-        self[word] = k
-        self.table[k] = np.frombuffer(xxhash.xxh3_64_digest(word), "<i2", DIMENSIONS)
-        return k
-
-    def project(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        out = self.table[at[at >= 0]].sum(axis=0, dtype=np.int64)
-        if len(late := np.flatnonzero(at < 0)):  # words beyond the table
-            late = b"".join(xxhash.xxh3_64_digest(words[k]) for k in late.tolist())
-            out = out + np.frombuffer(late, "<i2").reshape(-1, DIMENSIONS).sum(axis=0, dtype=np.int64)
-        return out / (32768 / 3 ** 0.5 * max(len(words), 1) ** 0.5)  # about unit variance at any length
+def project(hashes: np.ndarray) -> np.ndarray:
+    """Projection of a document's hashed words: a word's row of the random
+    matrix is four 16-bit parts of its hash; about unit variance at any length."""
+    rows = hashes.astype("<u8").view("<i2").reshape(-1, DIMENSIONS)
+    return rows.sum(axis=0, dtype=np.int64) / (32768 / 3 ** 0.5 * max(len(hashes), 1) ** 0.5)
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -102,9 +82,9 @@ def curve_keys(vectors: np.ndarray) -> np.ndarray:
 def with_curve_key(docs: DataFrame) -> DataFrame:
     """(doc_id, text, curve, salt): ``curve`` orders documents along the curve, ``salt`` splits equal keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordVectors()
+        words = WordHasher()
         for b in batches:
-            v = np.array([words.project(t.as_py()) for t in b.column(1)]).reshape(-1, DIMENSIONS)
+            v = np.array([project(words.of(t.as_py())) for t in b.column(1)]).reshape(-1, DIMENSIONS)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(curve_keys(v))], names=["doc_id", "text", "curve"])
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text string, curve long")
     return keyed.withColumn("salt", F.xxhash64("doc_id"))

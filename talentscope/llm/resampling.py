@@ -21,39 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, mix, saved
+from .common import WordHasher, mix, saved
 
 BUCKETS, SMOOTHING, BINS = 1 << 16, 1.0, 4096
 NOISE_SEED, UNIT = 6, 1 << 20
-_CLASS = str.maketrans({**{chr(c): "9" for c in range(48, 58)}, **{chr(c): "a" for c in range(97, 123)}, **{chr(c): "A" for c in range(65, 91)}})
 
 
-def shape(word: bytes) -> str:
-    """Runs of letters by case, of digits, and symbols as they are: ``Ab12!!`` -> ``Aa9!!``."""
-    out = []
-    for c in word.decode("utf-8", "replace").translate(_CLASS):
-        c = ("A" if c.isupper() else "a") if c.isalpha() else c
-        if not out or c != out[-1] or c not in "Aa9":
-            out.append(c)
-    return "".join(out[:12])
-
-
-class ShapeHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(shape(word), 1)
-        if len(self) < 400_000:
-            self[word] = h
-        return h
-
-
-def buckets(text: str | None, words: WordHash, shapes: ShapeHash) -> np.ndarray:
+def buckets(text: str | None, words: WordHasher) -> np.ndarray:
     """Buckets of the n-grams of a whole text."""
-    found = (text or "").encode("utf-8", "surrogatepass").split()
-    w, s = words.of(found), np.fromiter(map(shapes.__getitem__, found), np.uint64, len(found))
+    w, s = words.of(text), words.of(text, shapes=True)
     pair = w[:-1] * np.uint64(0x9E3779B97F4A7C15) + w[1:]
     kind = s[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + s[1:] + (w[:-1] == w[1:]).astype(np.uint64)
     return (mix(np.concatenate([w, pair + np.uint64(1), kind + np.uint64(2)])) % np.uint64(BUCKETS)).astype(np.int64)
@@ -61,10 +40,10 @@ def buckets(text: str | None, words: WordHash, shapes: ShapeHash) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One sum per task and bucket, of all documents and of the good ones."""
-    words, shapes, total = WordHash(), ShapeHash(), np.zeros((2, BUCKETS), np.int64)
+    words, total = WordHasher(), np.zeros((2, BUCKETS), np.int64)
     for b in batches:
         for good, t in zip(b.column(0).to_pylist(), b.column(1)):
-            k = np.bincount(buckets(t.as_py(), words, shapes), minlength=BUCKETS)
+            k = np.bincount(buckets(t.as_py(), words), minlength=BUCKETS)
             total[0] += k
             if good:
                 total[1] += k
@@ -74,11 +53,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _weigh(ratio):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, shapes, log_ratio = WordHash(), ShapeHash(), ratio.value
+        words, log_ratio = WordHasher(), ratio.value
         for b in batches:
             out = []
             for t in b.column(1):
-                k = buckets(t.as_py(), words, shapes)
+                k = buckets(t.as_py(), words)
                 out.append(float(log_ratio[k].sum() / len(k) ** 0.5) if len(k) else 0.0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["doc_id", "log_weight"])
     return run
