@@ -181,5 +181,9 @@ def quality(docs: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def good(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, all columns."""
-    return judged(docs, labelled).where("kept").select("_row.*")
+    """The rows of ``docs`` that are kept, all columns.
+
+    The row number keeps the filter above the projection: pushed below it, the
+    verdict would be spelled out from the text with every statistic repeated.
+    """
+    return judged(docs, labelled).withColumn("at", F.monotonically_increasing_id()).where("kept AND at >= 0").select("_row.*")
