@@ -150,7 +150,9 @@ def scan(docs: DataFrame, words: list[str], forest: str) -> DataFrame:
 def findings(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """One row per secret: doc_id, start and length in characters, kind, probability, sha256 of the secret."""
     words = dictionary(docs)
-    found = scan(docs.select("doc_id", "text"), words, fit(docs, words, labelled)).where("_found is not null")
+    found = scan(docs.select("doc_id", "text"), words, fit(docs, words, labelled))
+    # the row number keeps this filter above the projection, or the forest would be evaluated again within it
+    found = found.withColumn("row", F.monotonically_increasing_id()).where("_found IS NOT NULL AND row >= 0")
     found = found.select(F.col("_row.doc_id").cast("long").alias("doc_id"), "_gaps", "_found", F.posexplode("_found").alias("at", "x")).where(F.col("x.p") >= THRESHOLD)
     start = F.expr("aggregate(slice(_gaps, 1, at + 1), 0L, (s, g) -> s + length(g)) + aggregate(slice(_found, 1, at), 0L, (s, f) -> s + length(f.c))")
     kind = F.when(F.col("x.c").rlike(FORMATS), "key_format").when(F.col("x.keyword") == 1, "assigned").otherwise("other")
