@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, mix, saved
+from .common import WordHasher, checked_broadcast, mix, saved
 
 BUCKETS, SMOOTHING, BINS = 1 << 16, 1.0, 4096
 NOISE_SEED, UNIT = 6, 1 << 20
@@ -87,7 +87,8 @@ def resample(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marks = saved(labelled.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality")), "resampling_labels")
     n = {r[0]: r[1] for r in marks.groupBy("quality").count().collect()}
-    good = docs.join(marks.where("quality = 1").select("doc_id", F.lit(True).alias("good")), "doc_id", "left").select("good", "text")
+    known = saved(marks.where("quality = 1").select("doc_id", F.lit(True).alias("good")), "resampling_good")
+    good = docs.join(checked_broadcast(known, 32), "doc_id", "left").select("good", "text")
     sums = good.mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.full(BUCKETS, SMOOTHING), np.full(BUCKETS, SMOOTHING)
     at = sums["bucket"].to_numpy()
