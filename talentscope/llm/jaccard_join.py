@@ -17,8 +17,8 @@ column block by column block and never in full:
   Columns beyond a row's prefix can add at most ``n - prefix`` to the overlap,
   so a pair whose count stays below ``required overlap - max(n - prefix)`` is
   discarded; what is left is verified on the whole sets.
-* **Stars before pairs.** In each column every row is first counted with the
-  first row of a compatible size only, not with all others.  Verified pairs
+* **Stars before pairs.** In each column every row is first counted with a few
+  rows of a compatible size only, those of the lowest hash.  Verified pairs
   give a first set of components; a column whose rows are all in one component
   adds nothing more, and only pairs of *different* components are counted in
   full, as packed rows of the product.  Each round verifies a node's strongest
@@ -48,6 +48,8 @@ from .common import WordHasher, checked_broadcast, mix, saved, shuffle_parts
 
 #: Slots of the table of heavy columns (one byte each) and the most columns entered.
 LEVEL_SLOTS, HEAVY_COLUMNS, HEAVY_LEAST = 1 << 22, 1 << 17, 16
+#: Centres of the stars in each run of compatible sizes of a column.
+CENTRES = 2
 #: Partners of a node that one round verifies, those of the highest counts; each further round takes eight times as many, until none is left.
 FIRST_PARTNERS = 8
 #: N-grams gathered before one lossy-counting step drops what it saw once.
@@ -172,7 +174,8 @@ _STAR = "kind int, gram long, node long, n long, other long, other_n long, share
 
 def _stars(percent: int):
     """Rows of columns that more than one node is in (kind 0), and the overlap
-    counts of nodes with the first node of a compatible size (kind 1)."""
+    counts of nodes with the ``CENTRES`` nodes of the lowest hash among those of
+    a compatible size (kind 1)."""
     names = [c.split()[0] for c in _STAR.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,13 +193,17 @@ def _stars(percent: int):
             many = stop - start > 1
             rows = list(zip(start[many].tolist(), stop[many].tolist()))
             for i, j in rows:
-                lead, size = int(node[i]), int(n[i])
-                for x, m in zip(node[i + 1:j].tolist(), n[i + 1:j].tolist()):
-                    if 100 * size < percent * m:  # sizes ascend: a new first row
-                        lead, size = x, m
-                    else:
-                        k = (x, m, lead, size)
-                        acc[k] = acc.get(k, 0) + 1
+                at = i
+                while at < j:  # a run of compatible sizes, ascending
+                    stop = min(j, i + int(np.searchsorted(n[i:j], int(n[at]) * 100 // percent, "right")))
+                    run_nodes, run_sizes = node[at:stop].tolist(), n[at:stop].tolist()
+                    for c in np.argsort(node[at:stop], kind="stable")[:CENTRES].tolist():
+                        centre, size = run_nodes[c], run_sizes[c]
+                        for x, m in zip(run_nodes, run_sizes):
+                            if x != centre:
+                                k = (x, m, centre, size)
+                                acc[k] = acc.get(k, 0) + 1
+                    at = stop
             if rows:
                 take = np.concatenate([np.arange(i, j) for i, j in rows])
                 none = pa.nulls(len(take), pa.int64())
@@ -221,8 +228,9 @@ def _need(n, m, percent: int):
 
 
 def _products(percent: int):
-    """This block of columns' part of the product's rows: for each node the nodes
-    before it (by size, then hash) that it shares columns with, other components only."""
+    """This block of columns' part of the product's rows: for each node the nodes of
+    larger components (by size, then label) that it shares columns with, so a
+    column costs in proportion to the nodes that are not in its main component."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict = {}
         size = 0
@@ -238,16 +246,20 @@ def _products(percent: int):
             arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
             return pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(out), pa.int64())], names=_PRODUCT_NAMES)
 
-        for g, node, n, comp, most in _by_column(batches, 5):
+        for g, node, n, comp, members, most in _by_column(batches, 6):
             for i, j in zip(*map(np.ndarray.tolist, _spans(g))):
                 if j - i < 2 or (comp[i:j] == comp[i]).all():
                     continue
-                for x in range(i + 1, j):  # sizes ascend
-                    low = i + int(np.searchsorted(n[i:x], -(-percent * int(n[x]) // 100)))
-                    y = low + np.flatnonzero(comp[low:x] != comp[x])
-                    y = y[np.minimum(most[y], most[x]) >= _need(n[y], n[x], percent)]
+                sizes, own, weight = n[i:j], comp[i:j], members[i:j]
+                top = np.lexsort((own, weight))[-1]
+                for x in np.flatnonzero(own != own[top]).tolist():  # sizes ascend
+                    low = int(np.searchsorted(sizes, -(-percent * int(sizes[x]) // 100)))
+                    high = int(np.searchsorted(sizes, int(sizes[x]) * 100 // percent, "right"))
+                    larger = (weight[low:high] > weight[x]) | ((weight[low:high] == weight[x]) & (own[low:high] > own[x]))
+                    y = i + low + np.flatnonzero(larger)
+                    y = y[np.minimum(most[y], most[i + x]) >= _need(n[y], n[i + x], percent)]
                     if len(y):
-                        acc.setdefault((int(node[x]), int(n[x])), []).append((node[y], n[y]))
+                        acc.setdefault((int(node[i + x]), int(n[i + x])), []).append((node[y], n[y]))
                         size += len(y)
             if size > 1_000_000:
                 yield rows()
@@ -412,7 +424,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
         return total.where(F.col("shared") >= need - beyond).select("node", "other")
 
     first = saved(likely(star.where("kind = 1")), "jaccard_first")
-    tested = first
+    tested = first.distinct()
     links = _linked(docs, whole, first, width, percent, "jaccard_0")
     comp = components(links, "jaccard_0")
 
@@ -423,11 +435,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     k, step = FIRST_PARTNERS, 0
     while True:
         step += 1
-        state = most.join(comp, "node", "left").select("node", "most", F.coalesce("component", "node").alias("component"))
-        block = (entries.join(state, "node").select("gram", "node", "n", "component", "most")
+        known = comp.join(comp.groupBy("component").agg(F.count("*").alias("members")), "component")
+        state = most.join(known, "node", "left").select(
+            "node", "most", F.coalesce("component", "node").alias("component"), F.coalesce("members", F.lit(1)).alias("members"))
+        block = (entries.join(state, "node").select("gram", "node", "n", "component", "members", "most")
                  .repartition(shuffle_parts(spark), "gram").sortWithinPartitions("gram", "n", "node"))
         none = F.lit(None)
-        old = tested.select("node", none.cast("long").alias("n"), *[none.cast("binary").alias(c) for c in ("others", "sizes", "shared")], F.col("other").alias("tested"))
+        old = tested.union(tested.select("other", "node")).toDF("node", "other").select("node", none.cast("long").alias("n"), *[none.cast("binary").alias(c) for c in ("others", "sizes", "shared")], F.col("other").alias("tested"))
         rows_of = block.mapInArrow(_products(percent), _PRODUCT).union(old).repartition(shuffle_parts(spark), "node").sortWithinPartitions("node")
         rest = saved(rows_of.mapInArrow(_strongest(percent, k), "node long, other long"), f"jaccard_rest{step}")
         if rest.isEmpty():
