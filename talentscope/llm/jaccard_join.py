@@ -51,7 +51,7 @@ LEVEL_SLOTS, HEAVY_COLUMNS, HEAVY_LEAST = 1 << 22, 1 << 17, 16
 #: Centres of the stars in each run of compatible sizes of a column.
 CENTRES = 2
 #: Partners of a node that one round verifies, those of the highest counts; each further round takes eight times as many, until none is left.
-FIRST_PARTNERS = 8
+FIRST_PARTNERS = 32
 #: N-grams gathered before one lossy-counting step drops what it saw once.
 COUNT_BATCH = 2_000_000
 _MULT = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
