@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 
 from talentscope.operators import insight
 from talentscope.operators.benchmark import cohort_candidates

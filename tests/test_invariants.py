@@ -1,6 +1,6 @@
 """Invariants on the driver's smallest tables."""
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from pyspark.sql import functions as F
 
 from talentscope.plans.catalog import QUERIES

@@ -2,7 +2,7 @@
 smallest tables: same rows, column names, types and values."""
 
 import pytest
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from oracle_compare import compare, duck
 
 import __spark_entry__ as entry_mod

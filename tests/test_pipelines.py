@@ -4,7 +4,7 @@ import os
 import shutil
 from concurrent.futures import ThreadPoolExecutor
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 
 from talentscope.operators import benchmark, match
 from talentscope.plans import pipelines

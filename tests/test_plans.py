@@ -1,6 +1,6 @@
 """Plan checks: the physical plans have the shape the design relies on."""
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 
 from talentscope.plans.catalog import QUERIES
 

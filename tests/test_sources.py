@@ -7,7 +7,7 @@ import os
 import tempfile
 
 import pytest
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 
 from talentscope.operators.clean import clean_competencies, require_columns, standardize_columns
 from talentscope.sources import export, read_raw
