@@ -1,17 +1,18 @@
 """Operator 2: language identification by interpolated Kneser-Ney character models.
 
-Per language the character 4-grams of all training texts are counted by Spark.
-The model is the most frequent of them by share within their language, at most
-``MAX_GRAMS`` (a bound on the classifier, not on the rows it learns from).
-Lower orders hold continuation counts (how many different characters a gram
-follows), each order is discounted and interpolated with the next, and the
-unigrams with a uniform distribution.
+Per language the character 4-grams of all training texts are counted by Spark,
+and every counted gram takes part, however many there are.  Lower orders hold
+continuation counts (how many different characters a gram follows), each order
+is discounted and interpolated with the next, and the unigrams with a uniform
+distribution; counts, totals, discounts and probabilities are made by joins.
 
 A gram is a 64-bit key of four 16-bit characters (characters beyond the basic
 plane are hashed to 16 bits), so contexts and suffixes are shifts and masks.
-Each order is one sorted key array with a matrix of log-probabilities, a column
-per language; a text is scored by binary search of all its grams, and only
-grams unknown to every language are backed off while scoring.
+A text's log-probability is a sum over its grams of all orders: the context's
+back-off weight, and for a gram seen in the language what it has above its
+back-off.  So the model is one sparse table of weights (language, gram), dealt
+by hash into broadcast blocks of ``BLOCK_ROWS``, which add to a text's scores
+one after the other; a task holds one block in memory.
 
 Prediction: the language of the lowest cross-entropy per character; ties go to
 the first name in order.  ``score`` is the posterior at ``SHARPNESS`` characters
@@ -25,15 +26,18 @@ if there is nothing to learn from; the whole of a long text is scored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, saved
+from .common import checked_broadcast, fold, saved
 
-ORDER, MAX_GRAMS, MAX_CELLS = 4, 1_000_000, 1 << 24
+ORDER = 4
+#: Weights of a broadcast block; numbers of a score matrix and grams held by a task at a time (none bounds the model).
+BLOCK_ROWS, CELLS, HELD = 1 << 21, 1 << 23, 1 << 21
 SHARPNESS, REJECT = 12.0, 0.001
 COUNT_BATCH = 2_000_000
 _LETTER: list = []
@@ -121,59 +125,123 @@ class KneserNey:
         return np.where(hit, p[at], 0.0) + self.backoff(order, q >> np.uint64(16)) * self.probability(order - 1, q & _LOW[order - 1])
 
 
+def _lookup(rows: pa.Table) -> dict:
+    """kind -> sorted keys, where each key's weights begin, their languages, the weights."""
+    kind, key = rows["kind"].to_numpy(), rows["key"].to_numpy().view(np.uint64)
+    lang, weight, out = rows["l"].to_numpy(), rows["weight"].to_numpy(), {}
+    for k in np.unique(kind).tolist():
+        own = np.flatnonzero(kind == k)
+        own = own[np.argsort(key[own], kind="stable")]
+        keys, first = np.unique(key[own], return_index=True)
+        out[k] = keys, np.append(first, len(own)), lang[own], weight[own]
+    return out
+
+
 class Model:
-    """All languages: per order sorted keys with a matrix of log-probabilities, sorted contexts with one of back-off weights."""
-
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.langs = sorted(counts)
-        alphabet = len(np.unique(np.concatenate([k & _LOW[1] for k, _ in counts.values()]))) + 1 if counts else 1
-        models = [KneserNey(*counts[lang], alphabet) for lang in self.langs]
-        self.uniform, self.level = -float(np.log(alphabet)), {}
-        for order in range(1, ORDER + 1) if models else ():
-            keys = np.unique(np.concatenate([m.level[order][0] for m in models]))
-            ctx = np.unique(np.concatenate([m.level[order][2] for m in models]))
-            self.level[order] = (keys, np.log(np.stack([m.probability(order, keys) for m in models], 1)).astype(np.float32),
-                                 ctx, np.log(np.stack([m.backoff(order, ctx) for m in models], 1)).astype(np.float32))
-
-    def log_probability(self, order: int, q: np.ndarray) -> np.ndarray:
-        if not order:
-            return np.full((len(q), len(self.langs)), self.uniform, np.float32)
-        keys, logs, ctx, weights = self.level[order]
-        at, hit = _find(keys, q)
-        out = logs[at]
-        if not hit.all():  # unknown to every language
-            miss = q[~hit]
-            at, known = _find(ctx, miss >> np.uint64(16))
-            out[~hit] = np.where(known[:, None], weights[at], 0) + self.log_probability(order - 1, miss & _LOW[order - 1])
+    """All languages: their names, the log-probability of a character under the uniform distribution, the blocks of weights."""
+
+    def __init__(self, langs: list[str], uniform: float, blocks: list):
+        self.langs, self.uniform, self.blocks = langs, uniform, blocks
+
+    def _rows(self, block: dict, u: np.ndarray, order: int) -> np.ndarray:
+        """Summed weights of ``order`` and below, a row for each of the grams ``u`` (sorted, ``order`` characters long)."""
+        if order == 1:
+            out = np.zeros((len(u), len(self.langs)))
+        else:
+            low, inv = np.unique(u & _LOW[order - 1], return_inverse=True)
+            out = self._rows(block, low, order - 1)[inv]
+        for kind, q in ((order, u), (ORDER + order, u >> np.uint64(16))):
+            if kind in block:
+                keys, first, lang, weight = block[kind]
+                at, hit = _find(keys, q)
+                at, hit = at[hit], np.flatnonzero(hit)
+                k = first[at + 1] - first[at]
+                of = np.arange(k.sum()) + np.repeat(first[at] - np.cumsum(k) + k, k)
+                out[np.repeat(hit, k), lang[of]] += weight[of]
         return out
 
     def entropies(self, parts: list[np.ndarray]) -> np.ndarray:
         """Cross-entropy per character, a row for each array of grams (none of them empty)."""
-        stops = np.cumsum([0, *map(len, parts)])
-        logs = self.log_probability(ORDER, np.concatenate(parts))
-        return -np.add.reduceat(logs, stops[:-1], axis=0, dtype=np.float64) / np.diff(stops)[:, None]
+        n, langs = np.array([len(p) for p in parts]), len(self.langs)
+        g, text, total = np.concatenate(parts), np.repeat(np.arange(len(parts)), n), np.zeros((len(parts), langs))
+        step, slice_ = max(1, CELLS // langs), max(1, CELLS // 8 // langs)
+        for shared in self.blocks:
+            block = shared.value
+            for i in range(0, len(g), step):
+                u, inv = np.unique(g[i:i + step], return_inverse=True)
+                rows = self._rows(block, u, ORDER)
+                at = np.flatnonzero(rows.any(1)[inv])  # what this block knows something of
+                for j in range(0, len(at), slice_):
+                    some = at[j:j + slice_]
+                    own = text[i + some]
+                    edge = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                    total[own[edge]] += np.add.reduceat(rows[inv[some]], edge, axis=0)
+            if len(self.blocks) > 1:  # one block at a time in memory; the next use reads the local file again
+                del block
+                shared.__dict__.pop("_value", None)
+        return -total / n[:, None] - self.uniform
+
+
+def _low(order: int):
+    return F.col("key").bitwiseAND(F.lit((1 << 16 * order) - 1))
+
+
+def weights(counted: DataFrame) -> tuple[DataFrame, int]:
+    """All counted grams (l, key, hits) as (l, kind, key, weight), and the size of the alphabet.
+
+    Kind ``order``: what a gram seen in the language adds to the logarithm of
+    what its back-off gives; kind ``ORDER + order``: the logarithm of a
+    context's back-off weight.
+    """
+    levels = {ORDER: counted}
+    for order in range(ORDER - 1, 0, -1):  # continuation counts: one for each character before the suffix
+        levels[order] = saved(levels[order + 1].groupBy("l", _low(order).alias("key")).agg(F.count("*").alias("hits")), f"language_grams_{order}")
+    alphabet = levels[1].select("key").distinct().count() + 1
+    grams = reduce(DataFrame.unionByName, [d.select("l", F.lit(o).alias("kind"), "key", "hits") for o, d in levels.items()])
+    once, twice = F.count_if(F.col("hits") == 1), F.count_if(F.col("hits") == 2)
+    share = F.greatest(F.least(once / (once + 2 * twice), F.lit(0.9)), F.lit(0.1))
+    discount = saved(grams.groupBy("l", "kind").agg(F.when(once > 0, share).otherwise(0.5).alias("discount")), "language_discounts")
+    ctx = F.shiftrightunsigned("key", 16).alias("ctx")
+    contexts = grams.groupBy("l", "kind", ctx).agg(F.sum("hits").alias("total"), F.count("*").alias("kinds"))
+    contexts = contexts.join(checked_broadcast(discount, 32), ["l", "kind"])
+    contexts = saved(contexts.select("l", "kind", "ctx", "total", "discount", (F.col("discount") * F.col("kinds") / F.col("total")).alias("backoff")), "language_contexts")
+    parts, lower = [contexts.select("l", (F.col("kind") + ORDER).alias("kind"), F.col("ctx").alias("key"), F.log("backoff").alias("weight"))], None
+    for order in range(1, ORDER + 1):
+        d = levels[order].withColumn("ctx", ctx).join(contexts.where(F.col("kind") == order).drop("kind"), ["l", "ctx"])
+        if lower is None:
+            d = d.withColumn("under", F.col("backoff") / alphabet)
+        else:  # the suffix of a counted gram is counted
+            d = d.withColumn("low", _low(order - 1)).join(lower.select("l", F.col("key").alias("low"), "p"), ["l", "low"])
+            d = d.withColumn("under", F.col("backoff") * F.col("p"))
+        seen = (F.col("hits") - F.col("discount")) / F.col("total")
+        d = d.select("l", F.lit(order).alias("kind"), "key", (seen + F.col("under")).alias("p"), F.log1p(seen / F.col("under")).alias("weight"))
+        lower = saved(d, f"language_probabilities_{order}") if order < ORDER else d
+        parts.append(lower.drop("p"))
+    return reduce(DataFrame.unionByName, parts), alphabet
 
 
 def fit(labelled: DataFrame) -> Model:
     """``labelled``: (lang, text), no NULL lang."""
+    spark = labelled.sparkSession
     counted = saved(labelled.select("lang", "text").mapInArrow(_count, "lang string, gram long, hits long").groupBy("lang", "gram").agg(F.sum("hits").alias("hits")), "language_grams")
-    total = counted.groupBy("lang").agg(F.sum("hits").alias("total"))
-    langs = max(total.count(), 1)
-    share = counted.join(F.broadcast(total.orderBy("lang").limit(10_000)), "lang").withColumn("share", F.col("hits") / F.col("total"))
-    top = share.orderBy(F.desc("share"), "lang", "gram").limit(min(MAX_GRAMS, MAX_CELLS // langs)).select("lang", "gram", "hits").toArrow()
-    lang, gram, hits = np.array(top["lang"].to_pylist(), object), top["gram"].to_numpy().view(np.uint64), top["hits"].to_numpy()
-    counts = {}
-    for name in sorted(set(lang)):
-        own = lang == name
-        order = np.argsort(gram[own])
-        counts[name] = (gram[own][order], hits[own][order].astype(float))
-    return Model(counts)
-
-
-def _predict(shared):
+    langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
+    if not langs:
+        return Model([], 0.0, [])
+    names = spark.createDataFrame(list(enumerate(langs)), "l int, lang string")
+    table, alphabet = weights(counted.join(F.broadcast(names), "lang").select("l", F.col("gram").alias("key"), "hits"))
+    table = saved(table, "language_weights")
+    n = -(-table.count() // BLOCK_ROWS)
+    if n > 1:  # a file holds few blocks, so that reading one block skips the others' files
+        table = table.withColumn("block", F.pmod(F.xxhash64("kind", "key"), F.lit(n)))
+        table = saved(table.repartition(n, "block"), "language_blocks")
+    blocks = [table.where(F.col("block") == i) if n > 1 else table for i in range(n)]
+    return Model(langs, -float(np.log(alphabet)), [spark.sparkContext.broadcast(_lookup(b.select("l", "kind", "key", "weight").toArrow())) for b in blocks])
+
+
+def _predict(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        names, step = model.langs, max(1, (1 << 21) // max(len(model.langs), 1))
+        names = model.langs
+        texts = max(1, CELLS // max(len(names), 1))
         for b in batches:
             pred, score, cross, todo, size = ["und"] * b.num_rows, [0.0] * b.num_rows, [None] * b.num_rows, [], 0
 
@@ -190,7 +258,7 @@ def _predict(shared):
                 if len(g):
                     todo.append((i, g))
                     size += len(g)
-                if size >= step:
+                if size >= HELD or len(todo) >= texts:
                     flush()
                     size = 0
             if todo:
@@ -202,8 +270,7 @@ def _predict(shared):
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, cross_entropy) per row; only ``text`` is looked at."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double, cross_entropy double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_predict(model), "doc_id long, lang_pred string, score double, cross_entropy double")
 
 
 def language_id(docs: DataFrame) -> DataFrame:

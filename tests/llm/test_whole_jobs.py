@@ -1,0 +1,35 @@
+"""Each operator does the whole job: cases that a cut of the rows or of the model would lose."""
+
+import itertools
+
+import numpy as np
+
+from talentscope.llm import language_id
+
+
+def test_every_language_keeps_its_grams(spark):
+    letters = "abcdefghijklmnop"
+    words = ["".join(w) for w in itertools.islice(itertools.product(letters, repeat=4), 7, 2000 * 30, 30)]
+    rows = [(i, f"{w}q{w[::-1]} {w}x", f"l{i:04d}") for i, w in enumerate(words)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(d)
+    assert len(model.langs) == len(rows) == 2000
+    assert all(r.lang_pred == f"l{r.doc_id:04d}" for r in language_id.predict(d, model).collect())
+
+
+def test_blocks_score_as_the_plain_model(spark, monkeypatch):
+    texts = {"a": ["the cat sat on the mat", "a cat and a hat, that is that"], "b": ["der hund und die katze", "eine katze sieht den hund"], "c": ["le chat 中文 😀 dort"]}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, ts in texts.items() for t in ts)]
+    rows += [(10, "zzz unseen thathund", None), (11, "中文中文", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = {lang: np.unique(np.concatenate([language_id.grams(t) for t in ts]), return_counts=True) for lang, ts in texts.items()}
+    alphabet = len(np.unique(np.concatenate([k & np.uint64(0xFFFF) for k, _ in counts.values()]))) + 1
+    plain = [language_id.KneserNey(k, h.astype(float), alphabet) for k, h in counts.values()]
+    for rows_a_block in (1 << 21, 100):
+        monkeypatch.setattr(language_id, "BLOCK_ROWS", rows_a_block)
+        model = language_id.fit(d.where("lang is not null"))
+        assert (len(model.blocks) > 1) == (rows_a_block == 100)
+        got = {r.doc_id: r for r in language_id.predict(d, model).collect()}
+        for i, t, _ in rows:
+            want = [-np.log(m.probability(4, language_id.grams(t))).mean() for m in plain]
+            assert got[i].lang_pred == "abc"[int(np.argmin(want))] and abs(got[i].cross_entropy - min(want)) < 1e-9
