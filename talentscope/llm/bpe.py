@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -53,6 +54,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def added_tokens(ranks_path: str) -> dict[str, int]:
+    """Text and id of the tokens that the ``tokenizers`` file beside the ranks adds to them; they are whole wherever they stand."""
+    path = os.path.splitext(ranks_path)[0] + ".json"
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens") or ()}
+
+
 def last_merge(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None:
     """The two parts that ``token`` is merged from, or None if its bytes don't reduce to two."""
     parts, limit = [token[i:i + 1] for i in range(len(token))], ranks[token]
@@ -78,9 +88,7 @@ def tokenizer_from_ranks(ranks: dict[bytes, int], pattern: str):
 def tokenizer_from_file(path: str):
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tok
+    return Tokenizer.from_file(path)
 
 
 def segments(text: str) -> list[str]:

@@ -37,21 +37,22 @@ def rank_encoder(path: str, pattern: str):
     """The rank encoder and the byte length of each id; one a Python worker and file."""
     import tiktoken
 
-    from .bpe import read_ranks
+    from .bpe import added_tokens, read_ranks
 
     if (path, pattern) not in _ENCODERS:
         ranks = read_ranks(path)
-        size = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, rank in ranks.items():
+        added = added_tokens(path)
+        size = np.zeros(max([*ranks.values(), *added.values()]) + 1, np.int64)
+        for token, rank in [*ranks.items(), *((t.encode("utf-8"), i) for t, i in added.items())]:
             size[rank] = len(token)
-        _ENCODERS[path, pattern] = (tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), size)
+        _ENCODERS[path, pattern] = (tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added), size)
     return _ENCODERS[path, pattern]
 
 
 def token_spans(text: str, encoder) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ids, first character, end, anchor) of the tokens; the anchor is what the allocation rule looks at."""
     enc, size = encoder
-    ids = enc.encode_to_numpy(text, disallowed_special=())
+    ids = enc.encode_to_numpy(text, allowed_special="all")
     raw = np.frombuffer(text.encode("utf-8"), np.uint8)
     stop = np.cumsum(size[ids])
     start = stop - size[ids]

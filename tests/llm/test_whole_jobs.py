@@ -1,10 +1,13 @@
 """Each operator does the whole job: cases that a cut of the rows or of the model would lose."""
 
 import itertools
+import zlib
 
 import numpy as np
+import public_tokenizers as P
+from tokenizers import Tokenizer
 
-from talentscope.llm import language_id
+from talentscope.llm import language_id, packing, token_counts
 
 
 def test_every_language_keeps_its_grams(spark):
@@ -33,3 +36,23 @@ def test_blocks_score_as_the_plain_model(spark, monkeypatch):
         for i, t, _ in rows:
             want = [-np.log(m.probability(4, language_id.grams(t))).mean() for m in plain]
             assert got[i].lang_pred == "abc"[int(np.argmin(want))] and abs(got[i].cross_entropy - min(want)) < 1e-9
+
+
+def test_added_tokens_in_a_text(spark):
+    """The ids are those of the tokenizers file as it is, also where a text holds its added tokens."""
+    tok, ranks = Tokenizer.from_file(P.path("byte_bpe_50k.json")), P.path("byte_bpe_50k.tiktoken")
+    texts = ["see <|endoftext|> here", "<|endoftext|>", "a  <|endoftext|><|endoftext|>\n\n<|endoftext|> \nnaïve <|endoftext", "plain\ttext  "]
+    ids = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids[0] == [3826, 220, 50256, 994]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pieces = packing.pack(d, ranks, P.PATTERN, with_ids=True).collect()
+    for i, want in enumerate(ids):
+        got = sorted((r.start, r.ids) for r in pieces if r.doc_id == i)
+        assert np.frombuffer(b"".join(x for _, x in got), "<u4").tolist() == [*want, packing.END_ID]
+    assert all(r.ids_crc32 == zlib.crc32(r.ids) and r.doc_tokens == len(ids[r.doc_id]) + 1 for r in pieces)
+    counts = token_counts.token_counts(d, ranks, P.PATTERN).collect()
+    for i, want in enumerate(ids):
+        own = [r for r in counts if r.doc_id == i]
+        assert sum(r.n_tokens for r in own) == len(want) and abs(sum(r.n_tokens_share for r in own) - len(want)) < 1e-9
+        _, first, end, _ = token_counts.token_spans(texts[i], token_counts.rank_encoder(ranks, P.PATTERN))
+        assert end[-1] == len(texts[i]) and first[0] == 0
