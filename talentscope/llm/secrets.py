@@ -1,6 +1,8 @@
 """Operator 5: secret scans with a random forest against false positives (native).
 
-Candidates are runs of 12 or more key characters with a digit.  A text is cut
+Candidates are runs of 12 or more key characters with a digit, published key
+formats with or without one, dotted tokens and private-key blocks as a whole,
+and any value right after a key word and an assignment.  A text is cut
 at its candidates into gaps, so each candidate has its left and right
 neighbourhood without a second search.  Features are Spark expressions: length,
 character transitions, distinct characters, digit, upper-case and hexadecimal
@@ -12,10 +14,11 @@ A random forest learns from labelled findings (a bounded sample,
 ``TRAIN_FINDINGS`` of each label) and is emitted as Spark conditional
 expressions over the feature struct, so scanning needs no Python, no explode
 and no shuffle.  ``label_by_format`` gives labelled findings where nobody has
-reviewed any: published key formats and assigned hexadecimal keys are true,
-plain numbers, dates, words and paths false; what is neither stays unlabelled
-and is left to the forest.  A few true findings in those formats, made from
-hashed ids, stand in where the corpus has none.
+reviewed any: published key formats and assigned values of six or more
+characters with a digit or symbol are true, plain numbers, dates, words and
+paths false; what is neither stays unlabelled and is left to the forest.
+Findings of every shape, made from hashed ids, are always added, so that the
+forest knows shapes that the corpus has not.
 
 Rows: NULL and empty texts have no findings; each occurrence of a repeated
 secret is a finding of its own; ties at the threshold count as secrets; a very
@@ -31,17 +34,24 @@ from pyspark.sql import functions as F
 
 from .common import WORD_SPLIT, saved
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,256}[0-9])[A-Za-z0-9_+/-]{12,}={0,2}"
+# Words that introduce a key, and published key formats.
+KEY_WORD = r"(?i:secret|password|passwd|pwd|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?"
+KEY_WORDS = f"{KEY_WORD}$"
+BLOCK = (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:\s{1,4}(?:Proc-Type|DEK-Info):[^\r\n]*+){0,4}"
+         r"(?:[^-]*+-----END [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----|(?:\s{1,4}[A-Za-z0-9+/=]{16,}+){0,400})")
+DOTTED = r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]*+"
+KEYS = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_(?:live|test)_[0-9A-Za-z]{16,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}"
+FORMATS = f"^(?:{KEYS}|{DOTTED}|{BLOCK})$"
+#: A value right after a key word and an assignment: up to the closing quote, else up to white space without what ends a clause.
+VALUE = r"(?<=[=:\s\"'])(?<=[=:]\s{0,2}[\"']?)(?<=" + KEY_WORD + r")(?:(?<=[\"'])[^\"'\r\n]++(?=[\"'])|[^\s\"'<>=:][^\s\"'<>]*(?<![.,;:!?)\]}]))"
+RUN = r"(?=[A-Za-z_+/-]{0,256}[0-9])[A-Za-z0-9_+/-]{12,}={0,2}"
+CANDIDATE = rf"{BLOCK}|{VALUE}|(?<![A-Za-z0-9_+/-])(?:{DOTTED}|(?:{KEYS})(?![A-Za-z0-9_+/-])|{RUN})"
 #: Dictionary size; labelled findings of each kind that teach the forest; its shape.
 DICTIONARY, TRAIN_FINDINGS, SEED_FINDINGS = 400, 4_000, 200
 TREES, DEPTH, CUTS, SEED = 15, 6, 16, 20260112
 THRESHOLD = 0.5
 MASK = "[SECRET]"
-FEATURES = ("n", "transitions", "variety", "digits", "uppers", "hexes", "covered", "path", "keyword", "assigned", "quoted", "prose")
-
-# Published key formats and words that introduce a key.
-FORMATS = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^sk_(live|test)_[0-9A-Za-z]{16,}$|^xox[abprs]-[0-9A-Za-z-]{10,}$|^AIza[0-9A-Za-z_-]{35}$"
-KEY_WORDS = r"(?i)(secret|password|passwd|pwd|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?$"
+FEATURES = ("n", "transitions", "variety", "digits", "uppers", "hexes", "covered", "path", "format", "keyword", "assigned", "quoted", "prose")
 
 
 def dictionary(docs: DataFrame) -> list[str]:
@@ -55,14 +65,15 @@ def _features(c: Column, before: Column, after: Column, words: list[str]) -> Col
     n = F.length(c)
     share = lambda cls: 1 - F.length(F.regexp_replace(c, cls, "")) / n
     near = F.right(before, F.lit(40))
+    certain = c.rlike(FORMATS) | near.rlike(KEY_WORDS) | c.rlike(r"^(?=.*[A-Z])(?=.*[a-z])(?=.*[0-9])[A-Za-z0-9+/]{40,}={0,2}$")
     flag = lambda col: F.when(col, 1.0).otherwise(0.0)
     covered = 1 - F.length(F.regexp_replace(F.lower(c), "|".join(words), "")) / n if words else F.lit(0.0)
     return F.struct(
         n.cast("double").alias("n"), (F.length(F.regexp_replace(c, "[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9]+", "x")) / n).alias("transitions"),
         (F.size(F.array_distinct(F.split(c, ""))) / F.sqrt(n.cast("double"))).alias("variety"),
         share("[0-9]").alias("digits"), share("[A-Z]").alias("uppers"), share("[0-9a-fA-F]").alias("hexes"), covered.alias("covered"),
-        flag(c.contains("/") | near.rlike(r"(://\S*|[./\\])$") | after.rlike(r"^[./\\]\w")).alias("path"),
-        flag(near.rlike(KEY_WORDS)).alias("keyword"), flag(near.rlike(r"[=:]\s?[\"']?$")).alias("assigned"),
+        flag(~certain & (c.contains("/") | near.rlike(r"(://\S*|[./\\])$") | after.rlike(r"^[./\\]\w"))).alias("path"),
+        flag(c.rlike(FORMATS)).alias("format"), flag(near.rlike(KEY_WORDS)).alias("keyword"), flag(near.rlike(r"[=:]\s?[\"']?$")).alias("assigned"),
         flag(near.rlike(r"[\"']$") & after.rlike(r"^[\"']")).alias("quoted"),
         flag(near.rlike(r"\p{L}[.,]?\s$") & after.rlike(r"^\s\p{L}")).alias("prose"), c.alias("c"))
 
@@ -72,7 +83,9 @@ def candidates(docs: DataFrame, words: list[str], text: str = "text") -> DataFra
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_t"))
     df = df.select("_row", F.split("_t", CANDIDATE, -1).alias("_gaps"), F.regexp_extract_all("_t", F.lit(CANDIDATE), F.lit(0)).alias("_cut"))
     k = F.size("_cut")
-    near = F.arrays_zip(F.col("_cut").alias("c"), F.slice("_gaps", F.lit(1), k).alias("b"), F.slice("_gaps", F.lit(2), k).alias("a"))
+    # what stands before: the gap, and the candidate before it where the gap is short (a long name of an assignment)
+    before = F.zip_with(F.slice("_gaps", F.lit(1), k), F.concat(F.array(F.lit("")), F.slice("_cut", F.lit(1), F.greatest(k - 1, F.lit(0)))), lambda g, p: F.concat(F.right(p, F.lit(40)), g))
+    near = F.arrays_zip(F.col("_cut").alias("c"), before.alias("b"), F.slice("_gaps", F.lit(2), k).alias("a"))
     found = F.transform(near, lambda x: _features(x["c"], x["b"], x["a"], words))
     return df.withColumn("_found", F.when(k > 0, found)).drop("_cut")
 
@@ -80,19 +93,32 @@ def candidates(docs: DataFrame, words: list[str], text: str = "text") -> DataFra
 def label_by_format(found: DataFrame) -> DataFrame:
     """(features, c) -> with ``label``: 1 for published formats and assigned keys, 0 for what can't be one, else NULL."""
     c = F.col("c")
-    true = c.rlike(FORMATS) | ((F.col("keyword") == 1) & c.rlike(r"^[0-9a-f]{16,}$|^[0-9A-Za-z+/_-]{20,}={0,2}$"))
-    false = c.rlike(r"^[0-9+/_-]+$|^[A-Za-z]+[-_/]?[0-9]{1,4}$|^[A-Za-z]*([-_/][A-Za-z]*)*[0-9]{0,4}$") | (F.col("path") == 1) | (F.col("covered") > 0.7)
+    assigned = F.col("keyword") == 1
+    empty = r"(?i)^(?:none|null|nil|true|false|undefined|your\S*|x+|\*+|[$%<{\[(].*|[a-z_.]+\(.*)$"  # placeholders and code
+    word = assigned & (c.rlike(empty) | (c.rlike(r"^\p{L}{1,12}$") & ((F.col("quoted") == 0) | (F.col("covered") > 0.7))))
+    true = c.rlike(FORMATS) | (assigned & ~word & (F.length(c) >= 6) & c.rlike(r"[0-9]|[^\p{L}\s]"))
+    false = c.rlike(r"^[0-9+/_-]+$|^[A-Za-z]+[-_/]?[0-9]{1,4}$|^[A-Za-z]*([-_/][A-Za-z]*)*[0-9]{0,4}$") | (F.col("path") == 1) | (F.col("covered") > 0.7) | word
+    false = F.when(assigned, word).otherwise(false)
     return found.withColumn("label", F.when(true, 1).when(false, 0))
 
 
 def _seeds(docs: DataFrame) -> DataFrame:
-    """Texts with a true finding each, made from hashed ids in the published formats."""
+    """Texts with findings made from hashed ids: published formats and assigned values of several shapes and neighbours, and words, paths and numbers that are none."""
     few = docs.where("doc_id is not null").select("doc_id").distinct().orderBy("doc_id").limit(SEED_FINDINGS)
     h = F.sha2(F.concat(F.lit("seed"), F.col("doc_id").cast("string")), 256)
-    key = F.translate(F.upper(F.substring(F.base64(F.unhex(h)), 1, 16)), "+/=01", "ABCDE")
-    return few.select(F.explode(F.array(
-        F.concat(F.lit("the AKIA"), key, F.lit(" and")), F.concat(F.lit("with password="), F.substring(h, 1, 18), F.lit(" for")),
-        F.concat(F.lit("a token = \""), F.substring(h, 1, 40), F.lit("\" of")))).alias("text"))
+    b64 = F.translate(F.regexp_replace(F.base64(F.unhex(h)), r"\s|=", ""), "+/", "Qz")
+    key, letters = F.translate(F.upper(F.substring(b64, 1, 16)), "01", "DE"), F.translate(F.substring(h, 1, 24), "0123456789", "ghijklmnop")
+    part = lambda a, n: F.substring(letters, a, n)
+    digits = F.substring(F.translate(h, "abcdef", "123456"), 20, 4)
+    shapes = (["the AKIA", key, " and"], ["(AKIA", F.translate(key, "23456789", "FGHIJKLM"), ")"], ["with password=", F.substring(h, 1, 18), " for"],
+              ["a token = \"", F.substring(h, 1, 40), "\" of"], ["{'api_key': '", b64, "'}"], ["password=", part(1, 7), "-", part(8, 5), "-", part(13, 7)],
+              ["login, pwd: ", F.initcap(part(1, 4)), "@", F.substring(h, 1, 4), "!"], ["PASSWD=", part(5, 3), F.translate(part(9, 3), "abcdefghijklmnop", "1234567890123456"), part(2, 3), "\n"],
+              ["secret = '", part(3, 6), "/", F.substring(b64, 3, 9), "+x'"], ["Bearer eyJ", F.substring(b64, 1, 17), ".eyJ", F.substring(b64, 5, 30), ".", b64],
+              ["see ghp_", F.substring(b64, 1, 36), ", "], ["\n-----BEGIN RSA PRIVATE KEY-----\n", F.base64(F.unhex(h)), "\n-----END RSA PRIVATE KEY-----\n"],
+              ["the token: ", part(1, 5), " of"], ["password = ", part(6, 8), ", and"],
+              ["see src/main/", part(1, 6), "/App", digits, ".java and"], ["at https://www.", part(1, 8), ".com/", part(3, 7), "/", digits, "/", part(9, 5), " of"],
+              ["/usr/lib/", part(4, 7), "-", digits, "/", part(2, 6), "\n"], ["on ", digits, "-01-02-", digits, " the"], ["a ", part(1, 9), "-", digits, " of"])
+    return few.select(F.explode(F.array(*[F.concat(*[F.lit(x) if isinstance(x, str) else x for x in shape]) for shape in shapes])).alias("text"))
 
 
 def _tree(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int) -> str | float:
@@ -130,11 +156,11 @@ def grow(rows: list[tuple]) -> str:
 
 def fit(docs: DataFrame, words: list[str], labelled: DataFrame | None = None) -> str:
     """The forest.  ``labelled``: the feature columns and ``label`` of reviewed findings; else labels by format."""
-    if labelled is None:
-        found = candidates(docs.select("text").union(_seeds(docs)), words)
-        labelled = label_by_format(found.select(F.explode("_found").alias("x")).select("x.*")).where("label is not null")
-        labelled = saved(labelled, "secret_labels")
     rows = []
+    if labelled is None:
+        label = lambda d: label_by_format(candidates(d, words).select(F.explode("_found").alias("x")).select("x.*")).where("label is not null")
+        rows += [tuple(r) for r in label(_seeds(docs)).select(*FEATURES, "label").collect()]  # SEED_FINDINGS of each shape
+        labelled = saved(label(docs.select("text")), "secret_labels")
     for y in (0, 1):
         part = labelled.where(F.col("label") == y).orderBy(F.xxhash64("c"), "c", *FEATURES).limit(TRAIN_FINDINGS)
         rows += [tuple(r) for r in part.select(*FEATURES, "label").collect()]
