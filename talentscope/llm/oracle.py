@@ -1,7 +1,7 @@
 """DuckDB SQL for the ``opN_`` queries that SQL expresses over whole tables.
 
-The fitted operators (2, 4, 6, 8), the encoders (1, 3, 9) and the scan (5) have
-none: the tests hold them against brute-force versions.
+The fitted operators (2, 4, 6, 8), the encoders (1, 3, 9), the scan (5) and those
+that hash by crc32 (11, 12) have none: the tests hold them against brute-force versions.
 """
 
 from __future__ import annotations
@@ -50,4 +50,20 @@ scored AS (
 SELECT query_id, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM scored QUALIFY rank <= 10"""
 
-ORACLE: dict[str, str] = {"op7_ngram_jaccard_join": JACCARD, "op10_topk_search": TOP_K}
+_ESCAPED = r"""regexp_replace({}, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')"""
+
+#: Turns, loss text and the length of the template around the escaped texts: marks of each text, of each block.
+CHAT = f"""WITH turns AS (
+  SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+),
+placed AS (SELECT *, LAG(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) IS DISTINCT FROM role AS opens FROM turns)
+SELECT conv_id, COUNT(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(SUM(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(COALESCE(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(SUM(length({_ESCAPED.format("text")}) + 13 + CASE WHEN opens THEN length({_ESCAPED.format("role")}) + 8 ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM placed GROUP BY conv_id"""
+
+ORACLE: dict[str, str] = {"op7_ngram_jaccard_join": JACCARD, "op10_topk_search": TOP_K, "op13_chat_formatting": CHAT}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join, language_id, packing, quality_rules, resampling, secrets, token_counts, topk_search, toxicity
+from . import bpe, chat, jaccard_join, language_id, packing, quality_rules, resampling, secrets, spelling, target_resampling, token_counts, topk_search, toxicity
 from .common import documents, labels
 
 
@@ -50,5 +50,18 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.format_conversations(rows.unionByName(chat.sample(spark))))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_packing, op4_quality_rules, op5_secret_scan, op6_importance_resampling,
-                                   op7_ngram_jaccard_join, op8_toxicity, op9_byte_bpe, op10_topk_search)}
+                                   op7_ngram_jaccard_join, op8_toxicity, op9_byte_bpe, op10_topk_search, op11_spelling_variants, op12_target_resampling, op13_chat_formatting)}

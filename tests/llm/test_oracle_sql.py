@@ -23,5 +23,5 @@ def test_query_matches_sql(spark, name):
 def test_registered():
     names = set(entry.queries())
     assert {"pipeline"} | {n for n in names if n.startswith("op")} <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality_rules", "jaccard_join", "secret_scan", "packing"]
