@@ -68,16 +68,3 @@ def to_int(c: Column | str) -> Column:
 def min_max_scale(value: Column | str, lo: Column | str, hi: Column | str) -> Column:
     """``(value - lo) / NULLIF(hi - lo, 0)``."""
     return safe_div(_col(value) - _col(lo), _col(hi) - _col(lo))
-
-
-def median_of(c: Column | str, exact: bool = True, accuracy: int = 10_000) -> Column:
-    """Median aggregate: exact and interpolated (pandas ``median``) by
-    default; ``exact=False`` uses ``percentile_approx`` (a data value within
-    1/accuracy of the rank), whose state is bounded whatever the number of
-    distinct values."""
-    return F.median(_col(c)) if exact else F.percentile_approx(_col(c), 0.5, accuracy)
-
-
-def quantiles_of(c: Column | str, probs: list[float], exact: bool = True, accuracy: int = 10_000) -> Column:
-    """Array of quantiles: exact and interpolated by default, else approximate."""
-    return F.percentile(_col(c), probs) if exact else F.percentile_approx(_col(c), probs, accuracy)

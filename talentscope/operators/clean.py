@@ -1,12 +1,12 @@
 """Cleaning raw (all-string) exports into typed tables.
 
-Medians are exact and interpolated (pandas ``median``); ``exact=False``
-switches every median to ``percentile_approx`` for columns with a huge
-number of distinct values.  Group medians are an aggregate joined back on
-the group key, never a window: a window would put a whole pillar or scale,
-possibly most of the table, in one task.  The aggregate combines map-side,
-is written and measured (``small_aggregate``) and is broadcast back,
-so the rows are never shuffled by their few group codes.
+Medians are exact and interpolated (pandas ``median``), found by narrowing
+ranks (``quantiles.exact_quantiles``), whose state doesn't grow with the
+distinct values; ``exact=False`` takes ``percentile_approx`` in one scan.
+Group medians are joined back on the group key, never a window: a window
+would put a whole pillar or scale, possibly most of the table, in one task.
+They are written and measured (``small_aggregate``) and broadcast back, so
+the rows are never shuffled by their few group codes.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from talentscope.functions.numeric import median_of, rnd_even, strip_ws, to_int, to_number
+from talentscope.functions.numeric import rnd_even, strip_ws, to_int, to_number
 from talentscope.functions.text import column_names, fill_disc, missing_to_unknown
+from talentscope.operators.quantiles import column_medians, group_medians
 from talentscope.session import attach_one_row, small_aggregate
 from talentscope.sources import schemas
 
@@ -50,8 +51,8 @@ def clean_employees(raw: DataFrame) -> DataFrame:
 
 
 def impute_global_median(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
-    """NULLs of ``col`` become the column's median (one-row aggregate, broadcast)."""
-    med = df.agg(median_of(col, exact).alias("_med"))
+    """NULLs of ``col`` become the column's median (one row, broadcast)."""
+    med = group_medians(df, [], col, exact)
     return attach_one_row(df, med).withColumn(col, F.coalesce(F.col(col), F.col("_med"))).drop("_med")
 
 
@@ -69,7 +70,7 @@ def clean_competencies(raw: DataFrame, fallback: float = 3.0, exact: bool = True
         "employee_id", to_int("year").alias("year"), "pillar_code",
         to_number("score").alias("score"),
     )
-    med = small_aggregate(df.groupBy(F.col("pillar_code").alias("_key")).agg(median_of("score", exact).alias("_med")))
+    med = small_aggregate(group_medians(df.withColumnRenamed("pillar_code", "_key"), ["_key"], "score", exact))
     # plain equality: a row without a pillar code gets no pillar median (a
     # grouped pandas transform leaves it missing too) and takes the fallback
     return df.join(med, F.col("pillar_code") == F.col("_key"), "left").select(
@@ -79,13 +80,13 @@ def clean_competencies(raw: DataFrame, fallback: float = 3.0, exact: bool = True
 
 
 def clean_profiles(raw: DataFrame, exact: bool = True) -> DataFrame:
-    """Psych numbers coerced, missing -> their own median (one aggregate
-    for all five); missing texts -> 'Unknown'; DISC code filled from the
+    """Psych numbers coerced, missing -> their own median (all five narrowed
+    together); missing texts -> 'Unknown'; DISC code filled from the
     DISC phrase where unknown."""
     df = standardize_columns(raw)
     df = df.select("employee_id", *[to_number(c).alias(c) for c in PSYCH_NUMERIC],
                    *[F.col(c) for c in PSYCH_TEXT])
-    meds = df.agg(*[median_of(c, exact).alias(f"_m_{c}") for c in PSYCH_NUMERIC])
+    meds = column_medians(df, PSYCH_NUMERIC, exact).toDF(*[f"_m_{c}" for c in PSYCH_NUMERIC])
     return attach_one_row(df, meds).select(
         "employee_id",
         *[F.coalesce(F.col(c), F.col(f"_m_{c}")).alias(c) for c in PSYCH_NUMERIC],
@@ -104,7 +105,7 @@ def clean_papi(raw: DataFrame, exact: bool = True) -> DataFrame:
         strip_ws("scale_code").alias("scale_code"),
         to_number("score").alias("score"),
     )
-    med = small_aggregate(df.groupBy(F.col("scale_code").alias("_key")).agg(median_of("score", exact).alias("_med")))
+    med = small_aggregate(group_medians(df.withColumnRenamed("scale_code", "_key"), ["_key"], "score", exact))
     filled = df.join(med, F.col("scale_code") == F.col("_key"), "left").select(
         "employee_id", "scale_code", F.coalesce(F.col("score"), F.col("_med")).alias("score"))
     return impute_global_median(filled, "score", exact)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentscope.functions.numeric import quantiles_of, rnd, rnd_even, strip_ws
+from talentscope.functions.numeric import rnd, rnd_even, strip_ws
 from talentscope.functions.text import blank_to_unknown
 from talentscope.operators.common import (
     at_latest_year,
@@ -27,6 +27,8 @@ from talentscope.operators.common import (
     high_performers,
     latest_year,
 )
+from talentscope.operators.quantiles import exact_quantiles, melted
+from talentscope.session import broadcast_if_small, write_and_read
 from talentscope.sources.tables import TalentTables
 
 DIM_LABELS = {"grade": "grade_name", "division": "division_name", "education": "education_level"}
@@ -207,27 +209,24 @@ def histogram(values: DataFrame, cols: list[str], bins: int = 20) -> DataFrame:
     """``variable, bin, bin_lo, bin_hi, n``: equal-width bins over [min, max],
     the last bin closed, empty bins included (how a 20-bar chart counts).
 
-    Bounds come from one global aggregate (one row, broadcast); counting is
-    a grouped aggregate; the bin grid (variables x bins rows) is generated
-    from the bounds and left-joined, so empty bins show as 0.
+    The input is read once: counts per value (combined map-side, written)
+    give both the bounds and the bins.  The bin grid (variables x bins rows)
+    is generated from the bounds and left-joined, so empty bins show as 0.
     """
-    long = values.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in cols]))
-        .alias("v")
-    ).select("v.*").filter(F.col("x").isNotNull())
+    long = melted(values, cols).where(F.col("x").isNotNull()).groupBy("variable", "x").agg(F.count(F.lit(1)).alias("c"))
+    long = write_and_read(long, "value_counts")
     bounds = long.groupBy("variable").agg(F.min("x").alias("lo0"), F.max("x").alias("hi0"))
     bounds = bounds.select(
         "variable",
         F.when(F.col("lo0") == F.col("hi0"), F.col("lo0") - 0.5).otherwise(F.col("lo0")).alias("lo"),
         F.when(F.col("lo0") == F.col("hi0"), F.col("hi0") + 0.5).otherwise(F.col("hi0")).alias("hi"),
     )
-    b = F.broadcast(bounds)
+    b = F.broadcast(bounds)  # a row a variable
     idx = F.least(F.floor((F.col("x") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))), F.lit(bins - 1))
-    counts = long.join(b, "variable").groupBy("variable", idx.cast("int").alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"))
+    counts = long.join(b, "variable").groupBy("variable", idx.cast("int").alias("bin")).agg(F.sum("c").alias("n"))
     grid = b.select("variable", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     width = (F.col("hi") - F.col("lo")) / bins
-    return grid.join(counts, ["variable", "bin"], "left").select(
+    return grid.join(F.broadcast(counts), ["variable", "bin"], "left").select(  # variables x bins rows
         "variable",
         "bin",
         rnd(F.col("lo") + F.col("bin") * width, 4).alias("bin_lo"),
@@ -236,23 +235,19 @@ def histogram(values: DataFrame, cols: list[str], bins: int = 20) -> DataFrame:
     )
 
 
-def box_stats(values: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
+def box_stats(values: DataFrame, cols: list[str]) -> DataFrame:
     """``variable, n, q1, median, q3, iqr, whisker_lo, whisker_hi, n_outliers``
-    with linear-interpolated quartiles and 1.5 x IQR whiskers."""
-    long = values.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in cols]))
-        .alias("v")
-    ).select("v.*").filter(F.col("x").isNotNull())
-    q = long.groupBy("variable").agg(
-        F.count(F.lit(1)).alias("n"),
-        quantiles_of("x", [0.25, 0.5, 0.75], exact).alias("qs"),
-    ).select("variable", "n", F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("median"), F.col("qs")[2].alias("q3"))
+    with exact linear-interpolated quartiles and 1.5 x IQR whiskers.  ``values``
+    is written once and scanned by each narrowing round."""
+    long = write_and_read(melted(values, cols).where(F.col("x").isNotNull()), "box_values")
+    q = exact_quantiles(long, ["variable"], "x", [0.25, 0.5, 0.75]).select(
+        "variable", "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo_fence = F.col("q1") - 1.5 * F.col("iqr")
     hi_fence = F.col("q3") + 1.5 * F.col("iqr")
     inside = (F.col("x") >= lo_fence) & (F.col("x") <= hi_fence)
     return (
-        long.join(F.broadcast(q), "variable")
+        long.join(broadcast_if_small(write_and_read(q, "quartiles")), "variable")
         .groupBy("variable", "n", "q1", "median", "q3", "iqr")
         .agg(
             F.min(F.when(inside, F.col("x"))).alias("whisker_lo"),

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from talentscope.functions.numeric import quantiles_of, rnd, to_number
+from talentscope.functions.numeric import rnd, to_number
 from talentscope.functions.text import is_missing_text
+from talentscope.operators.quantiles import exact_quantiles, melted
 from talentscope.session import attach_one_row
 
 
@@ -42,9 +43,9 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     key holding a third of the table costs one row per task) and select
     rows by a semi join that AQE may split when a key is hot.  NULL equals
     NULL: the keys meet as one struct, whose hash and equality both sides
-    share, so the counts keep the partitioning that the join needs.
+    share.  ``df`` is read twice, so it should be a written table.
     """
-    keyed = df.withColumn("_key", F.to_json(F.struct(*keys)))
+    keyed = df.withColumn("_key", F.struct(*keys))
     dup_keys = keyed.groupBy("_key").count().filter(F.col("count") > 1).select("_key")
     return keyed.join(dup_keys, "_key", "left_semi").drop("_key")
 
@@ -64,38 +65,25 @@ def missing_reference(df: DataFrame, col: str, show: list[str]) -> DataFrame:
     return df.filter(F.col(col).isNull()).select(*show)
 
 
-def describe(df: DataFrame, numeric_cols: list[str], text_cols: list[str] | None = None,
-             exact: bool = True) -> DataFrame:
+def describe(df: DataFrame, numeric_cols: list[str], text_cols: list[str] | None = None) -> DataFrame:
     """One row per column: ``column_name, count, n_unique, top, freq, mean,
     std, min, p25, p50, p75, max`` (text stats NULL for numbers and the
-    reverse).  Quartiles are exact and interpolated (approximate with
-    ``exact=False``); ``top`` is the most frequent value, ties by smallest
-    value."""
+    reverse).  Quartiles are exact and interpolated, the columns' ranks
+    narrowed together as groups of one long table; ``top`` is the most
+    frequent value, ties by smallest value."""
     text_cols = text_cols or []
     rows = []
     if numeric_cols:
-        aggs = []
-        for c in numeric_cols:
-            x = F.col(c).cast("double")
-            aggs += [
-                F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
-                F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"),
-                quantiles_of(x, [0.25, 0.5, 0.75], exact).alias(f"{c}__q"),
-            ]
-        wide = df.agg(*aggs)  # one row, one pass
-        per_column = F.explode(F.array(*[
-            F.struct(
-                F.lit(c).alias("column_name"), F.col(f"{c}__count").alias("count"),
-                F.lit(None).cast("long").alias("n_unique"), F.lit(None).cast("string").alias("top"),
-                F.lit(None).cast("long").alias("freq"),
-                rnd(f"{c}__mean", 4).alias("mean"), rnd(f"{c}__std", 4).alias("std"),
-                F.col(f"{c}__min").alias("min"),
-                rnd(F.col(f"{c}__q")[0], 4).alias("p25"), rnd(F.col(f"{c}__q")[1], 4).alias("p50"),
-                rnd(F.col(f"{c}__q")[2], 4).alias("p75"), F.col(f"{c}__max").alias("max"),
-            )
-            for c in numeric_cols
-        ]))
-        rows.append(wide.select(per_column.alias("r")).select("r.*"))
+        x, long = F.col("x"), melted(df, numeric_cols, "column_name")
+        stats = long.groupBy("column_name").agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+        q = exact_quantiles(long, ["column_name"], "x", [0.25, 0.5, 0.75]).select("column_name", "q")
+        q = F.broadcast(q)  # one row a column
+        names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in numeric_cols])).alias("column_name"))  # columns of an empty table too
+        rows.append(names.join(stats, "column_name", "left").join(q, "column_name", "left").select(
+            "column_name", F.coalesce("count", F.lit(0)).cast("long").alias("count"),
+            F.lit(None).cast("long").alias("n_unique"), F.lit(None).cast("string").alias("top"), F.lit(None).cast("long").alias("freq"),
+            rnd("mean", 4).alias("mean"), rnd("std", 4).alias("std"), "min",
+            *[rnd(F.col("q")[i], 4).alias(n) for i, n in enumerate(["p25", "p50", "p75"])], "max"))
     if text_cols:
         # one scan for all text columns: (column, value) pairs, counted per
         # value (combined map-side), then summarised per column

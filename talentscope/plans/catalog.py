@@ -20,6 +20,7 @@ from talentscope.functions.numeric import rnd
 from talentscope.operators import benchmark, clean, eda, insight, match, quality, readiness
 from talentscope.plans.pipelines import (
     baselines_for,
+    clean_competencies_for,
     cleaned_for,
     latest_for,
     match_groups_for,
@@ -139,8 +140,7 @@ def q_dq_missing_before_after(spark, d):
 
 @query("dq_duplicates")
 def q_dq_duplicates(spark, d):
-    comp = clean.clean_competencies(_t(spark, d).raw_competencies_yearly)
-    return quality.duplicates(comp, ["employee_id", "year", "pillar_code"])
+    return quality.duplicates(clean_competencies_for(spark, d), ["employee_id", "year", "pillar_code"])
 
 
 @query("dq_key_uniqueness")
@@ -161,15 +161,10 @@ def q_dq_missing_fk(spark, d):
     return quality.missing_reference(emps, "grade_id", ["employee_id", "fullname"])
 
 
-DESCRIBE_NUMERIC = ["company_id", "area_id", "department_id", "division_id", "directorate_id", "grade_id",
-                    "education_id", "major_id", "years_of_service_months"]
-DESCRIBE_TEXT = ["employee_id", "fullname", "position_id"]
-
-
 @query("dq_describe")
 def q_dq_describe(spark, d):
     emps = clean.clean_employees(_t(spark, d).raw_employees)
-    return quality.describe(emps, DESCRIBE_NUMERIC, DESCRIBE_TEXT)
+    return quality.describe(emps, clean.EMPLOYEE_NUMERIC, [c for c in emps.columns if c not in clean.EMPLOYEE_NUMERIC])
 
 
 # ----------------------------------------------------------------------- EDA

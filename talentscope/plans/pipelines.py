@@ -118,6 +118,12 @@ def cleaned_for(spark: SparkSession, sf_dir: str) -> TalentTables:
         t, lambda n, df: _persisted(spark, _base_key(spark, sf_dir), n, lambda: df)))
 
 
+def clean_competencies_for(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned competencies, written once (the same table as in ``cleaned_for``)."""
+    t = tables_for(spark, sf_dir)
+    return _written(spark, sf_dir, "clean_competencies", lambda: clean.clean_competencies(t.raw_competencies_yearly))
+
+
 def latest_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables_for(spark, sf_dir)
     return _written(spark, sf_dir, "latest_year", lambda: latest_year(t.performance_yearly))

@@ -14,7 +14,7 @@ from talentscope.session import checkpoint_root
 
 def _copy(tmp_path):
     for t in pipelines.SOURCE_TABLES:
-        shutil.copy(f"{SF_SMALL}/{t}.parquet", tmp_path / f"{t}.parquet")
+        shutil.copyfile(f"{SF_SMALL}/{t}.parquet", tmp_path / f"{t}.parquet")
     return str(tmp_path)
 
 
@@ -23,7 +23,7 @@ def test_changed_inputs_change_the_answer(spark, tmp_path):
     before = QUERIES["latest_year"](spark, d).count()
     spark.read.parquet(f"{SF_SMALL}/orders.parquet").filter("o_custkey % 2 = 0").coalesce(1).write.parquet(f"{d}/half")
     part = next(f for f in os.listdir(f"{d}/half") if f.endswith(".parquet"))
-    shutil.copy(f"{d}/half/{part}", f"{d}/orders.parquet")
+    shutil.copyfile(f"{d}/half/{part}", f"{d}/orders.parquet")
     after = QUERIES["latest_year"](spark, d).count()
     want = spark.read.parquet(f"{SF_SMALL}/orders.parquet").filter("o_custkey % 2 = 0").select("o_custkey").distinct().count()
     assert after == want < before
