@@ -2,25 +2,19 @@
 job's role models, from single traits (TV) to trait groups (TGV) to a
 weighted final rate.
 
-Plan shape (per call of ``benchmark_matching``):
-
-1. ``tv_long``: one row per (person, trait) from seven sources.
-2. Baseline medians come from the cohort members only: the fact tables
-   are first cut to the cohort's ids (a broadcast semi join against the
-   small, counted id list), so the median job never touches everyone.
-   The result has one row per (job, trait); it is written to the
-   checkpoint folder, counted, then broadcast.
-3. The trait rows are joined to the broadcast baselines (the fan-out to
-   jobs happens map-side, no shuffle), giving the TV rates.
-4. TGV and final rates come from ONE grouped aggregate per (person, job)
-   (partial aggregation first, so a person with a huge number of rows is
-   combined map-side), people's names and dimensions are attached to that
-   small result, and it is joined back to the TV rows on
-   (person, job <=> job).  A hot key in that last join is split by AQE's
-   skew-join handling because nothing downstream needs its partitioning.
+1. ``traits.trait_vectors``: one row per person holding all traits (one
+   grouped aggregate by person; written, then read by everything below).
+2. Baselines are medians over the cohort members only: the vectors (or the
+   fact tables, if no vectors are given) are first cut to the cohort's ids by
+   a semi join, broadcast once the id list has been measured.  The result, one
+   row per (job, trait), is written.
+3. Baselines become one small row per set of jobs, broadcast to the vectors,
+   and array functions give TV, group and final rates in one scan.
 
 Rows of a trait no cohort has keep a NULL job, and their TGV and final
 rates are NULL (the original self-joins compared NULL job ids with ``=``).
+``match_tv``, ``match_tgv`` and ``match_final`` define the same rates over
+trait rows of any origin, as joins and grouped aggregates.
 """
 
 from __future__ import annotations
@@ -30,47 +24,17 @@ from pyspark.sql import functions as F
 
 from talentscope.functions.numeric import rnd
 from talentscope.functions.scoring import TGV_NAMES, TGV_WEIGHTS, tv_match_rate, weighted_sum
+from talentscope.operators import traits
 from talentscope.operators.benchmark import cohort_explode
-from talentscope.operators.common import at_latest_year, latest_year
+from talentscope.operators.quantiles import exact_quantiles
 from talentscope.session import DEFAULT_BROADCAST_BYTES, broadcast_if_small, measured_bytes, write_and_read
 from talentscope.sources.tables import TalentTables
 
-# Trait names of the psych columns.
-COGNITIVE_TRAITS = [("iq", "IQ"), ("gtq", "GTQ"), ("tiki", "TIKI")]
-
-
-def _tv(df: DataFrame, tgv: str, tv, score, direction: str) -> DataFrame:
-    tv_col = F.lit(tv) if isinstance(tv, str) else tv
-    return df.select(
-        "employee_id",
-        F.lit(tgv).alias("tgv_name"),
-        tv_col.alias("tv_name"),
-        score.cast("double").alias("user_score"),
-        F.lit(direction).alias("direction"),
-    )
-
-
-def tv_long(t: TalentTables, latest: DataFrame | None = None, include_tiki: bool = True) -> DataFrame:
-    """``employee_id, tgv_name, tv_name, user_score, direction`` (UNION ALL of the sources)."""
-    latest = latest if latest is not None else latest_year(t.performance_yearly)
-    comp = at_latest_year(t.competencies_yearly, latest).join(t.dim_competency_pillars, "pillar_code")
-    traits = [(c, n) for c, n in COGNITIVE_TRAITS if include_tiki or c != "tiki"]
-    cog = t.profiles_psych.select(
-        "employee_id",
-        F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.col(c).alias("v")) for c, n in traits])).alias("_t"),
-    )
-    strengths = t.strengths.groupBy("employee_id").agg(F.avg("rank").alias("avg_rank"))
-    parts = [
-        _tv(comp, "Competencies", F.col("pillar_label"), F.col("score"), "higher"),
-        _tv(cog, "Cognitive", F.col("_t.n"), F.col("_t.v"), "higher"),
-        _tv(t.papi_scores, "PersonalityPAPI", F.col("scale_code"), F.col("score"), "higher"),
-        _tv(at_latest_year(t.performance_yearly, latest), "Context", "PerformanceRating", F.col("rating"), "higher"),
-        _tv(strengths, "BehaviorStrengths", "StrengthsRankAvg", F.col("avg_rank"), "lower"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def tv_long(t: TalentTables, include_tiki: bool = True, vectors: DataFrame | None = None) -> DataFrame:
+    """``employee_id, tgv_name, tv_name, user_score, direction``: the trait
+    vectors as rows."""
+    vectors = vectors if vectors is not None else traits.trait_vectors(t)
+    return traits.tv_rows(vectors if include_tiki else traits.without_tiki(vectors))
 
 
 def restrict_to(t: TalentTables, ids: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES,
@@ -87,33 +51,39 @@ def restrict_to(t: TalentTables, ids: DataFrame, max_bytes: int = DEFAULT_BROADC
 def match_baseline(tv: DataFrame, cohort: DataFrame) -> DataFrame:
     """``job_vacancy_id, tgv_name, tv_name, baseline_score``: the discrete
     median (PERCENTILE_DISC 0.5) of the cohort's scores; NULL scores are
-    ignored and a person listed twice counts twice."""
-    return (
-        tv.join(cohort, "employee_id")
-        .groupBy("job_vacancy_id", "tgv_name", "tv_name")
-        .agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY user_score)").alias("baseline_score"))
-    )
-
-
-def baseline_table(t: TalentTables, include_tiki: bool = True,
-                   max_bytes: int = DEFAULT_BROADCAST_BYTES, cohort: DataFrame | None = None) -> DataFrame:
-    """Baselines of every job computed from the cohort members only (the
-    fact tables are cut to the cohort's ids first); not yet written.
-    ``cohort`` gives the cohorts as (job, employee) rows instead of the
-    arrays of the benchmark table."""
+    ignored (a trait with no other has a NULL median) and a person listed
+    twice counts twice.  The cohort's scores are written once, then the medians
+    of all jobs and traits are narrowed together."""
+    keys = ["job_vacancy_id", "tgv_name", "tv_name"]
+    scores = write_and_read(tv.join(cohort, "employee_id").select(*keys, "user_score"), "cohort_scores")
+    medians = exact_quantiles(scores, keys, "user_score", [0.5], discrete=True).select(*keys, F.col("q")[0].alias("baseline_score"))
+    unknown = scores.groupBy(*keys).agg(F.count("user_score").alias("n")).where("n = 0").select(*keys, F.lit(None).cast("double").alias("baseline_score"))
+    return medians.unionByName(unknown)
+
+
+def baseline_table(t: TalentTables, include_tiki: bool = True, max_bytes: int = DEFAULT_BROADCAST_BYTES,
+                   cohort: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """Baselines of every job computed from the cohort members only, not yet
+    written.  ``cohort`` gives the cohorts as (job, employee) rows instead of
+    the arrays of the benchmark table; ``vectors`` are written trait vectors,
+    else the fact tables are cut to the cohort's ids and theirs are made."""
     cohort = cohort if cohort is not None else cohort_explode(t.talent_benchmarks)
     # one measure bounds both the (job, id) pairs and the distinct ids
     small_cohort = measured_bytes(cohort) <= max_bytes
-    small = restrict_to(t, cohort, max_bytes, checked=small_cohort)
-    cohort = F.broadcast(cohort) if small_cohort else cohort
-    return match_baseline(tv_long(small, latest_year(small.performance_yearly), include_tiki), cohort)
+    if vectors is None:
+        small = restrict_to(t, cohort, max_bytes, checked=small_cohort)
+        tv = tv_long(small, include_tiki)
+    else:
+        ids = cohort.select("employee_id").distinct()
+        tv = tv_long(t, include_tiki, vectors.join(F.broadcast(ids) if small_cohort else ids, "employee_id", "left_semi"))
+    return match_baseline(tv, F.broadcast(cohort) if small_cohort else cohort)
 
 
-def baselines(t: TalentTables, latest: DataFrame | None = None, include_tiki: bool = True,
-              max_bytes: int = DEFAULT_BROADCAST_BYTES, materialize: bool = True) -> DataFrame:
+def baselines(t: TalentTables, include_tiki: bool = True, max_bytes: int = DEFAULT_BROADCAST_BYTES,
+              materialize: bool = True, **kw) -> DataFrame:
     """``baseline_table``, written (unless ``materialize=False``) and counted,
     then marked for broadcast when small."""
-    base = baseline_table(t, include_tiki, max_bytes)
+    base = baseline_table(t, include_tiki, max_bytes, **kw)
     if materialize:
         base = write_and_read(base, "baselines")
     return broadcast_if_small(base, max_bytes)
@@ -144,38 +114,6 @@ def match_final(tgv: DataFrame, weights: dict[str, float] | None = None) -> Data
         rnd(weighted_sum(parts, weights, missing_as_zero=True), 2).alias("final_match_rate"))
 
 
-def _group_rates(tvm: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """One row per (person, job): each group's mean TV rate (``_g_``), its
-    number of TV rows (``_c_``) and the final rate, from a single
-    partial-then-final aggregate."""
-    names = list(dict.fromkeys(TGV_NAMES + list(weights)))
-    aggs = [F.avg(F.when(F.col("tgv_name") == g, F.col("tv_match_rate"))).alias(f"_g_{g}") for g in names]
-    aggs += [F.count(F.when(F.col("tgv_name") == g, F.lit(1))).alias(f"_c_{g}") for g in names]
-    rates = tvm.groupBy("employee_id", "job_vacancy_id").agg(*aggs)
-    final = rnd(weighted_sum({g: F.col(f"_g_{g}") for g in weights}, weights, missing_as_zero=True), 2)
-    return rates.withColumn("_final", final)
-
-
-def people_with_dims(t: TalentTables) -> DataFrame:
-    """``employee_id, fullname, directorate, role, grade`` (dimension names
-    by left join: the dimension tables are tiny)."""
-    e = t.employees
-    return (
-        e.select("employee_id", "fullname", "directorate_id", "position_id", "grade_id")
-        .join(t.dim_directorates.select("directorate_id", F.col("name").alias("directorate")), "directorate_id", "left")
-        .join(t.dim_positions.select("position_id", F.col("name").alias("role")), "position_id", "left")
-        .join(t.dim_grades.select("grade_id", F.col("name").alias("grade")), "grade_id", "left")
-        .select("employee_id", "fullname", "directorate", "role", "grade")
-    )
-
-
-def match_groups(tvm: DataFrame, t: TalentTables, weights: dict[str, float] | None = None) -> DataFrame:
-    """One row per (person, job) with a TV row: each group's mean TV rate
-    (``_g_<group>``), the rounded final rate (``_final``) and the person's
-    name and dimensions -- about one thirtieth of the detail rows."""
-    return _group_rates(tvm, weights or TGV_WEIGHTS).join(people_with_dims(t), "employee_id")
-
-
 def tgv_from_groups(groups: DataFrame) -> DataFrame:
     """``match_tgv`` read from the group table: no fan-out, no shuffle."""
     items = F.array(*[F.struct(F.lit(g).alias("tgv_name"), F.col(f"_g_{g}").alias("tgv_match_rate"), F.col(f"_c_{g}").alias("c"))
@@ -190,55 +128,24 @@ def final_from_groups(groups: DataFrame) -> DataFrame:
 
 
 def matching_detail(t: TalentTables, job_id: int | None = None, include_tiki: bool = True,
-                    weights: dict[str, float] | None = None, latest: DataFrame | None = None,
-                    baseline: DataFrame | None = None, tv: DataFrame | None = None,
-                    groups: DataFrame | None = None, people=None) -> DataFrame:
+                    weights: dict[str, float] | None = None, baseline: DataFrame | None = None,
+                    vectors: DataFrame | None = None, set_bytes: int = traits.SET_BYTES) -> DataFrame:
     """Unrounded detail rows with names: ``job_vacancy_id, employee_id,
     fullname, directorate, role, grade, tgv_name, tv_name, baseline_score,
     user_score, tv_match_rate, tgv_match_rate, final_match_rate``.
 
     ``job_id`` keeps one job: the benchmark table is cut to it before the
-    baselines are computed, so nothing is computed for the others.  ``tv`` is
-    the trait table (``tv_long``), which is read twice (for the group
-    aggregate and for the rows joined back to it); pass a written one, else
-    it is written here.  ``groups`` is a written ``match_groups`` result of
-    the same inputs, reused if given.  ``people`` may cut the group table to
-    the people whose rows are wanted.
+    baselines are computed, so nothing is computed for the others.
+    ``vectors`` are written trait vectors, else they are written here.
     """
-    weights = weights or TGV_WEIGHTS
     if job_id is not None:  # before the baselines: only this job's cohort is read
         t = t.with_benchmarks(t.talent_benchmarks.filter(F.col("job_vacancy_id") == job_id))
-    latest = latest if latest is not None else latest_year(t.performance_yearly)
-    base = baseline if baseline is not None else baselines(t, latest, include_tiki)
-    tv = tv if tv is not None else write_and_read(tv_long(t, latest, include_tiki), "tv_long")
+    vectors = vectors if vectors is not None else write_and_read(traits.trait_vectors(t), "trait_vectors")
+    base = baseline if baseline is not None else baselines(t, include_tiki, vectors=vectors)
     if job_id is not None:
         base = base.filter(F.col("job_vacancy_id") == job_id)
-        tvm = match_tv(tv, base).filter(F.col("job_vacancy_id") == job_id)
-    else:
-        tvm = match_tv(tv, base)
-    if groups is None:
-        groups = match_groups(tvm, t, weights)
-    elif job_id is not None:
-        groups = groups.filter(F.col("job_vacancy_id") == job_id)
-    if people is not None:
-        groups = people(groups)
-    g = groups.select(
-        F.col("employee_id").alias("_e"), F.col("job_vacancy_id").alias("_j"),
-        "fullname", "directorate", "role", "grade", "_final",
-        *[c for c in groups.columns if c.startswith("_g_")],
-    )
-    joined = tvm.join(g, (F.col("employee_id") == F.col("_e")) & F.col("job_vacancy_id").eqNullSafe(F.col("_j")))
-    tgv_rate = None
-    for name in [c[3:] for c in g.columns if c.startswith("_g_")]:
-        cond = F.col("tgv_name") == name
-        tgv_rate = F.when(cond, F.col(f"_g_{name}")) if tgv_rate is None else tgv_rate.when(cond, F.col(f"_g_{name}"))
-    has_job = F.col("job_vacancy_id").isNotNull()
-    return joined.select(
-        "job_vacancy_id", "employee_id", "fullname", "directorate", "role", "grade", "tgv_name", "tv_name",
-        "baseline_score", "user_score", "tv_match_rate",
-        F.when(has_job, tgv_rate).alias("tgv_match_rate"),
-        F.when(has_job, F.col("_final")).alias("final_match_rate"),
-    )
+    detail = traits.match_detail(vectors if include_tiki else traits.without_tiki(vectors), traits.job_sets(base, set_bytes), weights)
+    return detail if job_id is None else detail.filter(F.col("job_vacancy_id") == job_id)
 
 
 MATCHING_COLUMNS = [
@@ -268,20 +175,8 @@ def benchmark_matching(t: TalentTables, job_id: int | None = None, **kw) -> Data
 
 def match_detail(t: TalentTables, job_id: int, limit: int | None = None, **kw) -> DataFrame:
     """One job's detail with the person's name, best final rate first (ties
-    by id, group, trait); ``limit`` keeps that many TV rows.
-
-    Everyone in the group table has a TV row at least, so the first ``limit``
-    rows belong to the first ``limit`` people: with a limit only their rows
-    are joined to names and rates.
-    """
+    by id, group, trait); ``limit`` keeps that many TV rows, each task its own
+    first ones (one scan of the vectors, no shuffle of rows)."""
     cols = ["employee_id", "fullname", "directorate", "role", "grade", "tgv_name", "tv_name"] + RATE_COLUMNS
-    best = F.col("final_match_rate").desc_nulls_first()
-    if limit is None:
-        return rounded(matching_detail(t, job_id, **kw), cols).orderBy(best, "employee_id", "tgv_name", "tv_name")
-
-    def first(groups: DataFrame) -> DataFrame:
-        final = F.when(F.col("job_vacancy_id").isNotNull(), F.col("_final"))
-        return F.broadcast(groups.orderBy(rnd(final, 2).desc_nulls_first(), "employee_id").limit(limit))  # ``limit`` rows
-
-    d = rounded(matching_detail(t, job_id, people=first, **kw), cols)
-    return d.orderBy(best, "employee_id", "tgv_name", "tv_name").limit(limit)
+    rows = rounded(matching_detail(t, job_id, **kw), cols).orderBy(F.col("final_match_rate").desc_nulls_first(), "employee_id", "tgv_name", "tv_name")
+    return rows if limit is None else rows.limit(limit)

@@ -17,19 +17,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentscope.functions.numeric import rnd
-from talentscope.operators import benchmark, clean, eda, insight, match, quality, readiness
+from talentscope.operators import benchmark, clean, eda, insight, match, quality, readiness, traits
 from talentscope.plans.pipelines import (
     baselines_for,
     clean_competencies_for,
     cleaned_for,
     latest_for,
+    job_sets_for,
     match_groups_for,
-    tv_long_for,
     matching_detail_for,
     readiness_final_for,
     readiness_ranked_for,
     tables_for,
+    vectors_for,
 )
+from talentscope.session import write_and_read
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -356,7 +358,7 @@ def q_readiness_by_division(spark, d):
 
 @query("tv_long")
 def q_tv_long(spark, d):
-    return tv_long_for(spark, d).withColumn("user_score", rnd("user_score", 4))
+    return traits.tv_rows(vectors_for(spark, d)).withColumn("user_score", rnd("user_score", 4))
 
 
 @query("match_baseline")
@@ -364,13 +366,9 @@ def q_match_baseline(spark, d):
     return baselines_for(spark, d)
 
 
-def _tvm(spark, d, include_tiki=True):
-    return match.match_tv(tv_long_for(spark, d, include_tiki), baselines_for(spark, d, include_tiki))
-
-
 @query("match_tv")
 def q_match_tv(spark, d):
-    return _tvm(spark, d).select(
+    return traits.match_tv(vectors_for(spark, d), job_sets_for(spark, d)).select(
         "employee_id", "job_vacancy_id", "tgv_name", "tv_name",
         rnd("baseline_score", 2).alias("baseline_score"), rnd("user_score", 2).alias("user_score"),
         rnd("tv_match_rate", 2).alias("tv_match_rate"))
@@ -398,7 +396,7 @@ def q_benchmark_matching(spark, d):
 
 @query("match_detail_top")
 def q_match_detail_top(spark, d):
-    return match.match_detail(_t(spark, d), 1, limit=500, latest=latest_for(spark, d), tv=tv_long_for(spark, d))
+    return match.match_detail(_t(spark, d), 1, limit=500, vectors=vectors_for(spark, d))
 
 
 # ------------------------------------------------------------------- insight
@@ -433,8 +431,9 @@ def q_benchmark_create_ranked(spark, d):
     t = _t(spark, d)
     new_id = t.talent_benchmarks.agg(F.max("job_vacancy_id")).first()[0] + 1
     one = t.with_benchmarks(_created(spark, d).filter(F.col("job_vacancy_id") == new_id))
-    tvm = match.match_tv(tv_long_for(spark, d), match.baselines(one)).filter(F.col("job_vacancy_id") == new_id)
-    return insight.top_per_job(insight.ranked_talent(match.match_groups(tvm, t)), 50)
+    vectors = vectors_for(spark, d)
+    groups = traits.match_groups(vectors, traits.job_sets(match.baselines(one, vectors=vectors)))
+    return insight.top_per_job(insight.ranked_talent(groups), 50)
 
 
 @query("match_distribution")
@@ -482,5 +481,5 @@ def q_readiness_from_raw(spark, d):
 @query("match_from_raw")
 def q_match_from_raw(spark, d):
     t = cleaned_for(spark, d)
-    tv = match.tv_long(t)
-    return match.final_from_groups(match.match_groups(match.match_tv(tv, match.baselines(t)), t))
+    vectors = write_and_read(traits.trait_vectors(t), "trait_vectors")
+    return match.final_from_groups(traits.match_groups(vectors, traits.job_sets(match.baselines(t, vectors=vectors))))

@@ -1,9 +1,9 @@
 """The workflows a user runs, as bundles of lazy DataFrames.
 
-Each function only composes operators; nothing runs until a result is
-written or collected.  Intermediate results that several outputs share
-are written once to the checkpoint folder (``write_and_read``) so that
-asking for all of them does not repeat the upstream joins.
+Each function writes what several of its outputs share (trait vectors,
+baselines, group rates, latest year, readiness totals) to the checkpoint
+folder when it is called (``write_and_read``); the outputs themselves are
+lazy and read those tables.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentscope.operators import benchmark, eda, insight, match, readiness
+from talentscope.operators import benchmark, eda, insight, match, readiness, traits
 from talentscope.operators.common import latest_year
 from talentscope.plans.pipelines import cleaned_tables
 from talentscope.session import write_and_read
@@ -28,13 +28,11 @@ def benchmark_report(t: TalentTables, job_id: int, detail_rows: int | None = Non
     cuts the detail listing, which is whole by default; ranked lists keep
     people with a missing name or dimension."""
     one = t.with_benchmarks(t.talent_benchmarks.filter(F.col("job_vacancy_id") == job_id))
-    latest = write_and_read(latest_year(t.performance_yearly), "latest_year")
-    tv = write_and_read(match.tv_long(t, latest), "tv_long")
-    base = match.baselines(one, latest)
-    tvm = match.match_tv(tv, base).filter(F.col("job_vacancy_id") == job_id)
-    groups = write_and_read(match.match_groups(tvm, t), f"groups_job_{job_id}")
-    detail = write_and_read(match.detail_view(match.matching_detail(
-        one, job_id, latest=latest, baseline=base, tv=tv, groups=groups)), f"detail_job_{job_id}")
+    vectors = write_and_read(traits.trait_vectors(t), "trait_vectors")
+    sets = traits.job_sets(match.baselines(one, vectors=vectors))
+    mine = F.col("job_vacancy_id") == job_id
+    groups = write_and_read(traits.match_groups(vectors, sets).filter(mine), f"groups_job_{job_id}")
+    detail = match.detail_view(traits.match_detail(vectors, sets).filter(mine))
     ranked = insight.ranked_talent(groups, keep_missing_dims=True)
     cols = ["employee_id", "fullname", "directorate", "role", "grade", "tgv_name", "tv_name"] + match.RATE_COLUMNS
     listing = detail.select(*cols).orderBy(F.col("final_match_rate").desc_nulls_first(), "employee_id", "tgv_name", "tv_name")

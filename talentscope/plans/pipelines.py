@@ -4,7 +4,7 @@ The talent tables are derived once and written to the checkpoint folder:
 every later query scans compact parquet with pushdown instead of
 re-joining line items and orders, and a lost executor re-reads files
 instead of recomputing.  The latest year per person, the readiness
-totals, the trait table, the baselines and the match detail, each reused
+totals, the trait vectors, the baselines and the group rates, each reused
 by several queries, are written the same way.
 
 Written tables are registered under (checkpoint folder, fingerprint of
@@ -20,9 +20,9 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentscope.operators import clean, match, readiness
+from talentscope.operators import clean, match, readiness, traits
 from talentscope.operators.common import latest_year
-from talentscope.session import broadcast_if_small, checkpoint_root, delete_paths, new_table_path, release_written
+from talentscope.session import checkpoint_root, delete_paths, new_table_path, release_written
 from talentscope.sources.mapping import from_driver_tables
 from talentscope.sources.tables import TalentTables
 
@@ -140,41 +140,41 @@ def readiness_ranked_for(spark: SparkSession, sf_dir: str) -> DataFrame:
                     lambda: readiness.readiness_ranked(readiness_final_for(spark, sf_dir)))
 
 
-def baselines_for(spark: SparkSession, sf_dir: str, include_tiki: bool = True) -> DataFrame:
-    """Baselines of every job (written), marked for broadcast after a count."""
+def vectors_for(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trait vectors of everyone, written once."""
     t = tables_for(spark, sf_dir)
+    return _written(spark, sf_dir, "trait_vectors", lambda: traits.trait_vectors(t))
 
-    def build() -> DataFrame:
-        written = _persisted(spark, _base_key(spark, sf_dir), f"baselines:{include_tiki}",
-                             lambda: match.baseline_table(t, include_tiki=include_tiki))
-        return broadcast_if_small(written)
 
-    return _session_cached(spark, sf_dir, f"baselines:{include_tiki}", build)
+def scoring_vectors_for(spark: SparkSession, sf_dir: str, include_tiki: bool = True) -> DataFrame:
+    vectors = vectors_for(spark, sf_dir)
+    return vectors if include_tiki else traits.without_tiki(vectors)
 
 
-def tv_long_for(spark: SparkSession, sf_dir: str, include_tiki: bool = True) -> DataFrame:
-    """The trait table of everyone, written once."""
+def baselines_for(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baselines of every job, written."""
     t = tables_for(spark, sf_dir)
-    return _written(spark, sf_dir, f"tv_long:{include_tiki}",
-                    lambda: match.tv_long(t, latest_for(spark, sf_dir), include_tiki))
+    return _written(spark, sf_dir, "baselines", lambda: match.baseline_table(t, vectors=vectors_for(spark, sf_dir)))
+
+
+def job_sets_for(spark: SparkSession, sf_dir: str, include_tiki: bool = True) -> list[DataFrame]:
+    """The baselines as one-row job sets; each trait's median stands alone, so
+    the variant without TIKI only leaves that trait out."""
+    base = baselines_for(spark, sf_dir)
+    return _session_cached(spark, sf_dir, f"job_sets:{include_tiki}", lambda: traits.job_sets(
+        base if include_tiki else base.where("tgv_name <> 'Cognitive' or tv_name <> 'TIKI'")))
 
 
 def match_groups_for(spark: SparkSession, sf_dir: str, include_tiki: bool = True) -> DataFrame:
     """Per-(person, job) group and final rates with names, written once."""
-    t = tables_for(spark, sf_dir)
-    return _written(spark, sf_dir, f"match_groups:{include_tiki}", lambda: match.match_groups(
-        match.match_tv(tv_long_for(spark, sf_dir, include_tiki), baselines_for(spark, sf_dir, include_tiki)), t))
+    return _written(spark, sf_dir, f"match_groups:{include_tiki}", lambda: traits.match_groups(
+        scoring_vectors_for(spark, sf_dir, include_tiki), job_sets_for(spark, sf_dir, include_tiki)))
 
 
-def matching_detail_for(spark: SparkSession, sf_dir: str, include_tiki: bool = True) -> DataFrame:
-    """The unrounded match detail of every job, written once: the trait-level
-    views of all jobs start from it.  One job alone is ``match.match_detail``,
-    which computes and writes nothing for the others."""
-    t = tables_for(spark, sf_dir)
-    return _written(spark, sf_dir, f"matching_detail:{include_tiki}", lambda: match.matching_detail(
-        t, None, include_tiki=include_tiki, latest=latest_for(spark, sf_dir),
-        baseline=baselines_for(spark, sf_dir, include_tiki), tv=tv_long_for(spark, sf_dir, include_tiki),
-        groups=match_groups_for(spark, sf_dir, include_tiki)))
+def matching_detail_for(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unrounded match detail of every job: a scan of the trait vectors,
+    so it isn't written."""
+    return traits.match_detail(vectors_for(spark, sf_dir), job_sets_for(spark, sf_dir))
 
 
 def release(spark: SparkSession) -> int:

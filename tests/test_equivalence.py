@@ -10,8 +10,9 @@ from helpers import bench, emp, psych, tables
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from talentscope.operators import match, readiness
+from talentscope.operators import match, readiness, traits
 from talentscope.operators.ranking import dense_rank_and_cume_dist
+from talentscope.session import write_and_read
 
 
 def _random_totals(spark, n=400, seed=7):
@@ -52,31 +53,29 @@ def _skewed_tables(spark):
     )
 
 
-def test_hot_person_match_detail_equals_self_join_form(spark):
+@pytest.mark.parametrize("part_rows,set_bytes,broadcast", [(50_000, 16 * 2**20, "10m"), (4, 16 * 2**20, "-1"), (3, 1, "-1")])
+def test_trait_vectors_equal_self_join_form(spark, part_rows, set_bytes, broadcast):
+    """Whole vectors, a hot person in parts, and a set of its own for nearly every job, also with broadcasts off."""
     t = _skewed_tables(spark)
-    keys = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
-        "spark.sql.adaptive.coalescePartitions.enabled": "false",
-    }
+    keys = {"spark.sql.autoBroadcastJoinThreshold": broadcast, "spark.sql.adaptive.autoBroadcastJoinThreshold": broadcast}
     old = {k: spark.conf.get(k, None) for k in keys}
     try:
         for k, v in keys.items():
             spark.conf.set(k, v)
-        base = match.baselines(t, materialize=False)
-        detail = match.matching_detail(t, baseline=base)
-        rows = detail.collect()
-        final_plan = detail._jdf.queryExecution().executedPlan().toString()
+        vectors = write_and_read(traits.trait_vectors(t, part_rows), "trait_vectors")
+        base = match.baselines(t, vectors=vectors)
+        sets = traits.job_sets(base, set_bytes)
+        detail = traits.match_detail(vectors, sets)
+        groups = traits.match_groups(vectors, sets)
+        rows, got_tv, got_groups = detail.collect(), traits.match_tv(vectors, sets).collect(), groups.collect()
     finally:
         for k, v in old.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
-    tvm = match.match_tv(match.tv_long(t), base)
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    parts = {r.employee_id: r.parts for r in vectors.select("employee_id", "parts").collect()}
+    assert (parts["E0"] > 1) == (part_rows < 100) and (len(sets) > 1) == (set_bytes == 1)
+    assert (vectors.selectExpr("size(traits) AS n").agg(F.max("n")).first()[0] <= 31) == (part_rows < 100)  # equal rows are one in a part
+    tv = match.tv_long(t)
+    tvm = match.match_tv(tv, base)
     tgv = match.match_tgv(tvm)
     fin = match.match_final(tgv)
     ref = (tvm.join(tgv, ["employee_id", "job_vacancy_id", "tgv_name"], "left")
@@ -88,8 +87,23 @@ def test_hot_person_match_detail_equals_self_join_form(spark):
                        r["final_match_rate"]) for r in rs)
 
     assert norm(rows) == norm(ref)
-    skewed = [ln for ln in final_plan.split("\n") if "SortMergeJoin(skew=true)" in ln]
-    assert any("employee_id" in ln for ln in skewed), "AQE did not split the hot person's partition"
+    assert sorted(map(str, (sorted(r.asDict().items()) for r in got_tv))) == sorted(map(str, (sorted(r.asDict().items()) for r in tvm.collect())))
+    of_groups = sorted((r.employee_id, r.job_vacancy_id, r._final) for r in got_groups)
+    assert of_groups == sorted((r.employee_id, r.job_vacancy_id, r.final_match_rate) for r in fin.collect())
+
+
+def test_newest_year_without_a_join(spark):
+    """Years, repeated rows, people without a rating, NULL ids and years: as the join to the newest year gives them."""
+    t = tables(
+        spark, employees=[emp("A"), emp("B")], performance_yearly=[("A", 2023, 5.0), ("A", 2024, 3.0), ("A", 2024, 4.0), ("C", None, 1.0), (None, 2024, 2.0)],
+        competencies_yearly=[("A", 2023, "P1", 1.0), ("A", 2024, "P1", 2.0), ("A", 2024, "P1", 2.0), ("B", 2024, "P1", 3.0), ("C", 2024, "P2", 4.0), (None, 2024, "P1", 9.0)],
+        papi_scores=[("A", "S", 7.0), (None, "S", 8.0), ("A", None, 1.0)], strengths=[("A", "T", 2), ("A", "U", 3)])
+    for part_rows in (50_000, 1):
+        got = sorted(map(str, (tuple(r) for r in traits.tv_rows(write_and_read(traits.trait_vectors(t, part_rows), "v")).collect())))
+        want = [("A", "Competencies", "Pillar One", 2.0, "higher")] * 2 + [
+            ("A", "Context", "PerformanceRating", 3.0, "higher"), ("A", "Context", "PerformanceRating", 4.0, "higher"), ("A", "PersonalityPAPI", "S", 7.0, "higher"),
+            ("A", "PersonalityPAPI", None, 1.0, "higher"), (None, "PersonalityPAPI", "S", 8.0, "higher"), ("A", "BehaviorStrengths", "StrengthsRankAvg", 2.5, "lower")]
+        assert got == sorted(map(str, want))
 
 
 def test_hot_person_readiness_is_unchanged(spark):
