@@ -136,7 +136,10 @@ def job_sets(baseline: DataFrame, max_bytes: int = SET_BYTES) -> list[DataFrame]
     id, whose keys are the traits of all jobs: traits outside them have no job.
     ``baseline`` is measured here, so it should be written."""
     base = baseline.where("tv_name is not null").select("job_vacancy_id", F.struct(trait_key("tgv_name", "tv_name").alias("k"), F.col("baseline_score").alias("s")).alias("b"))
-    sets = max(1, -(-measured_bytes(baseline.select("job_vacancy_id", "baseline_score")) // max_bytes))
+    sets = -(-measured_bytes(baseline.select("job_vacancy_id", "baseline_score")) // max_bytes)
+    if sets > 1:  # a set holds a job at least
+        sets = min(sets, baseline.select("job_vacancy_id").distinct().count())
+    sets = max(sets, 1)
     per_job = base.groupBy("job_vacancy_id").agg(F.collect_list("b").alias("b"))
     job = F.struct("job_vacancy_id", F.transform("b", lambda x: x["k"]).alias("keys"), F.transform("b", lambda x: x["s"]).alias("scores"))
     rows = [per_job.where(F.pmod(F.xxhash64("job_vacancy_id"), F.lit(sets)) == i).agg(F.collect_list(job).alias("jobs")) for i in range(sets)]
