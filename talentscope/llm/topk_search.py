@@ -14,11 +14,14 @@ vectors don't widen the search.  The k-th score is shared between shards: a
 pilot run of each block over one shard gives a first k-th score for each query,
 which all other shards start from.
 
-Rows: vectors that are NULL, empty or hold a NULL or non-finite component take
-no part, nor rows without an id or with a component of 65536 or more, whose
-scores may leave the range of a long.  Vectors of different lengths are never
-compared.  Of rows that repeat an id the smallest vector counts.  Ties go to
-the smaller id; a query with fewer than k candidates returns all of them.
+Rows: vectors that are NULL or hold a NULL or non-finite component take no
+part, nor rows without an id.  Rows that repeat an id are candidates each, and
+such queries share their k best (never rows of their own id); they are dealt by
+row, so a hot id fills no shard.  Empty vectors score 0 with each other;
+vectors of different lengths are never compared.  Components of any size count:
+scores are summed in doubles, longs or Python integers, whichever is exact, and
+a score or component beyond a long is an error.  Ties go to the smaller id; a
+query with fewer than k candidates returns all of them.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,9 +45,10 @@ SHARD_ROWS, LEAST_SHARDS, QUERY_BLOCK, LEAF, SCALE = 1 << 16, 8, 1024, 64, 1024
 def integers(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, dim, v array<int>) of the rows that take part."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 65536.0))
-    df = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("x"), fine.alias("fine")).where("vec_id is not null and fine and size(x) > 0")
-    return df.select("vec_id", F.size("x").alias("dim"), F.transform("x", lambda x: F.floor(x * SCALE).cast("int")).alias("v"))
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    df = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("x"), fine.alias("fine")).where("vec_id is not null and fine")
+    whole = lambda x: F.when(F.abs(x) < float(2**52), F.floor(x * SCALE)).otherwise(F.raise_error(F.lit("a component times 1024 is beyond a long")).cast("long"))
+    return df.select("vec_id", F.size("x").alias("dim"), F.transform("x", whole).alias("v"))
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -72,16 +76,16 @@ def build_tree(ids: np.ndarray, rows: np.ndarray) -> dict[str, np.ndarray]:
         low.append(int(ids[place[a:b]].min()))
         span.append((a, b))
         if b - a > LEAF:
-            axis = int((x.max(0) - x.min(0)).argmax())
-            place[a:b] = place[a:b][np.lexsort((ids[place[a:b]], x[:, axis]))]
+            wide = x[:, int((x.max(0) - x.min(0)).argmax())] if x.shape[1] else np.zeros(b - a)
+            place[a:b] = place[a:b][np.lexsort((ids[place[a:b]], wide))]
             mid = (a + b) // 2
             child.append(len(nodes))
             nodes += [(a, mid), (mid, b)]
         else:
             child.append(-1)
         at += 1
-    small = np.abs(rows).max(initial=0) < 2 ** 15
-    return {"ids": ids[place], "rows": rows[place].astype(np.int16 if small else np.int32), "centre": np.array(centre), "radius": np.array(radius),
+    most = np.abs(rows).max(initial=0)
+    return {"ids": ids[place], "rows": rows[place].astype(np.int16 if most < 2 ** 15 else np.int32 if most < 2 ** 31 else np.int64), "centre": np.array(centre), "radius": np.array(radius),
             "child": np.array(child), "low": np.array(low), "span": np.array(span)}
 
 
@@ -91,7 +95,7 @@ def search(tree: dict, query: np.ndarray, own: int, k: int, least: float) -> lis
     size = float(np.sqrt(q @ q))
     slack = 1e-6 * (1 + size)
     bound = tree["centre"] @ q + size * tree["radius"]
-    bound += slack + 1e-9 * np.abs(bound)
+    bound += slack + 1e-9 * size * (np.sqrt((tree["centre"] ** 2).sum(1)) + tree["radius"])  # beyond the rounding of all sums
     heap, best = [(-bound[0], 0)], []  # best: min-heap of (score, -id)
     while heap:
         top, node = heapq.heappop(heap)
@@ -130,21 +134,31 @@ def _opened(data: bytes) -> dict:
     def dot(a, b, q):
         if real is not None and most * int(np.abs(q).max(initial=0)) * len(q) < 2 ** 53:
             return real[a:b] @ q  # whole numbers below 2^53 are exact
-        return rows[a:b].astype(np.int64) @ q.astype(np.int64)
+        if most * int(np.abs(q).max(initial=0)) * len(q) < 2 ** 63:
+            return rows[a:b].astype(np.int64) @ q.astype(np.int64)
+        return rows[a:b].astype(object) @ q.astype(object)
     tree["dot"] = dot
     return tree
 
 
+def _at_most(score: int) -> float:
+    """The largest double that isn't above the score."""
+    x = float(score)
+    return x if x <= score else float(np.nextafter(x, -np.inf))
+
+
+def _rows(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    pdf = pdf.assign(v=[tuple(x) for x in pdf["v"]]).sort_values(["vec_id", "v"])
+    return pdf["vec_id"].to_numpy(np.int64), np.array(pdf["v"].tolist(), np.int64).reshape(len(pdf), -1 if len(pdf["v"].iloc[0]) else 0)
+
+
 def _trees(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.assign(v=[tuple(x) for x in pdf["v"]]).sort_values(["vec_id", "v"]).drop_duplicates("vec_id")
-    tree = build_tree(pdf["vec_id"].to_numpy(np.int64), np.array(pdf["v"].tolist(), np.int64).reshape(len(pdf), -1))
-    return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "tree": [_pack(**tree)]})
+    return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "tree": [_pack(**build_tree(*_rows(pdf)))]})
 
 
 def _blocks(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.assign(v=[tuple(x) for x in pdf["v"]]).sort_values(["vec_id", "v"]).drop_duplicates("vec_id")
-    data = _pack(ids=pdf["vec_id"].to_numpy(np.int64), rows=np.array(pdf["v"].tolist(), np.int64).reshape(len(pdf), -1), least=np.full(len(pdf), -np.inf))
-    return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "queries": [data]})
+    ids, rows = _rows(pdf)
+    return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "queries": [_pack(ids=ids, rows=rows, least=np.full(len(ids), -np.inf))]})
 
 
 def _pilot(k: int):
@@ -154,7 +168,7 @@ def _pilot(k: int):
             for tree, data in zip(b.column(2), b.column(3)):
                 tree, q = _opened(tree.as_py()), _unpack(data.as_py())
                 got = [search(tree, v, own, k, -np.inf) for own, v in zip(q["ids"].tolist(), q["rows"])]
-                out.append(_pack(ids=q["ids"], rows=q["rows"], least=np.array([g[-1][0] if len(g) == k else -np.inf for g in got], float)))
+                out.append(_pack(ids=q["ids"], rows=q["rows"], least=np.array([_at_most(g[-1][0]) if len(g) == k else -np.inf for g in got], float)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["dim", "block", "queries"])
     return run
 
@@ -171,13 +185,14 @@ def _search(k: int):
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score); both inputs as ``integers`` gives them.  A query's own id is no candidate."""
-    cand = saved(candidates, "topk_vectors")
+    row = F.monotonically_increasing_id()  # written with the rows: rows of one id are dealt apart
+    cand = saved(candidates.withColumn("slot", row), "topk_vectors")
     shards = max(-(-cand.count() // SHARD_ROWS), LEAST_SHARDS)
-    trees = cand.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).groupBy("dim", "shard").applyInPandas(_trees, "dim int, shard long, tree binary")
+    trees = cand.withColumn("shard", F.pmod(F.xxhash64("vec_id", "slot"), F.lit(shards))).drop("slot").groupBy("dim", "shard").applyInPandas(_trees, "dim int, shard long, tree binary")
     trees = saved(trees, "topk_trees")
-    queries = saved(queries, "topk_queries")
+    queries = saved(queries.withColumn("slot", row), "topk_queries")
     blocks = max(-(-queries.count() // QUERY_BLOCK), 1)
-    packed = saved(queries.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks))).groupBy("dim", "block")
+    packed = saved(queries.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id", "slot"), F.lit(blocks))).drop("slot").groupBy("dim", "block")
                    .applyInPandas(_blocks, "dim int, block long, queries binary"), "topk_blocks")
     first = packed.withColumn("shard", F.pmod("block", F.lit(shards))).join(trees, ["dim", "shard"], "left")
     known = first.where("tree is not null").select("dim", "block", "tree", "queries").mapInArrow(_pilot(k), "dim int, block long, queries binary")

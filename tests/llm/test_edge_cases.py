@@ -1,11 +1,13 @@
 """Every operator and pipeline stage over odd rows and empty tables."""
 
+import duckdb
 import public_tokenizers as P
 import pytest
 from llm_cases import ODD
 
 import corpus_pipeline
-from talentscope.llm import bpe, jaccard_join, language_id, packing, quality_rules, resampling, secrets, token_counts, topk_search, toxicity
+from talentscope.llm import bpe, jaccard_join, language_id, packing, quality_rules, queries, resampling, secrets, token_counts, topk_search, toxicity
+from talentscope.llm.oracle import TOP_K
 
 RANKS, MULTI = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_multi_50k.tiktoken")
 OPERATORS = {
@@ -76,8 +78,8 @@ def test_pipeline_stages(spark, odd, empty, tmp_path, odd_labels, no_labels):
 
 
 def test_top_k_odd_vectors(spark):
-    rows = [(0, [1.0, 0.5]), (0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]),
-            (6, [float("inf"), 1.0]), (None, [1.0, 1.0]), (7, []), (8, [1.0, 2.0, 3.0]), (100, [-0.0001, 0.0]), (200, [2.0, 2.0])]
+    rows = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]),
+            (6, [float("inf"), 1.0]), (None, [1.0, 1.0]), (8, [1.0, 2.0, 3.0]), (100, [-0.0001, 0.0]), (200, [2.0, 2.0])]
     v = topk_search.integers(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     got = {}
     for r in topk_search.top_k(v, v.where("vec_id % 100 = 0"), 3).collect():
@@ -86,3 +88,17 @@ def test_top_k_odd_vectors(spark):
     assert sorted(got[100]) == [(1, 0, -1024), (2, 1, -1024), (3, 2, -1024)]
     none = topk_search.integers(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert topk_search.top_k(none, none).collect() == []
+
+
+def test_top_k_large_components_repeated_ids_and_empty_vectors(spark, tmp_path):
+    """As the SQL has it: no limit of magnitude, rows of one id are candidates each, empty vectors score 0."""
+    rows = [(0, [1.0, 1e5]), (1, [3e5, 7e4]), (1, [2.0, -3.0]), (2, [2.0, 0.0]), (2, [3.0, 0.0]), (2, [3.0, 0.0]), (3, [1e6, 1.0]), (100, [1e6, -1e6]), (100, [-1e6, 1e6]), (200, [0.25, 0.5])]
+    rows += [(i, [float(i % 7) * 1e4, float(i % 5)]) for i in range(4, 90)] + [(7, [5e4, 1.0])] * 150
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = [tuple(r) for r in duckdb.sql(TOP_K.replace("FROM embeddings", f"FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")).fetchall()]
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in queries.op10_topk_search(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+    v = topk_search.integers(spark.createDataFrame([(0, []), (1, []), (2, [1.0]), (3, [2.0**50]), (4, [2.0**-9])], "vec_id long, embedding array<double>"))
+    assert [(r.query_id, r.vec_id, r.score) for r in topk_search.top_k(v, v.where("vec_id = 0")).collect()] == [(0, 1, 0)]
+    assert [(r.vec_id, r.score) for r in topk_search.top_k(v, v.where("vec_id = 4")).orderBy("rank").collect()] == [(3, 2**61), (2, 2048)]
