@@ -131,7 +131,7 @@ def tv_rows(vectors: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ jobs beside a vector
 
 def job_sets(baseline: DataFrame, max_bytes: int = SET_BYTES) -> list[DataFrame]:
-    """One-row tables with ``jobs``: array<struct<job_vacancy_id, keys, scores>>,
+    """One-row tables (written) with ``jobs``: array<struct<job_vacancy_id, keys, scores>>,
     each of about ``max_bytes`` at most.  The first also holds a job without an
     id, whose keys are the traits of all jobs: traits outside them have no job.
     ``baseline`` is measured here, so it should be written."""
@@ -147,7 +147,7 @@ def job_sets(baseline: DataFrame, max_bytes: int = SET_BYTES) -> list[DataFrame]
     kind = rows[0].schema["jobs"].dataType.elementType
     absent = F.struct(F.lit(None).cast(kind["job_vacancy_id"].dataType).alias("job_vacancy_id"), F.col("known").alias("keys"), F.lit(None).cast("array<double>").alias("scores"))
     rows[0] = attach_one_row(rows[0], known).select(F.concat("jobs", F.array(absent)).alias("jobs"))
-    return rows
+    return [write_and_read(r, "job_set") for r in rows]
 
 
 def _matched(job: Column, traits: Column) -> Column:
