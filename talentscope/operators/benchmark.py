@@ -1,30 +1,35 @@
-"""Job benchmarks: candidate cohorts, creating and updating benchmark rows.
-
-A benchmark table is small configuration data (one row per job), so
-"updating" it means returning a new DataFrame; write it with
-``save_benchmarks``.  Allocating ids concurrently needs a table format
-with transactions and is the caller's concern.
+"""Job benchmarks: candidate cohorts, creating and updating jobs.
+
+Jobs and cohorts are two tables (``BenchmarkTables``): one row per job, and
+(job, employee) rows, so a cohort of any size stays rows.  Creating a job and
+replacing a cohort work on these; the array form of the exported table is made
+by ``export_benchmarks`` alone.  ``plans.store`` keeps both as files, with the
+results of each job.  Allocating ids concurrently needs a table format with
+transactions and is the caller's concern.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentscope.operators.common import at_latest_year, latest_year
-from talentscope.session import attach_one_row
 from talentscope.sources.tables import TalentTables
 
-def _cohort_array(talent_ids: DataFrame) -> DataFrame:
-    """One row holding the sorted ids, the form of the exported benchmark
-    table.  An array of ids is one row by nature; a cohort that should not be
-    one goes to ``cohort_table`` and stays a table of (job, employee) rows."""
-    return talent_ids.agg(F.array_sort(F.collect_list("employee_id")).alias("ids"))
+
+@dataclass(frozen=True)
+class BenchmarkTables:
+    """``jobs``: the benchmark table without ``selected_talent_ids``;
+    ``cohorts``: ``job_vacancy_id, employee_id`` rows (an id listed twice is two rows)."""
+
+    jobs: DataFrame
+    cohorts: DataFrame
 
 
-def cohort_table(job_vacancy_id: int, talent_ids: DataFrame) -> DataFrame:
+def cohort_rows(job_vacancy_id: int, talent_ids: DataFrame) -> DataFrame:
     """``job_vacancy_id, employee_id``: a cohort of any size as rows, as
     ``cohort_explode`` gives them; ``match.baseline_table(cohort=...)`` takes it."""
     return talent_ids.select(F.lit(job_vacancy_id).cast("int").alias("job_vacancy_id"), "employee_id")
@@ -64,41 +69,65 @@ def cohort_explode(benchmarks: DataFrame) -> DataFrame:
     return benchmarks.select("job_vacancy_id", F.explode("selected_talent_ids").alias("employee_id"))
 
 
-def create_benchmark(benchmarks: DataFrame, role_name: str, job_level: str, role_purpose: str,
-                     talent_ids: DataFrame, created_at: dt.datetime, weights_config: str = "{}") -> DataFrame:
-    """Append one job whose id is ``max(id) + 1``; ``talent_ids`` is a
-    DataFrame of ``employee_id`` (the chosen role models).  A blank role,
-    level or purpose and an empty cohort are refused."""
+def split_benchmarks(benchmarks: DataFrame) -> BenchmarkTables:
+    """The array form as two tables."""
+    return BenchmarkTables(benchmarks.drop("selected_talent_ids"), cohort_explode(benchmarks))
+
+
+def export_benchmarks(b: BenchmarkTables) -> DataFrame:
+    """The array form: one row per job with its ids sorted, none for a job without a cohort."""
+    ids = F.coalesce("_ids", F.array().cast("array<string>")).alias("selected_talent_ids")
+    columns = [c for c in b.jobs.columns if c != "_j"]
+    at = columns.index("weights_config") if "weights_config" in columns else len(columns)
+    grouped = b.cohorts.groupBy(F.col("job_vacancy_id").alias("_j")).agg(F.array_sort(F.collect_list("employee_id")).alias("_ids"))
+    return b.jobs.join(grouped, F.col("job_vacancy_id") == F.col("_j"), "left").select(*columns[:at], ids, *columns[at:])
+
+
+def new_job(jobs: DataFrame, role_name: str, job_level: str, role_purpose: str, talent_ids: DataFrame,
+            created_at: dt.datetime, weights_config: str = "{}") -> tuple[DataFrame, int]:
+    """A one-row table of the new job and its id, ``max(id) + 1``.  A blank
+    role, level or purpose and an empty cohort are refused."""
     blank = [n for n, v in (("role_name", role_name), ("job_level", job_level), ("role_purpose", role_purpose))
              if not (v or "").strip()]
     if blank:
         raise ValueError(f"blank: {', '.join(blank)}")
     if talent_ids.isEmpty():
         raise ValueError("a benchmark needs role models")
-    next_id = benchmarks.agg(F.coalesce(F.max("job_vacancy_id") + 1, F.lit(1)).cast("int").alias("job_vacancy_id"))
-    ids = _cohort_array(talent_ids).withColumnRenamed("ids", "selected_talent_ids")
-    row = attach_one_row(next_id, ids).select(
-        "job_vacancy_id",
+    next_id = jobs.agg(F.coalesce(F.max("job_vacancy_id") + 1, F.lit(1)).cast("int").alias("job_vacancy_id")).first()[0]
+    row = jobs.sparkSession.range(1).select(
+        F.lit(next_id).cast("int").alias("job_vacancy_id"),
         F.lit(role_name).alias("role_name"),
         F.lit(job_level).alias("job_level"),
         F.lit(role_purpose).alias("role_purpose"),
-        F.coalesce("selected_talent_ids", F.array().cast("array<string>")).alias("selected_talent_ids"),
         F.lit(weights_config).alias("weights_config"),
         F.to_timestamp_ntz(F.lit(created_at.strftime("%Y-%m-%d %H:%M:%S"))).alias("created_at"),
     )
-    return benchmarks.unionByName(row)
+    return row, next_id
+
+
+def add_job(b: BenchmarkTables, role_name: str, job_level: str, role_purpose: str, talent_ids: DataFrame,
+            created_at: dt.datetime, weights_config: str = "{}") -> BenchmarkTables:
+    """The tables with one more job, whose cohort is ``talent_ids`` (rows of ``employee_id``)."""
+    row, job_id = new_job(b.jobs, role_name, job_level, role_purpose, talent_ids, created_at, weights_config)
+    return BenchmarkTables(b.jobs.unionByName(row), b.cohorts.unionByName(cohort_rows(job_id, talent_ids)))
+
+
+def replace_cohort(b: BenchmarkTables, job_vacancy_id: int, talent_ids: DataFrame) -> BenchmarkTables:
+    """The tables with one job's cohort replaced; an unknown job changes nothing."""
+    known = b.jobs.where(F.col("job_vacancy_id") == job_vacancy_id).select("job_vacancy_id").distinct()
+    new = cohort_rows(job_vacancy_id, talent_ids).join(F.broadcast(known), "job_vacancy_id", "left_semi")  # one row at most
+    return BenchmarkTables(b.jobs, b.cohorts.where(F.col("job_vacancy_id") != job_vacancy_id).unionByName(new))
+
+
+def create_benchmark(benchmarks: DataFrame, role_name: str, job_level: str, role_purpose: str,
+                     talent_ids: DataFrame, created_at: dt.datetime, weights_config: str = "{}") -> DataFrame:
+    """``add_job`` on the array form."""
+    return export_benchmarks(add_job(split_benchmarks(benchmarks), role_name, job_level, role_purpose, talent_ids, created_at, weights_config))
 
 
 def set_cohort(benchmarks: DataFrame, job_vacancy_id: int, talent_ids: DataFrame) -> DataFrame:
-    """Replace one job's cohort with the sorted ids of ``talent_ids``."""
-    ids = _cohort_array(talent_ids).withColumnRenamed("ids", "_new_ids")
-    return attach_one_row(benchmarks, ids).select(
-        *[
-            F.when(F.col("job_vacancy_id") == job_vacancy_id, F.col("_new_ids")).otherwise(F.col(c)).alias(c)
-            if c == "selected_talent_ids" else F.col(c)
-            for c in benchmarks.columns
-        ]
-    )
+    """``replace_cohort`` on the array form."""
+    return export_benchmarks(replace_cohort(split_benchmarks(benchmarks), job_vacancy_id, talent_ids))
 
 
 def save_benchmarks(benchmarks: DataFrame, path: str, mode: str = "overwrite") -> None:

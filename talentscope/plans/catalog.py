@@ -31,7 +31,8 @@ from talentscope.plans.pipelines import (
     tables_for,
     vectors_for,
 )
-from talentscope.session import write_and_read
+from talentscope.plans.store import BenchmarkStore
+from talentscope.session import new_table_path, write_and_read
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,30 +55,30 @@ def _t(spark, d):
 
 # ---------------------------------------------------------------- benchmarks
 
-def _created(spark, d) -> DataFrame:
+def _created(spark, d) -> benchmark.BenchmarkTables:
     t = _t(spark, d)
     chosen = benchmark.cohort_candidates(t.performance_yearly, n=3)
-    return benchmark.create_benchmark(t.talent_benchmarks, *NEW_ROLE, talent_ids=chosen, created_at=NEW_CREATED_AT)
+    return benchmark.add_job(benchmark.split_benchmarks(t.talent_benchmarks), *NEW_ROLE, talent_ids=chosen, created_at=NEW_CREATED_AT)
 
 
 @query("benchmark_create")
 def q_benchmark_create(spark, d):
     b = _created(spark, d)
-    return benchmark.cohort_summary(b).join(
-        b.select("job_vacancy_id", "role_name", "job_level",
-                 F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at")), "job_vacancy_id")
+    return benchmark.cohort_summary(benchmark.export_benchmarks(b)).join(
+        b.jobs.select("job_vacancy_id", "role_name", "job_level",
+                      F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at")), "job_vacancy_id")
 
 
 @query("benchmark_set_cohort")
 def q_benchmark_set_cohort(spark, d):
     t = _t(spark, d)
-    b = benchmark.set_cohort(t.talent_benchmarks, 1, benchmark.cohort_candidates(t.performance_yearly, n=50))
-    return benchmark.cohort_summary(b)
+    b = benchmark.replace_cohort(benchmark.split_benchmarks(t.talent_benchmarks), 1, benchmark.cohort_candidates(t.performance_yearly, n=50))
+    return benchmark.cohort_summary(benchmark.export_benchmarks(b))
 
 
 @query("benchmark_recent")
 def q_benchmark_recent(spark, d):
-    return benchmark.recent_benchmarks(_created(spark, d), 25)
+    return benchmark.recent_benchmarks(_created(spark, d).jobs, 25)
 
 
 @query("employee_directory")
@@ -429,13 +430,23 @@ def q_ranked_talent_top50(spark, d):
 def q_benchmark_create_ranked(spark, d):
     """Create a job, score everyone against it, list its best 50."""
     t = _t(spark, d)
-    new_id = t.talent_benchmarks.agg(F.max("job_vacancy_id")).first()[0] + 1
-    one = t.with_benchmarks(_created(spark, d).filter(F.col("job_vacancy_id") == new_id))
+    created = _created(spark, d)
+    new_id = created.jobs.agg(F.max("job_vacancy_id")).first()[0]
     vectors = vectors_for(spark, d)
-    groups = traits.match_groups(vectors, traits.job_sets(match.baselines(one, vectors=vectors)))
+    base = match.baselines(t, cohort=created.cohorts.filter(F.col("job_vacancy_id") == new_id), vectors=vectors)
+    groups = traits.match_groups(vectors, traits.job_sets(base))
     return insight.top_per_job(insight.ranked_talent(groups), 50)
 
 
+@query("benchmark_refresh_ranked")
+def q_benchmark_refresh_ranked(spark, d):
+    """Replace one job's cohort in a store, refresh that job alone, list its best 50 from its partition."""
+    t = _t(spark, d)
+    store = BenchmarkStore.create(spark, new_table_path(spark, "benchmark_store"), t, vectors_for(spark, d))
+    store.set_cohort(1, benchmark.cohort_candidates(t.performance_yearly, n=50))
+    return insight.top_per_job(insight.ranked_talent(store.groups(1)), 50)
+
+
 @query("match_distribution")
 def q_match_distribution(spark, d):
     return insight.match_distribution(_ranked(spark, d), 100)

@@ -251,6 +251,20 @@ def with_mapping(*ctes: str) -> str:
     return f"WITH {MAPPING}{extra}\n"
 
 
+def trimmed(ctes: list[str], tail: str) -> str:
+    """``WITH ... tail`` with the parts that the tail needs alone; parts read more than once are materialised."""
+    parts = {c.strip().split(" ", 1)[0]: c.strip() for c in [*re.split(r",\n(?=\w+ AS \()", MAPPING), *ctes]}
+    reads = {n: {m for m in parts if m != n and re.search(rf"\b(?:FROM|JOIN)\s+{m}\b", text)} for n, text in [*parts.items(), ("", tail)]}
+    needed, todo = set(), [""]
+    while todo:
+        new = reads[todo.pop()] - needed
+        needed |= new
+        todo += new
+    often = {n for n in needed if sum(n in reads[m] for m in [*needed, ""]) > 1}
+    kept = [text.replace(f"{n} AS (", f"{n} AS MATERIALIZED (", 1) if n in often else text for n, text in parts.items() if n in needed]
+    return "WITH " + ",\n".join(kept) + "\n" + tail
+
+
 # ------------------------------------------------------------- shared pieces
 
 CREATED = f"""created AS (
@@ -264,6 +278,17 @@ CREATED = f"""created AS (
 )"""
 
 
+UPDATED = """updated AS (
+  SELECT job_vacancy_id,
+         CASE WHEN job_vacancy_id = 1
+              THEN COALESCE((SELECT list(employee_id ORDER BY employee_id)
+                             FROM (SELECT employee_id FROM top_rated ORDER BY employee_id LIMIT 50)),
+                            CAST([] AS VARCHAR[]))
+              ELSE selected_talent_ids END AS selected_talent_ids
+  FROM talent_benchmarks
+)"""
+
+
 def cohort_summary(table: str) -> str:
     return (f"SELECT job_vacancy_id, CAST(COALESCE(len(selected_talent_ids), 0) AS BIGINT) AS cohort_size, "
             f"array_to_string(selected_talent_ids, ',') AS cohort FROM {table}")
@@ -609,6 +634,11 @@ def _created_ranked_sql() -> str:
         50, "(SELECT * FROM people_ranked WHERE job_vacancy_id = (SELECT MAX(job_vacancy_id) FROM created))")
 
 
+def _refreshed_ranked_sql() -> str:
+    ctes = [UPDATED, "one AS (SELECT * FROM updated WHERE job_vacancy_id = 1)"] + match_ctes(bench="one")
+    return with_mapping(*ctes) + "\n" + top_per_job(50)
+
+
 def _evidence_sql() -> str:
     return with_mapping(*MATCH, f"""job_groups AS (
   SELECT job_vacancy_id, tgv_name,
@@ -659,15 +689,7 @@ ORACLE: dict[str, str] = {
     "benchmark_create": with_mapping(CREATED) + f"""
 SELECT s.*, c.role_name, c.job_level, strftime(c.created_at, '%Y-%m-%d %H:%M:%S') AS created_at
 FROM ({cohort_summary("created")}) s JOIN created c USING (job_vacancy_id)""",
-    "benchmark_set_cohort": with_mapping("""updated AS (
-  SELECT job_vacancy_id,
-         CASE WHEN job_vacancy_id = 1
-              THEN COALESCE((SELECT list(employee_id ORDER BY employee_id)
-                             FROM (SELECT employee_id FROM top_rated ORDER BY employee_id LIMIT 50)),
-                            CAST([] AS VARCHAR[]))
-              ELSE selected_talent_ids END AS selected_talent_ids
-  FROM talent_benchmarks
-)""") + cohort_summary("updated"),
+    "benchmark_set_cohort": with_mapping(UPDATED) + cohort_summary("updated"),
     "benchmark_recent": with_mapping(CREATED) + """
 SELECT job_vacancy_id, role_name, job_level, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at
 FROM created ORDER BY job_vacancy_id DESC LIMIT 25""",
@@ -796,9 +818,9 @@ GROUP BY d.name, n.readiness_category""",
     "tv_long": with_mapping(traits()) + f"""
 SELECT employee_id, tgv_name, tv_name, {rnd("user_score", 4)} AS user_score, direction FROM traits""",
     "match_baseline": with_mapping(*MATCH[:3]) + "SELECT * FROM medians",
-    "match_tv": with_mapping(*MATCH[:4]) + f"""
+    "match_tv": trimmed(MATCH[:4], f"""
 SELECT employee_id, job_vacancy_id, tgv_name, tv_name, {rnd("baseline_score", 2)} AS baseline_score,
-       {rnd("user_score", 2)} AS user_score, {rnd("tv_rate", 2)} AS tv_match_rate FROM rated""",
+       {rnd("user_score", 2)} AS user_score, {rnd("tv_rate", 2)} AS tv_match_rate FROM rated"""),
     "match_tgv": with_mapping(*MATCH[:5]) + f"""
 SELECT DISTINCT employee_id, job_vacancy_id, tgv_name, {rnd("tgv_rate", 2)} AS tgv_match_rate FROM grouped""",
     "match_final": with_mapping(*MATCH[:6]) + "SELECT employee_id, job_vacancy_id, final_rate AS final_match_rate FROM finals",
@@ -816,6 +838,7 @@ SELECT job_vacancy_id, employee_id, fullname, directorate, role, grade, MAX(fina
 FROM detail WHERE job_vacancy_id IS NOT NULL GROUP BY ALL""",
     "ranked_talent_top50": with_mapping(*MATCH) + top_per_job(50),
     "benchmark_create_ranked": _created_ranked_sql(),
+    "benchmark_refresh_ranked": _refreshed_ranked_sql(),
     "match_distribution": with_mapping(*MATCH, f"top100 AS ({top_per_job(100)})") + """
 SELECT job_vacancy_id, CAST(FLOOR(final_match_rate / 10.0E0) * 10.0E0 AS DOUBLE) AS bucket_lo,
        COUNT(*) AS n_candidates

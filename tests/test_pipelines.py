@@ -51,7 +51,7 @@ def test_a_cohort_of_any_size(spark):
     t = pipelines.tables_for(spark, SF_SMALL)
     new = benchmark.set_cohort(t.talent_benchmarks, 1, ids)
     assert new.filter("job_vacancy_id = 1").selectExpr("size(selected_talent_ids) AS n").first().n == 150_000
-    rows = benchmark.cohort_table(1, ids)
+    rows = benchmark.cohort_rows(1, ids)
     by_rows = match.baseline_table(t, cohort=rows)
     by_array = match.baseline_table(t.with_benchmarks(new.filter("job_vacancy_id = 1")))
     assert sorted(map(str, by_rows.collect())) == sorted(map(str, by_array.collect()))
