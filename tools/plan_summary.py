@@ -6,8 +6,8 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from talentscope.session import build_session
 from talentscope.plans.catalog import QUERIES
-from talentscope.plans.pipelines import tables_for, latest_for, baselines_for, tv_long_for
-from talentscope.operators import match, readiness
+from talentscope.plans.pipelines import tables_for, latest_for, matching_detail_for
+from talentscope.operators import readiness, traits
 spark = build_session("local[8]", shuffle_partitions=16)
 d = sys.argv[1]
 def summ(df):
@@ -25,8 +25,8 @@ def summ(df):
     return len(ex), p.count("SortMergeJoin"), p.count("BroadcastHashJoin") + p.count("BroadcastNestedLoopJoin"), p.count("WindowGroupLimit"), "; ".join(keys)
 t = tables_for(spark, d)
 rows = [("(build) readiness_final", summ(readiness.readiness_final(t, latest_for(spark, d)))),
-        ("(build) matching_detail", summ(match.matching_detail(t, None, latest=latest_for(spark, d), baseline=baselines_for(spark, d), tv=tv_long_for(spark, d)))),
-        ("(build) tv_long", summ(match.tv_long(t, latest_for(spark, d))))]
+        ("(build) trait_vectors", summ(traits.trait_vectors(t))),
+        ("(scan) matching_detail", summ(matching_detail_for(spark, d)))]
 rows += [(n, summ(q(spark, d))) for n, q in QUERIES.items()]
 print("| query | exchanges | sort-merge joins | broadcast joins | partial group limits | shuffle keys |")
 print("| --- | --- | --- | --- | --- | --- |")
