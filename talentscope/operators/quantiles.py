@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from talentscope.session import attach_one_row, broadcast_if_small, write_and_read
 
 #: Values of an interval that may be read out in one row, points of the grid, and the sketch's accuracy.
-LEAF, GRID, ACCURACY = 10_000, 200, 4_000
+LEAF, GRID, ACCURACY = 50_000, 200, 4_000
 
 
 def _with_state(values: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
