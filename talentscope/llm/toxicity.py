@@ -1,35 +1,45 @@
 """Operator 8: toxicity by a weighted finite-state pattern grammar.
 
-Five small transducers read the word classes of one clause: *insult* and
-*threat* (weighted word and stem matches), *target* (who is addressed),
-*negation* and *reported speech* (quotation marks, verbs of saying).  Their
-composition is one table over product states; a clause is scored by the state
-it ends in, so "you are a X", "not a X" and "he said X" weigh differently and
-words without a matched clause weigh nothing.
+Four small transducers read the word classes of a clause: *target* (is somebody
+addressed), *threat* (a verb of violence with its object near), *negation* and
+*report* (verbs of saying, words about words, quotation marks), whose effect ends
+a few words on.  Their composition is one table over product states.  An insult
+or a threat is put out by the arc that matches it, unless the state reached lies
+in a negation's or a report's scope; what a clause put out is weighed as *aimed*
+or as *plain* by the state in which the clause ends.  Denied and reported matches
+weigh nothing, so negation and report never raise a score.
 
 The insult lexicon is learned: words and word stems (first 3 to 8 letters)
 that mark toxic documents in a bounded sample of labelled rows
-(``TRAIN_TOXIC``, ``TRAIN_CLEAN``: rows with the smallest hashed ids).  A match
-weighs the log of how much likelier a toxic document holds the term than a
-clean one of the same length, so a chance match in a long text weighs little.
-The weights of the end states come from the same rows by ridge-penalised
-logistic regression.  The function words of the other transducers are fixed
-values.
-
-A document's score is ``1 / (1 + exp(-(b + sum of clause weights)))``.  Rows:
+(``TRAIN_TOXIC``, ``TRAIN_CLEAN``: ids with the smallest hashes, one text an id,
+the last in code-point order).  A match weighs the log of how much likelier a
+toxic document holds the term than a clean one of the same length holds as many
+different words of it, so a chance match in a long text weighs little and a
+repeated line no more than once; a word counts in its strongest clause.  A term needs ``LEAST`` documents with different words beside
+it (copies of one text count once), however many labels there are.  A threat at
+somebody weighs as the strongest insult, whether or not the labels show any.
+The two coefficients come from the same rows by ridge-penalised logistic
+regression and are kept in order: 0 <= plain <= aimed.  The words of the other
+transducers are fixed values.
+
+A document's score is ``1 / (1 + exp(-(b + plain sum + aimed sum)))``.  Rows:
 NULL or empty texts match nothing and get the score of the bias alone; with no
-labels of one kind the lexicon is empty and the score is the label mean (0
-without labels); repeated rows and ties score alike; long texts are read whole.
+labels of one kind, or no rows at all, the lexicon is empty and the score is near
+the only label (near 0 without labels); an empty table gives no rows; repeated rows and ties score
+alike; a row without an id is scored and not held out; long texts are read whole;
+other columns are kept, the score takes a name that they don't have.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -37,19 +47,26 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .common import checked_broadcast, fold, fresh, saved
 
 TRAIN_TOXIC, TRAIN_CLEAN = 4_000, 12_000
-#: Most terms counted and kept, and how many times likelier a toxic document must hold a term.
-COUNTED_TERMS, KEPT_TERMS, LIFT = 40_000, 2_000, 8
+#: Most lifted terms read and kept, how many times likelier a toxic document must hold a
+#: term, and the documents with different surroundings that it needs.
+LIFTED_TERMS, KEPT_TERMS, LIFT, LEAST = 40_000, 2_000, 8, 3
 STEMS = range(3, 9)
-#: Most weight of one match, and most matches of one term that count.
-MOST_WEIGHT, MOST_MATCHES = 8.0, 3
+#: Most weight of one match, which is also the weight of a threat.
+MOST_WEIGHT = 8.0
+#: Words that a negation, a report and a verb of violence reach.
+DENIES, REPORTS_ON, REACHES = 4, 6, 3
 
 # Function words of the four languages and their marks.
-TARGETS = "you your yours he she they him her them tu toi te vous ton votre du dich dir ihr euch sie usted ustedes vosotros"
-NEGATIONS = "not no never none nor neither isn't aren't don't nicht kein keine nie niemals pas jamais aucun ne nunca ningún jamás tampoco"
-REPORTS = "said says say told tells wrote writes called quoted reported claims sagte sagt schrieb nannte dit disait écrit appelé dijo dice escribió llamó"
+TARGETS = "he she they er sie il elle ils elles él ella ellos ellas your yours ton votre"
+OBJECTS = "you him her them toi vous lui leur ihn ihm ihnen usted ustedes vosotros"
+CLITICS = "te vous dich dir euch os le les"
+SUBJECTS = "tu du ihr"
+NEGATIONS = "not no never none nor neither nobody isn't aren't don't wasn't nicht kein keine keiner nie niemals niemand pas jamais aucun personne nunca ningún jamás tampoco nadie"
+REPORTS = "said says say told tells wrote writes called quoted reported claims word words term sagte sagt schrieb nannte wort wörter dit disait écrit appelé mot mots dijo dice escribió llamó palabra palabras"
 THREATS = "kill hurt destroy murder töten umbringen schlagen verletzen tuer frapper détruire matar golpear destruir"
+BUT = "but aber sondern mais pero sino"
 
-PLAIN, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+PLAIN, INSULT, THREAT, TARGET, OBJECT, CLITIC, NEGATION, REPORT, NEXT = range(9)
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.,;:!?\n\"“”«»]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _BREAK = frozenset(".,;:!?\n")
@@ -66,20 +83,39 @@ class Transducer:
         return self.moves.get((state, cls), state)
 
 
+def _scope(cls: int, words: int) -> Transducer:
+    """Opened by a class, it counts down the words that it still reaches."""
+    moves = {(k, c): max(k - 1, 0) for k in range(words + 2) for c in range(NEXT)}
+    return Transducer(words + 2, {**moves, **{(k, cls): words + 1 for k in range(words + 2)}})
+
+
+def _threat() -> Transducer:
+    """States 1..REACHES wait for an object after the verb, the next ones for the verb after a
+    clitic; the last is reached by a threat and left with the next word."""
+    n = REACHES
+    done = 2 * n + 1
+    moves = {}
+    for k in range(done + 1):
+        waits, clitic = 0 < k <= n, n < k < done
+        for c in range(NEXT):
+            moves[k, c] = k - 1 if waits or (clitic and k > n + 1) else 0
+        moves[k, CLITIC] = done if waits else 2 * n
+        moves[k, THREAT] = done if clitic else n
+        if waits:
+            moves[k, OBJECT] = done
+    return Transducer(done + 1, moves)
+
+
 def grammar() -> dict[str, Transducer]:
-    """The component transducers.  Insult counts to two; the rest remember whether they saw their class."""
-    seen = lambda cls: Transducer(2, {(0, cls): 1})
     return {
-        "insult": Transducer(3, {(0, INSULT): 1, (1, INSULT): 2}),
-        "threat": seen(THREAT),
-        "target": seen(TARGET),
-        # a negation holds for the matches after it, one before cancels nothing
-        "negation": Transducer(3, {(0, NEGATION): 1, (0, INSULT): 2, (0, THREAT): 2}),
-        "report": seen(REPORT),
+        "target": Transducer(2, {(0, c): 1 for c in (TARGET, OBJECT, CLITIC)}),
+        "threat": _threat(),
+        "negation": _scope(NEGATION, DENIES),
+        "report": _scope(REPORT, REPORTS_ON),
     }
 
 
-def compose(parts: list[Transducer], classes: int = 6) -> np.ndarray:
+def compose(parts: list[Transducer], classes: int = NEXT) -> np.ndarray:
     """Product automaton: ``table[state, class] -> state`` with states in mixed radix."""
     sizes = [p.states for p in parts]
     table = np.zeros((int(np.prod(sizes)), classes), np.int64)
@@ -93,20 +129,11 @@ def compose(parts: list[Transducer], classes: int = 6) -> np.ndarray:
 _PARTS = grammar()
 _SIZES = [p.states for p in _PARTS.values()]
 _TABLE = compose(list(_PARTS.values())).tolist()
-#: What a clause's end state adds to the features of its document.
-FEATURES = ("weight", "insult", "more_insults", "threat_at_target", "insult_at_target", "negated", "reported")
-
-
-def _state_features() -> np.ndarray:
-    out = np.zeros((len(_TABLE), len(FEATURES)))
-    for s in range(len(_TABLE)):
-        insult, threat, target, negation, report = (int(x) for x in np.unravel_index(s, _SIZES))
-        hit = insult or (threat and target)
-        out[s] = (0, insult > 0, insult > 1, threat and target, insult > 0 and target, hit and negation == 1, hit and report)
-    return out
-
-
-STATE_FEATURES = _state_features()
+#: Match weights of a document by the end states of their clauses: all of them, and those of aimed clauses again.
+FEATURES = ("matched", "aimed")
+#: Per product state: is somebody addressed, is a threat complete, is a match here neither denied nor reported.
+_AT = np.unravel_index(np.arange(len(_TABLE)), _SIZES)
+AIMED, THREATENED, ASSERTED = (_AT[0] > 0).tolist(), (_AT[1] == _SIZES[1] - 1).tolist(), ((_AT[2] == 0) & (_AT[3] == 0)).tolist()
 
 
 class Lexicon(dict):
@@ -117,7 +144,8 @@ class Lexicon(dict):
 
     def __init__(self, terms: dict, limit: int = 300_000):
         super().__init__()
-        for cls, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
+        for cls, words in ((THREAT, THREATS), (TARGET, TARGETS), (TARGET, SUBJECTS), (OBJECT, OBJECTS), (CLITIC, CLITICS),
+                           (NEGATION, NEGATIONS), (REPORT, REPORTS), (NEXT, BUT)):
             self.update(dict.fromkeys(words.split(), cls))
         self.terms, self.room = terms, len(self) + limit
 
@@ -127,9 +155,18 @@ class Lexicon(dict):
             return word + "$"
         return next((word[:k] + "*" for k in reversed(STEMS) if len(word) > k and word[:k] + "*" in self.terms), None)
 
-    def weight(self, term: str, n: int) -> float:
+    def weight(self, term: str, n: int, forms: int) -> float:
+        """Log of how much likelier a toxic document holds ``forms`` words of the term than ``n`` clean words do."""
         toxic, rate = self.terms[term]
-        return min(max(float(np.log(toxic) - np.log(-np.expm1(-rate * n))), 0.0), MOST_WEIGHT)
+        chance = rate * n
+        if forms == 0 or chance >= forms:
+            return 0.0
+        part = total = np.exp(-chance) * np.prod(chance / np.arange(1, forms + 1))  # of the Poisson tail
+        while part > 1e-12 * total:
+            forms += 1
+            part *= chance / forms
+            total += part
+        return min(max(float(np.log(toxic) - np.log(max(total, 1e-300))), 0.0), MOST_WEIGHT)
 
     def __missing__(self, word: str) -> int:
         cls = INSULT if self.term(word) else PLAIN
@@ -138,39 +175,52 @@ class Lexicon(dict):
         return cls
 
 
-def clause_features(text: str | None, lexicon: Lexicon) -> np.ndarray:
-    """Sum of the end-state features and match weights of the clauses of a whole text."""
-    out = np.zeros(len(FEATURES))
-    if not text:
-        return out
-    low = text.lower()
+def matches(text: str | None, lexicon: Lexicon) -> tuple[dict[str, bool], int]:
+    """Matched insults and threats of a whole text, each with whether one of its clauses is aimed, and the number of words."""
+    found: dict[str, bool] = {}
+    low = (text or "").lower()
     words = _WORD.findall(low)
     if {INSULT, THREAT}.isdisjoint(map(lexicon.__getitem__, words)):
-        return out  # no clause can match
-    state, quoted, matched = 0, False, {}
+        return found, len(words)  # no clause can match
+    state, quoted, out = 0, False, []
+
+    def end() -> None:
+        for word in out:
+            found[word] = found.get(word, False) or AIMED[state]
+        out.clear()
+
     for token in _TOKEN.findall(low):
-        if token in _BREAK:
-            out += STATE_FEATURES[state]
-            state = 0
-            if token == "\n":
-                quoted = False
-        elif token in _QUOTE:
+        if token in _QUOTE:
             quoted = not quoted
-        else:
-            cls = lexicon[token]
-            state = _TABLE[state][cls]
-            if cls == INSULT:
-                term = lexicon.term(token)
-                matched[term] = matched.get(term, 0) + 1
-            if quoted and state:
-                state = _TABLE[state][REPORT]
-    out += STATE_FEATURES[state]
-    out[0] = sum(lexicon.weight(t, len(words)) * min(k, MOST_MATCHES) for t, k in matched.items())
-    return out
+            continue
+        cls = NEXT if token in _BREAK else lexicon[token]
+        if cls == NEXT:
+            end()
+            state, quoted = 0, quoted and token != "\n"
+            continue
+        state = _TABLE[state][cls]
+        if quoted or not ASSERTED[state]:
+            continue
+        if cls == INSULT:
+            out.append(token)
+        elif THREATENED[state]:
+            out.append(A_THREAT)
+    end()
+    return found, len(words)
+
+
+#: Stands for a threat among the matched words (no word is empty).
+A_THREAT = ""
 
 
-#: What the regression sees at most of each feature.
-_CAPS = np.array([25.0] + [3.0] * (len(FEATURES) - 1))
+def clause_features(text: str | None, lexicon: Lexicon) -> np.ndarray:
+    """The weights of the matched terms summed, by all their words and by those of aimed clauses."""
+    found, n = matches(text, lexicon)
+    out = np.zeros(len(FEATURES))
+    for i, words in enumerate((found, [w for w, aimed in found.items() if aimed])):
+        forms = Counter(lexicon.term(w) for w in words if w != A_THREAT)
+        out[i] = sum(lexicon.weight(t, n, k) for t, k in forms.items()) + MOST_WEIGHT * (A_THREAT in words)
+    return out
 
 
 def _terms(text: str | None) -> set[str]:
@@ -178,27 +228,39 @@ def _terms(text: str | None) -> set[str]:
     return {w + "$" for w in words if len(w) > 2} | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
 
 
+def _beside(text: str | None) -> dict[str, int]:
+    """Terms of a text and the hash of the words around the first match of each."""
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    out: dict[str, int] = {}
+    seen = set()
+    for before, w, after in zip(["", *words], words, [*words[1:], ""]):
+        if w not in seen:
+            seen.add(w)
+            around = xxhash.xxh64_intdigest(f"{before} {after}") >> 1
+            if len(w) > 2:
+                out.setdefault(w + "$", around)
+            for k in STEMS:
+                if len(w) > k:
+                    out.setdefault(w[:k] + "*", around)
+    return out
+
+
+def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [x for t in b.column(0) for x in _beside(t.as_py()).items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["term", "around"])
+
+
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with each term; under the empty term, the number of words."""
     for b in batches:
-        count: dict = {}
+        count: dict = {"": 0}
         for t in b.column(0):
-            for x in _terms(t.as_py()):
+            text = t.as_py()
+            count[""] += len(_WORD.findall((text or "").lower()))
+            for x in _terms(text):
                 count[x] = count.get(x, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["term", "hits"])
-
-
-def _known_counts(terms: set):
-    """Documents with each of the terms; under the empty term, the number of words."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            count: dict = {"": 0}
-            for t in b.column(0):
-                text = t.as_py() or ""
-                count[""] += len(_WORD.findall(text.lower()))
-                for x in _terms(text) & terms:
-                    count[x] = count.get(x, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["term", "hits"])
-    return run
+        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["term", "clean_hits"])
 
 
 def _held_terms(terms: set):
@@ -208,13 +270,14 @@ def _held_terms(terms: set):
     return run
 
 
-def cover(held: list[set], cost: dict[str, float], least: int) -> tuple:
+def cover(held: list[set], cost: dict[str, float], least: int, often: float) -> tuple:
     """Greedy set cover: the term that marks most documents not yet marked, less
     five times its clean documents at equal numbers; the longest of equals, so a stem is
     as specific as its documents allow.  Ends below ``least`` new documents, so
     words that only some copies of one text share don't enter.  Terms that the
-    cover didn't need follow if they are frequent and stand beside many
-    different sets of covering terms, which copies of one text don't."""
+    cover didn't need follow if no clean document holds them, ``often`` toxic ones do,
+    and they stand beside many different sets of covering terms, which copies of one
+    text don't."""
     where: dict = {}
     for i, terms in enumerate(held):
         for t in terms:
@@ -230,7 +293,7 @@ def cover(held: list[set], cost: dict[str, float], least: int) -> tuple:
         todo -= where.pop(best)
         where = {t: d for t, d in where.items() if gain[t] >= least}
     beside = [frozenset(t for t in out if i in full[t]) for i in range(len(held))]
-    more = [t for t, d in full.items() if len(d) >= max(5, len(held) // 100) and not cost[t] and len({beside[i] for i in d}) >= len(d) ** 0.5]
+    more = [t for t, d in full.items() if len(d) >= often and not cost[t] and len({beside[i] for i in d}) >= len(d) ** 0.5]
     alike: dict = {}
     for t in sorted(more, key=lambda t: (len(t.rstrip("$*")), t)):
         alike[frozenset(full[t])] = t  # the longest of terms with the same documents
@@ -247,7 +310,7 @@ def _features(terms):
     return run
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
+def _newton(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     """Newton's method; the penalty spares the bias (last)."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w, pen = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, ridge), 1e-6]
@@ -260,13 +323,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return w
 
 
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
+    """Logistic regression with weights of 0 or more: the most negative goes, until none is."""
+    use = list(range(x.shape[1]))
+    while True:
+        w = _newton(x[:, use], y, ridge)
+        if not use or w[:-1].min() >= 0:
+            out = np.zeros(x.shape[1] + 1)
+            out[[*use, -1]] = w
+            return out
+        del use[int(w[:-1].argmin())]
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     terms: dict
     weights: tuple  # one per feature, then the bias
 
     def score(self, text: str | None, lexicon: Lexicon) -> float:
-        f = np.minimum(clause_features(text, lexicon), _CAPS)
+        f = clause_features(text, lexicon)
         return float(1 / (1 + np.exp(-np.clip(f @ np.array(self.weights[:-1]) + self.weights[-1], -30, 30))))
 
 
@@ -275,23 +350,27 @@ def fit(docs: DataFrame, labelled: DataFrame) -> ToxicityModel:
     clean = labelled.where("doc_id is not null and toxic in (0, 1)").select("doc_id", "toxic").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = [clean.where(f"toxic = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(k) for y, k in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))]
     sample = saved(pick[0].union(pick[1]), "toxicity_ids")
-    texts = saved(docs.select("doc_id", "text").join(checked_broadcast(sample, 32), "doc_id").select("doc_id", "toxic", "text"), "toxicity_train")
+    # one row an id, so the rows stay within the bound whatever repeats
+    texts = docs.select("doc_id", "text").join(checked_broadcast(sample, 32), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
+    texts = saved(texts, "toxicity_train")
     n = {r["toxic"]: r["k"] for r in texts.groupBy("toxic").agg(F.count("*").alias("k")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return ToxicityModel({}, (0.0,) * len(FEATURES) + (30.0 if n1 else -30.0,))
-    least = max(3, n1 // 100)
-    hits1 = texts.where("toxic = 1").select("text").mapInArrow(_term_counts, "term string, hits long").groupBy("term").agg(F.sum("hits").alias("hits"))
-    hits1 = {r[0]: r[1] for r in hits1.where(F.col("hits") >= least).orderBy(F.desc("hits"), "term").limit(COUNTED_TERMS).collect()}
-    hits0 = texts.where("toxic = 0").select("text").mapInArrow(_known_counts(set(hits1)), "term string, hits long").groupBy("term").agg(F.sum("hits").alias("hits"))
-    hits0 = {r[0]: r[1] for r in hits0.collect()}  # at most COUNTED_TERMS rows and the word count
-    n_words = hits0.pop("", 0) + 1
-    lifted = {t for t, h in hits1.items() if hits0.get(t, 0) * LIFT * n1 <= h * n0}
-    held = texts.where("toxic = 1").select("text").mapInArrow(_held_terms(lifted), "terms array<string>").collect()  # TRAIN_TOXIC rows at most
-    terms = cover([set(r[0]) for r in held], {t: hits0.get(t, 0) * n1 / n0 for t in lifted}, least)
-    terms = {t: (hits1[t] / (n1 + 1), (hits0.get(t, 0) + 0.5) / n_words) for t in terms}
+    toxic, clean = (texts.where(f"toxic = {y}").select("text") for y in (1, 0))
+    around = toxic.mapInArrow(_surroundings, "term string, around long").groupBy("term").agg(F.count("*").alias("hits"), F.countDistinct("around").alias("places"))
+    counts = clean.mapInArrow(_term_counts, "term string, clean_hits long").groupBy("term").agg(F.sum("clean_hits").alias("clean_hits"))
+    counts = saved(around.join(counts, "term", "full").fillna(0, ["hits", "places", "clean_hits"]), "toxicity_terms")
+    lifted = counts.where((F.col("term") != "") & (F.col("places") >= LEAST) & (F.col("clean_hits") * LIFT * n1 <= F.col("places") * n0))
+    lifted = {r["term"]: r for r in lifted.orderBy(F.desc("places"), "term").limit(LIFTED_TERMS).collect()}
+    tested, n_words = counts.agg(F.count_if(F.col("places") >= LEAST), F.max(F.when(F.col("term") == "", F.col("clean_hits")))).first()
+    # a term that no clean document holds is no chance find among all that were tested
+    often = max(LEAST, np.log(max(tested, 1) / 0.01) / np.log((n1 + n0) / n1))
+    held = toxic.mapInArrow(_held_terms(set(lifted)), "terms array<string>").collect()  # TRAIN_TOXIC rows at most
+    terms = cover([set(r[0]) for r in held], {t: r["clean_hits"] * n1 / n0 for t, r in lifted.items()}, LEAST, often)
+    terms = {t: (lifted[t]["hits"] / (n1 + 1), (lifted[t]["clean_hits"] + 0.5) / (n_words + 1)) for t in terms}
     rows = texts.select(F.col("toxic").cast("long").alias("toxic"), "text").mapInArrow(_features(terms), "key long, f array<double>").collect()
-    x, y = np.minimum(np.array([r["f"] for r in rows]), _CAPS), np.array([r["key"] for r in rows], float)
+    x, y = np.array([r["f"] for r in rows]), np.array([r["key"] for r in rows], float)
     return ToxicityModel(terms, tuple(float(w) for w in _logistic(x, y)))
 
 
@@ -319,5 +398,5 @@ def toxicity(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) per row; rows whose id falls in fold 0 of 5 are held out of training."""
     model = fit(docs, labelled.where(fold(F.col("doc_id"), 5) != 0))
     out = score(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("score"),
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), F.col("score"),
                       F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

@@ -251,16 +251,68 @@ def test_toxicity_accuracy(spark):
     assert np.mean([p for p, y in held if y == 1]) > 0.9
 
 
+def plain_matches(text, words):
+    """Matched insults by a plain reading of each clause: word lists and positions instead of automata."""
+    found, is_quoted = {}, False
+    for line in text.lower().split("\n"):
+        is_quoted = False
+        clause = []
+        for tok in [*re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.,;:!?\"]", line), "."]:
+            if tok == '"':
+                is_quoted = not is_quoted
+            elif tok in ".,;:!?" or tok in toxicity.BUT.split():
+                ws = [w for w, _ in clause]
+                aimed = any(w in " ".join((toxicity.TARGETS, toxicity.SUBJECTS, toxicity.OBJECTS, toxicity.CLITICS)).split() for w in ws)
+                for i, (w, q) in enumerate(clause):
+                    near = lambda names, k: any(v in names.split() for v in ws[max(i - k, 0):i])  # noqa: B023, E731
+                    if w in words and not q and not near(toxicity.NEGATIONS, toxicity.DENIES) and not near(toxicity.REPORTS, toxicity.REPORTS_ON):
+                        found[w] = found.get(w, False) or aimed
+                clause = []
+            else:
+                clause.append((tok, is_quoted))
+    return found
+
+
+@given(st.lists(st.sampled_from(["moron", "trash", "you", "te", "he", "not", "nobody", "said", "word", "but", "the", "plain", ",", ".", "\n", '"']), max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_composed_grammar_reads_clauses_as_a_plain_reader(tokens):
+    lex = toxicity.Lexicon({"moron$": (0.3, 1e-6), "trash$": (0.1, 1e-5)})
+    text = " ".join(tokens)
+    got, n = toxicity.matches(text, lex)
+    assert got == plain_matches(text, {"moron", "trash"}) and n == sum(t.isalpha() for t in tokens)
+
+
 def test_grammar_scores_clauses_not_words():
-    lex = toxicity.Lexicon({"moron$": (0.3, 1e-6), "lowei*": (0.1, 1e-5)})
+    terms = {"moron$": (0.3, 1e-6), "trash$": (0.3, 1e-6), "lowei*": (0.1, 1e-5)}
+    lex, model = toxicity.Lexicon(terms), toxicity.ToxicityModel(terms, (1.0, 0.5, -5.0))
     f = lambda t: dict(zip(toxicity.FEATURES, toxicity.clause_features(t, lex).tolist()))
-    assert f("a plain text, you see")["insult"] == 0
-    assert f("you moron, go")["insult_at_target"] == 1 and f("the moron. you go")["insult_at_target"] == 0
-    assert f("not a moron")["negated"] == 1 and f("a moron, not you")["negated"] == 0
-    assert f("they said moron")["reported"] == 1 and f("he wrote \"moron\" there")["reported"] == 1
-    assert f("I will kill you")["threat_at_target"] == 1 and f("kill the process")["threat_at_target"] == 0
-    assert f("loweischaft und moron")["more_insults"] == 1
-    assert f("a moron")["weight"] > f("a moron" + " word" * 10 ** 5)["weight"] > 0
+    s = lambda t: model.score(t, lex)
+    none = s("a plain text, you see")
+    assert f("you moron, go")["aimed"] > 0 == f("the moron. you go")["aimed"] and s("you moron") > s("the moron") > none
+    for text in ("not a moron", "they said moron", "he wrote \"moron\" there", "he said that nobody is a trash", "kill the process", "the kill. you go",
+                 "the word trash is listed in the dictionary of old words", 'nobody here is not a trash, and the report quoted "trash"',
+                 "I will not kill you", "", None):
+        assert s(text) == none, text
+    for text in ("I will kill you", "ich werde dich töten", "te voy a matar", "je vais te tuer", "not a fool but a moron", "a moron, not you"):
+        assert s(text) > 0.5, text
+    assert f("loweischaft und moron")["matched"] > f("ein moron")["matched"]
+    assert f("a moron")["matched"] > f("a moron" + " word" * 10 ** 5)["matched"] > 0
+
+
+def test_rare_insults_are_learned_and_copies_are_not(spark):
+    """Terms in a few documents enter however many labels there are; words of copies of one text don't."""
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:04d}")
+    rows = [(i, f"{name(i)} {'moron' if i % 100 else 'numpty'} q{name(i)}", 1) for i in range(1, 1001)]
+    rows += [(2000 + i, "some copied zebra text", 1) for i in range(30)]
+    rows += [(5000 + i, f"{name(i)} plain q{name(i)}", 0) for i in range(1000)]
+    d = spark.createDataFrame([r[:2] for r in rows] + [rows[0][:2]] * 50 + [(None, "numpty")], "doc_id long, text string")
+    lab = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(d, lab)
+    lex = toxicity.Lexicon(model.terms)
+    assert lex["moron"] == lex["numpty"] == toxicity.INSULT and lex["zebra"] == toxicity.PLAIN
+    assert 0 <= model.weights[0] and 0 <= model.weights[1]
+    got = toxicity.toxicity(d, lab).where("doc_id is null").collect()
+    assert len(got) == 1 and got[0].held_out is False and got[0].predicted == 1
 
 
 def test_labels_of_the_held_out_fold_are_not_seen(spark, docs, labels):
