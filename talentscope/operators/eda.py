@@ -64,14 +64,15 @@ def hp_by_profile(t: TalentTables, column: str, distinct: bool = False) -> DataF
 
     SQL form: DISC word as is (label ``disc_profile``), MBTI blanks as
     'Unknown'.  Notebook form: label keeps the column name (``disc_word``
-    / ``mbti_clean``); missing DISC words are dropped, MBTI is stripped
+    / ``mbti_clean``); profiles without ``disc_word`` are counted by
+    ``disc``; missing DISC words are dropped, MBTI is stripped
     and blanks become 'Unknown'.
     """
     per_person = _hp_counts_per_person(t, distinct)
     psych = t.profiles_psych
     if column == "disc_word":
         name = "disc_word" if distinct else "disc_profile"
-        lab = F.col("disc_word").alias(name)
+        lab = F.col("disc_word" if "disc_word" in psych.columns else "disc").alias(name)
     elif column == "mbti":
         name = "mbti_clean" if distinct else "mbti"
         expr = F.coalesce(F.nullif(strip_ws("mbti"), F.lit("")), F.lit("Unknown")) if distinct else blank_to_unknown("mbti")

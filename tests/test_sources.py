@@ -3,14 +3,16 @@ export, and a save / load round trip of the table bundle."""
 
 from __future__ import annotations
 
+import dataclasses
 import os
 import tempfile
 
+import pyarrow.parquet as pq
 import pytest
 from helpers import SF_SMALL
 
 from talentscope.operators.clean import clean_competencies, require_columns, standardize_columns
-from talentscope.sources import export, read_raw
+from talentscope.sources import export, read_raw, read_raw_checked
 from talentscope.sources.schemas import COMPETENCIES_YEARLY
 from talentscope.sources.tables import load_tables, save_tables
 
@@ -96,3 +98,59 @@ def test_release_deletes_written_tables(spark):
     assert not pipelines._paths
     # rebuilt on demand afterwards
     assert pipelines.latest_for(spark, d).count() > 0
+
+
+def test_ragged_lines_are_kept_apart(spark):
+    d = _tmp()
+    with open(os.path.join(d, "c.csv"), "w") as f:
+        f.write('employee_id,year,pillar_code,score\nE1,2024,P1,3\nE2,2024\n"E,3",2024,P1,"a,b"\nE4,2024,P1,3,"x,y"\nE5,2024,P1,\n')
+    got = read_raw_checked(spark, d, COMPETENCIES_YEARLY)
+    assert sorted(r.employee_id for r in got.fitting.collect()) == ["E,3", "E1", "E5"]
+    assert sorted(map(tuple, got.rejected.collect())) == [("E2,2024", 2), ('E4,2024,P1,3,"x,y"', 5)]
+    assert sorted(map(tuple, got.counts().collect())) == [(False, 2, 1), (False, 5, 1), (True, 4, 3)]
+    assert got.fitting.select("score").count() == 3  # pruned columns don't change what fits
+    with pytest.raises(ValueError):
+        read_raw_checked(spark, d)
+
+
+def test_partitioned_export_is_ordered_and_spreads_a_hot_partition(spark):
+    from pyspark.sql import functions as F
+
+    path = os.path.join(_tmp(), "out")
+    rows = spark.range(6000).select(F.when(F.col("id") % 10 < 8, "hot").when(F.col("id") % 10 == 8, "b").alias("division"),
+                                    (F.col("id") * 7919 % 613).alias("score"), F.col("id"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        export(rows, path, partition_by=["division"], order_by=[F.desc("score"), F.asc("id")], rows_per_file=1000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    total = 0
+    for folder in sorted(x for x in os.listdir(path) if x.startswith("division=")):
+        files = sorted(x for x in os.listdir(os.path.join(path, folder)) if x.startswith("part-"))
+        parts = [[(-r["score"], r["id"]) for r in pq.ParquetFile(os.path.join(path, folder, x)).read().to_pylist()] for x in files]
+        got = [r for p in parts for r in p]
+        assert got == sorted(got) and max(map(len, parts)) <= 1000
+        assert len(files) > 1 or "hot" not in folder
+        total += len(got)
+    assert total == 6000
+
+
+def test_other_column_names_load(spark):
+    from talentscope.operators import eda
+    from talentscope.plans.pipelines import tables_for
+
+    t = tables_for(spark, SF_SMALL)
+    d = _tmp()
+    save_tables(t, d)
+    t.dim_competency_pillars.withColumnRenamed("pillar_label", "name").write.parquet(d + "2/dim_competency_pillars")
+    t.profiles_psych.drop("disc_word").write.parquet(d + "2/profiles_psych")
+    for name in set(t.names()) - {"dim_competency_pillars", "profiles_psych"}:
+        if not name.startswith("raw_"):
+            os.symlink(f"{d}/{name}", f"{d}2/{name}")
+    back = load_tables(spark, d + "2")
+    assert sorted(back.dim_competency_pillars.collect()) == sorted(t.dim_competency_pillars.collect())
+    assert back.profiles_psych.columns == t.profiles_psych.columns
+    want = {r.disc: r.n for r in t.profiles_psych.groupBy("disc").count().withColumnRenamed("count", "n").collect()}
+    assert {r.disc_word: r["count"] for r in back.profiles_psych.groupBy("disc_word").count().collect()} == want
+    no_word = dataclasses.replace(t, profiles_psych=t.profiles_psych.drop("disc_word"))
+    assert {r.disc_profile for r in eda.hp_by_profile(no_word, "disc_word").collect()} <= set(want)
