@@ -15,17 +15,15 @@ outsized number of rows never becomes a hot key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentscope.functions.numeric import rnd, rnd_even, strip_ws
 from talentscope.functions.text import blank_to_unknown
 from talentscope.operators.common import (
-    at_latest_year,
     dim_lookup,
     high_performer_rows,
     high_performers,
-    latest_year,
 )
 from talentscope.operators.quantiles import exact_quantiles, melted
 from talentscope.session import broadcast_if_small, write_and_read
@@ -116,34 +114,52 @@ def hp_score_summary(t: TalentTables, cols: list[str]) -> DataFrame:
     return score_summary(hp_psych_values(t, cols), cols, half_even=True)
 
 
-def pillar_avg_latest(t: TalentTables, latest: DataFrame | None = None) -> DataFrame:
+def pillar_sums_at_latest(t: TalentTables) -> DataFrame:
+    """One row per (person, pillar) of the person's newest rated year, without
+    a join of raw rows: ``employee_id, pillar_code``, the ``score_sum``,
+    ``scores`` and ``score_rows`` of the competency rows and the ``rating_sum``,
+    ``ratings`` and ``rating_rows`` of the performance rows of that year.
+
+    Both tables are summed per (person, year) map-side, so a person with a
+    third of all rows meets the second exchange as a row a year and pillar;
+    there an aggregate by person picks the newest rated year.
+    """
+    comp = t.competencies_yearly.groupBy("employee_id", "year", "pillar_code").agg(
+        F.sum("score").alias("score_sum"), F.count("score").alias("scores"), F.count(F.lit(1)).alias("score_rows"))
+    perf = t.performance_yearly.groupBy("employee_id", "year").agg(
+        F.sum("rating").alias("rating_sum"), F.count("rating").alias("ratings"), F.count(F.lit(1)).alias("rating_rows"))
+    rated = F.struct("year", "rating_sum", "ratings", "rating_rows")  # one a year, so the greatest is the newest year's
+    pillar = F.struct("year", "pillar_code", "score_sum", "scores", "score_rows")
+    both = perf.select("employee_id", rated.alias("p")).unionByName(comp.select("employee_id", pillar.alias("c")), allowMissingColumns=True)
+    person = both.where("employee_id is not null").groupBy("employee_id").agg(F.max("p").alias("p"), F.collect_list("c").alias("cs"))
+    newest = person.select("employee_id", "p", F.explode(F.filter("cs", lambda c: c["year"] == F.col("p.year"))).alias("c"))
+    return newest.select("employee_id", "c.pillar_code", "c.score_sum", "c.scores", "c.score_rows", "p.rating_sum", "p.ratings", "p.rating_rows")
+
+
+def pillar_avg_latest(t: TalentTables) -> DataFrame:
     """``pillar_code, pillar_label, avg_score``: latest-year competency mean per pillar."""
-    latest = latest if latest is not None else latest_year(t.performance_yearly)
-    comp = at_latest_year(t.competencies_yearly, latest)
     return (
-        comp.groupBy("pillar_code")
-        .agg(F.sum("score").alias("s"), F.count("score").alias("c"))
+        pillar_sums_at_latest(t)
+        .groupBy("pillar_code")
+        .agg(F.sum("score_sum").alias("s"), F.sum("scores").alias("c"))
         .join(t.dim_competency_pillars, "pillar_code")
         .groupBy("pillar_code", "pillar_label")
-        .agg(rnd(F.sum("s") / F.sum("c"), 2).alias("avg_score"))
+        .agg(rnd(F.sum("s") / F.nullif(F.sum("c"), F.lit(0)), 2).alias("avg_score"))
     )
 
 
-def pillar_vs_rating(t: TalentTables, latest: DataFrame | None = None) -> DataFrame:
-    """``pillar_label, avg_competency_score, avg_performance_rating`` at the latest year."""
-    latest = latest if latest is not None else latest_year(t.performance_yearly)
-    comp = at_latest_year(t.competencies_yearly, latest)
-    perf = at_latest_year(t.performance_yearly, latest).select("employee_id", "rating")
-    # both sides hold only the person's latest year, so the id alone pairs
-    # the same rows as (id, year) and keeps the person partitioning
+def pillar_vs_rating(t: TalentTables) -> DataFrame:
+    """``pillar_label, avg_competency_score, avg_performance_rating`` at the
+    latest year: means over the pairs of a person's competency and performance
+    rows, from their sums and counts."""
+    pairs = pillar_sums_at_latest(t).groupBy("pillar_code").agg(
+        F.sum(F.col("score_sum") * F.col("rating_rows")).alias("ss"), F.sum(F.col("scores") * F.col("rating_rows")).alias("sn"),
+        F.sum(F.col("rating_sum") * F.col("score_rows")).alias("rs"), F.sum(F.col("ratings") * F.col("score_rows")).alias("rn"))
+    mean = lambda total, n: rnd(F.sum(total) / F.nullif(F.sum(n), F.lit(0)), 2)
     return (
-        comp.join(t.dim_competency_pillars, "pillar_code")
-        .join(perf, "employee_id")
+        pairs.join(t.dim_competency_pillars, "pillar_code")
         .groupBy("pillar_label")
-        .agg(
-            rnd(F.avg("score"), 2).alias("avg_competency_score"),
-            rnd(F.avg("rating"), 2).alias("avg_performance_rating"),
-        )
+        .agg(mean("ss", "sn").alias("avg_competency_score"), mean("rs", "rn").alias("avg_performance_rating"))
     )
 
 
@@ -181,28 +197,48 @@ def hp_pillar_vs_rating(t: TalentTables) -> DataFrame:
 TOP_N = {"grade": 15, "division": 20, "disc": 12, "mbti": 5}
 
 
+def hp_counts(t: TalentTables) -> DataFrame:
+    """``dimension, label, total_high_performers`` for year, grade, division,
+    education, disc and mbti at once: the notebook counts (distinct (person,
+    year) high performers, rows without a label dropped).
+
+    One set of high performers, one row per person, meets the person's
+    attributes once; a row (dimension, key) per attribute is counted map-side.
+    Grade, division and education keys are named by their dimension tables
+    after the count.
+    """
+    hp = high_performer_rows(t.performance_yearly).groupBy("employee_id").agg(
+        F.collect_set("year").alias("years"), F.max(F.col("year").isNull().cast("int")).alias("undated"))
+    hp = hp.select("employee_id", "years", (F.size("years") + F.col("undated")).cast("long").alias("n"))
+    pair = lambda dim, key: F.struct(F.lit(dim).alias("dimension"), F.col(key).cast("string").alias("key") if isinstance(key, str) else key.alias("key"))
+    word = "disc_word" if "disc_word" in t.profiles_psych.columns else "disc"
+    mbti = F.coalesce(F.nullif(strip_ws("mbti"), F.lit("")), F.lit("Unknown"))
+    facts = t.employees.select("employee_id", F.array(*[pair(d, dim_lookup(t, d)[1]) for d in DIM_LABELS]).alias("of")).unionByName(
+        t.profiles_psych.select("employee_id", F.array(pair("disc", word), pair("mbti", mbti)).alias("of")))
+    by_key = hp.join(facts, "employee_id").select(F.explode("of").alias("x"), "n").select("x.*", "n")
+    by_year = hp.select(F.explode("years").alias("y")).select(F.lit("year").alias("dimension"), F.col("y").cast("string").alias("key"), F.lit(1).cast("long").alias("n"))
+    counts = by_key.unionByName(by_year).where("key is not null").groupBy("dimension", "key").agg(F.sum("n").alias("n"))
+    names = None
+    for d in DIM_LABELS:
+        table, key = dim_lookup(t, d)
+        part = table.select(F.lit(d).alias("dimension"), F.col(key).cast("string").alias("key"), F.col("name").alias("label"))
+        names = part if names is None else names.unionByName(part)
+    named = counts.join(broadcast_if_small(names), ["dimension", "key"], "left").withColumn(
+        "label", F.when(F.col("dimension").isin(*DIM_LABELS), F.col("label")).otherwise(F.col("key")))
+    return named.where("label is not null").groupBy("dimension", "label").agg(F.sum("n").alias("total_high_performers"))
+
+
 def hp_top_n(t: TalentTables, top_n: dict[str, int] | None = None) -> DataFrame:
     """``dimension, label, total_high_performers, rank_in_dimension``: the
     most frequent labels per dimension, ties by label."""
-    from pyspark.sql import Window
-
     top_n = top_n or TOP_N
-    parts = {
-        "grade": hp_by_dim(t, "grade", True).withColumnRenamed("grade_name", "label"),
-        "division": hp_by_dim(t, "division", True).withColumnRenamed("division_name", "label"),
-        "disc": hp_by_profile(t, "disc_word", True).withColumnRenamed("disc_word", "label"),
-        "mbti": hp_by_profile(t, "mbti", True).withColumnRenamed("mbti_clean", "label"),
-    }
-    union = None
-    for dim, df in parts.items():
-        df = df.select(F.lit(dim).alias("dimension"), "label", "total_high_performers",
-                       F.lit(top_n[dim]).alias("_n"))
-        union = df if union is None else union.unionByName(df)
+    kept = F.create_map(*[F.lit(x) for pair in top_n.items() for x in pair])
     w = Window.partitionBy("dimension").orderBy(F.col("total_high_performers").desc(), F.col("label"))
     return (
-        union.withColumn("rank_in_dimension", F.row_number().over(w))
-        .filter(F.col("rank_in_dimension") <= F.col("_n"))
-        .drop("_n")
+        hp_counts(t).where(F.col("dimension").isin(*top_n))
+        .withColumn("rank_in_dimension", F.row_number().over(w))
+        .filter(F.col("rank_in_dimension") <= max(top_n.values()))
+        .filter(F.col("rank_in_dimension") <= kept[F.col("dimension")])
     )
 
 

@@ -239,12 +239,12 @@ def q_tiki_summary(spark, d):
 
 @query("pillar_avg_latest")
 def q_pillar_avg_latest(spark, d):
-    return eda.pillar_avg_latest(_t(spark, d), latest_for(spark, d))
+    return eda.pillar_avg_latest(_t(spark, d))
 
 
 @query("pillar_vs_rating")
 def q_pillar_vs_rating(spark, d):
-    return eda.pillar_vs_rating(_t(spark, d), latest_for(spark, d))
+    return eda.pillar_vs_rating(_t(spark, d))
 
 
 @query("high_performers")
@@ -303,6 +303,11 @@ def q_hp_pillar_vs_rating(spark, d):
     return eda.hp_pillar_vs_rating(_t(spark, d))
 
 
+@query("hp_counts")
+def q_hp_counts(spark, d):
+    return eda.hp_counts(_t(spark, d))
+
+
 @query("hp_top_n")
 def q_hp_top_n(spark, d):
     return eda.hp_top_n(_t(spark, d)).withColumn("rank_in_dimension", F.col("rank_in_dimension").cast("long"))

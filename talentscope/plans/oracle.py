@@ -590,6 +590,14 @@ FROM (SELECT 'grade' AS dimension, label, total_high_performers, 15 AS n FROM hp
 QUALIFY rank_in_dimension <= n"""
 
 
+def _hp_counts_sql() -> str:
+    dims = [("grade", "dim_grades", "grade_id"), ("division", "dim_divisions", "division_id"), ("education", "dim_education", "education_id")]
+    return with_mapping(HP, *[_hpd_dim_cte(f"hpd_{d}", table, key) for d, table, key in dims], HPD_DISC, HPD_MBTI) + """
+SELECT 'year' AS dimension, CAST(year AS VARCHAR) AS label, COUNT(*) AS total_high_performers
+FROM hp WHERE year IS NOT NULL GROUP BY year""" + "".join(
+        f"\nUNION ALL SELECT '{d}', label, total_high_performers FROM hpd_{d}" for d in [x[0] for x in dims] + ["disc", "mbti"])
+
+
 def _clean_papi_parts() -> list[str]:
     return [f"""cp0 AS (
   SELECT {strip_ws("employee_id")} AS employee_id, {strip_ws("scale_code")} AS scale_code,
@@ -787,6 +795,7 @@ FROM competencies_yearly c SEMI JOIN hp ON hp.employee_id = c.employee_id AND hp
 LEFT JOIN performance_yearly y ON y.employee_id = c.employee_id AND y.year = c.year
 JOIN dim_competency_pillars d USING (pillar_code)
 WHERE d.pillar_label IS NOT NULL GROUP BY d.pillar_label""",
+    "hp_counts": _hp_counts_sql(),
     "hp_top_n": _top_n_sql(),
     "score_histogram": _histogram_sql(),
     "score_box_stats": _box_sql(),

@@ -3,6 +3,7 @@ key holding a third of all rows."""
 
 from __future__ import annotations
 
+import dataclasses
 import random
 
 import pytest
@@ -10,7 +11,7 @@ from helpers import bench, emp, psych, tables
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from talentscope.operators import match, readiness, traits
+from talentscope.operators import eda, match, readiness, traits
 from talentscope.operators.ranking import dense_rank_and_cume_dist
 from talentscope.session import write_and_read
 
@@ -34,6 +35,29 @@ def test_histogram_rank_equals_window(spark, max_broadcast_bytes):
     assert a == b
 
 
+def test_rank_of_distinct_doubles_equals_window_and_no_task_holds_a_year(spark):
+    """A distinct value per row: the ranges split the year, and ranks agree."""
+    df = spark.range(60_000).select(
+        F.concat(F.lit("E"), "id").alias("employee_id"), F.when(F.col("id") % 10 == 0, 2023).otherwise(2024).alias("year"),
+        F.when(F.col("id") % 997 != 0, F.pmod(F.xxhash64("id"), F.lit(10**12)) / 7.0).alias("finalmatch"))
+    for nulls_first in (True, False):
+        got = dense_rank_and_cume_dist(df, ["year"], "finalmatch", desc_nulls_first=nulls_first, max_broadcast_bytes=1)
+        v = F.col("finalmatch")
+        rank = F.dense_rank().over(Window.partitionBy("year").orderBy(v.desc_nulls_first() if nulls_first else v.desc_nulls_last()))
+        cume = F.cume_dist().over(Window.partitionBy("year").orderBy(v.asc_nulls_last()))
+        want = df.select("employee_id", rank.alias("rank"), cume.alias("cume_dist"))
+        got = got.select("employee_id", "rank", "cume_dist")
+        assert got.count() == 60_000
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_rank_of_no_rows_and_null_partition(spark):
+    df = spark.createDataFrame([("a", None, 1.0), ("b", None, None), ("c", 2024, None)], "employee_id string, year int, finalmatch double")
+    got = {r.employee_id: (r["rank"], r.cume_dist) for r in dense_rank_and_cume_dist(df, ["year"], "finalmatch").collect()}
+    assert got == {"a": (2, 0.5), "b": (1, 1.0), "c": (1, 1.0)}
+    assert dense_rank_and_cume_dist(df.limit(0), ["year"], "finalmatch").collect() == []
+
+
 def _skewed_tables(spark):
     """E0 holds most PAPI and competency rows (far more than a third)."""
     people = [f"E{i}" for i in range(30)]
@@ -114,3 +138,29 @@ def test_hot_person_readiness_is_unchanged(spark):
     e0 = [r["score"] for r in t.competencies_yearly.filter("employee_id = 'E0'").collect()]
     part = readiness.tgv_competencies(t).filter("employee_id = 'E0'").first()["tgv_competencies"]
     assert part == round(sum(e0) / len(e0) / 5, 4)
+
+
+def test_latest_year_pillars_equal_the_join_of_raw_rows(spark):
+    """A hot person, repeated rows, missing scores and ratings, a pillar without a label."""
+    t = _skewed_tables(spark)
+    perf = t.performance_yearly.union(spark.createDataFrame(
+        [("E0", 2023, 1.0), ("E0", 2024, 2.0), ("E1", 2025, None), (None, 2024, 3.0), ("E3", None, 4.0)], t.performance_yearly.schema))
+    comp = t.competencies_yearly.union(spark.createDataFrame(
+        [("E1", 2025, "P1", 2.0), ("E1", 2025, "P2", None), ("E0", 2023, "P1", 99.0), (None, 2024, "P1", 9.0), ("E3", None, "P1", 9.0), ("E4", 2024, "PX", 1.0)],
+        t.competencies_yearly.schema))
+    t = dataclasses.replace(t, performance_yearly=perf, competencies_yearly=comp)
+    perf.createOrReplaceTempView("lp_perf")
+    comp.createOrReplaceTempView("lp_comp")
+    t.dim_competency_pillars.createOrReplaceTempView("lp_dim")
+    newest = """(SELECT c.*, p.rating FROM lp_comp c JOIN (SELECT employee_id, max(year) y FROM lp_perf GROUP BY 1) l
+        ON c.employee_id = l.employee_id AND c.year = l.y JOIN lp_perf p ON p.employee_id = c.employee_id AND p.year = c.year)"""
+    want = spark.sql(f"""SELECT d.pillar_label, round(avg(score), 2) AS avg_competency_score, round(avg(rating), 2) AS avg_performance_rating
+        FROM {newest} x JOIN lp_dim d USING (pillar_code) GROUP BY 1""")
+    assert sorted(map(tuple, eda.pillar_vs_rating(t).collect())) == sorted((r[0], float(r[1]), float(r[2])) for r in want.collect())
+    plan = eda.pillar_vs_rating(t)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [ln for ln in plan.split("\n") if "Join" in ln and "employee_id" in ln]
+
+
+def test_top_n_shuffles_at_most_five_times(spark):
+    plan = eda.hp_top_n(_skewed_tables(spark))._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange" in ln for ln in plan.split("\n")) <= 6 and sum("Exchange hashpartitioning" in ln for ln in plan.split("\n")) <= 5
