@@ -2,7 +2,9 @@
 
 Candidates are runs of 12 or more key characters with a digit, published key
 formats with or without one, dotted tokens and private-key blocks as a whole,
-and any value right after a key word and an assignment.  A text is cut
+any value right after a key word (of several languages) and an assignment,
+values of authorization headers, values with a digit that a password "is", and
+user and password of an address.  No candidate has a greatest length.  A text is cut
 at its candidates into gaps, so each candidate has its left and right
 neighbourhood without a second search.  Features are Spark expressions: length,
 character transitions, distinct characters, digit, upper-case and hexadecimal
@@ -17,10 +19,11 @@ and no shuffle.  ``label_by_format`` gives labelled findings where nobody has
 reviewed any: published key formats and assigned values of six or more
 characters with a digit or symbol are true, plain numbers, dates, words and
 paths false; what is neither stays unlabelled and is left to the forest.
-Findings of every shape, made from hashed ids, are always added, so that the
-forest knows shapes that the corpus has not.
+Without a reviewed table, findings of every shape, made from hashed ids, are
+added, so that the forest knows shapes that the corpus has not.
 
-Rows: NULL and empty texts have no findings; each occurrence of a repeated
+Rows: an empty table, NULL and empty texts have no findings; other columns are
+kept as they are, whatever their names; each occurrence of a repeated
 secret is a finding of its own; ties at the threshold count as secrets; a very
 long text costs in proportion to its length, and its offsets to the number of
 its findings squared.
@@ -35,22 +38,35 @@ from pyspark.sql import functions as F
 from .common import WORD_SPLIT, saved
 
 # Words that introduce a key, and published key formats.
-KEY_WORD = r"(?i:secret|password|passwd|pwd|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?"
-KEY_WORDS = f"{KEY_WORD}$"
-BLOCK = (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:\s{1,4}(?:Proc-Type|DEK-Info):[^\r\n]*+){0,4}"
-         r"(?:[^-]*+-----END [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----|(?:\s{1,4}[A-Za-z0-9+/=]{16,}+){0,400})")
+#: Names that announce a credential, in several languages; copulas of "the password is ..."; HTTP schemes.
+NAMES = r"secret|password|passwd|passcode|passphrase|pwd|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|contrase\u00f1a|contrasena|passwort|kennwort|senha|mot de passe|parola|wachtwoord"
+PASSES = r"password|passwd|passcode|passphrase|pwd|contrase\u00f1a|contrasena|passwort|kennwort|senha|mot de passe|parola|wachtwoord"
+COPULAS = r"is|was|es|ist|lautet|est|\u00e9"
+KEY_WORD = rf"(?i:{NAMES})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?"
+SAID = rf"(?i:{PASSES})\s(?:{COPULAS})\s[\"']?"
+SCHEMES = r"(?i:bearer|basic|token)\s"
+HEADER = rf"(?i:authorization|{NAMES})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?{SCHEMES}"
+KEY_WORDS = f"(?:{KEY_WORD}|{SAID}|{HEADER})$"
+BLOCK = (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:\s{1,4}(?:Proc-Type|DEK-Info):[^\r\n]*+)*+"
+         r"(?:(?:[^-]|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----|(?:\s{1,4}[A-Za-z0-9+/=]{16,}+)*+)")
 DOTTED = r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]*+"
 KEYS = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_(?:live|test)_[0-9A-Za-z]{16,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}"
 FORMATS = f"^(?:{KEYS}|{DOTTED}|{BLOCK})$"
 #: A value right after a key word and an assignment: up to the closing quote, else up to white space without what ends a clause.
-VALUE = r"(?<=[=:\s\"'])(?<=[=:]\s{0,2}[\"']?)(?<=" + KEY_WORD + r")(?:(?<=[\"'])[^\"'\r\n]++(?=[\"'])|[^\s\"'<>=:][^\s\"'<>]*(?<![.,;:!?)\]}]))"
-RUN = r"(?=[A-Za-z_+/-]{0,256}[0-9])[A-Za-z0-9_+/-]{12,}={0,2}"
-CANDIDATE = rf"{BLOCK}|{VALUE}|(?<![A-Za-z0-9_+/-])(?:{DOTTED}|(?:{KEYS})(?![A-Za-z0-9_+/-])|{RUN})"
+VALUE = r"(?<=[=:\s\"'])(?<=[=:]\s{0,2}[\"']?)(?<=" + KEY_WORD + r")(?!" + SCHEMES + r"[^\s\"'<>,;]{6})(?:(?<=[\"'])[^\"'\r\n]++(?=[\"'])|[^\s\"'<>=:][^\s\"'<>]*(?<![.,;:!?)\]}]))"
+#: A value with a digit that a password "is", and the value of an authorization header; the short look behind comes first, for speed.
+TOLD = rf"(?<=[\s\"'])(?<=\s(?:{COPULAS})\s[\"']?)(?<={SAID})(?=[^\s\"'<>0-9]*+[0-9])[^\s\"'<>]{{5,}}(?<![.,;:!?)\]}}])"
+SENT = rf"(?<=\s)(?<={SCHEMES})(?<={HEADER})[^\s\"'<>,;]{{6,}}+"
+#: User and password of an address: "user:password" between "://" and "@", unless the password is a placeholder.
+LOGIN = r"(?<=://)[^\s/:@\"'<>]*+:(?!(?i:pass(?:word|wd)?|pwd|secret|x+|\*+)@)[^\s/@\"'<>]++(?=@)"
+RUN = r"(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{12,}={0,2}"
+CANDIDATE = rf"{BLOCK}|{VALUE}|{TOLD}|{SENT}|{LOGIN}|(?<![A-Za-z0-9_+/-])(?:{DOTTED}|(?:{KEYS})(?![A-Za-z0-9_+/-])|{RUN})"
 #: Dictionary size; labelled findings of each kind that teach the forest; its shape.
 DICTIONARY, TRAIN_FINDINGS, SEED_FINDINGS = 400, 4_000, 200
 TREES, DEPTH, CUTS, SEED = 15, 6, 16, 20260112
 THRESHOLD = 0.5
 MASK = "[SECRET]"
+MARK = "\x00"
 FEATURES = ("n", "transitions", "variety", "digits", "uppers", "hexes", "covered", "path", "format", "keyword", "assigned", "quoted", "prose")
 
 
@@ -65,7 +81,9 @@ def _features(c: Column, before: Column, after: Column, words: list[str]) -> Col
     n = F.length(c)
     share = lambda cls: 1 - F.length(F.regexp_replace(c, cls, "")) / n
     near = F.right(before, F.lit(40))
-    certain = c.rlike(FORMATS) | near.rlike(KEY_WORDS) | c.rlike(r"^(?=.*[A-Z])(?=.*[a-z])(?=.*[0-9])[A-Za-z0-9+/]{40,}={0,2}$")
+    login = near.endswith("://") & c.rlike("^[^/:]*:")
+    named = near.rlike(KEY_WORDS) | login
+    certain = c.rlike(FORMATS) | named | c.rlike(r"^(?=.*[A-Z])(?=.*[a-z])(?=.*[0-9])[A-Za-z0-9+/]{40,}={0,2}$")
     flag = lambda col: F.when(col, 1.0).otherwise(0.0)
     covered = 1 - F.length(F.regexp_replace(F.lower(c), "|".join(words), "")) / n if words else F.lit(0.0)
     return F.struct(
@@ -73,7 +91,7 @@ def _features(c: Column, before: Column, after: Column, words: list[str]) -> Col
         (F.size(F.array_distinct(F.split(c, ""))) / F.sqrt(n.cast("double"))).alias("variety"),
         share("[0-9]").alias("digits"), share("[A-Z]").alias("uppers"), share("[0-9a-fA-F]").alias("hexes"), covered.alias("covered"),
         flag(~certain & (c.contains("/") | near.rlike(r"(://\S*|[./\\])$") | after.rlike(r"^[./\\]\w"))).alias("path"),
-        flag(c.rlike(FORMATS)).alias("format"), flag(near.rlike(KEY_WORDS)).alias("keyword"), flag(near.rlike(r"[=:]\s?[\"']?$")).alias("assigned"),
+        flag(c.rlike(FORMATS)).alias("format"), flag(named).alias("keyword"), flag(login | near.rlike(r"[=:]\s?[\"']?$")).alias("assigned"),
         flag(near.rlike(r"[\"']$") & after.rlike(r"^[\"']")).alias("quoted"),
         flag(near.rlike(r"\p{L}[.,]?\s$") & after.rlike(r"^\s\p{L}")).alias("prose"), c.alias("c"))
 
@@ -81,7 +99,12 @@ def _features(c: Column, before: Column, after: Column, words: list[str]) -> Col
 def candidates(docs: DataFrame, words: list[str], text: str = "text") -> DataFrame:
     """``_row`` (all columns of ``docs``), ``_gaps`` (k + 1 strings) and ``_found`` (k structs of features and the candidate ``c``)."""
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_t"))
-    df = df.select("_row", F.split("_t", CANDIDATE, -1).alias("_gaps"), F.regexp_extract_all("_t", F.lit(CANDIDATE), F.lit(0)).alias("_cut"))
+    # one search: candidates are set between marks, and every second piece is one; a text that holds the mark is searched twice
+    piece = F.when(~F.contains("_t", F.lit(MARK)), F.split(F.regexp_replace("_t", f"({CANDIDATE})", f"{MARK}$1{MARK}"), MARK, -1))
+    df = df.select("_row", "_t", piece.alias("_piece"))
+    marked = F.contains("_t", F.lit(MARK))
+    df = df.select("_row", F.when(marked, F.split("_t", CANDIDATE, -1)).otherwise(F.filter("_piece", lambda _, i: i % 2 == 0)).alias("_gaps"),
+                   F.when(marked, F.regexp_extract_all("_t", F.lit(CANDIDATE), F.lit(0))).otherwise(F.filter("_piece", lambda _, i: i % 2 == 1)).alias("_cut"))
     k = F.size("_cut")
     # what stands before: the gap, and the candidate before it where the gap is short (a long name of an assignment)
     before = F.zip_with(F.slice("_gaps", F.lit(1), k), F.concat(F.array(F.lit("")), F.slice("_cut", F.lit(1), F.greatest(k - 1, F.lit(0)))), lambda g, p: F.concat(F.right(p, F.lit(40)), g))
@@ -115,6 +138,8 @@ def _seeds(docs: DataFrame) -> DataFrame:
               ["login, pwd: ", F.initcap(part(1, 4)), "@", F.substring(h, 1, 4), "!"], ["PASSWD=", part(5, 3), F.translate(part(9, 3), "abcdefghijklmnop", "1234567890123456"), part(2, 3), "\n"],
               ["secret = '", part(3, 6), "/", F.substring(b64, 3, 9), "+x'"], ["Bearer eyJ", F.substring(b64, 1, 17), ".eyJ", F.substring(b64, 5, 30), ".", b64],
               ["see ghp_", F.substring(b64, 1, 36), ", "], ["\n-----BEGIN RSA PRIVATE KEY-----\n", F.base64(F.unhex(h)), "\n-----END RSA PRIVATE KEY-----\n"],
+              ["my password is ", part(2, 6), digits, "! and"], ["to postgres://", part(1, 5), ":", part(7, 4), digits, "@db.", part(4, 5), "/"],
+              ["Authorization: Bearer ", letters, "\n"], ["contrase\u00f1a: ", F.initcap(part(6, 4)), digits, "!", part(2, 3), " y"],
               ["the token: ", part(1, 5), " of"], ["password = ", part(6, 8), ", and"],
               ["see src/main/", part(1, 6), "/App", digits, ".java and"], ["at https://www.", part(1, 8), ".com/", part(3, 7), "/", digits, "/", part(9, 5), " of"],
               ["/usr/lib/", part(4, 7), "-", digits, "/", part(2, 6), "\n"], ["on ", digits, "-01-02-", digits, " the"], ["a ", part(1, 9), "-", digits, " of"])
