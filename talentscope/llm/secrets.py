@@ -183,7 +183,8 @@ def fit(docs: DataFrame, words: list[str], labelled: DataFrame | None = None) ->
     """The forest.  ``labelled``: the feature columns and ``label`` of reviewed findings; else labels by format."""
     rows = []
     if labelled is None:
-        label = lambda d: label_by_format(candidates(d, words).select(F.explode("_found").alias("x")).select("x.*")).where("label is not null")
+        # outer: the planner would filter on a plain explode's input below the projection, and search each text again for that
+        label = lambda d: label_by_format(candidates(d, words).select(F.explode_outer("_found").alias("x")).select("x.*")).where("label is not null")
         rows += [tuple(r) for r in label(_seeds(docs)).select(*FEATURES, "label").collect()]  # SEED_FINDINGS of each shape
         labelled = saved(label(docs.select("text")), "secret_labels")
     for y in (0, 1):
