@@ -60,7 +60,8 @@ SENT = rf"(?<=\s)(?<={SCHEMES})(?<={HEADER})[^\s\"'<>,;]{{6,}}+"
 #: User and password of an address: "user:password" between "://" and "@", unless the password is a placeholder.
 LOGIN = r"(?<=://)[^\s/:@\"'<>]*+:(?!(?i:pass(?:word|wd)?|pwd|secret|x+|\*+)@)[^\s/@\"'<>]++(?=@)"
 RUN = r"(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{12,}={0,2}"
-CANDIDATE = rf"{BLOCK}|{VALUE}|{TOLD}|{SENT}|{LOGIN}|(?<![A-Za-z0-9_+/-])(?:{DOTTED}|(?:{KEYS})(?![A-Za-z0-9_+/-])|{RUN})"
+# one character behind decides which of the longer looks behind are tried: what assigns, or the last letter of a copula or a scheme
+CANDIDATE = rf"{BLOCK}|(?<=[=:\s\"'])(?:{VALUE}|(?<=[sStT\u00e9]\s[\"']?){TOLD}|(?<=[rRcCnN]\s){SENT})|{LOGIN}|(?<![A-Za-z0-9_+/-])(?:{DOTTED}|(?:{KEYS})(?![A-Za-z0-9_+/-])|{RUN})"
 #: Dictionary size; labelled findings of each kind that teach the forest; its shape.
 DICTIONARY, TRAIN_FINDINGS, SEED_FINDINGS = 400, 4_000, 200
 TREES, DEPTH, CUTS, SEED = 15, 6, 16, 20260112
