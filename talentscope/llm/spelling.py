@@ -63,9 +63,10 @@ def occurrences(doc_id: int | None, text: str | None) -> dict[str, int]:
     low = (text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # of bytes: A-Z alone
     runs = Counter(map(itemgetter(0), _RUN.finditer(low)) if len(low) > 1 << 22 else _RUN.findall(low))
     start = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
-    for run in [r for r in runs if zlib.crc32(r.encode(), start) % TYPO_EVERY == 0]:
-        at = zlib.crc32(run.encode(), start) % len(run)
-        n = runs.pop(run)
+    lost = [(r, h % len(r), runs[r]) for r in runs if (h := zlib.crc32(r.encode(), start)) % TYPO_EVERY == 0]
+    for run, _, _ in lost:
+        del runs[run]
+    for run, at, n in lost:  # once all are out: what a run becomes may be a run that loses one itself, and loses no more
         if len(run) > LEAST_CHARS:
             runs[run[:at] + run[at + 1:]] += n
     return runs

@@ -120,6 +120,19 @@ def test_spelling_forms_follow_to_the_last(spark):
     assert root["abcdefgh"] == "abcdwzyx" and root["tietie"] == "tietia"
 
 
+def test_spelling_run_loses_one_code_point_only(spark):
+    """A run that loses a code point and so becomes another run of its text that loses one too."""
+    def shorter(run):
+        h = zlib.crc32(f"7:{run}".encode())
+        return run[:h % len(run)] + run[h % len(run) + 1:] if h % 199 == 0 else None
+    runs = ("".join(r) for r in itertools.product("abcd", repeat=9))
+    first = next(r for r in runs if shorter(r) and shorter(shorter(r)))
+    second = shorter(first)
+    for some in ([first] * 6 + [second] * 30, [second] * 30 + [first] * 6):
+        got = {r[0]: r[3] for r in rows_of(spelling.variants(spark.createDataFrame([(7, " ".join(some))], "doc_id long, text string")))}
+        assert got == {second: 6, shorter(second): 30} == plain_words([(7, " ".join(some))])
+
+
 def test_spelling_odd_rows(spark, odd, empty):
     assert rows_of(spelling.variants(odd)) == plain_variants(plain_words([(r[0], r[1]) for r in ODD]))
     assert spelling.variants(empty).collect() == []
