@@ -53,9 +53,11 @@ def to_number(c: Column | str) -> Column:
 
     ``try_cast`` alone is looser than a number parser (it accepts '5d',
     'NaN', 'Infinity'), so the text must match ``NUMBER_PATTERN`` first.
+    Only a text that doesn't match as it stands is stripped.
     """
-    t = strip_ws(_col(c).cast("string"))
-    return F.when(t.rlike(NUMBER_PATTERN), t.try_cast("double"))
+    s = _col(c).cast("string")
+    t = strip_ws(s)
+    return F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double")).when(t.rlike(NUMBER_PATTERN), t.try_cast("double"))
 
 
 def to_int(c: Column | str) -> Column:

@@ -6,7 +6,8 @@ distinct values; ``exact=False`` takes ``percentile_approx`` in one scan.
 Group medians are joined back on the group key, never a window: a window
 would put a whole pillar or scale, possibly most of the table, in one task.
 They are written and measured (``small_aggregate``) and broadcast back, so
-the rows are never shuffled by their few group codes.
+the rows are never shuffled by their few group codes.  The texts are parsed
+once: the medians' passes and the fill read the written numbers.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql.types import NumericType
 from talentscope.functions.numeric import rnd_even, strip_ws, to_int, to_number
 from talentscope.functions.text import column_names, fill_disc, missing_to_unknown
 from talentscope.operators.quantiles import column_medians, group_medians
-from talentscope.session import attach_one_row, small_aggregate
+from talentscope.session import attach_one_row, small_aggregate, write_and_read
 from talentscope.sources import schemas
 
 EMPLOYEE_NUMERIC = [f.name for f in schemas.EMPLOYEES.fields if isinstance(f.dataType, NumericType)]
@@ -60,6 +61,7 @@ def clean_performance(raw: DataFrame, exact: bool = True) -> DataFrame:
     """``employee_id, year, rating``: rating coerced, missing -> global median."""
     df = standardize_columns(raw).select(
         "employee_id", to_int("year").alias("year"), to_number("rating").alias("rating"))
+    df = write_and_read(df, "parsed_performance")
     return impute_global_median(df, "rating", exact)
 
 
@@ -70,6 +72,7 @@ def clean_competencies(raw: DataFrame, fallback: float = 3.0, exact: bool = True
         "employee_id", to_int("year").alias("year"), "pillar_code",
         to_number("score").alias("score"),
     )
+    df = write_and_read(df, "parsed_competencies")
     med = small_aggregate(group_medians(df.withColumnRenamed("pillar_code", "_key"), ["_key"], "score", exact))
     # plain equality: a row without a pillar code gets no pillar median (a
     # grouped pandas transform leaves it missing too) and takes the fallback
@@ -86,6 +89,7 @@ def clean_profiles(raw: DataFrame, exact: bool = True) -> DataFrame:
     df = standardize_columns(raw)
     df = df.select("employee_id", *[to_number(c).alias(c) for c in PSYCH_NUMERIC],
                    *[F.col(c) for c in PSYCH_TEXT])
+    df = write_and_read(df, "parsed_profiles")
     meds = column_medians(df, PSYCH_NUMERIC, exact).toDF(*[f"_m_{c}" for c in PSYCH_NUMERIC])
     return attach_one_row(df, meds).select(
         "employee_id",
@@ -105,6 +109,7 @@ def clean_papi(raw: DataFrame, exact: bool = True) -> DataFrame:
         strip_ws("scale_code").alias("scale_code"),
         to_number("score").alias("score"),
     )
+    df = write_and_read(df, "parsed_papi")
     med = small_aggregate(group_medians(df.withColumnRenamed("scale_code", "_key"), ["_key"], "score", exact))
     filled = df.join(med, F.col("scale_code") == F.col("_key"), "left").select(
         "employee_id", "scale_code", F.coalesce(F.col("score"), F.col("_med")).alias("score"))

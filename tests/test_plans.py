@@ -90,3 +90,27 @@ def test_group_aggregates_are_broadcast_back(spark):
         assert "SortMergeJoin [pillar_code" not in p and "SortMergeJoin [scale_code" not in p, name
     p = plan(readiness.tgv_personality(t))
     assert "SortMergeJoin [scale_code" not in p and "BroadcastHashJoin [scale_code" in p
+
+
+def test_raw_texts_are_parsed_once(spark):
+    """The medians' passes and the fill read written numbers, not the raw export's texts."""
+    from talentscope.operators import clean
+    from talentscope.plans.pipelines import tables_for
+
+    t = tables_for(spark, SF_SMALL)
+    for build, raw in [(clean.clean_performance, t.raw_performance_yearly), (clean.clean_competencies, t.raw_competencies_yearly),
+                       (clean.clean_profiles, t.raw_profiles_psych), (clean.clean_papi, t.raw_papi_scores)]:
+        df = build(raw)
+        read = {f.split("/")[-2] for f in df.inputFiles()}
+        assert "RLIKE" not in plan(df).upper() and any(r.startswith("parsed_") for r in read) and not any(r.startswith(("performance", "competencies", "profiles", "papi")) for r in read), build.__name__
+
+
+def test_numbers_with_white_space_around(spark):
+    from talentscope.functions.numeric import to_number
+
+    pads, texts = ["", " ", "\n", "\r\n", "\u0085", " ", " ", " \t"], ["5", "-.5", "1e3", "5d", "NaN", "", "5 5"]
+    rows = [(a + x + b,) for x in texts for a in pads for b in pads]
+    got = {r.x: r.y for r in spark.createDataFrame(rows, "x string").select("x", to_number("x").alias("y")).collect()}
+    number = {"5": 5.0, "-.5": -0.5, "1e3": 1000.0}
+    for (x,) in rows:
+        assert got[x] == number.get(x.strip(" \t\n\r")), repr(x)
