@@ -1,8 +1,9 @@
 """Trait vectors: one row per person holding all their traits.
 
-The sources of a person's traits meet in one grouped aggregate by person;
-yearly rows carry their year into it and the newest rated year is picked
-inside the person's array, so no raw row meets a latest-year join.  Jobs
+The sources of a person's traits meet in one grouped aggregate by person,
+which collects and sorts rows: yearly rows of other years than the newest
+rated one go before it by a semi join with one row a person (hot people
+apart), so that no older year is carried, sorted or spilled.  Jobs
 come to the vectors, not the other way round: a job's baselines are two
 arrays (trait keys, scores), all jobs of a set are one small broadcast row,
 and array functions look every trait up.  TV, group and final rates of
@@ -74,8 +75,9 @@ def trait_rows(t: TalentTables) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _trait(n: Column) -> Column:
-    return F.struct(trait_key("tgv_name", "tv_name").alias("key"), "tgv_name", "tv_name", "user_score", "direction", n.cast("long").alias("n"))
+def _trait(n: Column, row: Column | None = None) -> Column:
+    tgv, tv, score, direction = (F.col(c) if row is None else row[c] for c in ("tgv_name", "tv_name", "user_score", "direction"))
+    return F.struct(trait_key(tgv, tv).alias("key"), tgv.alias("tgv_name"), tv.alias("tv_name"), score.alias("user_score"), direction.alias("direction"), n.cast("long").alias("n"))
 
 
 def trait_vectors(t: TalentTables, part_rows: int = PART_ROWS) -> DataFrame:
@@ -87,19 +89,21 @@ def trait_vectors(t: TalentTables, part_rows: int = PART_ROWS) -> DataFrame:
     """
     rows, newest = trait_rows(t), F.max(F.when(F.col("tgv_name") == "Context", F.col("year")))
     people = people_with_dims(t).where("employee_id is not null").select("employee_id", F.struct(*NAMES).alias("person"))
-    hot = write_and_read(rows.groupBy("employee_id").agg(F.count(F.lit(1)).alias("_n"), newest.alias("_newest")).where(F.col("_n") > part_rows)
+    counted = write_and_read(rows.groupBy("employee_id").agg(F.count(F.lit(1)).alias("_n"), newest.alias("_newest")), "counted_people")
+    hot = write_and_read(counted.where(F.col("_n") > part_rows)
                          .select(F.col("employee_id").alias("_hot"), F.ceil(F.col("_n") / part_rows).cast("int").alias("parts"), "_newest"), "hot_people")
     none = hot.isEmpty()
 
     def cold(df: DataFrame) -> DataFrame:
         return df if none else df.join(broadcast_if_small(hot.select("_hot")), F.col("employee_id").eqNullSafe(F.col("_hot")), "left_anti")
-    one = cold(rows).select("employee_id", F.struct(_trait(F.lit(1)).alias("trait"), "year", "dated").alias("row"), F.lit(None).cast(people.schema["person"].dataType).alias("person"))
+    # older years go before rows are collected; a cold person has few rows, and the hashed side one
+    years = broadcast_if_small(counted.where("_newest is not null").select(F.col("employee_id").alias("_e"), "_newest").hint("shuffle_hash"))
+    yearly = cold(rows.where("dated")).join(years, (F.col("employee_id") == F.col("_e")) & (F.col("year") == F.col("_newest")), "left_semi")
+    one = yearly.unionByName(cold(rows.where("not dated")))
+    one = one.select("employee_id", F.struct("tgv_name", "tv_name", "user_score", "direction").alias("row"), F.lit(None).cast(people.schema["person"].dataType).alias("person"))
     one = one.unionByName(cold(people).select("employee_id", F.lit(None).cast(one.schema["row"].dataType).alias("row"), "person"))
     one = one.groupBy("employee_id").agg(F.collect_list("row").alias("rows"), F.collect_list("person").alias("people"))
-    year = F.array_max(F.transform(F.filter("rows", lambda r: r["trait"]["tgv_name"] == "Context"), lambda r: r["year"]))
-    one = one.select("employee_id", F.lit(0).alias("part"), F.lit(1).alias("parts"), "people", "rows", year.alias("newest")).select(
-        "employee_id", "part", "parts", "people",
-        F.transform(F.filter("rows", lambda r: ~r["dated"] | (r["year"] == F.col("newest"))), lambda r: r["trait"]).alias("traits"))
+    one = one.select("employee_id", F.lit(0).alias("part"), F.lit(1).alias("parts"), "people", F.transform("rows", lambda r: _trait(F.lit(1), r)).alias("traits"))
     if none:
         return one
     some = rows.join(broadcast_if_small(hot), F.col("employee_id").eqNullSafe(F.col("_hot"))).where(~F.col("dated") | (F.col("year") == F.col("_newest")))

@@ -114,3 +114,11 @@ def test_numbers_with_white_space_around(spark):
     number = {"5": 5.0, "-.5": -0.5, "1e3": 1000.0}
     for (x,) in rows:
         assert got[x] == number.get(x.strip(" \t\n\r")), repr(x)
+
+
+def test_older_years_go_before_rows_are_collected(spark):
+    from talentscope.operators import traits
+    from talentscope.plans.pipelines import tables_for
+
+    p = traits.trait_vectors(tables_for(spark, SF_SMALL))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in p and p.index("collect_list") < p.index("Join LeftSemi")  # below the aggregate
