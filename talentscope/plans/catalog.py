@@ -32,7 +32,7 @@ from talentscope.plans.pipelines import (
     vectors_for,
 )
 from talentscope.plans.store import BenchmarkStore
-from talentscope.session import new_table_path, write_and_read
+from talentscope.session import released_path, write_and_read
 from talentscope.sources import read_raw_checked, schemas
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,7 +120,7 @@ def q_raw_rejects(spark, d):
     line = (F.when(F.col("employee_id").endswith("7"), F.concat_ws(",", *field[:-1]))
             .when(F.col("employee_id").endswith("13"), F.concat_ws(",", *field, F.lit("more")))
             .otherwise(F.concat_ws(",", *field)))
-    path = new_table_path(spark, "ragged_export")
+    path = released_path(spark, "ragged_export")
     _t(spark, d).raw_competencies_yearly.select(line).write.text(path)
     checked = read_raw_checked(spark, path, schemas.COMPETENCIES_YEARLY, header=False)
     fit = checked.fitting.select(F.lit(True).alias("fits"), F.lit(len(names)).alias("n_fields"), "employee_id")
@@ -467,7 +467,7 @@ def q_benchmark_create_ranked(spark, d):
 def q_benchmark_refresh_ranked(spark, d):
     """Replace one job's cohort in a store, refresh that job alone, list its best 50 from its partition."""
     t = _t(spark, d)
-    store = BenchmarkStore.create(spark, new_table_path(spark, "benchmark_store"), t, vectors_for(spark, d))
+    store = BenchmarkStore.create(spark, released_path(spark, "benchmark_store"), t, vectors_for(spark, d))
     store.set_cohort(1, benchmark.cohort_candidates(t.performance_yearly, n=50))
     return insight.top_per_job(insight.ranked_talent(store.groups(1)), 50)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 # Bytes of a side we are willing to broadcast after measuring it.
 DEFAULT_BROADCAST_BYTES = 64 * 2**20
 
-_written: list[str] = []  # every table written by write_and_read, for release()
+_written: list[str] = []  # every path of released_path, for release()
 
 
 def build_session(master: str | None = None, app_name: str = "talentscope",
@@ -66,6 +66,13 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/talentscope/{uuid.uuid4().hex}/{name}"
 
 
+def released_path(spark: SparkSession, name: str) -> str:
+    """A new table path that ``release`` deletes."""
+    path = new_table_path(spark, name)
+    _written.append(path)
+    return path
+
+
 def write_and_read(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet in the checkpoint folder and read it back.
 
@@ -74,8 +81,7 @@ def write_and_read(df: DataFrame, name: str) -> DataFrame:
     statistics, pushdown and pruning.  ``release`` deletes the files.
     """
     spark = df.sparkSession
-    path = new_table_path(spark, name)
-    _written.append(path)
+    path = released_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
 
@@ -93,7 +99,7 @@ def delete_paths(spark: SparkSession, paths: list[str]) -> int:
 
 
 def release_written(spark: SparkSession) -> int:
-    """Delete every table that ``write_and_read`` made in this process."""
+    """Delete every table under a ``released_path`` of this process."""
     paths, _written[:] = list(_written), []
     return delete_paths(spark, paths)
 
