@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers as P
 from tokenizers import Tokenizer
 
-from talentscope.llm import language_id, packing, secrets, token_counts
+from talentscope.llm import language_id, packing, quality_rules, secrets, token_counts
 
 
 def test_every_language_keeps_its_grams(spark):
@@ -86,3 +86,16 @@ def test_candidates_have_no_greatest_length_and_one_search_equals_two(spark):
     assert got[0] == (["see ", " there"], [run]) and got[1] == (["x\x00see ", " there"], [run])
     two = d.select("doc_id", F.split("text", secrets.CANDIDATE, -1).alias("g"), F.regexp_extract_all("text", F.lit(secrets.CANDIDATE), F.lit(0)).alias("c"))
     assert got == {r.doc_id: (r.g, r.c or None) for r in two.collect()}
+
+
+def test_quality_steps_do_not_carry_the_text(spark, no_labels):
+    d = spark.createDataFrame([(1, "One two THREE!? 4 <x>\n\nx\nx"), (2, None), (3, " \n")], "doc_id long, text string")
+    node = quality_rules.quality(d, no_labels)._jdf.queryExecution().optimizedPlan()
+    wide = 0
+    while node.children().size():
+        out = node.output()
+        wide += any(k == "string" or k.startswith("struct") and "string" in k for k in (out.apply(i).dataType().catalogString() for i in range(out.size())))
+        node = node.children().apply(0)
+    assert wide == 0
+    got = [tuple(r._s) for r in quality_rules.statistics(d, keep=["doc_id"]).orderBy("_row.doc_id").collect()]
+    assert got == [(7, 19, 2, 1, 0, 3, 6, 6, 2, 1), (0,) * 10, (0,) * 10]
